@@ -12,21 +12,26 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def round_ratio(num, den, digits: int) -> Column:
-    """``round(num / den, digits)`` half away from zero, exact on integers.
+def scaled_round(num, den, digits: int) -> Column:
+    """``round(num / den * 10^digits)`` half away from zero, as an exact long.
 
     Rounding a double is engine dependent at decimal ties (1.005 has no exact
     binary form); for integer counts the rounding is done in integer
-    arithmetic, so every engine returns the same double.  ``den <= 0`` → 0.0.
+    arithmetic, so every engine returns the same value.  ``den <= 0`` → 0.
     """
     num, den = _c(num).cast("long"), _c(den).cast("long")
     scale = 10 ** digits
     # floor((2·scale·|num| + den) / (2·den)): both operands stay below 2^52 for
     # counts under ~2e13, so the double quotient floors to the exact integer.
-    q = (F.abs(num) * F.lit(2 * scale) + den) / (den * F.lit(2))
+    q = F.try_divide(F.abs(num) * F.lit(2 * scale) + den, den * F.lit(2))
     whole = F.floor(q).cast("long")
     signed = F.when(num < 0, -whole).otherwise(whole)
-    return F.when(den > 0, signed.cast("double") / F.lit(float(scale))).otherwise(F.lit(0.0))
+    return F.when(den > 0, signed).otherwise(F.lit(0).cast("long"))
+
+
+def round_ratio(num, den, digits: int) -> Column:
+    """``round(num / den, digits)`` for integers, identical in every engine."""
+    return scaled_round(num, den, digits).cast("double") / F.lit(float(10 ** digits))
 
 
 def pct_rounded(num, den, digits: int) -> Column:
