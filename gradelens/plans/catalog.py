@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gradelens.plans import breakdowns, dashboards  # noqa: F401  (register queries)
+from gradelens.plans import breakdowns, dashboards, etl  # noqa: F401  (register queries)
 from gradelens.plans.registry import ORACLES, QUERIES
 
 
