@@ -56,14 +56,18 @@ def quota_ranges(sizes: DataFrame) -> DataFrame:
 
 
 def global_index(df: DataFrame, keys: Sequence[str], seed: int, name: str = "_pos",
-                 checkpoint: bool = True) -> DataFrame:
-    """Rows of ``df`` numbered 0..n-1 in ``xxhash64(seed, keys)`` order.
+                 checkpoint: bool = True, order: Sequence[str] | None = None) -> DataFrame:
+    """Rows of ``df`` numbered 0..n-1 in ``xxhash64(seed, keys)`` order (or by
+    the ``order`` columns when given).
 
     No single-partition step: the sort is range-partitioned; offsets come from
     a per-partition count (one row per partition).
     """
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]))
-    ordered = hashed.orderBy("_h", *keys)
+    if order is None:
+        hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]))
+        ordered = hashed.orderBy("_h", *keys)
+    else:
+        ordered = df.orderBy(*order)
     if checkpoint:
         checkpoint_dir(df.sparkSession)
         ordered = ordered.checkpoint(eager=True)
@@ -75,7 +79,8 @@ def global_index(df: DataFrame, keys: Sequence[str], seed: int, name: str = "_po
     # one row per partition: bounded by the partition count
     joined = with_id.join(F.broadcast(offsets), part == F.col("_part"))
     pos = F.col("_off") + (F.col("_mid") - F.shiftleft(F.col("_part"), _POS_BITS))
-    return joined.withColumn(name, pos).drop("_h", "_mid", "_part", "_off")
+    out = joined.withColumn(name, pos).drop("_mid", "_part", "_off")
+    return out.drop("_h") if order is None else out
 
 
 def assign(df: DataFrame, keys: Sequence[str], sizes: DataFrame, seed: int = 42,
