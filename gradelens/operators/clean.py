@@ -7,13 +7,14 @@ constants, so no step collects data to the driver.
 
 from __future__ import annotations
 
+import re
 from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradelens.functions.labels import NULL_TOKENS, canonical, null_token
+from gradelens.functions.labels import NULL_TOKENS, canonical
 
 # Whitespace as Python's str.isspace() sees it (a run collapses to one space).
 WHITESPACE_CLASS = (r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
@@ -36,12 +37,28 @@ def trim_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
+def token_pattern(tokens: Sequence[str] = NULL_TOKENS) -> str:
+    """Whole text that squishes to one of ``tokens`` (any case)."""
+    alts = "|".join(re.escape(t) for t in tokens if t)
+    ws = WHITESPACE_CLASS[:-1] + "*"
+    return f"(?i)^{ws}({alts})?{ws}$"
+
+
 def clean_text(df: DataFrame, columns: Sequence[str] | None = None,
                tokens: Sequence[str] = NULL_TOKENS) -> DataFrame:
-    """P14 + P15 on string columns: squish, then missing tokens → NULL."""
+    """P14 + P15 on string columns: squish, and texts that squish to a missing
+    token become NULL.
+
+    The token test is an anchored regex on the raw text (it fails at the
+    first character that is neither whitespace nor part of a token), so the
+    whitespace rewrite of long texts runs once per value.
+    """
     cols = set(string_columns(df) if columns is None else columns)
-    return df.select(*[null_token(squish(c), tokens).alias(c) if c in cols else F.col(c)
-                       for c in df.columns])
+    pat = token_pattern(tokens)
+
+    def one(c):
+        return F.when(F.col(c).rlike(pat), F.lit(None).cast("string")).otherwise(squish(c)).alias(c)
+    return df.select(*[one(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def dedupe(df: DataFrame) -> DataFrame:
