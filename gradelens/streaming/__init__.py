@@ -1 +1 @@
-
+"""The breakdown operators over Structured Streaming sources."""

@@ -1,0 +1,21 @@
+"""The running breakdown equals the batch breakdown once the stream is drained."""
+
+import tempfile
+
+from gradelens.operators import outcome
+from gradelens.plans.tables import LINE_OUTCOME
+from gradelens.streaming.live import live_breakdown, start
+from tests.conftest import SF_SMALL
+
+
+def test_live_breakdown_matches_batch(spark):
+    path = f"{SF_SMALL}/lineitem.parquet"
+    batch = spark.read.parquet(path)
+    stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "lineitem.parquet").parquet(SF_SMALL)
+    agg = live_breakdown(stream, "l_linenumber", LINE_OUTCOME, {"l_linestatus": ["F"]})
+    q = start(agg, tempfile.mkdtemp(prefix="gradelens-stream-", dir="/tmp"), name="live_breakdown_test")
+    q.awaitTermination(120)
+    got = {tuple(r) for r in spark.table("live_breakdown_test").collect()}
+    want = {tuple(r) for r in outcome.breakdown_all(batch, "l_linenumber", LINE_OUTCOME,
+                                                    {"l_linestatus": ["F"]}).collect()}
+    assert got == want and len(got) == 7
