@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradelens.functions.predicates import Selection, require_columns, where
-from gradelens.spec import OutcomeSpec
+from gradelens.spec import OutcomeSpec, count_when
 
 
 def _long(df: DataFrame, fields: Sequence[str], spec: OutcomeSpec,
@@ -44,31 +44,34 @@ def contingency(df: DataFrame, fields: Sequence[str], spec: OutcomeSpec,
 
 def cramers_v(df: DataFrame, fields: Sequence[str], spec: OutcomeSpec,
               selection: Selection | Mapping | None = None, digits: int = 4) -> DataFrame:
-    """A5 + T8: ``(field, v)`` sorted by ``v`` descending, then field."""
+    """A5 + T8: ``(field, v)`` sorted by ``v`` descending, then field.
+
+    Over the cells with ``e > 0`` the observed and expected counts both sum
+    to ``n``, so ``chi2 = n * sum_j S_j / t_j - n`` with level totals ``t_j``
+    and ``S_j = sum over values of o_vj^2 / row_total_v``.  Every term is a
+    per-field sum of per-cell values: the cells aggregate feeds one more
+    aggregate by field (a few rows per field), with no join back and no
+    window over a field's values, whatever the field's cardinality.
+    """
     L = len(spec.levels)
     cells = (_long(df, fields, spec, selection)
              .groupBy("field", "value")
-             .agg(*[F.count_if(F.col("_outcome") == F.lit(lv)).alias(f"c{i}")
+             .agg(*[count_when(F.col("_outcome") == F.lit(lv)).alias(f"c{i}")
                     for i, lv in enumerate(spec.levels)]))
-    cells = cells.withColumn("rt", sum((F.col(f"c{i}") for i in range(1, L)), F.col("c0")))
-    # one row per field: a bounded side (len(fields) rows) for a broadcast join
-    margins = cells.groupBy("field").agg(
+    rt = sum((F.col(f"c{i}") for i in range(1, L)), F.col("c0")).cast("double")
+    per_field = cells.groupBy("field").agg(
         F.count(F.lit(1)).alias("r"),
-        *[F.sum(f"c{i}").alias(f"t{i}") for i in range(L)])
-    margins = margins.withColumn("n", sum((F.col(f"t{i}") for i in range(1, L)), F.col("t0")))
-    joined = cells.join(F.broadcast(margins), "field")
-    term = F.lit(0.0)
-    for i in range(L):
-        e = F.try_divide(F.col("rt").cast("double") * F.col(f"t{i}").cast("double"),
-                         F.col("n").cast("double"))
-        d = F.col(f"c{i}").cast("double") - e
-        term = term + F.when(e > 0, d * d / e).otherwise(0.0)
-    per_field = joined.groupBy("field").agg(
-        F.sum(F.coalesce(term, F.lit(0.0))).alias("chi2"),
-        F.max("r").alias("r"), F.max("n").alias("n"))
+        *[F.sum(f"c{i}").alias(f"t{i}") for i in range(L)],
+        *[F.sum(F.when(rt > 0, F.col(f"c{i}").cast("double") * F.col(f"c{i}").cast("double") / rt))
+           .alias(f"s{i}") for i in range(L)])
+    n = sum((F.col(f"t{i}") for i in range(1, L)), F.col("t0"))
+    ratio_sum = sum((F.coalesce(F.try_divide(F.col(f"s{i}"), F.col(f"t{i}").cast("double")), F.lit(0.0))
+                     for i in range(1, L)),
+                    F.coalesce(F.try_divide(F.col("s0"), F.col("t0").cast("double")), F.lit(0.0)))
+    chi2 = F.greatest(n.cast("double") * ratio_sum - n.cast("double"), F.lit(0.0))
     k = F.least(F.col("r"), F.lit(L))
-    denom = F.col("n").cast("double") * (k - 1).cast("double")
-    v = F.when((F.col("n") == 0) | (F.col("r") < 2) | (denom <= 0), F.lit(0.0)) \
-         .otherwise(F.least(F.lit(1.0), F.sqrt(F.try_divide(F.col("chi2"), denom))))
+    denom = n.cast("double") * (k - 1).cast("double")
+    v = F.when((n == 0) | (F.col("r") < 2) | (denom <= 0), F.lit(0.0)) \
+         .otherwise(F.least(F.lit(1.0), F.sqrt(F.try_divide(chi2, denom))))
     return per_field.select("field", F.round(v, digits).alias("v")) \
                     .orderBy(F.desc("v"), F.asc("field"))

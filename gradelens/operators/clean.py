@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradelens.spec import count_when
+
 from gradelens.functions.labels import NULL_TOKENS, canonical
 
 # Whitespace as Python's str.isspace() sees it (a run collapses to one space).
@@ -86,7 +88,7 @@ def null_cells(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     cols = string_columns(df) if columns is None else list(columns)
     if not cols:
         return F.lit(0).cast("long")
-    return sum((F.count_if(F.col(c).isNull()) for c in cols[1:]), F.count_if(F.col(cols[0]).isNull()))
+    return sum((count_when(F.col(c).isNull()) for c in cols[1:]), count_when(F.col(cols[0]).isNull()))
 
 
 def canonical_target(df: DataFrame, col: str, synonyms: Mapping[str, str]) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gradelens.functions.numeric import pct_rounded, ratio, round_ratio, with_rates
 from gradelens.functions.predicates import Selection, require_columns, where
-from gradelens.spec import OutcomeSpec
+from gradelens.spec import OutcomeSpec, count_when
 
 MAX_LIMIT = 2000
 
@@ -64,8 +64,8 @@ def matrix(df: DataFrame, x: str, y: str, spec: OutcomeSpec,
     src = where(df, selection)
     return src.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(
         F.count(F.lit(1)).alias("total"),
-        F.count_if(spec.is_level(len(spec.levels) - 1)).alias(spec.top),
-        F.count_if(spec.is_level(len(spec.levels) - 2)).alias(spec.second),
+        count_when(spec.is_level(len(spec.levels) - 1)).alias(spec.top),
+        count_when(spec.is_level(len(spec.levels) - 2)).alias(spec.second),
     )
 
 
@@ -94,7 +94,7 @@ def kpis(df: DataFrame, spec: OutcomeSpec, measure: str, weekend: str, hour: str
         F.count(F.lit(1)).alias("n"),
         F.sum(F.col(measure).cast("long")).alias("m_sum"),
         F.count(F.col(measure)).alias("m_cnt"),
-        F.count_if(F.col(weekend)).alias("wk"),
+        count_when(F.col(weekend)).alias("wk"),
         *spec.level_counts(),
     )
     aggs = [
@@ -128,12 +128,12 @@ def condition_lift(df: DataFrame, spec: OutcomeSpec, conditions: Mapping[str, Co
     """
     src = where(df, selection)
     severe = spec.not_base()
-    aggs = [F.count(F.lit(1)).alias("base_n"), F.count_if(severe).alias("base_severe")]
+    aggs = [F.count(F.lit(1)).alias("base_n"), count_when(severe).alias("base_severe")]
     names = list(conditions)
     for i, name in enumerate(names):
         cond = conditions[name]
-        aggs.append(F.count_if(cond).alias(f"n{i}"))
-        aggs.append(F.count_if(cond & severe).alias(f"s{i}"))
+        aggs.append(count_when(cond).alias(f"n{i}"))
+        aggs.append(count_when(cond & severe).alias(f"s{i}"))
     one = src.agg(*aggs)
     rows = F.array(*[
         F.struct(F.lit(i).alias("ordinal"), F.lit(name).alias("axis"),

@@ -1,15 +1,14 @@
 """Grids, wide form, shares and mean-relative domains.
 
-Grand totals and means are scalar subqueries over the *aggregate*
-(``DataFrame.scalar()``), evaluated once and broadcast as a constant — no
-cross join and no single-partition window over the data.
+Grand totals and means are window aggregates over *breakdown rows* (one row
+per group, bounded by the breakdown limit), never over the scanned data.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradelens.functions.numeric import ratio
@@ -50,20 +49,20 @@ def wide(long: DataFrame, row: str, col: str, value: str, values: Sequence,
                              for v in values])
 
 
-def grand_total(basis: DataFrame, col: str = "total") -> Column:
-    """Scalar subquery ``(SELECT sum(col) FROM basis)``."""
-    return basis.select(F.sum(col)).scalar()
+# One window over every row of a report.  Reports apply it to breakdown rows
+# (one row per group, cut to at most 2000 by the breakdown's limit and already
+# in one partition after TakeOrderedAndProject), so it adds no shuffle and
+# never re-runs the breakdown the way a scalar subquery would.
+def all_rows():
+    return Window.partitionBy()
 
 
-def with_share(df: DataFrame, basis: DataFrame | None = None, col: str = "total",
-               name: str = "share") -> DataFrame:
-    """``col / sum(col over basis)``; the basis defaults to ``df`` itself.
+def with_share(df: DataFrame, col: str = "total", name: str = "share") -> DataFrame:
+    """``col / sum(col)`` over all rows of the (bounded) report.
 
-    Pass the un-limited aggregate as ``basis`` when ``df`` is a top-N cut, so
-    shares stay shares of every group.
+    Compute shares before a top-N cut so they stay shares of every group.
     """
-    basis = df if basis is None else basis
-    return df.withColumn(name, ratio(F.col(col), grand_total(basis, col)))
+    return df.withColumn(name, ratio(F.col(col), F.sum(col).over(all_rows())))
 
 
 def ratio_to_mean(df: DataFrame, col: str) -> DataFrame:
@@ -72,14 +71,14 @@ def ratio_to_mean(df: DataFrame, col: str) -> DataFrame:
     ``half = max(max ratio - 1, 1 - min ratio, 0.5)``,
     ``lo = max(0, 1 - half) * mean``, ``hi = (1 + half) * mean``.
     """
-    stats = df.select(F.avg(col).alias("m"), F.max(col).alias("mx"), F.min(col).alias("mn"))
-    mean = stats.select("m").scalar()
-    half = stats.select(F.greatest(F.col("mx") / F.col("m") - 1, 1 - F.col("mn") / F.col("m"),
-                                   F.lit(0.5))).scalar()
-    return df.select("*",
-                     F.try_divide(F.col(col), mean).alias("ratio"),
-                     (F.greatest(F.lit(0.0), 1 - half) * mean).alias("domain_lo"),
-                     ((1 + half) * mean).alias("domain_hi"))
+    m = F.avg(col).over(all_rows())
+    half = F.greatest(F.try_divide(F.max(col).over(all_rows()), m) - 1,
+                      1 - F.try_divide(F.min(col).over(all_rows()), m), F.lit(0.5))
+    staged = df.select("*", m.alias("_m"), half.alias("_half"))
+    return staged.select(*df.columns,
+                         F.try_divide(F.col(col), F.col("_m")).alias("ratio"),
+                         (F.greatest(F.lit(0.0), 1 - F.col("_half")) * F.col("_m")).alias("domain_lo"),
+                         ((1 + F.col("_half")) * F.col("_m")).alias("domain_hi"))
 
 
 def min_max(df: DataFrame, col: str) -> DataFrame:

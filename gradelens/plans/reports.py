@@ -37,9 +37,9 @@ def both_folds(c: Column) -> Column:
 
 def share_top(df, by, spec, selection, k=8, mapper: Mapper = fold_other_unknown):
     """Outcome share by area, top k: Other last; shares of every folded group."""
-    folded = folded_breakdown(df, by, spec, selection, mapper)
+    folded = shape.with_share(folded_breakdown(df, by, spec, selection, mapper))
     ranked = ordering.ranked(folded, ordering.other_last(ordering.by_total()))
-    return shape.with_share(ranked.filter(F.col("pos") <= k), basis=folded)
+    return ranked.filter(F.col("pos") <= k)
 
 
 def top_by(df, by, spec, selection, k, min_count, order: str = "total",
@@ -86,21 +86,20 @@ def ordered_shares(df, by, spec, selection, order: Sequence[Column], exclude_own
     """A1 → explicit ordering (T4 / T5 / T9) → share of all groups."""
     sel = (selection or Selection())
     sel = sel.without(by) if exclude_own else sel
-    rows = outcome.breakdown_all(df, by, spec, sel, min_count=min_count)
-    return shape.with_share(ordering.ranked(rows, order), basis=rows)
+    rows = outcome.breakdown(df, by, spec, sel, min_count=min_count)
+    return ordering.ranked(shape.with_share(rows), order)
 
 
 def factor_bars(df, by, spec, selection, k=7, min_count=10):
     """Top k by risk, shares of the total of all groups (T6 + A16)."""
-    rows = outcome.breakdown_all(df, by, spec, (selection or Selection()).without(by), min_count)
-    top = ordering.ranked(rows, ordering.by_desc("risk")).filter(F.col("pos") <= k)
-    return shape.with_share(top, basis=rows)
+    rows = shape.with_share(outcome.breakdown(df, by, spec, (selection or Selection()).without(by), min_count))
+    return ordering.ranked(rows, ordering.by_desc("risk")).filter(F.col("pos") <= k)
 
 
 def part_of_day_share(df, hour: str, spec, selection):
     """Share by part of day: four fixed bands, zeros for absent bands (D1 + A16)."""
     src = df.withColumn("_part", hour_band(F.col(hour)))
-    rows = outcome.breakdown_all(src, "_part", spec, selection)
+    rows = outcome.breakdown(src, "_part", spec, selection)
     cells = df.sparkSession.createDataFrame([(p,) for p in PART_OF_DAY], "key string")
     dense = shape.dense(rows, cells, ["key"], ["total", *spec.names])
     return shape.with_share(dense)
@@ -109,7 +108,7 @@ def part_of_day_share(df, hour: str, spec, selection):
 def hourly_rates(df, hour: str, spec, selection, digits: int = 1):
     """Rates by hour: 24 rows, hour range dropped, percents rounded to one digit (A1 + D1)."""
     sel = (selection or Selection()).without(drop_ranges=(hour,))
-    rows = outcome.breakdown_all(df, hour, spec, sel, as_text=False)
+    rows = outcome.breakdown(df, hour, spec, sel, as_text=False)
     cells = df.sparkSession.range(24).select(F.col("id").cast(df.schema[hour].dataType).alias("key"))
     dense = shape.dense(rows, cells, ["key"], ["total", *spec.names])
     return dense.select("key", "total",
@@ -119,7 +118,7 @@ def hourly_rates(df, hour: str, spec, selection, digits: int = 1):
 
 def weekday_counts(df, day: str, spec, selection, days: Sequence[str]):
     """Counts by weekday in calendar order, zeros for absent days (A1 + D1 + T5)."""
-    rows = outcome.breakdown_all(df, day, spec, (selection or Selection()).without(day))
+    rows = outcome.breakdown(df, day, spec, (selection or Selection()).without(day))
     cells = df.sparkSession.createDataFrame([(d,) for d in days], "key string")
     dense = shape.dense(rows, cells, ["key"], ["total", *spec.names])
     return ordering.ranked(dense, ordering.listed(days))
@@ -129,8 +128,8 @@ def region_ranking(df, region: str, spec, selection, dim: DataFrame, dim_key: st
     """Region map / ranked list: every region of the dimension (J6) with its
     counts, share of the filtered total (A16), ratio of its top-level rate to
     the mean (A17) and its rank; ``k`` marks the top list (T7)."""
-    rows = outcome.breakdown_all(df, region, spec, (selection or Selection()).without(region),
-                                 as_text=False)
+    rows = outcome.breakdown(df, region, spec, (selection or Selection()).without(region),
+                             as_text=False, limit=outcome.MAX_LIMIT)
     shared = shape.with_share(rows)
     rel = shape.ratio_to_mean(shared, f"{spec.top}_rate")
     ranked = ordering.ranked(rel, ordering.by_total())
@@ -141,7 +140,7 @@ def region_ranking(df, region: str, spec, selection, dim: DataFrame, dim_key: st
 def option_list(df, by, spec, preferred: Sequence | None = None, k: int = 3):
     """Quick-filter options: preferred values that occur, in the given order,
     else the top ``k`` by total; filters never apply (T10)."""
-    rows = outcome.breakdown_all(df, by, spec)
+    rows = outcome.breakdown(df, by, spec, limit=outcome.MAX_LIMIT)
     if preferred:
         kept = rows.filter(F.col("key").isin([str(v) for v in preferred]))
         return ordering.ranked(kept, ordering.listed([str(v) for v in preferred]))

@@ -14,6 +14,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def count_when(cond: Column) -> Column:
+    """Rows where ``cond`` is true, as ``count(CASE WHEN cond THEN 1 END)``.
+
+    Written without ``count_if`` so identical aggregates in two branches of a
+    plan canonicalise the same and their shuffle is reused.
+    """
+    return F.count(F.when(cond, F.lit(1)))
+
+
 @dataclass(frozen=True)
 class OutcomeSpec:
     column: str
@@ -45,7 +54,7 @@ class OutcomeSpec:
 
     def level_counts(self) -> list[Column]:
         """``count_if(outcome = level_i)`` for every level, aliased by name."""
-        return [F.count_if(self.is_level(i)).alias(n) for i, n in enumerate(self.names)]
+        return [count_when(self.is_level(i)).alias(n) for i, n in enumerate(self.names)]
 
     def is_severe(self) -> Column:
         """Outcome is a listed level above the base level."""
