@@ -139,29 +139,40 @@ def clean(df: DataFrame, target: str, synonyms: Mapping[str, str],
           numeric: Sequence[str] = (), drop_duplicates: bool = True):
     """The whole cleaning pass; returns ``(clean_df, report_df)``.
 
-    The report (A21) is one row of scalar subqueries over the stages: rows
-    in, duplicates removed, categorical cells imputed, unmappable target
-    rows dropped, rows out.
+    Steps: squish + missing tokens (P14, P15) → exact de-duplication (A20) →
+    median fill of ``numeric`` (P16, P17) → fill categorical NULLs (P18) →
+    canonical target, unmappable rows dropped (P19).
+
+    The report (A21: rows in, duplicates removed, categorical cells imputed,
+    unmappable target rows dropped, rows out) is one aggregate over the
+    de-duplicated rows, each carrying its duplicate count: one scan and one
+    shuffle, since the later steps change values, not the row count, until
+    the target filter.
     """
-    cats = string_columns(df)
+    cats = [c for c in string_columns(df) if c not in numeric]
     stage1 = clean_text(trim_names(df))
     stage2 = dedupe(stage1) if drop_duplicates else stage1
     stage3 = stage2
     for c in numeric:
         if c in stage3.columns:
             stage3 = median_fill(stage3, c)
-    cats3 = [c for c in cats if c in stage3.columns and c not in numeric]
-    imputed = stage3.select(null_cells(stage3, cats3)).scalar()
-    stage4 = fill_unknown(stage3, cats3)
-    out = canonical_target(stage4, target, synonyms)
-    spark = df.sparkSession
-    n_in = df.select(F.count(F.lit(1))).scalar()
-    n_1 = stage1.select(F.count(F.lit(1))).scalar()
-    n_2 = stage2.select(F.count(F.lit(1))).scalar()
-    n_4 = stage4.select(F.count(F.lit(1))).scalar()
-    n_out = out.select(F.count(F.lit(1))).scalar()
-    report = spark.range(1).select(
-        n_in.alias("rows_in"), (n_1 - n_2).alias("duplicates_removed"),
-        imputed.alias("categorical_cells_imputed"), (n_4 - n_out).alias("unmappable_target_rows_dropped"),
-        n_out.alias("rows_out"))
+    cats3 = [c for c in cats if c in stage3.columns]
+    out = canonical_target(fill_unknown(stage3, cats3), target, synonyms)
+
+    cols = stage1.columns
+    grouped = stage1.groupBy(*cols).agg(F.count(F.lit(1)).alias("_dups"))
+    if not drop_duplicates:
+        grouped = stage1.withColumn("_dups", F.lit(1).cast("long"))
+    mapped = canonical(F.coalesce(F.col(target), F.lit("Unknown")) if target in cats3 else F.col(target),
+                       synonyms).isNotNull()
+    rows_out = F.sum(F.when(mapped, F.lit(1) if drop_duplicates else F.col("_dups")).otherwise(0))
+    kept = F.count(F.lit(1)) if drop_duplicates else F.sum("_dups")
+    report = grouped.agg(
+        F.coalesce(F.sum("_dups"), F.lit(0)).cast("long").alias("rows_in"),
+        (F.coalesce(F.sum("_dups"), F.lit(0)) - kept).cast("long").alias("duplicates_removed"),
+        (null_cells(grouped, cats3) if drop_duplicates else
+         F.coalesce(F.sum(sum((F.when(F.col(c).isNull(), 1).otherwise(0) for c in cats3), F.lit(0))), F.lit(0))
+         ).cast("long").alias("categorical_cells_imputed"),
+        (kept - F.coalesce(rows_out, F.lit(0))).cast("long").alias("unmappable_target_rows_dropped"),
+        F.coalesce(rows_out, F.lit(0)).cast("long").alias("rows_out"))
     return out, report

@@ -214,3 +214,14 @@ def test_scoring_defaults_and_unseen_levels(spark):
         assert len(r["contributions"]) <= 6
     imp = model.importance(m, spark=spark).collect()
     assert sum(r["importance"] for r in imp) == pytest.approx(1.0)
+
+
+def test_cleaning_report_counts(spark):
+    rows = [("Slight", "a"), ("Slight", "a"), (" fatal ", None), ("xx", "b"), ("na", "c")]
+    df = spark.createDataFrame(rows, "sev string, other string")
+    from gradelens.functions.labels import SEVERITY_SYNONYMS
+    out, report = clean.clean(df, "sev", SEVERITY_SYNONYMS)
+    r = report.first().asDict()
+    assert r == {"rows_in": 5, "duplicates_removed": 1, "categorical_cells_imputed": 2,
+                 "unmappable_target_rows_dropped": 2, "rows_out": 2}
+    assert sorted(tuple(x) for x in out.collect()) == [("Fatal injury", "Unknown"), ("Slight Injury", "a")]
