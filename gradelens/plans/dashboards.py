@@ -375,3 +375,33 @@ def distinct_sorted(spark, sf):
     """Distinct brands in ascending order."""
     pt = table(spark, sf, "part").filter(F.col("p_size") >= 10)
     return selection_ops.distinct_sorted(pt, "p_brand")
+
+
+# -- named reports with the fixed folds -------------------------------------------------
+_BOTH_FOLDS_SQL = (
+    "CASE WHEN regexp_matches(k1, '(?i)^changing lane to the (left|right)$') THEN 'Lane change' ELSE k1 END")
+_OTHER_UNKNOWN_SQL = (
+    "CASE WHEN regexp_matches(key, '(?i)^(other|others|unknown|not known|unknown \\(self reported\\)"
+    "|unknown vehicle type \\(self rep only\\)|rural village areasoffice areas)$') THEN 'Other' ELSE key END")
+
+
+def _both_folds_sql():
+    return _BOTH_FOLDS_SQL.replace("k1", f"({_OTHER_UNKNOWN_SQL})")
+
+
+@register("leading_causes", f"""
+SELECT * FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY {OTHER_LAST_SQL}) AS pos
+               FROM ({_folded_types_sql(5, _LP_FT, 'p_brand', _both_folds_sql())})) WHERE pos <= 10
+""")
+def leading_causes(spark, sf):
+    """A1 (min 5) P26 (both fixed folds) A7 T3: top 10 by total, Other last."""
+    return reports.top_by(line_parts(spark, sf), "p_brand", LO, LINE_F, 10, 5, mapper=reports.both_folds)
+
+
+@register("area_risk", f"""
+SELECT *, ROW_NUMBER() OVER (ORDER BY CASE WHEN key = 'Other' THEN 1 ELSE 0 END, risk DESC, key ASC NULLS LAST) AS pos
+FROM ({_folded_types_sql(1, _LP_F, 'p_type', TYPE_FOLD_SQL)})
+""")
+def area_risk(spark, sf):
+    """A1 (min 1) A7 T3: every folded group ranked by risk, Other last."""
+    return reports.top_by(line_parts(spark, sf), "p_type", LO, LINE_F, 2000, 1, order="risk", mapper=type_fold)
