@@ -50,7 +50,7 @@ def numeric_key(key: str = "key") -> list[Column]:
 
 def ranked(df: DataFrame, order: Sequence[Column], name: str = "pos") -> DataFrame:
     """Number rows 1.. by ``order`` (bounded report rows only, see module doc)."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def top(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:

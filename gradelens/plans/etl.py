@@ -153,7 +153,7 @@ FROM documents
 def clean_text(spark, sf):
     """Whitespace collapse, trim and missing tokens over whole document texts."""
     docs = clean.clean_text(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
-    return docs.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").alias("text_len"),
+    return docs.select("doc_id", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("text_len"),
                        "lang", "source")
 
 

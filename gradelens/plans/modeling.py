@@ -30,7 +30,7 @@ _DOMINANT_SQL = f"""
 SELECT l_linestatus, l_linenumber, l_tax, l_quantity, label AS dominant, combo_weight FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY l_linestatus, l_linenumber, l_tax, l_quantity
                                ORDER BY weight DESC, label DESC) AS rn,
-         sum(weight) OVER (PARTITION BY l_linestatus, l_linenumber, l_tax, l_quantity) AS combo_weight
+         CAST(sum(weight) OVER (PARTITION BY l_linestatus, l_linenumber, l_tax, l_quantity) AS BIGINT) AS combo_weight
   FROM ({_COMBOS_SQL})
 ) WHERE rn = 1
 """
