@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradelens.operators.stats import exact_median
 from gradelens.spec import count_when
 
 from gradelens.functions.labels import NULL_TOKENS, canonical
@@ -72,7 +73,7 @@ def median_fill(df: DataFrame, col: str, fallback: float = 1.0, lower: float = 1
     """P16 + P17: text → double (bad → NULL), NULL → median (or ``fallback``),
     clip at ``lower``, round half-even, integer."""
     num = F.col(col).cast("string").try_cast("double")
-    med = df.select(F.median(num)).scalar()
+    med = exact_median(df, num)
     filled = F.coalesce(num, F.coalesce(med, F.lit(fallback)))
     return df.withColumn(col, F.bround(F.greatest(filled, F.lit(lower)), 0).cast("long"))
 
@@ -104,7 +105,7 @@ def derive_hour(df: DataFrame, time_col: str, out: str = "Hour", default: int =
     all_failed = df.select(F.coalesce(F.bool_and(parsed.isNull()), F.lit(True))).scalar()
     hour = F.when(all_failed, fallback).otherwise(parsed)
     staged = df.withColumn("_h", hour.cast("double"))
-    med = staged.select(F.median("_h")).scalar()
+    med = exact_median(staged, F.col("_h"))
     fill = F.coalesce(F.round(med, 0), F.lit(float(default)))
     h = F.least(F.greatest(F.bround(F.coalesce(F.col("_h"), fill), 0), F.lit(0.0)), F.lit(23.0))
     return staged.withColumn(out, h.cast("short")).drop("_h")

@@ -225,3 +225,13 @@ def test_cleaning_report_counts(spark):
     assert r == {"rows_in": 5, "duplicates_removed": 1, "categorical_cells_imputed": 2,
                  "unmappable_target_rows_dropped": 2, "rows_out": 2}
     assert sorted(tuple(x) for x in out.collect()) == [("Fatal injury", "Unknown"), ("Slight Injury", "a")]
+
+
+def test_exact_median_matches_percentile(spark):
+    from gradelens.operators.stats import exact_median
+    df = spark.range(0, 1001).select(((F.col("id") * 7919) % 503).cast("double").alias("x"))
+    df = df.union(spark.createDataFrame([(None,)], "x double"))
+    for frame_ in (df, df.filter("x < 250"), df.limit(0)):
+        got = frame_.sparkSession.range(1).select(exact_median(frame_, F.col("x"))).first()[0]
+        want = frame_.select(F.median("x")).first()[0]
+        assert got == want
