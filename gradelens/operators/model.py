@@ -126,6 +126,7 @@ class SeverityModel:
     slots: list[str]           # original field of every encoded slot
     slot_names: list[str]      # field=level / field of every encoded slot
     means: list[float]         # weighted mean of every encoded slot (training rows)
+    variances: list[float] = field(default_factory=list)  # weighted variance of every slot
     coef: np.ndarray | None = None         # (classes x slots) in encoded space, LR only
     importances_raw: np.ndarray | None = None
     extra: dict = field(default_factory=dict)
@@ -191,8 +192,10 @@ def fit(train: DataFrame, cat: Sequence[str], num: Sequence[str], levels: Sequen
         raise ValueError("learner must be 'logistic' or 'forest'")
     clf_model = clf.fit(encoded)
     pipeline = PipelineModel(stages=[*enc.stages, *extra_stages, clf_model])
-    summary = encoded.select(Summarizer.metrics("mean").summary(F.col("encoded"), F.col("weight")).alias("s"))
-    means = list(summary.first()["s"]["mean"].toArray())
+    summary = encoded.select(Summarizer.metrics("mean", "variance")
+                             .summary(F.col("encoded"), F.col("weight")).alias("s")).first()["s"]
+    means = list(summary["mean"].toArray())
+    variances = list(summary["variance"].toArray())
     coef = imp = None
     if learner == "logistic":
         coef = clf_model.coefficientMatrix.toArray()          # K x (dim or k)
@@ -205,7 +208,7 @@ def fit(train: DataFrame, cat: Sequence[str], num: Sequence[str], levels: Sequen
             share = a / np.where(a.sum(axis=0, keepdims=True) == 0, 1, a.sum(axis=0, keepdims=True))
             imp = share @ imp
     return SeverityModel(pipeline, present, list(cat), list(num), slots, slot_names, means,
-                         coef, imp)
+                         variances, coef, imp)
 
 
 # -- scoring -----------------------------------------------------------------------------
@@ -267,13 +270,12 @@ def score(model: SeverityModel, scenarios: DataFrame, levels: Sequence[str], top
 def importance(model: SeverityModel, top: int = 15, spark=None) -> DataFrame:
     """M7: importance per original field, normalised to sum 1, largest ``top``.
 
-    Logistic: ``sum_c |coef[c, j]| * sd_j`` over the encoded slots; forest:
+    Logistic: ``sum_c |coef[c, j]| * sd_j`` over the encoded slots (``sd_j``
+    the weighted standard deviation of slot j on the training rows); forest:
     the learner's gain importances (spread back through PCA loadings).
     """
     if model.coef is not None:
-        m = np.asarray(model.means)
-        is_num = np.array([s in model.num for s in model.slots])
-        sd = np.where(is_num, 1.0, np.sqrt(np.clip(m * (1 - m), 0, None)))
+        sd = np.sqrt(np.clip(np.asarray(model.variances), 0, None))
         raw = np.abs(model.coef).sum(axis=0) * sd
     else:
         raw = np.asarray(model.importances_raw)

@@ -37,10 +37,19 @@ def profile(df: DataFrame, fields: Sequence[str], spec: OutcomeSpec) -> DataFram
     return head.unionByName(vals)
 
 
-def levels(df: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Sorted distinct non-NULL values per field, ``(field, levels array)``."""
-    return (value_counts(df, fields).filter(F.col("value").isNotNull())
-            .groupBy("field").agg(F.array_sort(F.collect_list("value")).alias("levels")))
+def levels(df: DataFrame, fields: Sequence[str], max_levels: int = 100_000) -> DataFrame:
+    """Sorted distinct non-NULL values per field, ``(field, levels array)``.
+
+    The list form puts a field's values in one row, so the number of distinct
+    values per field is checked against ``max_levels`` first (a count over
+    the already-aggregated value counts); beyond it use ``value_counts``,
+    which keeps one row per value.
+    """
+    vc = value_counts(df, fields).filter(F.col("value").isNotNull())
+    widest = vc.groupBy("field").count().agg(F.max("count")).first()[0] or 0
+    if widest > max_levels:
+        raise ValueError(f"a field has {widest} distinct values (> {max_levels}); use value_counts")
+    return vc.groupBy("field").agg(F.array_sort(F.collect_list("value")).alias("levels"))
 
 
 def group_counts(df: DataFrame, key: str) -> DataFrame:
