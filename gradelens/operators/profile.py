@@ -25,16 +25,31 @@ def value_counts(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 def profile(df: DataFrame, fields: Sequence[str], spec: OutcomeSpec) -> DataFrame:
     """Row count, count per outcome level (0 when absent) and the values of
-    each field with their counts, as rows ``(section, field, value, n)``."""
-    vals = value_counts(df, fields).select(F.lit("distinct").alias("section"), "field", "value", "n")
-    one = df.agg(F.count(F.lit(1)).alias("total"), *spec.level_counts())
-    head = one.select(F.inline(F.array(
-        F.struct(F.lit("rows").alias("section"), F.lit(None).cast("string").alias("field"),
-                 F.lit(None).cast("string").alias("value"), F.col("total").alias("n")),
-        *[F.struct(F.lit("outcome").alias("section"), F.lit(spec.column).alias("field"),
-                   F.lit(lv).alias("value"), F.col(name).alias("n"))
-          for lv, name in zip(spec.levels, spec.names)])))
-    return head.unionByName(vals)
+    each field with their counts, as rows ``(section, field, value, n)``.
+
+    One scan and one aggregate: the outcome column is unpivoted with the
+    fields, a zero-weight row per listed level is added so absent levels
+    still appear, and ``GROUPING SETS ((field, value), (field))`` yields the
+    value counts and, for the outcome column, the row count.
+    """
+    tag = "\u0000outcome"
+    src = df.select(*[F.col(f).cast("string").alias(f) for f in fields],
+                    F.col(spec.column).cast("string").alias(tag))
+    long = src.unpivot([], [*fields, tag], "field", "value").withColumn("w", F.lit(1).cast("long"))
+    zeros = df.sparkSession.createDataFrame([(tag, lv, 0) for lv in spec.levels],
+                                            "field string, value string, w long")
+    agg = (long.unionByName(zeros)
+               .groupingSets([["field", "value"], ["field"]], "field", "value")
+               .agg(F.sum("w").alias("n"), F.grouping_id().alias("g")))
+    is_tag = F.col("field") == F.lit(tag)
+    section = (F.when((F.col("g") == 1) & is_tag, F.lit("rows"))
+                .when((F.col("g") == 0) & is_tag & F.col("value").isin(list(spec.levels)), F.lit("outcome"))
+                .when((F.col("g") == 0) & ~is_tag, F.lit("distinct")))
+    out = agg.select(section.alias("section"),
+                     F.when(is_tag & (F.col("g") == 1), F.lit(None).cast("string"))
+                      .when(is_tag, F.lit(spec.column)).otherwise(F.col("field")).alias("field"),
+                     F.col("value"), F.col("n"))
+    return out.filter(F.col("section").isNotNull())
 
 
 def levels(df: DataFrame, fields: Sequence[str], max_levels: int = 100_000) -> DataFrame:
