@@ -305,29 +305,47 @@ def confusion(scored: DataFrame, label: str = "label", pred: str = "predicted",
                  .agg(F.sum(F.col(weight).cast("double")).alias("w"))
 
 
-def class_metrics(conf: DataFrame, classes: Sequence[str]) -> DataFrame:
-    """M5: per class precision, recall, F1 and support (zero division → 0)."""
-    cls = conf.sparkSession.createDataFrame([(c,) for c in classes], "label string")
-    tp = conf.filter(F.col("label") == F.col("predicted")).groupBy("label").agg(F.sum("w").alias("tp"))
-    sup = conf.groupBy("label").agg(F.sum("w").alias("support"))
-    prd = conf.groupBy(F.col("predicted").alias("label")).agg(F.sum("w").alias("pred"))
-    j = cls.join(tp, "label", "left").join(sup, "label", "left").join(prd, "label", "left") \
-           .fillna(0.0, ["tp", "support", "pred"])
+def _per_class(conf: DataFrame, classes: Sequence[str]) -> DataFrame:
+    """``(label, tp, support, pred)`` from one pass over the confusion cells.
+
+    Every cell contributes to its true class (support, tp) and to its
+    predicted class (pred); listed classes without cells get zeros.
+    """
+    w = F.col("w").cast("double")
+    parts = F.array(
+        F.struct(F.col("label").alias("cls"), w.alias("support"),
+                 F.when(F.col("label") == F.col("predicted"), w).otherwise(0.0).alias("tp"),
+                 F.lit(0.0).alias("pred")),
+        F.struct(F.col("predicted").alias("cls"), F.lit(0.0).alias("support"), F.lit(0.0).alias("tp"),
+                 w.alias("pred")))
+    zeros = conf.sparkSession.createDataFrame([(c, 0.0, 0.0, 0.0) for c in classes],
+                                              "cls string, support double, tp double, pred double")
+    cells = conf.select(F.inline(parts)).unionByName(zeros)
+    return (cells.filter(F.col("cls").isin(list(classes)))
+                 .groupBy(F.col("cls").alias("label"))
+                 .agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"), F.sum("pred").alias("pred")))
+
+
+def _scores(per: DataFrame) -> DataFrame:
     p = F.coalesce(F.try_divide("tp", "pred"), F.lit(0.0))
     r = F.coalesce(F.try_divide("tp", "support"), F.lit(0.0))
-    staged = j.select("label", p.alias("precision"), r.alias("recall"), "support")
+    staged = per.select("label", "tp", p.alias("precision"), r.alias("recall"), "support")
     f1 = F.coalesce(F.try_divide(F.lit(2.0) * F.col("precision") * F.col("recall"),
                                  F.col("precision") + F.col("recall")), F.lit(0.0))
-    return staged.select("label", "precision", "recall", f1.alias("f1"), "support")
+    return staged.select("label", "tp", "precision", "recall", f1.alias("f1"), "support")
+
+
+def class_metrics(conf: DataFrame, classes: Sequence[str]) -> DataFrame:
+    """M5: per class precision, recall, F1 and support (zero division → 0)."""
+    return _scores(_per_class(conf, classes)).drop("tp")
 
 
 def overall_metrics(conf: DataFrame, classes: Sequence[str]) -> DataFrame:
-    """M5: weighted accuracy, macro F1 and support-weighted F1."""
-    per = class_metrics(conf, classes)
-    acc = conf.select(F.try_divide(F.sum(F.when(F.col("label") == F.col("predicted"), F.col("w"))
-                                         .otherwise(0.0)), F.sum("w"))).scalar()
+    """M5: weighted accuracy, macro F1 and support-weighted F1 over the listed
+    classes, from the same single pass over the confusion cells."""
+    per = _scores(_per_class(conf, classes))
     return per.agg(
-        F.coalesce(acc, F.lit(0.0)).alias("accuracy"),
+        F.coalesce(F.try_divide(F.sum("tp"), F.sum("support")), F.lit(0.0)).alias("accuracy"),
         F.avg("f1").alias("macro_f1"),
         F.coalesce(F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")),
                    F.lit(0.0)).alias("weighted_f1"),
