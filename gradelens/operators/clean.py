@@ -136,44 +136,54 @@ def require(df: DataFrame, columns: Sequence[str], forbidden: Sequence[str] = ()
         raise ValueError(f"refusing target-derived columns as features: {leaks}")
 
 
-def clean(df: DataFrame, target: str, synonyms: Mapping[str, str],
-          numeric: Sequence[str] = (), drop_duplicates: bool = True):
-    """The whole cleaning pass; returns ``(clean_df, report_df)``.
-
-    Steps: squish + missing tokens (P14, P15) → exact de-duplication (A20) →
-    median fill of ``numeric`` (P16, P17) → fill categorical NULLs (P18) →
-    canonical target, unmappable rows dropped (P19).
-
-    The report (A21: rows in, duplicates removed, categorical cells imputed,
-    unmappable target rows dropped, rows out) is one aggregate over the
-    de-duplicated rows, each carrying its duplicate count: one scan and one
-    shuffle, since the later steps change values, not the row count, until
-    the target filter.
-    """
+def clean_rows(df: DataFrame, target: str, synonyms: Mapping[str, str],
+               numeric: Sequence[str] = (), drop_duplicates: bool = True) -> DataFrame:
+    """The cleaning pass: squish + missing tokens (P14, P15) → exact
+    de-duplication (A20) → median fill of ``numeric`` (P16, P17) → fill
+    categorical NULLs (P18) → canonical target, unmappable rows dropped (P19)."""
     cats = [c for c in string_columns(df) if c not in numeric]
-    stage1 = clean_text(trim_names(df))
-    stage2 = dedupe(stage1) if drop_duplicates else stage1
-    stage3 = stage2
+    stage = clean_text(trim_names(df))
+    stage = dedupe(stage) if drop_duplicates else stage
     for c in numeric:
-        if c in stage3.columns:
-            stage3 = median_fill(stage3, c)
-    cats3 = [c for c in cats if c in stage3.columns]
-    out = canonical_target(fill_unknown(stage3, cats3), target, synonyms)
-
-    cols = stage1.columns
-    grouped = stage1.groupBy(*cols).agg(F.count(F.lit(1)).alias("_dups"))
-    if not drop_duplicates:
+        if c in stage.columns:
+            stage = median_fill(stage, c)
+    cats = [c for c in cats if c in stage.columns]
+    return canonical_target(fill_unknown(stage, cats), target, synonyms)
+
+
+def clean_report(df: DataFrame, target: str, synonyms: Mapping[str, str],
+                 numeric: Sequence[str] = (), drop_duplicates: bool = True) -> DataFrame:
+    """Rows in, duplicates removed, categorical cells imputed, unmappable
+    target rows dropped, rows out — one aggregate over the de-duplicated rows,
+    each carrying its duplicate count (one scan, one shuffle): the steps after
+    de-duplication change values, not the row count, until the target filter."""
+    cats = [c for c in string_columns(df) if c not in numeric]
+    stage1 = clean_text(trim_names(df))
+    cats = [c for c in cats if c in stage1.columns]
+    if drop_duplicates:
+        grouped = stage1.groupBy(*stage1.columns).agg(F.count(F.lit(1)).alias("_dups"))
+        kept = F.count(F.lit(1))
+        per_row = F.lit(1)
+        nulls = null_cells(grouped, cats)
+    else:
         grouped = stage1.withColumn("_dups", F.lit(1).cast("long"))
-    mapped = canonical(F.coalesce(F.col(target), F.lit("Unknown")) if target in cats3 else F.col(target),
-                       synonyms).isNotNull()
-    rows_out = F.sum(F.when(mapped, F.lit(1) if drop_duplicates else F.col("_dups")).otherwise(0))
-    kept = F.count(F.lit(1)) if drop_duplicates else F.sum("_dups")
-    report = grouped.agg(
-        F.coalesce(F.sum("_dups"), F.lit(0)).cast("long").alias("rows_in"),
-        (F.coalesce(F.sum("_dups"), F.lit(0)) - kept).cast("long").alias("duplicates_removed"),
-        (null_cells(grouped, cats3) if drop_duplicates else
-         F.coalesce(F.sum(sum((F.when(F.col(c).isNull(), 1).otherwise(0) for c in cats3), F.lit(0))), F.lit(0))
-         ).cast("long").alias("categorical_cells_imputed"),
-        (kept - F.coalesce(rows_out, F.lit(0))).cast("long").alias("unmappable_target_rows_dropped"),
-        F.coalesce(rows_out, F.lit(0)).cast("long").alias("rows_out"))
-    return out, report
+        kept = F.sum("_dups")
+        per_row = F.col("_dups")
+        nulls = null_cells(grouped, cats)
+    target_col = F.coalesce(F.col(target), F.lit("Unknown")) if target in cats else F.col(target)
+    rows_out = F.coalesce(F.sum(F.when(canonical(target_col, synonyms).isNotNull(), per_row).otherwise(0)),
+                          F.lit(0))
+    rows_in = F.coalesce(F.sum("_dups"), F.lit(0))
+    return grouped.agg(
+        rows_in.cast("long").alias("rows_in"),
+        (rows_in - kept).cast("long").alias("duplicates_removed"),
+        nulls.cast("long").alias("categorical_cells_imputed"),
+        (kept - rows_out).cast("long").alias("unmappable_target_rows_dropped"),
+        rows_out.cast("long").alias("rows_out"))
+
+
+def clean(df: DataFrame, target: str, synonyms: Mapping[str, str],
+          numeric: Sequence[str] = (), drop_duplicates: bool = True):
+    """``(clean_rows, clean_report)`` of the same input."""
+    return (clean_rows(df, target, synonyms, numeric, drop_duplicates),
+            clean_report(df, target, synonyms, numeric, drop_duplicates))

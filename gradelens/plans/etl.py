@@ -226,8 +226,7 @@ SELECT (SELECT count(*) FROM src) AS rows_in,
 """)
 def cleaning_report(spark, sf):
     """The cleaning pass and its one-row report."""
-    _, report = clean.clean(_report_input(spark, sf), "event_type", EVENT_SYNONYMS, numeric=["k"])
-    return report
+    return clean.clean_report(_report_input(spark, sf), "event_type", EVENT_SYNONYMS, numeric=["k"])
 
 
 @register("cleaned_rows", """
@@ -241,8 +240,7 @@ FROM src WHERE lower(trim(event_type)) IN ('view', 'click', 'purchase', 'error')
 """)
 def cleaned_rows(spark, sf):
     """The cleaned, de-duplicated rows."""
-    out, _ = clean.clean(_report_input(spark, sf), "event_type", EVENT_SYNONYMS, numeric=["k"])
-    return out
+    return clean.clean_rows(_report_input(spark, sf), "event_type", EVENT_SYNONYMS, numeric=["k"])
 
 
 @register("dedupe_count", """
