@@ -112,9 +112,9 @@ def derive_hour(df: DataFrame, time_col: str, out: str = "Hour", default: int =
 
 
 def parse_bool(col, true_tokens: Sequence[str] = TRUE_TOKENS) -> Column:
-    """Text → boolean (listed tokens are true)."""
+    """Text → boolean (listed tokens are true; anything else, NULL too, is false)."""
     c = F.col(col) if isinstance(col, str) else col
-    return c.cast("string").isin(list(true_tokens))
+    return F.coalesce(c.cast("string").isin(list(true_tokens)), F.lit(False))
 
 
 def compact(df: DataFrame, shorts: Sequence[str] = (), bools: Sequence[str] = ()) -> DataFrame:

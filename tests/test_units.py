@@ -235,3 +235,18 @@ def test_exact_median_matches_percentile(spark):
         got = frame_.sparkSession.range(1).select(exact_median(frame_, F.col("x"))).first()[0]
         want = frame_.select(F.median("x")).first()[0]
         assert got == want
+
+
+def test_type_compaction(spark):
+    df = spark.createDataFrame([("3", "True"), ("x", "false"), ("2.0", "1"), (None, None)], "n string, b string")
+    got = [tuple(r) for r in clean.compact(df, shorts=["n"], bools=["b"]).collect()]
+    assert got == [(3, True), (0, False), (2, True), (0, False)]
+    assert dict(clean.compact(df, shorts=["n"], bools=["b"]).dtypes) == {"n": "smallint", "b": "boolean"}
+
+
+def test_model_fallback():
+    a, b = object(), object()
+    assert model.resolve({"x": a, "y": b}, "x", "y") is a
+    assert model.resolve({"y": b}, "x", "y") is b
+    with pytest.raises(LookupError):
+        model.resolve({}, "x", "y")
