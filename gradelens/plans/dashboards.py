@@ -405,3 +405,25 @@ FROM ({_folded_types_sql(1, _LP_F, 'p_type', TYPE_FOLD_SQL)})
 def area_risk(spark, sf):
     """A1 (min 1) A7 T3: every folded group ranked by risk, Other last."""
     return reports.top_by(line_parts(spark, sf), "p_type", LO, LINE_F, 2000, 1, order="risk", mapper=type_fold)
+
+
+@register("share_ranking", f"""
+WITH r AS (SELECT *, {S.rates(OO)} FROM ({_rows_sql('SELECT * FROM orders', 'o_orderpriority', OO,
+                                                   "WHERE o_orderstatus IN ('F', 'O')", 1)}))
+SELECT *, {S.ratio('total', '(SELECT sum(total) FROM r)')} AS share,
+       ROW_NUMBER() OVER (ORDER BY total DESC, key ASC NULLS LAST) AS pos FROM r
+""")
+def share_ranking(spark, sf):
+    """A1 (min 1) A16: groups ranked by their share of the selection."""
+    sel = Selection({"o_orderpriority": ["1-URGENT"], "o_orderstatus": ["F", "O"]})
+    return reports.ordered_shares(table(spark, sf, "orders"), "o_orderpriority", OO, sel,
+                                  [F.desc("share"), F.asc_nulls_last("key")], min_count=1)
+
+
+@register("lane_types", f"""
+SELECT * FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY {OTHER_LAST_SQL}) AS pos
+               FROM ({_folded_types_sql(5, _LP_F, 'p_type', TYPE_FOLD_SQL)})) WHERE pos <= 6
+""")
+def lane_types(spark, sf):
+    """A1 (min 5) A7 T3: top 6 folded groups by total, Other sorted last before the cut."""
+    return reports.top_by(line_parts(spark, sf), "p_type", LO, LINE_F, 6, 5, mapper=type_fold)
