@@ -250,3 +250,20 @@ def test_model_fallback():
     assert model.resolve({"y": b}, "x", "y") is b
     with pytest.raises(LookupError):
         model.resolve({}, "x", "y")
+
+
+def test_presets_on_a_record_frame(spark):
+    from gradelens.plans import presets
+    schema = ("Light_conditions string, Time_of_day string, Is_weekend boolean, Number_of_vehicles_involved short, "
+              "Weather_conditions string, Cause_of_accident string, Area_accident_occured string, "
+              "Accident_severity string")
+    rows = [("Darkness - lights lit", "Night (0-5)", True, 3, "Raining", "Driving at high speed", "Rural",
+             "Fatal injury"),
+            ("Daylight", "Morning (6-11)", False, 1, "Fine", "Other", "Urban", "Slight Injury")]
+    df = spark.createDataFrame(rows, schema)
+    for ds in ("india", "uk"):
+        out = {r["axis"]: r for r in outcome.condition_lift(df, presets.SEVERITY, presets.conditions(ds)).collect()}
+        assert list(out) == list(presets.CONDITION_NAMES[ds])
+        assert all(r["n"] == 1 and r["value"] == 100.0 and r["baseline"] == 50.0 for r in out.values())
+    with pytest.raises(ValueError):
+        presets.conditions("elsewhere")
