@@ -28,7 +28,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelens.operators.quota import global_index
+from gradelens.operators.quota import positions
 
 CLASS_WEIGHT_TEMPER = 0.5
 
@@ -70,19 +70,18 @@ def split(combos: DataFrame, features: Sequence[str], test_fraction: float = 0.2
     Tuples are stratified by their dominant label; in each stratum the first
     ``ceil(test_fraction * n)`` tuples in seeded hash order are test.  When a
     stratum has fewer than two tuples the split is not stratified.  Positions
-    come from a distributed sort (no per-stratum single task).
+    within each stratum come from ``quota.positions`` (no per-stratum task).
     """
     dom = dominant(combos, features)
     sizes = dom.groupBy("dominant").agg(F.count(F.lit(1)).alias("n"))
     stratified = sizes.select(F.min("n") >= 2).scalar()
     dom = dom.withColumn("stratum", F.when(stratified, F.col("dominant")).otherwise(F.lit("")))
-    dom = dom.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(c) for c in features]))
-    indexed = global_index(dom, ["stratum", "_h", *features], seed, order=["stratum", "_h", *features])
-    starts = indexed.groupBy("stratum").agg(F.min("_pos").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    indexed = positions(dom, list(features), seed, group="stratum")
+    sizes = indexed.groupBy("stratum").agg(F.count(F.lit(1)).alias("_n"))
     # one row per stratum (number of labels): bounded
-    j = indexed.join(F.broadcast(starts), "stratum")
+    j = indexed.join(F.broadcast(sizes), "stratum")
     test_n = F.ceil(F.col("_n") * F.lit(test_fraction))
-    flags = j.select(*features, ((F.col("_pos") - F.col("_start")) < test_n).alias("is_test"))
+    flags = j.select(*features, (F.col("_pos") < test_n).alias("is_test"))
     return combos.join(flags, list(features), "inner")
 
 

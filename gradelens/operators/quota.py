@@ -5,12 +5,11 @@ rows, label ``i`` gets ``floor(w_i n / W)`` rows plus one more for the
 ``n - sum(floor)`` labels with the largest remainders ``w_i n mod W``
 (ties: label ascending).  The arithmetic is exact in DECIMAL(38, 0).
 
-Rows get labels by position in a seeded pseudo-random order: rows are
-sorted by ``xxhash64(seed, keys)`` (a range-partitioned distributed sort,
-uniform because the hash is), the sorted frame is checkpointed to the shared
-checkpoint folder so positions survive executor loss, and each row's global
-position is its partition's offset (from per-partition counts, one row per
-partition) plus its position inside the partition.  The position finds its
+Rows get labels by position in a seeded pseudo-random order (``positions``):
+hash-partitioned on ``xxhash64(seed, keys)`` and sorted inside partitions,
+checkpointed to the shared checkpoint folder so positions survive executor
+loss; a row's position is its partition's offset (from per-partition counts)
+plus its place inside the partition.  The position finds its
 label's ``[lo, hi)`` range through a binned equi-join against the quota
 table, whose size is bounded by ``#labels + bins``.
 """
@@ -55,38 +54,46 @@ def quota_ranges(sizes: DataFrame) -> DataFrame:
                         F.sum("size").over(w).alias("hi"))
 
 
-def global_index(df: DataFrame, keys: Sequence[str], seed: int, name: str = "_pos",
-                 checkpoint: bool = True, order: Sequence[str] | None = None) -> DataFrame:
-    """Rows of ``df`` numbered 0..n-1 in ``xxhash64(seed, keys)`` order (or by
-    the ``order`` columns when given).
+def positions(df: DataFrame, keys: Sequence[str], seed: int, group: str | None = None,
+              name: str = "_pos", checkpoint: bool = True) -> DataFrame:
+    """Number the rows 0..n-1 (within each ``group`` when given) in a seeded
+    pseudo-random order.
 
-    No single-partition step: the sort is range-partitioned; offsets come from
-    a per-partition count (one row per partition).
+    Rows are hash-partitioned on ``h = xxhash64(seed, keys)`` and sorted
+    inside each partition by ``(group, h, keys)``; the order is (partition,
+    h), itself seeded and uniform.  One shuffle, no sampling pass.  The
+    sorted frame is checkpointed to the shared folder so positions survive
+    executor loss.  A row's position is its group's count in earlier
+    partitions plus its offset from the group's first row in its partition,
+    read from a (partition x group) count table broadcast back — bounded by
+    shuffle partitions x groups.
     """
-    if order is None:
-        hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]))
-        ordered = hashed.orderBy("_h", *keys)
-    else:
-        ordered = df.orderBy(*order)
+    spark = df.sparkSession
+    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]))
+    lead = [group] if group else []
+    staged = hashed.repartition(nparts, "_h").sortWithinPartitions(*lead, "_h", *keys)
     if checkpoint:
-        checkpoint_dir(df.sparkSession)
-        ordered = ordered.checkpoint(eager=True)
-    with_id = ordered.withColumn("_mid", F.monotonically_increasing_id())
-    part = F.shiftright(F.col("_mid"), _POS_BITS)
-    counts = with_id.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_cnt"))
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = counts.select("_part", (F.sum("_cnt").over(w) - F.col("_cnt")).alias("_off"))
-    # one row per partition: bounded by the partition count
-    joined = with_id.join(F.broadcast(offsets), part == F.col("_part"))
-    pos = F.col("_off") + (F.col("_mid") - F.shiftleft(F.col("_part"), _POS_BITS))
-    out = joined.withColumn(name, pos).drop("_mid", "_part", "_off")
-    return out.drop("_h") if order is None else out
+        checkpoint_dir(spark)
+        staged = staged.checkpoint(eager=True)
+    mid = F.monotonically_increasing_id()
+    with_id = staged.withColumn("_mid", mid) \
+                    .withColumn("_part", F.shiftright(F.col("_mid"), _POS_BITS)) \
+                    .withColumn("_pip", F.col("_mid") - F.shiftleft(F.col("_part"), _POS_BITS)) \
+                    .withColumn("_g", F.col(group) if group else F.lit(0))
+    counts = with_id.groupBy("_part", "_g").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_pip").alias("_first"))
+    upto = (Window.partitionBy("_g").orderBy("_part")
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    offsets = counts.select("_part", "_g", "_first", (F.sum("_cnt").over(upto) - F.col("_cnt")).alias("_before"))
+    joined = with_id.join(F.broadcast(offsets), ["_part", "_g"])
+    pos = F.col("_before") + F.col("_pip") - F.col("_first")
+    return joined.withColumn(name, pos).drop("_h", "_mid", "_part", "_pip", "_g", "_first", "_before")
 
 
 def assign(df: DataFrame, keys: Sequence[str], sizes: DataFrame, seed: int = 42,
            out: str = "label", bins: int = 4096) -> DataFrame:
     """Q1 rows: every row of ``df`` gets a label; label counts equal ``sizes``."""
-    indexed = global_index(df, keys, seed)
+    indexed = positions(df, keys, seed)
     ranges = quota_ranges(sizes)
     n = ranges.select(F.max("hi")).scalar()
     width = F.greatest(F.ceil(n / F.lit(bins)), F.lit(1)).cast("long")
@@ -122,7 +129,7 @@ def expand(df: DataFrame, keys: Sequence[str], target: int | Column, seed: int =
     Each row appears ``target div n`` times, plus once more for the first
     ``target mod n`` rows in seeded hash order; ``_copy`` numbers the copies.
     """
-    indexed = global_index(df, keys, seed)
+    indexed = positions(df, keys, seed)
     n = df.select(F.count(F.lit(1))).scalar()
     t = (target if isinstance(target, Column) else F.lit(target)).cast("long")
     extra = F.pmod(t, n)

@@ -267,3 +267,16 @@ def test_presets_on_a_record_frame(spark):
         assert all(r["n"] == 1 and r["value"] == 100.0 and r["baseline"] == 50.0 for r in out.values())
     with pytest.raises(ValueError):
         presets.conditions("elsewhere")
+
+
+def test_positions_are_permutations(spark):
+    df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 3).alias("g"))
+    flat = quota.positions(df, ["k"], seed=5)
+    assert sorted(r[0] for r in flat.select("_pos").collect()) == list(range(1000))
+    grouped = quota.positions(df, ["k"], seed=5, group="g")
+    for g in range(3):
+        n = df.filter(F.col("g") == g).count()
+        got = sorted(r[0] for r in grouped.filter(F.col("g") == g).select("_pos").collect())
+        assert got == list(range(n))
+    again = quota.positions(df, ["k"], seed=5)
+    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in flat.collect()}
