@@ -103,10 +103,16 @@ def with_fit_weight(train: DataFrame, temper: float = CLASS_WEIGHT_TEMPER) -> Da
 
 
 def weighted_stats(combos: DataFrame, num: Sequence[str]) -> DataFrame:
-    """Weighted mean, min and max of every numeric feature."""
-    rows = [combos.select(F.lit(c).alias("feature"),
-                          (F.sum(F.col(c) * F.col("weight")) / F.sum("weight")).alias("mean"),
-                          F.min(c).alias("min"), F.max(c).alias("max")) for c in num]
+    """Weighted mean, min and max of every numeric feature.
+
+    ``sum(x * w)`` is summed in DECIMAL(30, 12) so it does not depend on the
+    order rows arrive in (feature values up to 1e18, 12 decimals).
+    """
+    def mean(c):
+        exact = F.sum(F.col(c).cast("decimal(30,12)") * F.col("weight"))
+        return (exact.cast("double") / F.sum("weight").cast("double")).alias("mean")
+    rows = [combos.select(F.lit(c).alias("feature"), mean(c), F.min(c).alias("min"), F.max(c).alias("max"))
+            for c in num]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
@@ -343,12 +349,17 @@ def overall_metrics(conf: DataFrame, classes: Sequence[str]) -> DataFrame:
     """M5: weighted accuracy, macro F1 and support-weighted F1 over the listed
     classes, from the same single pass over the confusion cells."""
     per = _scores(_per_class(conf, classes))
-    return per.agg(
-        F.coalesce(F.try_divide(F.sum("tp"), F.sum("support")), F.lit(0.0)).alias("accuracy"),
-        F.avg("f1").alias("macro_f1"),
-        F.coalesce(F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")),
-                   F.lit(0.0)).alias("weighted_f1"),
-        F.sum("support").alias("n_test"))
+    # one row per class: fold the F1s in label order so the float sums do not
+    # depend on the order rows arrive in
+    rows = per.agg(F.array_sort(F.collect_list(F.struct("label", "f1", "support"))).alias("a"),
+                   F.sum("tp").alias("tp"), F.sum("support").alias("support"))
+    f1_sum = F.aggregate("a", F.lit(0.0), lambda acc, x: acc + x["f1"])
+    f1_weighted = F.aggregate("a", F.lit(0.0), lambda acc, x: acc + x["f1"] * x["support"])
+    return rows.select(
+        F.coalesce(F.try_divide("tp", "support"), F.lit(0.0)).alias("accuracy"),
+        F.try_divide(f1_sum, F.size("a").cast("double")).alias("macro_f1"),
+        F.coalesce(F.try_divide(f1_weighted, F.col("support")), F.lit(0.0)).alias("weighted_f1"),
+        F.col("support").alias("n_test"))
 
 
 def first_per_label(levels_df: DataFrame, value: str, mapper) -> DataFrame:

@@ -65,9 +65,11 @@ def class_weights(spark, sf):
 
 @register("weighted_stats", f"""
 WITH c AS ({_COMBOS_SQL})
-SELECT 'l_tax' AS feature, sum(l_tax * weight) / sum(weight) AS mean, min(l_tax) AS min, max(l_tax) AS max FROM c
+SELECT 'l_tax' AS feature, CAST(sum(CAST(l_tax AS DECIMAL(30, 12)) * weight) AS DOUBLE) / CAST(sum(weight) AS DOUBLE)
+       AS mean, min(l_tax) AS min, max(l_tax) AS max FROM c
 UNION ALL
-SELECT 'l_quantity', sum(l_quantity * weight) / sum(weight), min(l_quantity), max(l_quantity) FROM c
+SELECT 'l_quantity', CAST(sum(CAST(l_quantity AS DECIMAL(30, 12)) * weight) AS DOUBLE) / CAST(sum(weight) AS DOUBLE),
+       min(l_quantity), max(l_quantity) FROM c
 """)
 def weighted_stats(spark, sf):
     """Weighted mean, min and max of the numeric features."""
@@ -153,8 +155,9 @@ def class_metrics(spark, sf):
 @register("weighted_metrics", f"""
 WITH {_CONF_SQL}
 SELECT COALESCE((SELECT sum(w) FILTER (WHERE label = predicted) / sum(w) FROM conf), 0.0) AS accuracy,
-       avg(f1) AS macro_f1,
-       CASE WHEN sum(support) > 0 THEN sum(f1 * support) / sum(support) ELSE 0.0 END AS weighted_f1,
+       list_sum(list(f1 ORDER BY label)) / count(*) AS macro_f1,
+       CASE WHEN sum(support) > 0 THEN list_sum(list(f1 * support ORDER BY label)) / sum(support) ELSE 0.0 END
+           AS weighted_f1,
        sum(support) AS n_test
 FROM m
 """)
