@@ -115,11 +115,6 @@ def canonical(col, synonyms: Mapping[str, str] = SEVERITY_SYNONYMS) -> Column:
     return F.try_element_at(m, F.lower(F.trim(_c(col).cast("string"))))
 
 
-def squish(col) -> Column:
-    """Trim and collapse whitespace runs to one space."""
-    return F.trim(F.regexp_replace(_c(col), r"\s+", " "))
-
-
 def unknown_or_other(col) -> Column:
     """T4 test: label starts with unknown / other (trimmed, any case)."""
     return F.trim(_c(col).cast("string")).rlike(UNKNOWN_OR_OTHER_PREFIX)

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from gradelens.operators.stats import exact_median
 from gradelens.spec import count_when
 
+from gradelens.functions.bands import hour_of_time_text
 from gradelens.functions.labels import NULL_TOKENS, canonical
 
 # Whitespace as Python's str.isspace() sees it (a run collapses to one space).
@@ -100,7 +101,7 @@ def canonical_target(df: DataFrame, col: str, synonyms: Mapping[str, str]) -> Da
 def derive_hour(df: DataFrame, time_col: str, out: str = "Hour", default: int = 12) -> DataFrame:
     """P20: hour from ``H:m:s`` text; only when *every* row fails, the leading
     one or two digits; NULL → rounded median (``default`` if none); clip 0-23."""
-    parsed = F.hour(F.try_to_timestamp(F.col(time_col).cast("string"), F.lit("H:mm:ss")))
+    parsed = hour_of_time_text(F.col(time_col))
     fallback = F.regexp_extract(F.col(time_col).cast("string"), r"^\s*(\d{1,2})", 1).try_cast("int")
     all_failed = df.select(F.coalesce(F.bool_and(parsed.isNull()), F.lit(True))).scalar()
     hour = F.when(all_failed, fallback).otherwise(parsed)

@@ -1,4 +1,4 @@
-"""Grids, wide form, shares and mean-relative domains.
+"""Grids, wide form, shares and mean-relative domains.
 
 Grand totals and means are window aggregates over *breakdown rows* (one row
 per group, bounded by the breakdown limit), never over the scanned data.
@@ -81,11 +81,6 @@ def ratio_to_mean(df: DataFrame, col: str) -> DataFrame:
                          ((1 + F.col("_half")) * F.col("_m")).alias("domain_hi"))
 
 
-def min_max(df: DataFrame, col: str) -> DataFrame:
-    """Smallest and largest value of ``col`` across groups."""
-    return df.select(F.min(col).alias(f"min_{col}"), F.max(col).alias(f"max_{col}"))
-
-
 def attach(dim: DataFrame, agg: DataFrame, on: str | Sequence[str]) -> DataFrame:
     """Every dimension row with its aggregate, NULL where there is none."""
     return dim.join(agg, on, "left")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gradelens.functions.predicates import any_of, starts_with
 from gradelens.spec import OutcomeSpec
 
 # Outcome column, levels (lowest first), output names and risk weights.
@@ -44,8 +45,8 @@ def conditions(dataset: str) -> dict[str, Column]:
     """P5: the dataset's named conditions as Columns, in display order."""
     c = F.col
     shared = {
-        "Darkness": c("Light_conditions").startswith("Darkness"),
-        "Night": c("Time_of_day").startswith("Night"),
+        "Darkness": starts_with("Light_conditions", "Darkness"),
+        "Night": starts_with("Time_of_day", "Night"),
         "Weekend": c("Is_weekend") == F.lit(True),
         "Multi-vehicle": c("Number_of_vehicles_involved") >= 3,
     }
@@ -57,7 +58,8 @@ def conditions(dataset: str) -> dict[str, Column]:
         }
     elif dataset == "uk":
         own = {
-            "Rain / Fog": c("Weather_conditions").startswith("Raining") | (c("Weather_conditions") == "Fog or mist"),
+            "Rain / Fog": any_of(starts_with("Weather_conditions", "Raining"),
+                                 c("Weather_conditions") == "Fog or mist"),
             "Rural road": c("Area_accident_occured") == "Rural",
         }
     else:
