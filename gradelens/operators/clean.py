@@ -107,7 +107,7 @@ def derive_hour(df: DataFrame, time_col: str, out: str = "Hour", default: int =
     hour = F.when(all_failed, fallback).otherwise(parsed)
     staged = df.withColumn("_h", hour.cast("double"))
     med = exact_median(staged, F.col("_h"))
-    fill = F.coalesce(F.round(med, 0), F.lit(float(default)))
+    fill = F.coalesce(F.bround(med, 0), F.lit(float(default)))  # half-even, like round() in Python
     h = F.least(F.greatest(F.bround(F.coalesce(F.col("_h"), fill), 0), F.lit(0.0)), F.lit(23.0))
     return staged.withColumn(out, h.cast("short")).drop("_h")
 
@@ -188,3 +188,15 @@ def clean(df: DataFrame, target: str, synonyms: Mapping[str, str],
     """``(clean_rows, clean_report)`` of the same input."""
     return (clean_rows(df, target, synonyms, numeric, drop_duplicates),
             clean_report(df, target, synonyms, numeric, drop_duplicates))
+
+
+def derive(df: DataFrame, levels: Sequence[str], time_col: str = "Time", day_col: str = "Day_of_week",
+           target: str = "Accident_severity") -> DataFrame:
+    """Derived columns of a cleaned record: ``Hour`` (P20), ``Time_of_day``
+    (P9, both night ends share one label), ``Is_weekend`` (P21) and
+    ``Severity_rank`` (P22, position of the outcome in ``levels``)."""
+    from gradelens.functions.bands import hour_band, ordinal, weekend_flag
+    out = derive_hour(df, time_col, "Hour")
+    return out.select("*", hour_band(F.col("Hour")).alias("Time_of_day"),
+                      weekend_flag(F.col(day_col)).alias("Is_weekend"),
+                      ordinal(F.col(target), levels).alias("Severity_rank"))

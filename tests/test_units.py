@@ -280,3 +280,12 @@ def test_positions_are_permutations(spark):
         assert got == list(range(n))
     again = quota.positions(df, ["k"], seed=5)
     assert {tuple(r) for r in again.collect()} == {tuple(r) for r in flat.collect()}
+
+
+def test_derive_record_columns(spark):
+    df = spark.createDataFrame([("7:05:00", "Sunday", "Fatal injury"), ("22:10:00", "Monday", "Slight Injury"),
+                                ("bad", "Saturday", "x")], "Time string, Day_of_week string, Accident_severity string")
+    levels = ["Slight Injury", "Serious Injury", "Fatal injury"]
+    got = [tuple(r) for r in clean.derive(df, levels).select("Hour", "Time_of_day", "Is_weekend",
+                                                            "Severity_rank").collect()]
+    assert got == [(7, "Morning (6-11)", True, 2), (22, "Night (0-5)", False, 0), (14, "Afternoon (12-16)", True, None)]
