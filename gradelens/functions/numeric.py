@@ -13,19 +13,21 @@ def _c(x) -> Column:
 
 
 def scaled_round(num, den, digits: int) -> Column:
-    """``round(num / den * 10^digits)`` half away from zero, as an exact long.
+    """``round(num / den * 10^digits)`` half to even, as an exact long.
 
     Rounding a double is engine dependent at decimal ties (1.005 has no exact
-    binary form); for integer counts the rounding is done in integer
-    arithmetic, so every engine returns the same value.  ``den <= 0`` → 0.
+    binary form); for integer counts the ratio is rounded exactly in integer
+    arithmetic — half to even, as Python's ``round`` does on exact ties — so
+    every engine returns the same value.  ``den <= 0`` → 0.
     """
     num, den = _c(num).cast("long"), _c(den).cast("long")
-    scale = 10 ** digits
-    # floor((2·scale·|num| + den) / (2·den)): both operands stay below 2^52 for
-    # counts under ~2e13, so the double quotient floors to the exact integer.
-    q = F.try_divide(F.abs(num) * F.lit(2 * scale) + den, den * F.lit(2))
-    whole = F.floor(q).cast("long")
-    signed = F.when(num < 0, -whole).otherwise(whole)
+    a = F.abs(num) * F.lit(10 ** digits)
+    r = F.try_mod(a, den)  # NULL for den = 0 (then the result is 0)
+    # (a - r) is a multiple of den: the quotient is exact below 2^53
+    whole = F.try_divide(a - r, den).cast("long")
+    up = (r * 2 > den) | ((r * 2 == den) & (F.pmod(whole, F.lit(2)) == 1))
+    rounded = whole + F.when(up, F.lit(1)).otherwise(F.lit(0))
+    signed = F.when(num < 0, -rounded).otherwise(rounded)
     return F.when(den > 0, signed).otherwise(F.lit(0).cast("long"))
 
 

@@ -116,9 +116,9 @@ def share_top(spark, sf):
 
 @register("frequency_vs_rate", f"""
 WITH f AS ({_folded_types_sql(10)}),
-r AS (SELECT key, total, {S.round_ratio('high * 100', 'total', 2).replace('CAST(', 'CAST(', 1)} AS high_pct,
-             CAST(floor((abs(high * 100) * 200 + total) / (total * 2)) AS BIGINT) AS scaled FROM f)
-SELECT key, total, high_pct, CAST(sum(scaled) OVER () AS DOUBLE) / (CAST(count(*) OVER () AS DOUBLE) * 100.0)
+r AS (SELECT key, total, {S.round_ratio('high * 100', 'total', 2)} AS high_pct FROM f)
+SELECT key, total, high_pct,
+       CAST(sum(CAST(round(high_pct * 100) AS BIGINT)) OVER () AS DOUBLE) / (CAST(count(*) OVER () AS DOUBLE) * 100.0)
        AS mean_high_pct FROM r
 """)
 def frequency_vs_rate(spark, sf):

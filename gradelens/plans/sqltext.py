@@ -24,10 +24,13 @@ def rates(spec: OutcomeSpec, total: str = "total") -> str:
 
 
 def round_ratio(num: str, den: str, digits: int) -> str:
-    """Exact half-away-from-zero rounding of an integer ratio (see numeric.round_ratio)."""
+    """Exact half-to-even rounding of an integer ratio (see numeric.scaled_round)."""
     scale = 10 ** digits
-    whole = f"CAST(floor((abs({num}) * {2 * scale} + ({den})) / (({den}) * 2)) AS BIGINT)"
-    signed = f"(CASE WHEN ({num}) < 0 THEN -{whole} ELSE {whole} END)"
+    a = f"(abs({num}) * {scale})"
+    r = f"({a} % ({den}))"
+    w = f"(({a} - {r}) // ({den}))"
+    rounded = f"({w} + CASE WHEN 2 * {r} > ({den}) OR (2 * {r} = ({den}) AND {w} % 2 = 1) THEN 1 ELSE 0 END)"
+    signed = f"(CASE WHEN ({num}) < 0 THEN -{rounded} ELSE {rounded} END)"
     return f"(CASE WHEN ({den}) > 0 THEN CAST({signed} AS DOUBLE) / CAST({scale} AS DOUBLE) ELSE 0.0 END)"
 
 

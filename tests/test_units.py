@@ -289,3 +289,12 @@ def test_derive_record_columns(spark):
     got = [tuple(r) for r in clean.derive(df, levels).select("Hour", "Time_of_day", "Is_weekend",
                                                             "Severity_rank").collect()]
     assert got == [(7, "Morning (6-11)", True, 2), (22, "Night (0-5)", False, 0), (14, "Afternoon (12-16)", True, None)]
+
+
+def test_exact_rounding_half_even(spark):
+    from gradelens.functions.numeric import round_ratio
+    rows = [(1, 8), (3, 8), (201, 200), (203, 200), (1, 3), (2, 3), (0, 5), (5, 0), (-1, 8)]
+    df = spark.createDataFrame(rows, "n long, d long")
+    got = [r[0] for r in df.select(round_ratio("n", "d", 2)).collect()]
+    # 0.125 -> 0.12 (even), 0.375 -> 0.38 (even), 1.005 -> 1.0, 1.015 -> 1.02, thirds, zero den -> 0
+    assert got == [0.12, 0.38, 1.0, 1.02, 0.33, 0.67, 0.0, 0.0, -0.12]
