@@ -44,7 +44,7 @@ def contingency(df: DataFrame, fields: Sequence[str], spec: OutcomeSpec,
 
 def cramers_v(df: DataFrame, fields: Sequence[str], spec: OutcomeSpec,
               selection: Selection | Mapping | None = None, digits: int = 4) -> DataFrame:
-    """A5 + T8: ``(field, v)`` sorted by ``v`` descending, then field.
+    """A5 + T8: ``(field, v)`` sorted by ``v`` descending; ties keep the given field order.
 
     Over the cells with ``e > 0`` the observed and expected counts both sum
     to ``n``, so ``chi2 = n * sum_j S_j / t_j - n`` with level totals ``t_j``
@@ -73,5 +73,7 @@ def cramers_v(df: DataFrame, fields: Sequence[str], spec: OutcomeSpec,
     denom = n.cast("double") * (k - 1).cast("double")
     v = F.when((n == 0) | (F.col("r") < 2) | (denom <= 0), F.lit(0.0)) \
          .otherwise(F.least(F.lit(1.0), F.sqrt(F.try_divide(chi2, denom))))
+    # ties keep the order the fields were given in
+    given = F.array_position(F.array(*[F.lit(f) for f in fields]), F.col("field"))
     return per_field.select("field", F.round(v, digits).alias("v")) \
-                    .orderBy(F.desc("v"), F.asc("field"))
+                    .orderBy(F.desc("v"), given)

@@ -298,3 +298,13 @@ def test_exact_rounding_half_even(spark):
     got = [r[0] for r in df.select(round_ratio("n", "d", 2)).collect()]
     # 0.125 -> 0.12 (even), 0.375 -> 0.38 (even), 1.005 -> 1.0, 1.015 -> 1.02, thirds, zero den -> 0
     assert got == [0.12, 0.38, 1.0, 1.02, 0.33, 0.67, 0.0, 0.0, -0.12]
+
+
+def test_levels_keep_null_last_and_ties_keep_field_order(spark):
+    from gradelens.operators import profile
+    df = spark.createDataFrame([("b", "x"), (None, "x"), ("a", "x")], "f string, g string")
+    got = {r["field"]: r["levels"] for r in profile.levels(df, ["f", "g"]).collect()}
+    assert got == {"f": ["a", "b", None], "g": ["x"]}
+    same = spark.createDataFrame([("a", "a", "low"), ("b", "b", "high")] * 3, "z string, y string, outcome string")
+    assert [r["field"] for r in association.cramers_v(same, ["z", "y"], SPEC).collect()] == ["z", "y"]
+    assert [r["field"] for r in association.cramers_v(same, ["y", "z"], SPEC).collect()] == ["y", "z"]
