@@ -61,6 +61,11 @@ def with_rates(df, spec: OutcomeSpec, total: str = "total"):
     return df.select("*", *cols)
 
 
+def sqrt_scaled(*cols: str, suffix: str = "_disp") -> list[Column]:
+    """Square-root scaled counts (``sqrt(c)`` as ``c<suffix>``) for area-true bars."""
+    return [F.sqrt(F.col(c).cast("double")).alias(f"{c}{suffix}") for c in cols]
+
+
 def rate_band(a, b):
     """Row-wise min / max of two rates (P29 band)."""
     return F.least(_c(a), _c(b)), F.greatest(_c(a), _c(b))

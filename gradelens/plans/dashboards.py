@@ -390,12 +390,13 @@ def _both_folds_sql():
 
 
 @register("leading_causes", f"""
-SELECT * FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY {OTHER_LAST_SQL}) AS pos
-               FROM ({_folded_types_sql(5, _LP_FT, 'p_brand', _both_folds_sql())})) WHERE pos <= 10
+SELECT *, sqrt(low) AS low_disp, sqrt(mid) AS mid_disp, sqrt(high) AS high_disp FROM (
+  SELECT *, ROW_NUMBER() OVER (ORDER BY {OTHER_LAST_SQL}) AS pos
+  FROM ({_folded_types_sql(5, _LP_FT, 'p_brand', _both_folds_sql())})) WHERE pos <= 10
 """)
 def leading_causes(spark, sf):
-    """A1 (min 5) P26 (both fixed folds) A7 T3: top 10 by total, Other last."""
-    return reports.top_by(line_parts(spark, sf), "p_brand", LO, LINE_F, 10, 5, mapper=reports.both_folds)
+    """A1 (min 5) P26 (both fixed folds) A7 T3 P29: top 10 by total, Other last, sqrt-scaled counts."""
+    return reports.leading(line_parts(spark, sf), "p_brand", LO, LINE_F)
 
 
 @register("area_risk", f"""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gradelens.functions.bands import PART_OF_DAY, hour_band
 from gradelens.functions.labels import fold_other_unknown, fold_lane_change
-from gradelens.functions.numeric import pct_rounded, rate_band
+from gradelens.functions.numeric import pct_rounded, rate_band, sqrt_scaled
 from gradelens.functions.predicates import Selection
 from gradelens.operators import fold, ordering, outcome, shape
 from gradelens.spec import OutcomeSpec
@@ -51,6 +51,13 @@ def top_by(df, by, spec, selection, k, min_count, order: str = "total",
     return ordering.ranked(folded, order_cols).filter(F.col("pos") <= k)
 
 
+def leading(df, by, spec, selection, k=10, min_count=5, mapper: Mapper = both_folds):
+    """Leading groups: both folds, top k by total with Other last, and
+    square-root scaled level counts for the stacked bars (P29)."""
+    rows = top_by(df, by, spec, selection, k, min_count, mapper=mapper)
+    return rows.select("*", *sqrt_scaled(*spec.names))
+
+
 def surface_band(df, by, spec, selection, k=6, min_count=5):
     """Top k by risk with the band between the two upper-level rates."""
     rows = top_by(df, by, spec, selection, k, min_count, order="risk", other_last=False)
