@@ -66,6 +66,23 @@ def sqrt_scaled(*cols: str, suffix: str = "_disp") -> list[Column]:
     return [F.sqrt(F.col(c).cast("double")).alias(f"{c}{suffix}") for c in cols]
 
 
+def _trim_zeros(text: Column) -> Column:
+    # "12.50" -> "12.5", "12.0" -> "12"; integers keep their zeros
+    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
+def pct_text(col) -> Column:
+    """Adaptive percent text: one decimal from 1, two from 0.1, three below,
+    ``<0.001`` for a non-zero value that rounds to 0, ``0`` for zero,
+    negative or non-finite values; trailing zeros dropped."""
+    v = _c(col).cast("double")
+    def fixed(d):
+        return _trim_zeros(F.format_string(f"%.{d}f", F.round(v, d)))
+    small = F.when(F.round(v, 3) == 0, F.lit("<0.001")).otherwise(fixed(3))
+    bad = v.isNull() | F.isnan(v) | (v <= 0) | (v == float("inf"))
+    return F.when(bad, F.lit("0")).when(v >= 1, fixed(1)).when(v >= 0.1, fixed(2)).otherwise(small)
+
+
 def rate_band(a, b):
     """Row-wise min / max of two rates (P29 band)."""
     return F.least(_c(a), _c(b)), F.greatest(_c(a), _c(b))

@@ -308,3 +308,11 @@ def test_levels_keep_null_last_and_ties_keep_field_order(spark):
     same = spark.createDataFrame([("a", "a", "low"), ("b", "b", "high")] * 3, "z string, y string, outcome string")
     assert [r["field"] for r in association.cramers_v(same, ["z", "y"], SPEC).collect()] == ["z", "y"]
     assert [r["field"] for r in association.cramers_v(same, ["y", "z"], SPEC).collect()] == ["y", "z"]
+
+
+def test_pct_text(spark):
+    from gradelens.functions.numeric import pct_text
+    vals = [12.34, 12.0, 100.0, 0.5, 0.123, 0.05, 0.0004, 0.0, -1.0, None, 1.25, 0.1]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    got = [r[0] for r in df.select(pct_text("v")).collect()]
+    assert got == ["12.3", "12", "100", "0.5", "0.12", "0.05", "<0.001", "0", "0", "0", "1.3", "0.1"]
