@@ -316,3 +316,35 @@ def test_pct_text(spark):
     df = spark.createDataFrame([(v,) for v in vals], "v double")
     got = [r[0] for r in df.select(pct_text("v")).collect()]
     assert got == ["12.3", "12", "100", "0.5", "0.12", "0.05", "<0.001", "0", "0", "0", "1.3", "0.1"]
+
+
+def test_first_child_same_key_name_and_flags(spark):
+    parent = spark.createDataFrame([(1, "p1"), (2, "p2")], "k int, pv string")
+    child = spark.createDataFrame([(1, 1, "R"), (1, 2, "N"), (2, 2, "R")], "k int, ref int, flag string")
+    out = assemble.first_child(parent, child, "k", "k", ref=F.col("ref") == 1)
+    flags = assemble.child_flags(child, "k", {"has_r": F.col("flag") == "R"})
+    got = sorted(tuple(r) for r in assemble.attach_flags(out, flags, "k", "k").select("k", "ref", "has_r").collect())
+    assert got == [(1, 1, 1), (2, None, 1)]
+
+
+def test_decode_duplicate_codes_and_bound(spark):
+    codes = spark.createDataFrame([("t", "f", 1, "B"), ("t", "f", 1, "A"), ("t", "f", 2, "C")],
+                                  "table string, field string, code long, label string")
+    df = spark.createDataFrame([(1,), (2,), (3,)], "c int")
+    got = sorted(tuple(r) for r in assemble.decode(df, "c", codes, "t", "f", "none", name="label").collect())
+    assert got == [(1, "A"), (2, "C"), (3, "none")]  # no fan-out on duplicate codes
+    assert assemble.bounded_broadcast(codes, max_rows=2) is not None  # over the bound: no hint, still usable
+    small = sorted(tuple(r) for r in assemble.decode(df, "c", codes, "t", "f", "none", name="label",
+                                                      max_codes=1).collect())
+    assert small == got
+
+
+def test_surviving_filters_and_dense_grid(spark):
+    from gradelens.operators import selection
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "s string, n int")
+    got = sorted(tuple(r) for r in selection.surviving({"s": ["a", "z"], "n": ["2", "x"], "gone": ["q"]}, df).collect())
+    assert got == [("n", "2"), ("s", "a")]
+    agg = spark.createDataFrame([("x", 1, 5), ("q", 9, 7)], "x string, y int, total long")
+    cells = shape.grid(spark, ["x", "w"], [1, 2])
+    dense = sorted(tuple(r) for r in shape.dense(agg, cells, ["x", "y"], ["total"]).collect())
+    assert dense == [("w", 1, 0), ("w", 2, 0), ("x", 1, 5), ("x", 2, 0)]
