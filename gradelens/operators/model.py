@@ -373,3 +373,34 @@ def distinct_tuples(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Distinct feature tuples."""
     return df.dropDuplicates(list(cols)).select(*cols)
 
+
+
+@dataclass
+class TrainResult:
+    """Everything one training run produces, as the model plus DataFrames."""
+
+    model: SeverityModel
+    metrics: DataFrame        # accuracy, macro_f1, weighted_f1, n_test
+    per_class: DataFrame      # label, precision, recall, f1, support
+    importances: DataFrame    # feature, importance (top 15)
+    levels: DataFrame         # field, levels (A15)
+    num_stats: DataFrame      # feature, mean, min, max (A14)
+
+
+def train_flow(records: DataFrame, cat: Sequence[str], num: Sequence[str], target: str,
+               levels: Sequence[str], forbidden: Sequence[str] = (), test_fraction: float = 0.2,
+               seed: int = 42, learner: str = "logistic", use_pca: bool = True,
+               variance: float = 0.95) -> TrainResult:
+    """The training run end to end: features the table has (leak guard),
+    weighted combinations, leak-free stratified split of combinations, fit
+    on the training side, weighted evaluation on the held-out side."""
+    from gradelens.operators.profile import levels as level_lists
+    cat, num = check_features(records.columns, cat, num, forbidden)
+    combos = combinations(records, cat, num, target)
+    sides = split(combos, [*cat, *num], test_fraction, seed)
+    m = fit(sides.filter(~F.col("is_test")), cat, num, levels, learner=learner, use_pca=use_pca,
+            variance=variance, seed=seed)
+    conf = confusion(score(m, sides.filter(F.col("is_test")), levels))
+    return TrainResult(m, overall_metrics(conf, m.classes), class_metrics(conf, m.classes),
+                       importance(m, spark=records.sparkSession), level_lists(combos, cat),
+                       weighted_stats(combos, num))

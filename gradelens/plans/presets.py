@@ -26,6 +26,19 @@ ASSOCIATION_FIELDS = (
     "Lanes_or_Medians", "Educational_level", "Number_of_vehicles_involved", "Number_of_casualties",
 )
 
+# Model features, target-derived columns refused as features,
+# the field offered on the scenario form only, seed and PCA variance kept.
+FEATURE_CAT = (
+    "Time_of_day", "Day_of_week", "Age_band_of_driver", "Sex_of_driver", "Driving_experience",
+    "Area_accident_occured", "Light_conditions", "Weather_conditions", "Road_surface_conditions",
+    "Type_of_collision", "Cause_of_accident",
+)
+FEATURE_NUM = ("Number_of_vehicles_involved", "Number_of_casualties")
+LEAKING_COLUMNS = ("Severity_rank",)
+FORM_ONLY_CAT = ("State",)
+SEED = 42
+PCA_VARIANCE = 0.95
+
 # The named conditions of each dataset, in display order.
 #   both:  Darkness      Light_conditions LIKE 'Darkness%'
 #          Night         Time_of_day LIKE 'Night%'

@@ -348,3 +348,17 @@ def test_surviving_filters_and_dense_grid(spark):
     cells = shape.grid(spark, ["x", "w"], [1, 2])
     dense = sorted(tuple(r) for r in shape.dense(agg, cells, ["x", "y"], ["total"]).collect())
     assert dense == [("w", 1, 0), ("w", 2, 0), ("x", 1, 5), ("x", 2, 0)]
+
+
+def test_train_flow_end_to_end(spark):
+    from tests.conftest import SF_SMALL
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").withColumn("rank", F.lit(1))
+    res = model.train_flow(li, ["l_linestatus", "l_linenumber", "missing_col"], ["l_tax", "l_quantity"],
+                           "l_returnflag", ["N", "A", "R"], forbidden=["rank"], use_pca=True)
+    m = res.metrics.first()
+    assert 0.0 <= m["accuracy"] <= 1.0 and m["n_test"] > 0
+    assert sorted(r["label"] for r in res.per_class.collect()) == sorted(res.model.classes)
+    assert {r["field"] for r in res.levels.collect()} == {"l_linestatus", "l_linenumber"}
+    assert sum(r["importance"] for r in res.importances.collect()) == pytest.approx(1.0)
+    with pytest.raises(ValueError):
+        model.train_flow(li, ["rank"], [], "l_returnflag", ["N", "A", "R"], forbidden=["rank"])
