@@ -70,13 +70,22 @@ def dedupe(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
-def median_fill(df: DataFrame, col: str, fallback: float = 1.0, lower: float = 1.0) -> DataFrame:
+def median_fill(df: DataFrame, cols: str | Sequence[str], fallback: float = 1.0,
+                lower: float = 1.0) -> DataFrame:
     """P16 + P17: text → double (bad → NULL), NULL → median (or ``fallback``),
-    clip at ``lower``, round half-even, integer."""
-    num = F.col(col).cast("string").try_cast("double")
-    med = exact_median(df, num)
-    filled = F.coalesce(num, F.coalesce(med, F.lit(fallback)))
-    return df.withColumn(col, F.bround(F.greatest(filled, F.lit(lower)), 0).cast("long"))
+    clip at ``lower``, round half-even, integer.
+
+    All medians are taken over the same input frame and applied in one
+    projection, so filling several columns never nests one median's
+    subquery inside another's plan.
+    """
+    names = [cols] if isinstance(cols, str) else list(cols)
+    fills = {}
+    for c in names:
+        num = F.col(c).cast("string").try_cast("double")
+        filled = F.coalesce(num, F.coalesce(exact_median(df, num), F.lit(fallback)))
+        fills[c] = F.bround(F.greatest(filled, F.lit(lower)), 0).cast("long")
+    return df.select(*[fills[c].alias(c) if c in fills else F.col(c) for c in df.columns])
 
 
 def fill_unknown(df: DataFrame, columns: Sequence[str] | None = None, value: str = "Unknown") -> DataFrame:
@@ -145,9 +154,9 @@ def clean_rows(df: DataFrame, target: str, synonyms: Mapping[str, str],
     cats = [c for c in string_columns(df) if c not in numeric]
     stage = clean_text(trim_names(df))
     stage = dedupe(stage) if drop_duplicates else stage
-    for c in numeric:
-        if c in stage.columns:
-            stage = median_fill(stage, c)
+    present = [c for c in numeric if c in stage.columns]
+    if present:
+        stage = median_fill(stage, present)
     cats = [c for c in cats if c in stage.columns]
     return canonical_target(fill_unknown(stage, cats), target, synonyms)
 

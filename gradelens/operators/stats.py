@@ -37,7 +37,7 @@ def exact_median(df: DataFrame, value: Column) -> Column:
     """Scalar subquery: the median of ``value`` (mean of the two middle values
     for an even count, as ``percentile(0.5)``); NULL when there is none."""
     cum = cumulative_counts(df, value)
-    n = cum.select(F.max("cum")).scalar()
+    n = df.select(F.count(value)).scalar()   # non-NULL rows; no second sort
     lo_rank = F.floor((n - 1) / 2)          # 0-based ranks of the middle values
     hi_rank = F.floor(n / 2)
     # the value at rank r is the smallest v whose cumulative count exceeds r

@@ -64,3 +64,30 @@ def test_code_list_from_csv(spark):
     raw = io.read_csv_text(spark, p)
     codes = assemble.code_list(raw)
     assert sorted((r["code"], r["label"]) for r in codes.collect()) == [(1, "Car"), (2, "Unknown")]
+
+
+def test_build_records_end_to_end(spark):
+    from gradelens.functions.labels import SEVERITY_SYNONYMS
+    from gradelens.plans.build import build_records
+    from gradelens.plans.presets import SEVERITY
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    sev = (F.when(F.col("event_type") == "error", F.lit(" Fatal "))
+            .when(F.col("event_type") == "purchase", F.lit("serious injury"))
+            .when(F.col("event_type") == "signup", F.lit("??"))
+            .otherwise(F.lit("Slight")))
+    raw = ev.select(F.date_format("ts", "H:mm:ss").alias("Time"), F.date_format("ts", "EEEE").alias("Day_of_week"),
+                    sev.alias("Accident_severity"),
+                    F.regexp_extract("props", r"(\d+)", 1).alias("Number_of_vehicles_involved"),
+                    F.lit("1").alias("Number_of_casualties"))
+    shares = spark.createDataFrame([("North", 5), ("South", 3), ("East", 2)], "label string, weight long")
+    out = os.path.join(scratch(), "records")
+    res = build_records(raw, SEVERITY, SEVERITY_SYNONYMS, out, shares=shares)
+    rep = res.report.first()
+    n = res.records.count()
+    assert rep["rows_out"] == n and rep["rows_in"] == ev.count() and rep["unmappable_target_rows_dropped"] > 0
+    # largest remainder: every region within one row of its ideal share
+    assert res.quota_check.agg(F.max("diff_pp")).first()[0] <= 100.0 / n
+    assert sum(r["assigned"] for r in res.quota_check.collect()) == n
+    types = dict(res.records.dtypes)
+    assert types["Hour"] == "smallint" and types["Is_weekend"] == "boolean" and types["Severity_rank"] == "smallint"
+    assert res.profile.filter(F.col("section") == "rows").first()["n"] == n
