@@ -6,10 +6,10 @@ rows, label ``i`` gets ``floor(w_i n / W)`` rows plus one more for the
 (ties: label ascending).  The arithmetic is exact in DECIMAL(38, 0).
 
 Rows get labels by position in a seeded pseudo-random order (``positions``):
-hash-partitioned on ``xxhash64(seed, keys)`` and sorted inside partitions,
-checkpointed to the shared checkpoint folder so positions survive executor
-loss; a row's position is its partition's offset (from per-partition counts)
-plus its place inside the partition.  The position finds its
+the input is checkpointed to the shared checkpoint folder, hash-partitioned
+on ``xxhash64(seed, keys, row id)`` and sorted inside partitions; a row's
+position is its partition's offset (from per-partition counts) plus its
+place inside the partition.  The position finds its
 label's ``[lo, hi)`` range through a binned equi-join against the quota
 table, whose size is bounded by ``#labels + bins``.
 """
@@ -59,23 +59,27 @@ def positions(df: DataFrame, keys: Sequence[str], seed: int, group: str | None =
     """Number the rows 0..n-1 (within each ``group`` when given) in a seeded
     pseudo-random order.
 
-    Rows are hash-partitioned on ``h = xxhash64(seed, keys)`` and sorted
-    inside each partition by ``(group, h, keys)``; the order is (partition,
-    h), itself seeded and uniform.  One shuffle, no sampling pass.  The
-    sorted frame is checkpointed to the shared folder so positions survive
-    executor loss.  A row's position is its group's count in earlier
+    The input is checkpointed to the shared folder first, which fixes its
+    partitioning, so a row id from ``monotonically_increasing_id`` is stable
+    under recomputation.  Rows are hash-partitioned on ``h = xxhash64(seed,
+    keys, row id)`` — uniform even when a key tuple repeats a million times —
+    and sorted inside each partition by ``(group, h, keys, row id)``, a total
+    order, so every recomputation yields the same positions.  One shuffle, no
+    sampling pass.  A row's position is its group's count in earlier
     partitions plus its offset from the group's first row in its partition,
     read from a (partition x group) count table broadcast back — bounded by
     shuffle partitions x groups.
     """
     spark = df.sparkSession
     nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]))
-    lead = [group] if group else []
-    staged = hashed.repartition(nparts, "_h").sortWithinPartitions(*lead, "_h", *keys)
+    base = df
     if checkpoint:
         checkpoint_dir(spark)
-        staged = staged.checkpoint(eager=True)
+        base = df.checkpoint(eager=True)
+    rid = base.withColumn("_rid", F.monotonically_increasing_id())
+    hashed = rid.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(k) for k in keys], F.col("_rid")))
+    lead = [group] if group else []
+    staged = hashed.repartition(nparts, "_h").sortWithinPartitions(*lead, "_h", *keys, "_rid")
     mid = F.monotonically_increasing_id()
     with_id = staged.withColumn("_mid", mid) \
                     .withColumn("_part", F.shiftright(F.col("_mid"), _POS_BITS)) \
@@ -87,12 +91,16 @@ def positions(df: DataFrame, keys: Sequence[str], seed: int, group: str | None =
     offsets = counts.select("_part", "_g", "_first", (F.sum("_cnt").over(upto) - F.col("_cnt")).alias("_before"))
     joined = with_id.join(F.broadcast(offsets), ["_part", "_g"])
     pos = F.col("_before") + F.col("_pip") - F.col("_first")
-    return joined.withColumn(name, pos).drop("_h", "_mid", "_part", "_pip", "_g", "_first", "_before")
+    return joined.withColumn(name, pos).drop("_rid", "_h", "_mid", "_part", "_pip", "_g", "_first", "_before")
 
 
 def assign(df: DataFrame, keys: Sequence[str], sizes: DataFrame, seed: int = 42,
            out: str = "label", bins: int = 4096) -> DataFrame:
-    """Q1 rows: every row of ``df`` gets a label; label counts equal ``sizes``."""
+    """Q1 rows: every row of ``df`` gets a label; label counts equal ``sizes``.
+
+    ``sizes`` must sum to the row count of ``df`` (``quota_sizes`` with
+    ``n = count(df)``), so the label ranges cover every position.
+    """
     indexed = positions(df, keys, seed)
     ranges = quota_ranges(sizes)
     n = ranges.select(F.max("hi")).scalar()

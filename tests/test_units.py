@@ -362,3 +362,12 @@ def test_train_flow_end_to_end(spark):
     assert sum(r["importance"] for r in res.importances.collect()) == pytest.approx(1.0)
     with pytest.raises(ValueError):
         model.train_flow(li, ["rank"], [], "l_returnflag", ["N", "A", "R"], forbidden=["rank"])
+
+
+def test_positions_spread_duplicate_keys(spark):
+    # one key tuple holding most rows must not land in one partition
+    df = spark.range(4000).select(F.when(F.col("id") < 3000, F.lit(7)).otherwise(F.col("id")).alias("k"))
+    pos = quota.positions(df, ["k"], seed=1)
+    assert sorted(r[0] for r in pos.select("_pos").collect()) == list(range(4000))
+    sizes = [r[0] for r in pos.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert max(sizes) < 2000
