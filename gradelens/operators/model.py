@@ -155,8 +155,9 @@ def fit(train: DataFrame, cat: Sequence[str], num: Sequence[str], levels: Sequen
         learner: str = "logistic", use_pca: bool = False, variance: float = 0.95,
         max_iter: int = 100, seed: int = 42) -> SeverityModel:
     """M1 + M3 + M4: encode, optionally reduce, fit with the fit weights."""
-    present = [lv for lv in levels
-               if train.filter(F.col("label") == lv).limit(1).count() > 0]
+    # one job; at most len(levels) rows come back
+    seen = {r[0] for r in train.filter(F.col("label").isin(list(levels))).select("label").distinct().collect()}
+    present = [lv for lv in levels if lv in seen]
     if len(present) < 2:
         raise ValueError("need at least two outcome classes to train")
     data = with_fit_weight(train).withColumn("label_idx", _label_index(present)) \
