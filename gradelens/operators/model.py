@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradelens.operators.quota import positions
+from gradelens.session import checkpoint_dir
 
 CLASS_WEIGHT_TEMPER = 0.5
 
@@ -72,6 +73,10 @@ def split(combos: DataFrame, features: Sequence[str], test_fraction: float = 0.2
     stratum has fewer than two tuples the split is not stratified.  Positions
     within each stratum come from ``quota.positions`` (no per-stratum task).
     """
+    # the compressed table is read three times below (dominant labels, strata
+    # sizes, the final join): materialise it once in the shared folder
+    checkpoint_dir(combos.sparkSession)
+    combos = combos.checkpoint(eager=True)
     dom = dominant(combos, features)
     sizes = dom.groupBy("dominant").agg(F.count(F.lit(1)).alias("n"))
     stratified = sizes.select(F.min("n") >= 2).scalar()
