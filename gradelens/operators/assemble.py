@@ -20,17 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradelens.functions.labels import clean_label
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
-
-    Meant for dimension tables (code lists, region lists); the count is a
-    cheap job on a small table.  Beyond the bound the frame is returned as
-    is and the join shuffles.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+from gradelens.operators.broadcast import bounded_broadcast
 
 
 def first_child(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str,

@@ -1,0 +1,17 @@
+"""Broadcast with a checked size bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows.
+
+    Meant for small derived tables (code lists, quota ranges); the count is a
+    cheap job on a small table.  Beyond the bound the frame is returned
+    without a hint and the join is planned from its size.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df

@@ -83,8 +83,8 @@ def split(combos: DataFrame, features: Sequence[str], test_fraction: float = 0.2
     dom = dom.withColumn("stratum", F.when(stratified, F.col("dominant")).otherwise(F.lit("")))
     indexed = positions(dom, list(features), seed, group="stratum")
     sizes = indexed.groupBy("stratum").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per stratum (number of labels): bounded
-    j = indexed.join(F.broadcast(sizes), "stratum")
+    # one row per stratum: small, so AQE broadcasts it from its measured size
+    j = indexed.join(sizes, "stratum")
     test_n = F.ceil(F.col("_n") * F.lit(test_fraction))
     flags = j.select(*features, (F.col("_pos") < test_n).alias("is_test"))
     return combos.join(flags, list(features), "inner")
@@ -101,9 +101,10 @@ def class_weights(train: DataFrame, temper: float = CLASS_WEIGHT_TEMPER) -> Data
 
 
 def with_fit_weight(train: DataFrame, temper: float = CLASS_WEIGHT_TEMPER) -> DataFrame:
-    """Row fit weight = combination weight x class weight (broadcast, one row per label)."""
+    """Row fit weight = combination weight x class weight (one row per label; AQE
+    broadcasts it from its measured size)."""
     cw = class_weights(train, temper)
-    return train.join(F.broadcast(cw), "label").withColumn(
+    return train.join(cw, "label").withColumn(
         "fit_weight", F.col("weight").cast("double") * F.col("class_weight"))
 
 

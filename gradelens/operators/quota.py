@@ -21,6 +21,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradelens.operators.broadcast import bounded_broadcast
 from gradelens.session import checkpoint_dir
 
 DEC = "decimal(38,0)"
@@ -89,7 +90,9 @@ def positions(df: DataFrame, keys: Sequence[str], seed: int, group: str | None =
     upto = (Window.partitionBy("_g").orderBy("_part")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     offsets = counts.select("_part", "_g", "_first", (F.sum("_cnt").over(upto) - F.col("_cnt")).alias("_before"))
-    joined = with_id.join(F.broadcast(offsets), ["_part", "_g"])
+    # without groups: one row per partition, a proven bound; with groups the
+    # table is partitions x groups and AQE picks the join from its real size
+    joined = with_id.join(F.broadcast(offsets) if group is None else offsets, ["_part", "_g"])
     pos = F.col("_before") + F.col("_pip") - F.col("_first")
     return joined.withColumn(name, pos).drop("_rid", "_h", "_mid", "_part", "_pip", "_g", "_first", "_before")
 
@@ -111,7 +114,9 @@ def assign(df: DataFrame, keys: Sequence[str], sizes: DataFrame, seed: int = 42,
         F.explode(F.sequence((F.col("lo") / width).cast("long"),
                              ((F.col("hi") - 1) / width).cast("long"))).alias("_bin"))
     rows = indexed.withColumn("_bin", (F.col("_pos") / width).cast("long"))
-    joined = rows.join(F.broadcast(binned.withColumnRenamed("label", "_label")), "_bin")
+    # #labels + bins rows, broadcast only after that count is checked
+    binned = bounded_broadcast(binned.withColumnRenamed("label", "_label"), max_rows=bins + 100_000)
+    joined = rows.join(binned, "_bin")
     hit = joined.filter((F.col("_pos") >= F.col("lo")) & (F.col("_pos") < F.col("hi")))
     return hit.withColumnRenamed("_label", out).drop("_bin", "lo", "hi")
 

@@ -31,7 +31,7 @@ def nation_weights(spark, sf):
     cu = table(spark, sf, "customer")
     na = table(spark, sf, "nation")
     per = cu.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("weight"))
-    return per.join(F.broadcast(na), per.c_nationkey == na.n_nationkey).select(
+    return per.join(na, per.c_nationkey == na.n_nationkey).select(
         F.col("n_name").alias("label"), "weight")
 
 

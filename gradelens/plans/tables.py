@@ -59,7 +59,7 @@ def order_nations(spark: SparkSession, sf_dir: str) -> DataFrame:
     cu = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     na = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     return (od.join(cu, od.o_custkey == cu.c_custkey, "inner")
-              .join(F.broadcast(na), F.col("c_nationkey") == F.col("n_nationkey"), "inner"))
+              .join(na, F.col("c_nationkey") == F.col("n_nationkey"), "inner"))
 
 
 # The same roles in DuckDB SQL, for the oracles.
