@@ -20,6 +20,7 @@ from dataclasses import dataclass, field
 from typing import Mapping, Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler
@@ -168,6 +169,16 @@ def fit(train: DataFrame, cat: Sequence[str], num: Sequence[str], levels: Sequen
         raise ValueError("need at least two outcome classes to train")
     data = with_fit_weight(train).withColumn("label_idx", _label_index(present)) \
                                  .filter(F.col("label_idx").isNotNull())
+    # the encoders, PCA, the learner and the summary each read the training
+    # rows; keep them for the length of the fit instead of re-deriving them
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _fit(data, cat, num, present, learner, use_pca, variance, max_iter, seed)
+    finally:
+        data.unpersist()
+
+
+def _fit(data: DataFrame, cat, num, present, learner, use_pca, variance, max_iter, seed) -> SeverityModel:
     idx_cols = [f"{c}__idx" for c in cat]
     oh_cols = [f"{c}__oh" for c in cat]
     stages = [StringIndexer(inputCols=list(cat), outputCols=idx_cols, handleInvalid="keep",
@@ -254,7 +265,8 @@ def score(model: SeverityModel, scenarios: DataFrame, levels: Sequence[str], top
                      vector_to_array("encoded").alias("_x"))
     if model.coef is not None:
         fields = list(dict.fromkeys(model.slots))
-        field_of = F.array(*[F.lit(fields.index(s)) for s in model.slots])
+        # literal slot lists per field: each row sums its own slots, O(slots)
+        slots_of = {f: [i for i, s in enumerate(model.slots) if s == f] for f in fields}
         means = F.array(*[F.lit(float(m)) for m in model.means])
         coef = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in model.coef])
         crow = F.element_at(coef, pred + 1)
@@ -262,13 +274,12 @@ def score(model: SeverityModel, scenarios: DataFrame, levels: Sequence[str], top
         contrib = F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
                               lambda i: (F.element_at("_x", i + 1) - F.element_at(means, i + 1))
                               * F.element_at(crow, i + 1))
-        per_field = F.transform(
-            F.sequence(F.lit(0), F.lit(len(fields) - 1)),
-            lambda f: F.struct(
-                F.element_at(F.array(*[F.lit(x) for x in fields]), f + 1).alias("feature"),
-                F.aggregate(F.filter(F.sequence(F.lit(0), F.lit(n - 1)),
-                                     lambda i: F.element_at(field_of, i + 1) == f),
-                            F.lit(0.0), lambda acc, i: acc + F.element_at(contrib, i + 1)).alias("value")))
+        res = res.withColumn("_c", contrib)
+        per_field = F.array(*[
+            F.struct(F.lit(f).alias("feature"),
+                     F.aggregate(F.array(*[F.lit(i + 1) for i in slots_of[f]]), F.lit(0.0),
+                                 lambda acc, i: acc + F.element_at(F.col("_c"), i)).alias("value"))
+            for f in fields])
         kept = F.filter(per_field, lambda s: F.abs(s["value"]) > eps)
         ordered = F.array_sort(kept, lambda a, b: F.when(F.abs(a["value"]) > F.abs(b["value"]), -1)
                                .when(F.abs(a["value"]) < F.abs(b["value"]), 1).otherwise(0))
