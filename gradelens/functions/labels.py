@@ -100,7 +100,8 @@ def decode_map(col, mapping: Mapping, default) -> Column:
         return default if isinstance(default, Column) else F.lit(default)
     m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
     dflt = default if isinstance(default, Column) else F.lit(default)
-    return F.coalesce(F.try_element_at(m, _c(col)), dflt)
+    key = _c(col).cast("string") if all(isinstance(k, str) for k in mapping) else _c(col)
+    return F.coalesce(F.try_element_at(m, key), dflt)
 
 
 def null_token(col, tokens: Sequence[str] = NULL_TOKENS) -> Column:

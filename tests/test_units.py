@@ -371,3 +371,10 @@ def test_positions_spread_duplicate_keys(spark):
     assert sorted(r[0] for r in pos.select("_pos").collect()) == list(range(4000))
     sizes = [r[0] for r in pos.groupBy(F.spark_partition_id()).count().select("count").collect()]
     assert max(sizes) < 2000
+
+
+def test_decode_map_text_keys_on_numbers(spark):
+    from gradelens.functions.labels import decode_map
+    df = spark.createDataFrame([(1,), (2,), (3,), (None,)], "c int")
+    got = [r[0] for r in df.select(decode_map("c", {"1": "Fatal injury", "2": "Serious Injury"}, "Unknown")).collect()]
+    assert got == ["Fatal injury", "Serious Injury", "Unknown", "Unknown"]
