@@ -247,19 +247,23 @@ def scenario_defaults(df: DataFrame, cat: Sequence[str], num: Sequence[str]) ->
 
 
 def score(model: SeverityModel, scenarios: DataFrame, levels: Sequence[str], top: int = 6,
-          eps: float = 1e-6) -> DataFrame:
+          eps: float = 1e-6, p_digits: int | None = 6, c_digits: int | None = 4) -> DataFrame:
     """M6: class probabilities in outcome order, the predicted class, and the
     ``top`` signed per-field contributions to it (|value| > ``eps``).
 
     Contribution of an encoded slot for class c is ``coef[c, j] * (x_j -
     mean_j)`` (exact for the logistic model), summed to its field; all of
-    it is array arithmetic inside the JVM.
+    it is array arithmetic inside the JVM.  Probabilities are rounded to
+    ``p_digits`` and contributions to ``c_digits`` (half-even; None keeps
+    full precision).
     """
     prepared = scenario_defaults(scenarios, model.cat, model.num)
     out = model.pipeline.transform(prepared)
     prob = vector_to_array("probability")
     pred = F.col("prediction").cast("int")
-    cols = [F.element_at(prob, i + 1).alias(f"p_{c}") for i, c in enumerate(model.classes)]
+    def rnd(x, d):
+        return x if d is None else F.bround(x, d)
+    cols = [rnd(F.element_at(prob, i + 1), p_digits).alias(f"p_{c}") for i, c in enumerate(model.classes)]
     classes = F.array(*[F.lit(c) for c in model.classes])
     res = out.select("*", *cols, F.element_at(classes, pred + 1).alias("predicted"),
                      vector_to_array("encoded").alias("_x"))
@@ -280,7 +284,9 @@ def score(model: SeverityModel, scenarios: DataFrame, levels: Sequence[str], top
                      F.aggregate(F.array(*[F.lit(i + 1) for i in slots_of[f]]), F.lit(0.0),
                                  lambda acc, i: acc + F.element_at(F.col("_c"), i)).alias("value"))
             for f in fields])
-        kept = F.filter(per_field, lambda s: F.abs(s["value"]) > eps)
+        kept = F.transform(F.filter(per_field, lambda s: F.abs(s["value"]) > eps),
+                           lambda s: F.struct(s["feature"].alias("feature"),
+                                              rnd(s["value"], c_digits).alias("value")))
         ordered = F.array_sort(kept, lambda a, b: F.when(F.abs(a["value"]) > F.abs(b["value"]), -1)
                                .when(F.abs(a["value"]) < F.abs(b["value"]), 1).otherwise(0))
         res = res.withColumn("contributions", F.slice(ordered, 1, top))
