@@ -34,11 +34,12 @@ def build_records(raw: DataFrame, spec: OutcomeSpec, synonyms: Mapping[str, str]
                   time_col: str = "Time", day_col: str = "Day_of_week",
                   shares: DataFrame | None = None, region_col: str = "State", seed: int = 42,
                   drop_duplicates: bool = False, profile_fields: Sequence[str] = (),
-                  max_records_per_file: int = 1_000_000) -> BuildResult:
+                  max_records_per_file: int = 1_000_000, meta_dir: str | None = None) -> BuildResult:
     """Clean (P14-P19, A20) → derive Hour / Time_of_day / Is_weekend / rank
     (P20-P22) → compact types (P23) → assign ``region_col`` by exact quota
     from ``shares`` (``label``, ``weight``; Q1) → write zstd Parquet (S6, S8)
-    → report (A21), quota check (Q2) and profile (A9)."""
+    → report (A21), quota check (Q2) and profile (A9); with ``meta_dir`` these
+    and the level lists (A15) are also written there as JSON (S10)."""
     clean.require(raw, [time_col, day_col, spec.column, *numeric])
     checkpoint_dir(raw.sparkSession)
     # cut the lineage after cleaning: the later steps take dataset-level
@@ -57,4 +58,12 @@ def build_records(raw: DataFrame, spec: OutcomeSpec, synonyms: Mapping[str, str]
     records = typed.sparkSession.read.parquet(out_dir)
     check = quota.check(records, sizes, label=region_col) if sizes is not None else None
     fields = list(profile_fields) or [c for c in ("Time_of_day", day_col, region_col) if c in records.columns]
-    return BuildResult(records, report, check, profile.profile(records, fields, spec))
+    prof = profile.profile(records, fields, spec)
+    if meta_dir:
+        # The dataset metadata next to the records, as JSON lines
+        io.write_json(prof, f"{meta_dir}/profile")
+        io.write_json(profile.levels(records, fields), f"{meta_dir}/levels")
+        io.write_json(report, f"{meta_dir}/cleaning_report")
+        if check is not None:
+            io.write_json(check, f"{meta_dir}/quota_check")
+    return BuildResult(records, report, check, prof)

@@ -81,7 +81,8 @@ def test_build_records_end_to_end(spark):
                     F.lit("1").alias("Number_of_casualties"))
     shares = spark.createDataFrame([("North", 5), ("South", 3), ("East", 2)], "label string, weight long")
     out = os.path.join(scratch(), "records")
-    res = build_records(raw, SEVERITY, SEVERITY_SYNONYMS, out, shares=shares)
+    meta = os.path.join(scratch(), "meta")
+    res = build_records(raw, SEVERITY, SEVERITY_SYNONYMS, out, shares=shares, meta_dir=meta)
     rep = res.report.first()
     n = res.records.count()
     assert rep["rows_out"] == n and rep["rows_in"] == ev.count() and rep["unmappable_target_rows_dropped"] > 0
@@ -91,3 +92,7 @@ def test_build_records_end_to_end(spark):
     types = dict(res.records.dtypes)
     assert types["Hour"] == "smallint" and types["Is_weekend"] == "boolean" and types["Severity_rank"] == "smallint"
     assert res.profile.filter(F.col("section") == "rows").first()["n"] == n
+    assert io.read_json(spark, os.path.join(meta, "profile")).filter("section = 'rows'").first()["n"] == n
+    assert io.read_json(spark, os.path.join(meta, "quota_check")).count() == 3
+    lv = {r["field"]: r["levels"] for r in io.read_json(spark, os.path.join(meta, "levels")).collect()}
+    assert lv["State"] == ["East", "North", "South"]
