@@ -94,3 +94,19 @@ def decode(df: DataFrame, col: str, codes: DataFrame, table: str, field: str,
 def project(df: DataFrame, columns: Sequence[Column]) -> DataFrame:
     """The unified projection (renames, casts, constants, CASE chains)."""
     return df.select(*columns)
+
+
+def flat_record(parent: DataFrame, parent_key: str,
+                children: Sequence[tuple[DataFrame, str, Column | None]] = (),
+                flags: Sequence[tuple[DataFrame, str, dict[str, Column]]] = (),
+                projection: Sequence[Column] | None = None, dedupe: bool = False) -> DataFrame:
+    """J1 + J2 + J3 + P13: a parent with the first-listed row of each child
+    table ``(child, child_key, ref)``, per-key flags of ``(child, child_key,
+    {name: condition})`` and the final projection — the left-join chain
+    ``parent ⟕ child1 ⟕ child2 ⟕ flags`` planned as in ``first_child``."""
+    out = parent
+    for child, key, ref in children:
+        out = first_child(out, child, parent_key, key, ref=ref, dedupe=dedupe)
+    for child, key, conds in flags:
+        out = attach_flags(out, child_flags(child, key, conds), parent_key, key)
+    return project(out, projection) if projection is not None else out

@@ -51,12 +51,13 @@ def assembled(spark, sf):
     li = table(spark, sf, "lineitem")
     first = li.select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", "l_tax",
                       "l_shipdate")
-    x = assemble.first_child(od, first, "o_orderkey", "l_orderkey", ref=F.col("l_linenumber") == 1)
-    flags = assemble.child_flags(li, "l_orderkey", {"has_return": F.col("l_returnflag") == "R"})
-    x = assemble.attach_flags(x, flags, "o_orderkey", "l_orderkey")
     raw_hour = F.hour("l_shipdate")
     rf, tax, qty = F.col("l_returnflag"), F.col("l_tax"), F.col("l_quantity")
-    return assemble.project(x, [
+    return assemble.flat_record(
+        od, "o_orderkey",
+        children=[(first, "l_orderkey", F.col("l_linenumber") == 1)],
+        flags=[(li, "l_orderkey", {"has_return": F.col("l_returnflag") == "R"})],
+        projection=[
         F.col("o_orderkey"),
         decode_map(F.col("o_orderstatus"), {"F": "Filled", "O": "Open"}, "Unknown").alias("order_status"),
         F.col("l_linestatus").alias("line_status"),

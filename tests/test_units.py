@@ -378,3 +378,18 @@ def test_decode_map_text_keys_on_numbers(spark):
     df = spark.createDataFrame([(1,), (2,), (3,), (None,)], "c int")
     got = [r[0] for r in df.select(decode_map("c", {"1": "Fatal injury", "2": "Serious Injury"}, "Unknown")).collect()]
     assert got == ["Fatal injury", "Serious Injury", "Unknown", "Unknown"]
+
+
+def test_flat_record_two_children_and_flags(spark):
+    parent = spark.createDataFrame([(1, "p1"), (2, "p2"), (3, "p3")], "pk int, pv string")
+    veh = spark.createDataFrame([(1, 1, "car"), (1, 2, "bus"), (2, 1, "van")], "vk int, vref int, vtype string")
+    cas = spark.createDataFrame([(1, 1, "driver"), (3, 1, "pedestrian"), (3, 2, "passenger")],
+                                "ck int, cref int, cclass string")
+    out = assemble.flat_record(
+        parent, "pk",
+        children=[(veh, "vk", F.col("vref") == 1), (cas, "ck", F.col("cref") == 1)],
+        flags=[(cas, "ck", {"has_ped": F.col("cclass") == "pedestrian"})],
+        projection=[F.col("pk"), F.coalesce("vtype", F.lit("Unknown")).alias("vehicle"),
+                    F.coalesce("cclass", F.lit("Unknown")).alias("casualty"), F.col("has_ped")])
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == [(1, "car", "driver", 0), (2, "van", "Unknown", None), (3, "Unknown", "pedestrian", 1)]
