@@ -305,3 +305,17 @@ UNION ALL SELECT 'events', count(*) FROM events
 def row_counts(spark, sf):
     """Row counts per source."""
     return profile.source_counts({n: table(spark, sf, n) for n in ["lineitem", "orders", "customer", "events"]})
+
+
+@register("type_compaction", f"""
+SELECT event_id,
+       COALESCE(CAST(TRY_CAST(k_text AS DOUBLE) AS SMALLINT), CAST(0 AS SMALLINT)) AS k_text,
+       COALESCE(weekend_text IN ('True', 'true', '1'), false) AS weekend_text
+FROM (SELECT event_id, CAST(k AS VARCHAR) AS k_text, CAST(is_weekend AS VARCHAR) AS weekend_text
+      FROM ({EVENTS_SQL}))
+""")
+def type_compaction(spark, sf):
+    """Text counts to SMALLINT (bad → 0) and boolean text to BOOLEAN."""
+    ev = events(spark, sf).select("event_id", F.col("k").cast("string").alias("k_text"),
+                                  F.col("is_weekend").cast("string").alias("weekend_text"))
+    return clean.compact(ev, shorts=["k_text"], bools=["weekend_text"])
