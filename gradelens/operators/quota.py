@@ -32,20 +32,21 @@ def quota_sizes(weights: DataFrame, label: str, weight: str, n: Column | int) ->
     """Q1 sizes: ``(label, weight, base, remainder, size)``; sizes sum to ``n``.
 
     ``weights`` is the small target table (one row per label); ``n`` may be a
-    scalar subquery such as ``df.select(count(*)).scalar()``.
+    scalar subquery such as ``df.select(count(*)).scalar()``.  Totals over the
+    target table are windows over its rows (bounded by the label count), so
+    only ``n`` is a subquery.
     """
-    n_col = n if isinstance(n, Column) else F.lit(n)
-    total = weights.select(F.sum(F.col(weight).cast(DEC))).scalar()
-    prod = F.col(weight).cast(DEC) * n_col.cast(DEC)
-    rem = F.pmod(prod, total)
-    base = ((prod - rem) / total).cast("long")
-    staged = weights.select(F.col(label).alias("label"), F.col(weight).cast("long").alias("weight"),
-                            base.alias("base"), rem.cast(DEC).alias("remainder"))
-    short = (n_col.cast("long") - staged.select(F.sum("base")).scalar())
-    # one row per label: a window over the bounded target table
+    n_col = (n if isinstance(n, Column) else F.lit(n)).cast(DEC)
+    every = Window.partitionBy()
+    w = weights.select(F.col(label).alias("label"), F.col(weight).cast("long").alias("weight"))
+    w = w.withColumn("_prod", F.col("weight").cast(DEC) * n_col) \
+         .withColumn("_total", F.sum(F.col("weight").cast(DEC)).over(every))
+    w = w.withColumn("remainder", F.pmod("_prod", "_total").cast(DEC))
+    w = w.withColumn("base", ((F.col("_prod") - F.col("remainder")) / F.col("_total")).cast("long"))
+    w = w.withColumn("_short", n_col.cast("long") - F.sum("base").over(every))
     rank = F.row_number().over(Window.orderBy(F.desc("remainder"), F.asc("label")))
-    return staged.withColumn("size", F.col("base") + F.when(rank <= short, 1).otherwise(0)) \
-                 .withColumn("remainder", F.col("remainder").cast("string"))
+    w = w.withColumn("size", F.col("base") + F.when(rank <= F.col("_short"), 1).otherwise(0))
+    return w.select("label", "weight", "base", F.col("remainder").cast("string").alias("remainder"), "size")
 
 
 def quota_ranges(sizes: DataFrame) -> DataFrame:
@@ -60,27 +61,29 @@ def positions(df: DataFrame, keys: Sequence[str], seed: int, group: str | None =
     """Number the rows 0..n-1 (within each ``group`` when given) in a seeded
     pseudo-random order.
 
-    The input is checkpointed to the shared folder first, which fixes its
-    partitioning, so a row id from ``monotonically_increasing_id`` is stable
-    under recomputation.  Rows are hash-partitioned on ``h = xxhash64(seed,
-    keys, row id)`` — uniform even when a key tuple repeats a million times —
-    and sorted inside each partition by ``(group, h, keys, row id)``, a total
-    order, so every recomputation yields the same positions.  One shuffle, no
-    sampling pass.  A row's position is its group's count in earlier
+    Each row gets a row id (``monotonically_increasing_id``); rows are
+    hash-partitioned on ``h = xxhash64(seed, keys, row id)`` — uniform even
+    when a key tuple repeats a million times — and sorted inside each
+    partition by ``(group, h, keys, row id)``.  The result is checkpointed to
+    the shared folder, so positions are read from fixed data and survive
+    executor loss.  One shuffle, no sampling pass.  A row's position is its group's count in earlier
     partitions plus its offset from the group's first row in its partition,
     read from a (partition x group) count table broadcast back — bounded by
     shuffle partitions x groups.
     """
     spark = df.sparkSession
     nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = df
-    if checkpoint:
-        checkpoint_dir(spark)
-        base = df.checkpoint(eager=True)
-    rid = base.withColumn("_rid", F.monotonically_increasing_id())
+    rid = df.withColumn("_rid", F.monotonically_increasing_id())
     hashed = rid.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(k) for k in keys], F.col("_rid")))
     lead = [group] if group else []
     staged = hashed.repartition(nparts, "_h").sortWithinPartitions(*lead, "_h", *keys, "_rid")
+    if checkpoint:
+        # one materialisation of the salted, partitioned and sorted rows: every
+        # later read (counts, offsets, positions) is narrow and sees the same
+        # row ids; the row-id stage is indeterminate, so Spark re-runs it whole
+        # on a fetch failure rather than mixing attempts
+        checkpoint_dir(spark)
+        staged = staged.checkpoint(eager=True)
     mid = F.monotonically_increasing_id()
     with_id = staged.withColumn("_mid", mid) \
                     .withColumn("_part", F.shiftright(F.col("_mid"), _POS_BITS)) \
@@ -105,7 +108,9 @@ def assign(df: DataFrame, keys: Sequence[str], sizes: DataFrame, seed: int = 42,
     ``n = count(df)``), so the label ranges cover every position.
     """
     indexed = positions(df, keys, seed)
-    ranges = quota_ranges(sizes)
+    # one row per label: materialise it once so the quota arithmetic (whose
+    # totals are subqueries over the data) is not re-run by every later job
+    ranges = quota_ranges(sizes).checkpoint(eager=True)
     n = ranges.select(F.max("hi")).scalar()
     width = F.greatest(F.ceil(n / F.lit(bins)), F.lit(1)).cast("long")
     # explode each label range over the bins it touches: <= #labels + bins rows
