@@ -58,7 +58,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "
     known = df.select(F.col(id_col).alias("i"), F.col(text).alias("t"), F.col(lang).alias("y")) \
         .where(F.col("y").isNotNull() & F.col("i").isNotNull())
     got = bounded_sample(known, "i", rows, seed).toPandas()
-    got = got[[isinstance(t, str) and any(c.isalpha() for c in t) for t in got["t"]]].sort_values(["i", "t"])
+    spoken = np.array([isinstance(t, str) and any(c.isalpha() for c in t) for t in got["t"]], bool)
+    got = got.loc[spoken].sort_values(["i", "t"])
     langs = tuple(sorted(set(got["y"])))
     if not langs:
         return LanguageModel((), np.zeros((FEATURES.size, 1), np.float32), np.zeros(1), 1.0, 1.0)

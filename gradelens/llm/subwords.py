@@ -184,21 +184,33 @@ def train_logistic(rows, labels: np.ndarray, size: int, epochs: int = 10, rate:
     return (gain * w).astype(np.float32)[:, None], np.array([b])
 
 
-def platt(margin: np.ndarray, labels: np.ndarray, steps: int = 200) -> tuple[float, float]:
-    """Slope and offset that make ``1 / (1 + exp(-(a * margin + b)))`` a probability (damped Newton, smoothed targets)."""
+def platt(margin: np.ndarray, labels: np.ndarray, steps: int = 100) -> tuple[float, float]:
+    """Slope and offset that make ``1 / (1 + exp(-(a * margin + b)))`` a probability.
+
+    Newton steps with halving on the log loss against smoothed targets, on margins of unit spread.
+    """
+    spread = max(float(margin.std()), 1e-6)
+    x = margin / spread
     pos, neg = labels.sum(), (1 - labels).sum()
     t = np.where(labels == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    a, b = 1.0, 0.0
+
+    def loss(v):
+        z = v[0] * x + v[1]
+        return (np.logaddexp(0, z) - t * z).mean() + 1e-4 * v @ v
+
+    v = np.array([1.0, 0.0])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        g = np.array([((p - t) * margin).mean() + 1e-4 * (a - 1), (p - t).mean()])
-        s = p * (1 - p) + 1e-6
-        h = np.array([[(s * margin * margin).mean() + 1e-4, (s * margin).mean()], [(s * margin).mean(), s.mean() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        a, b = a - 0.5 * step[0], b - 0.5 * step[1]
-        if np.abs(step).max() < 1e-7:
+        p = 1 / (1 + np.exp(-np.clip(v[0] * x + v[1], -30, 30)))
+        g = np.array([((p - t) * x).mean(), (p - t).mean()]) + 2e-4 * v
+        s = p * (1 - p)
+        h = np.array([[(s * x * x).mean(), (s * x).mean()], [(s * x).mean(), s.mean()]]) + 2e-4 * np.eye(2)
+        step, size = np.linalg.solve(h, g), 1.0
+        while size > 1e-6 and loss(v - size * step) > loss(v):
+            size /= 2
+        v = v - size * step
+        if np.abs(size * step).max() < 1e-8:
             break
-    return float(max(a, 1e-3)), float(b)
+    return float(max(v[0], 1e-3) / spread), float(v[1])
 
 
 def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
