@@ -6,13 +6,13 @@ logarithmic scale of base ``SCALE``, truncated to one byte.  Registers of a unio
 merge; equal registers are as likely as the sets are similar, so they can be banded.
 
 1. Documents with equal sets (128-bit digest) are one class, named by its smallest id.
-2. Bands of ``BAND`` registers give buckets.  Every class is paired with the smallest class of each of its buckets;
-   the likelihood of the register pairs, given both set sizes, estimates their similarity, and each class verifies its best pair
-   on the full sets.  Pairs kept give first components.
-3. Buckets that still hold several components are compared further: members outside the bucket's largest component with all
-   members, in blocks of ``BLOCK`` rows, never two of one component.  Estimates at ``MARGIN`` below the threshold or higher
-   are verified on the full sets.  That is all that is left of the pairs in buckets, so no link between components is lost; pairs
-   inside one component are never listed, so a large group of copies costs its size, not its square.
+2. Bands of ``BAND`` registers give buckets.  Every class is paired with the smallest class of each of its buckets; the
+   likelihood of the register pairs, given both set sizes, estimates their similarity.  Pairs estimated at ``MARGIN`` below the threshold
+   or higher are verified on the full sets.  They give first components.
+3. Buckets of three or more that still hold several components are compared further: members outside the bucket's largest component
+   with all members, in blocks of ``BLOCK`` rows, never two of one component.  What is plausible asks for a cell (``CELL`` members) of
+   the other component, and asker and cell are compared on the full sets.  These are all the pairs left in buckets, so no link between
+   components is lost; pairs inside one component are never listed, so a large group of copies costs its size, not its square.
 
 A pair at similarity 0.8 shares a bucket but for a chance of (1 - 0.8^BAND)^BANDS = 1.3e-7.  The margin is about five standard
 deviations of the estimate.  Full sets are compared by 64-bit shingle hashes.
@@ -42,13 +42,13 @@ REGISTERS = BANDS * BAND
 SCALE = 1.105
 ZERO = 3.2
 EMPTY = 8.0
-#: Parameters of the search: words of a shingle, similarity in percent, margin of the estimate, rows of a block, filter bits.
+#: Parameters of the search: words of a shingle, similarity in percent, margin of the estimate, rows of a block and of a cell, filter bits.
 SHINGLE = 5
 PERCENT = 80
 MARGIN = 0.14
 BLOCK = 1024
+CELL = 256
 BITS_PER_ID, MAX_BITS = 12, 1 << 27
-SLICE = 4 << 20
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> list[np.ndarray]:
@@ -95,7 +95,7 @@ def signatures(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
     def run(batches):
         for b in batches:
             n, digests, regs = [], [], []
-            for _, _, data, at in T.slices(*T.utf8(b.column(1)), size=SLICE):
+            for _, _, data, at in T.slices(*T.utf8(b.column(1))):
                 sets = shingle_sets(data, at, k)
                 n += [len(s) for s in sets]
                 digests += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
@@ -154,9 +154,8 @@ def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, f"a {kind}, b {kind}, est double")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough.  Only texts whose id a Bloom filter of the pairs' ids knows shuffle."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct()
+def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(i, t) of the documents whose id a Bloom filter of ``ids`` knows: few others come along, so little text shuffles later."""
     hashes = ids.select(F.xxhash64("i").alias("h"))
     table = docs.sparkSession.sparkContext.broadcast(hash_filter(hashes, segments_for(ids.count(), BITS_PER_ID, MAX_BITS)))
     kind = docs.schema[id_col].dataType.simpleString()
@@ -166,9 +165,15 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, k: int,
             at = pa.array(np.flatnonzero(contains(table.value, b.column(2).to_numpy(zero_copy_only=False).view(np.uint64))))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["i", "t"])
 
-    texts = (docs.where(F.col(id_col).isNotNull())
-             .select(F.col(id_col).alias("i"), F.col(text).alias("t"), F.xxhash64(id_col).alias("h"))
-             .mapInArrow(known, f"i {kind}, t string"))
+    return (docs.where(F.col(id_col).isNotNull())
+            .select(F.col(id_col).alias("i"), F.col(text).alias("t"), F.xxhash64(id_col).alias("h"))
+            .mapInArrow(known, f"i {kind}, t string"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct(), docs, id_col, text)
     both = (pairs.select("a", "b").join(texts.select(F.col("i").alias("a"), F.col("t").alias("ta")), "a")
             .join(texts.select(F.col("i").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb"))
 
@@ -186,6 +191,60 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, k: int,
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def grouped(batches, names: list[str]):
+    """Consecutive rows with equal ``names`` as one table each, from batches in that order."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+        keys = [t.column(c).to_numpy() for c in names]
+        change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in keys])) + 1 if len(t) > 1 else []
+        edges = [0, *[int(x) for x in change]]
+        for lo, hi in zip(edges, edges[1:]):
+            yield t.slice(lo, hi - lo)
+        rest = t.slice(edges[-1])
+    if rest is not None and len(rest):
+        yield rest
+
+
+def verified_cells(demand: DataFrame, rooted: DataFrame, docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
+    """Links (a, b = root) of demanded (i, root, cell): a full set of the cell's members is similar enough to that of ``i``.
+
+    A cell has at most about ``CELL`` members; the rows that ask for one are dealt into parts of about as many, so no task
+    meets more than two such blocks, and every text goes to a block once, not once a pair.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    cells = stored(demand.groupBy("root", "cell").agg(F.ceil(F.count("*") / CELL).alias("parts")), "cells")
+    place = F.xxhash64("root", "cell", "part").alias("block")
+    mine = (rooted.join(cells, ["root", "cell"]).select("i", "root", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+            .select("i", "root", place, F.lit(0).alias("side")))
+    theirs = (demand.join(cells, ["root", "cell"]).select("i", "root", "cell", F.pmod(F.xxhash64("i"), F.col("parts")).alias("part"))
+              .select("i", "root", place, F.lit(1).alias("side")))
+    rows = stored(mine.union(theirs), "cell-rows")
+    texts = texts_of(rows.select("i").distinct(), docs, id_col, text)
+    dealt = rows.join(texts, "i").select("block", "side", "i", "root", "t").repartition("block").sortWithinPartitions("block", "side")
+
+    def run(batches):
+        for t in grouped(batches, ["block"]):
+            side = t.column("side").to_numpy()
+            cut = int((side == 0).sum())
+            sets = [_set_of(x, k) for x in t.column("t").to_pylist()]
+            if cut == 0 or cut == len(side):
+                continue
+            pool = np.concatenate(sets[:cut])
+            n = np.array([len(x) for x in sets[:cut]])
+            ptr = np.concatenate([[0], np.cumsum(n)])
+            found = []
+            for r in range(cut, len(side)):
+                common = T.row_sums(np.isin(pool, sets[r]).astype(np.int64), ptr)
+                if (common * 100 >= percent * (n + len(sets[r]) - common)).any():
+                    found.append(r)
+            at = pa.array(found, pa.int64())
+            yield from pa.table([t.column("i").take(at), t.column("root").take(at)], names=["a", "b"]).to_batches()
+
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+
+
 def _set_of(text: str | None, k: int) -> np.ndarray:
     data = np.frombuffer((text or "").encode(), np.uint8)
     return shingle_sets(data, np.array([0, len(data)]), k)[0]
@@ -224,24 +283,24 @@ def components(edges: DataFrame) -> DataFrame:
     return label if label is not None else edges.select(F.col("a").alias("i"), F.col("b").alias("root"))
 
 
-def mixed_members(bands: DataFrame, buckets: DataFrame, label: DataFrame) -> DataFrame:
-    """(key, band, i, root, minor, n_minor, size) of the members of buckets of three or more that hold several components.
+def mixed_members(bands: DataFrame, buckets: DataFrame, rooted: DataFrame) -> DataFrame:
+    """(key, band, i, root, cell, minor, n_minor, size) of the members of buckets of three or more that hold several components.
 
     Minor members are those outside the bucket's largest component.
     """
-    large = bands.join(buckets.where(F.col("size") > 2).select("key", "size"), "key")
-    rooted = stored(large.join(label, "i", "left").select("key", "band", "i", "size", F.coalesce("root", "i").alias("root")), "members")
-    main = (rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key")
+    large = bands.join(buckets.where(F.col("size") > 2).select("key"), "key")
+    members = stored(large.join(rooted, "i").select("key", "band", "i", "root", "cell"), "members")
+    main = (members.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key")
             .agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("size")).where(F.col("m.c") < F.col("size"))
-            .select("key", F.col("m.root").alias("main"), (F.col("size") - F.col("m.c")).alias("n_minor")))
-    return (rooted.join(stored(main, "mixed"), "key")
-            .select("key", "band", "i", "root", (F.col("root") != F.col("main")).alias("minor"), "n_minor", "size"))
+            .select("key", F.col("m.root").alias("main"), (F.col("size") - F.col("m.c")).alias("n_minor"), "size"))
+    return (members.join(stored(main, "mixed"), "key")
+            .select("key", "band", "i", "root", "cell", (F.col("root") != F.col("main")).alias("minor"), "n_minor", "size"))
 
 
-def block_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Plausible pairs (a, b) of different components within the mixed buckets, block by block.
+def demanded_cells(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(i, root, cell): minor members and the cells of other components that hold a plausible partner, block by block.
 
-    A pair is listed in the first band that it shares only.
+    A pair is looked at in the first band that it shares only.
     """
     kind = nodes.schema["i"].dataType.simpleString()
     least = percent / 100 - MARGIN
@@ -249,63 +308,40 @@ def block_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     n_all, n_minor = F.ceil(F.col("size") / BLOCK), F.ceil(F.col("n_minor") / BLOCK)
     full = members.join(nodes.select("i", "n", "sketch"), "i")
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    left = full.where("minor").select("key", (spot % n_minor).alias("x"), F.explode(upto(n_all)).alias("y"), F.lit(0).alias("side"), "band", "i", "root", "minor", "n", "sketch")
-    right = full.select("key", F.explode(upto(n_minor)).alias("x"), (spot % n_all).alias("y"), F.lit(1).alias("side"), "band", "i", "root", "minor", "n", "sketch")
+    rest = ["band", "i", "root", "cell", "minor", "n", "sketch"]
+    left = full.where("minor").select("key", (spot % n_minor).alias("x"), F.explode(upto(n_all)).alias("y"), F.lit(0).alias("side"), *rest)
+    right = full.select("key", F.explode(upto(n_minor)).alias("x"), (spot % n_all).alias("y"), F.lit(1).alias("side"), *rest)
     rows = left.union(right).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side")
 
-    def group_pairs(t: pa.Table):
-        """(ids, ids, registers larger, smaller, sizes, sizes) of one block's pairs that share at least half of their registers."""
+    def demands(t: pa.Table):
+        """(asking row, asked row) numbers of one block's plausible pairs, one for each asking row and asked cell."""
         side = t.column("side").to_numpy()
         cut = int((side == 0).sum())
-        if cut == 0 or cut == len(side):
-            return []
         ids = np.array(t.column("i").to_pylist())
         _, root = np.unique(np.array(t.column("root").to_pylist()), return_inverse=True)
-        minor, n, band = t.column("minor").to_numpy(), t.column("n").to_numpy(), int(t.column("band")[0].as_py())
+        minor, n, band, cell = (t.column(c).to_numpy() for c in ("minor", "n", "band", "cell"))
         regs = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(side), REGISTERS)
-        out = []
         for p in range(cut):
             q = np.arange(cut, len(side))
             q = q[(root[q] != root[p]) & sizes_allow(n[q], n[p], percent) & (~minor[q] | (ids[q] > ids[p]))]
             same = regs[q] == regs[p]
-            first = same.reshape(len(q), BANDS, BAND).all(2).argmax(1) == band
+            first = same.reshape(len(q), BANDS, BAND).all(2).argmax(1) == band[p]
             q = q[first & (2 * same.sum(1) >= REGISTERS)]
             if len(q):
-                out.append((np.repeat(ids[p], len(q)), ids[q], (regs[p] > regs[q]).sum(1), (regs[p] < regs[q]).sum(1),
-                            np.repeat(n[p], len(q)), n[q]))
-        return out
+                est = similarity((regs[p] > regs[q]).sum(1), (regs[p] < regs[q]).sum(1), np.full(len(q), n[p]), n[q])
+                q = q[est >= least]
+                _, one = np.unique(root[q] * (1 << 32) + cell[q], return_index=True)
+                yield from ((p, x) for x in q[one])
 
     def run(batches):
-        rest = None
-        names = ["key", "x", "y"]
-
-        def flush(t, final):
-            keys = [t.column(c).to_numpy() for c in names]
-            change = np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1 if len(t) else np.zeros(0, int)
-            edges = [0, *change.tolist(), len(t)]
-            last = len(edges) - 1 if final else len(edges) - 2
-            found = [x for lo, hi in zip(edges[:last], edges[1:last + 1]) for x in group_pairs(t.slice(lo, hi - lo))]
-            pairs = (np.zeros(0), np.zeros(0))
+        for t in grouped(batches, ["key", "x", "y"]):
+            found = list(demands(t))
             if found:
-                one, two, more, less, nu, nv = (np.concatenate(c) for c in zip(*found))
-                keep = similarity(more, less, nu, nv) >= least
-                pairs = (one[keep], two[keep])
-            return as_batch(*pairs), t.slice(edges[last]) if not final else None
-
-        for b in batches:
-            t = pa.Table.from_batches([b]).combine_chunks()
-            t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
-            found, rest = flush(t, False)
-            yield found
-        if rest is not None and len(rest):
-            yield flush(rest, True)[0]
-
-    arrow_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-    def as_batch(one, two):
-        return pa.RecordBatch.from_arrays([pa.array(one.tolist(), arrow_kind), pa.array(two.tolist(), arrow_kind)], names=["a", "b"])
+                asking, asked = (pa.array(c, pa.int64()) for c in zip(*found))
+                yield from pa.table([t.column("i").take(asking), t.column("root").take(asked), t.column("cell").take(asked)],
+                                    names=["i", "root", "cell"]).to_batches()
 
-    return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return rows.mapInArrow(run, f"i {kind}, root {kind}, cell long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -319,24 +355,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     stars = (bands.join(buckets.select("key", "lead"), "key").where(F.col("i") != F.col("lead"))
              .select(F.col("i").alias("a"), F.col("lead").alias("b")).distinct())
     plausible = stored(estimated(stars, nodes, percent), "plausible")
-    best = stored(plausible.groupBy("a").agg(F.max(F.struct("est", "b")).alias("m")).select("a", F.col("m.b").alias("b")), "best")
-    label = components(verified(best, docs, id_col, text, k, percent))
-
-    def root_of(df, name, out):
-        return df.join(label.select(F.col("i").alias(name), F.col("root").alias(out)), name, "left").withColumn(out, F.coalesce(out, name))
-
-    open_stars = root_of(root_of(plausible.select("a", "b").join(best, ["a", "b"], "left_anti"), "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
-    blocks = block_pairs(mixed_members(bands, buckets, label), nodes, percent)
-    rest = stored(open_stars.union(blocks).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
-    links = verified(rest, docs, id_col, text, k, percent)
-    over = components(root_of(root_of(links, "a", "ra"), "b", "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-
-    rooted = (classes.join(label.select(F.col("i").alias("class"), "root"), "class", "left").select("digest", "class", F.coalesce("root", "class").alias("root"))
-              .join(over.select(F.col("i").alias("root"), F.col("root").alias("next")), "root", "left")
-              .select("digest", "class", F.coalesce("next", "root").alias("root")))
-    rooted = stored(rooted, "rooted")
-    smallest = stored(rooted.groupBy("root").agg(F.min("class").alias("component_id")), "smallest")
-    member = stored(rooted.join(smallest, "root").select("digest", "component_id"), "membership")
+    label = components(verified(plausible, docs, id_col, text, k, percent))
+    named = stored(nodes.select("i").distinct().join(label, "i", "left").select("i", F.coalesce("root", "i").alias("root")), "named")
+    sized = named.groupBy("root").agg(F.ceil(F.count("*") / CELL).alias("cells"))
+    rooted = stored(named.join(sized, "root").select("i", "root", F.pmod(F.xxhash64(F.col("i"), F.lit(2)), F.col("cells")).alias("cell")), "rooted")
+    demand = stored(demanded_cells(mixed_members(bands, buckets, rooted), nodes, percent), "demand")
+    links = verified_cells(demand, rooted, docs, id_col, text, k, percent)
+    asker = rooted.select(F.col("i").alias("a"), F.col("root").alias("ra"))
+    over = components(links.join(asker, "a").select(F.col("ra").alias("a"), "b"))
+
+    final = stored(classes.join(rooted.select(F.col("i").alias("class"), "root"), "class")
+                   .join(over.select(F.col("i").alias("root"), F.col("root").alias("next")), "root", "left")
+                   .select("digest", "class", F.coalesce("next", "root").alias("root")), "final")
+    smallest = stored(final.groupBy("root").agg(F.min("class").alias("component_id")), "smallest")
+    member = stored(final.join(smallest, "root").select("digest", "component_id"), "membership")
     return (signed.select("i", "n", "digest").join(member, "digest", "left")
             .select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "i").alias("component_id"))
             .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull())))

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 MASK = (1 << 64) - 1
 U64 = np.uint64
 
@@ -55,7 +55,7 @@ def powers(base: int, n: int) -> np.ndarray:
     if have is None or len(have) < n:
         size = max(1 << 16, 1 << (n - 1).bit_length())
         have = np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full(size - 1, base, U64)]))
-        if size <= 4 * SLICE:
+        if size <= SLICE:
             _powers[base] = have
     return have[:n]
 

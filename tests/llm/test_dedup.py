@@ -130,6 +130,7 @@ def test_near_duplicates_blocks_of_any_size(spark, monkeypatch):
     rows = list(enumerate(near_copies(rng, 120, edits=40)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(setsketch, "BLOCK", 8)
+    monkeypatch.setattr(setsketch, "CELL", 5)
     got = setsketch.near_duplicates(df, k=2).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 2)
 
