@@ -1,13 +1,27 @@
-"""Add columns to a DataFrame from a function over Arrow batches."""
+"""Functions over Arrow batches as DataFrame steps, with batches of bounded size."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as ST
 
+#: Parameter: most bytes of an Arrow batch.  Spark's default of 64 MB is held several times over, in the JVM and in Python.
+BATCH_BYTES = 16 << 20
+SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_batches(df: DataFrame, fn, schema) -> DataFrame:
+    """``df.mapInArrow`` with the session's Arrow batches held to ``BATCH_BYTES`` (a smaller setting stays)."""
+    conf = df.sparkSession.conf
+    size, unit = re.fullmatch(r"(-?\d+)\s*([kmg]?)i?b?", conf.get(SETTING).strip().lower()).groups()
+    if not 0 < int(size) * {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[unit] <= BATCH_BYTES:
+        conf.set(SETTING, f"{BATCH_BYTES}b")
+    return df.mapInArrow(fn, schema)
+
 
 def add_columns(df: DataFrame, new: dict[str, str], fn: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
     """``df`` with the columns ``new`` (name → type) that ``fn`` computes for each Arrow batch.
@@ -25,4 +39,4 @@ def add_columns(df: DataFrame, new: dict[str, str], fn: Callable[[pa.RecordBatch
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(i) for i in positions] + fn(b), names=names)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)

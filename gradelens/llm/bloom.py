@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradelens.llm import text as T
+from gradelens.llm.arrow import map_batches
 
 SEGMENT_BITS = 1 << 20
 PROBES = 4
@@ -66,5 +67,5 @@ def hash_filter(hashes: DataFrame, segments: int) -> np.ndarray:
 
     # bigint arithmetic of segment_of: an unsigned shift, then the remainder
     part = F.shiftrightunsigned(F.col(hashes.columns[0]), 40) % segments
-    rows = hashes.repartition(segments, part).mapInArrow(run, "segment int, bits binary")
+    rows = map_batches(hashes.repartition(segments, part), run, "segment int, bits binary")
     return gathered(rows, segments)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradelens.llm import text as T
-from gradelens.llm.arrow import add_columns
+from gradelens.llm.arrow import add_columns, map_batches
 from gradelens.llm.shared import stored
 
 #: Parameters: words of a window, windows of a broadcast block (about 150 bytes each).
@@ -59,7 +59,7 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "
                 names=["k", "h", "item", "words"])
 
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, WINDOWS).distinct()
+    return map_batches(rows, run, WINDOWS).distinct()
 
 
 @dataclass(frozen=True)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradelens.llm import text as T
-from gradelens.llm.arrow import add_columns
+from gradelens.llm.arrow import add_columns, map_batches
 from gradelens.llm.bloom import SEGMENT_BITS, contains, gathered, packed_row, probes, segment_of, segments_for
 from gradelens.llm.shared import stored
 
@@ -82,8 +82,8 @@ def line_hashes(docs: DataFrame, id_col: str, text: str, segments: int, min_char
             yield pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), *(pa.array(p, pa.binary()) for p in packed)],
                                              names=["segment", "once", "twice"])
 
-    return (docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text).alias("t"))
-            .mapInArrow(run, "segment int, once binary, twice binary"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text).alias("t"))
+    return map_batches(rows, run, "segment int, once binary, twice binary")
 
 
 def twice_seen(hashes: DataFrame, segments: int) -> np.ndarray:
@@ -108,7 +108,7 @@ def twice_seen(hashes: DataFrame, segments: int) -> np.ndarray:
         for s, bits in second.items():
             yield packed_row(s, bits)
 
-    return gathered(hashes.repartition(segments, "segment").mapInArrow(run, "segment int, bits binary"), segments)
+    return gathered(map_batches(hashes.repartition(segments, "segment"), run, "segment int, bits binary"), segments)
 
 
 def suspects(docs: DataFrame, id_col: str, text: str, bits: np.ndarray, min_chars: int) -> DataFrame:
@@ -129,8 +129,8 @@ def suspects(docs: DataFrame, id_col: str, text: str, bits: np.ndarray, min_char
                 [b.column(0).take(pa.array(np.array(rows, np.int64)[at])), pa.array([digest(keys[j]) for j in at], pa.binary())],
                 names=["i", "digest"])
 
-    return (docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text).alias("t"))
-            .mapInArrow(run, f"i {kind.simpleString()}, digest binary"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text).alias("t"))
+    return map_batches(rows, run, f"i {kind.simpleString()}, digest binary")
 
 
 def digest(key: bytes) -> bytes:

@@ -9,10 +9,11 @@ merge; equal registers are as likely as the sets are similar, so they can be ban
 2. Bands of ``BAND`` registers give buckets.  Every class is paired with the smallest class of each of its buckets; the
    likelihood of the register pairs, given both set sizes, estimates their similarity.  Pairs estimated at ``MARGIN`` below the threshold
    or higher are verified on the full sets.  They give first components.
-3. Buckets of three or more that still hold several components are compared further: members outside the bucket's largest component
-   with all members, in blocks of ``BLOCK`` rows, never two of one component.  What is plausible asks for a cell (``CELL`` members) of
-   the other component, and asker and cell are compared on the full sets.  These are all the pairs left in buckets, so no link between
-   components is lost; pairs inside one component are never listed, so a large group of copies costs its size, not its square.
+3. Buckets of three or more that still hold several components are compared further.  A component of more than ``CELL`` members is
+   dealt into cells and stands in a bucket by its cells; members of smaller ones stand for themselves and are compared by their
+   registers, in blocks of ``BLOCK`` rows.  What is plausible asks for the other component's cell, and asker and cell are compared by
+   registers and then on the full sets.  These are all the pairs left in buckets, so no link between components is lost; pairs inside one
+   component are never listed, so a large group of copies costs its size, not its square.
 
 A pair at similarity 0.8 shares a bucket but for a chance of (1 - 0.8^BAND)^BANDS = 1.3e-7.  The margin is about five standard
 deviations of the estimate.  Full sets are compared by 64-bit shingle hashes.
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradelens.llm import text as T
+from gradelens.llm.arrow import map_batches
 from gradelens.llm.bloom import contains, hash_filter, segments_for
 from gradelens.llm.shared import stored
 
@@ -103,8 +105,8 @@ def signatures(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())],
                                              names=["i", "n", "digest", "sketch"])
 
-    return (docs.select(F.col(id_col).alias("i"), F.col(text).alias("t"))
-            .mapInArrow(run, f"i {kind.simpleString()}, n long, digest binary, sketch binary"))
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t"))
+    return map_batches(rows, run, f"i {kind.simpleString()}, n long, digest binary, sketch binary")
 
 
 GRID = np.linspace(0.3, 1.0, 71)
@@ -151,7 +153,7 @@ def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             at = pa.array(np.flatnonzero(sizes_allow(na, nb, percent) & (est >= least)))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(est).take(at)], names=["a", "b", "est"])
 
-    return both.mapInArrow(run, f"a {kind}, b {kind}, est double")
+    return map_batches(both, run, f"a {kind}, b {kind}, est double")
 
 
 def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -165,9 +167,8 @@ def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFra
             at = pa.array(np.flatnonzero(contains(table.value, b.column(2).to_numpy(zero_copy_only=False).view(np.uint64))))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["i", "t"])
 
-    return (docs.where(F.col(id_col).isNotNull())
-            .select(F.col(id_col).alias("i"), F.col(text).alias("t"), F.xxhash64(id_col).alias("h"))
-            .mapInArrow(known, f"i {kind}, t string"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text).alias("t"), F.xxhash64(id_col).alias("h"))
+    return map_batches(rows, known, f"i {kind}, t string")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
@@ -188,7 +189,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, k: int,
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["a", "b"])
 
-    return both.mapInArrow(run, f"a {kind}, b {kind}")
+    return map_batches(both, run, f"a {kind}, b {kind}")
 
 
 def grouped(batches, names: list[str]):
@@ -228,21 +229,24 @@ def verified_cells(demand: DataFrame, rooted: DataFrame, docs: DataFrame, id_col
         for t in grouped(batches, ["block"]):
             side = t.column("side").to_numpy()
             cut = int((side == 0).sum())
-            sets = [_set_of(x, k) for x in t.column("t").to_pylist()]
             if cut == 0 or cut == len(side):
                 continue
-            pool = np.concatenate(sets[:cut])
-            n = np.array([len(x) for x in sets[:cut]])
-            ptr = np.concatenate([[0], np.cumsum(n)])
+            sets = [_set_of(x, k) for x in t.column("t").to_pylist()]
+            regs, n = sketches(sets), np.array([len(x) for x in sets])
             found = []
             for r in range(cut, len(side)):
-                common = T.row_sums(np.isin(pool, sets[r]).astype(np.int64), ptr)
-                if (common * 100 >= percent * (n + len(sets[r]) - common)).any():
-                    found.append(r)
+                q = np.flatnonzero(sizes_allow(n[:cut], n[r], percent) & (2 * (regs[:cut] == regs[r]).sum(1) >= REGISTERS))
+                est = similarity((regs[q] > regs[r]).sum(1), (regs[q] < regs[r]).sum(1), n[q], np.full(len(q), n[r]))
+                q = q[est >= percent / 100 - MARGIN]
+                for x in q[np.argsort(-est[est >= percent / 100 - MARGIN])]:
+                    common = len(np.intersect1d(sets[x], sets[r], assume_unique=True))
+                    if 100 * common >= percent * (n[x] + n[r] - common):
+                        found.append(r)
+                        break
             at = pa.array(found, pa.int64())
             yield from pa.table([t.column("i").take(at), t.column("root").take(at)], names=["a", "b"]).to_batches()
 
-    return dealt.mapInArrow(run, f"a {kind}, b {kind}").distinct()
+    return map_batches(dealt, run, f"a {kind}, b {kind}").distinct()
 
 
 def _set_of(text: str | None, k: int) -> np.ndarray:
@@ -250,11 +254,26 @@ def _set_of(text: str | None, k: int) -> np.ndarray:
     return shingle_sets(data, np.array([0, len(data)]), k)[0]
 
 
-def band_keys(nodes: DataFrame) -> DataFrame:
-    """(i, band, key): one bucket key per class and band."""
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
-                       lambda b: F.xxhash64(b, F.substring(F.col("sketch"), b * BAND + 1, F.lit(BAND))))
-    return nodes.select("i", F.posexplode(keys).alias("band", "key"))
+def keys_of(regs: np.ndarray) -> np.ndarray:
+    """Rows x bands: the bucket keys of sketches (a hash of the band's number and registers)."""
+    bands = regs.reshape(len(regs), BANDS, BAND).astype(np.uint64)
+    key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(regs), BANDS)).copy()
+    for j in range(BAND):
+        key = T.mix(key * T.U64(T.BASE) + bands[:, :, j])
+    return key
+
+
+def band_rows(nodes: DataFrame) -> DataFrame:
+    """(i, key): one bucket key per class and band."""
+    kind = nodes.schema["i"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            key = keys_of(registers(b.column(1)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.repeat(np.arange(len(b)), BANDS))), pa.array(key.ravel().view(np.int64))],
+                                             names=["i", "key"])
+
+    return map_batches(nodes.select("i", "sketch"), run, f"i {kind}, key long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -283,55 +302,99 @@ def components(edges: DataFrame) -> DataFrame:
     return label if label is not None else edges.select(F.col("a").alias("i"), F.col("b").alias("root"))
 
 
-def mixed_members(bands: DataFrame, buckets: DataFrame, rooted: DataFrame) -> DataFrame:
-    """(key, band, i, root, cell, minor, n_minor, size) of the members of buckets of three or more that hold several components.
+def key_filter(keys: DataFrame):
+    """A broadcast Bloom filter of bucket keys."""
+    return keys.sparkSession.sparkContext.broadcast(hash_filter(keys, segments_for(keys.count(), BITS_PER_ID, MAX_BITS)))
 
-    Minor members are those outside the bucket's largest component.
-    """
-    large = bands.join(buckets.where(F.col("size") > 2).select("key"), "key")
-    members = stored(large.join(rooted, "i").select("key", "band", "i", "root", "cell"), "members")
-    main = (members.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key")
-            .agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("size")).where(F.col("m.c") < F.col("size"))
-            .select("key", F.col("m.root").alias("main"), (F.col("size") - F.col("m.c")).alias("n_minor"), "size"))
-    return (members.join(stored(main, "mixed"), "key")
-            .select("key", "band", "i", "root", "cell", (F.col("root") != F.col("main")).alias("minor"), "n_minor", "size"))
 
+def mixed_keys(tagged: DataFrame, large) -> DataFrame:
+    """(key) of the buckets that the filter ``large`` knows and that hold several components."""
+    kind = tagged.schema["root"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            key = keys_of(registers(b.column(1)))
+            row, band = np.nonzero(contains(large.value, key.ravel()).reshape(key.shape))
+            root = b.column(0).take(pa.array(row))
+            yield from (pa.table([pa.array(key[row, band].view(np.int64)), root], names=["key", "root"])
+                        .group_by(["key", "root"]).aggregate([]).to_batches())
+
+    rows = map_batches(tagged.select("root", "sketch"), run, f"key long, root {kind}")
+    return rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
 
-def demanded_cells(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(i, root, cell): minor members and the cells of other components that hold a plausible partner, block by block.
 
-    A pair is looked at in the first band that it shares only.
+def mixed_rows(tagged: DataFrame, mixed) -> DataFrame:
+    """(key, band, i, root, cell, n, sketch) of mixed buckets: members of small components, and each cell of a big one once a batch.
+
+    A cell's row has no i and no sketch, so a big component costs a bucket its cells, not its members.
     """
-    kind = nodes.schema["i"].dataType.simpleString()
+    kind = tagged.schema["i"].dataType.simpleString()
+    columns = ["i", "root", "cell", "n", "sketch", "big"]
+
+    def run(batches):
+        for b in batches:
+            key = keys_of(registers(b.column(4)))
+            row, band = np.nonzero(contains(mixed.value, key.ravel()).reshape(key.shape))
+            big = b.column(5).to_numpy(zero_copy_only=False)[row]
+            t = pa.Table.from_batches([b]).select(columns[:5]).take(pa.array(row))
+            t = t.append_column("key", pa.array(key[row, band].view(np.int64))).append_column("band", pa.array(band.astype(np.int32)))
+            names = ["key", "band", "i", "root", "cell", "n", "sketch"]
+            yield from t.filter(pa.array(~big)).select(names).to_batches()
+            cells = t.filter(pa.array(big)).group_by(["key", "band", "root", "cell"]).aggregate([])
+            none = [pa.nulls(len(cells), t.schema.field(c).type) for c in ("i", "n", "sketch")]
+            for c, v in zip(("i", "n", "sketch"), none):
+                cells = cells.append_column(c, v)
+            yield from cells.select(names).to_batches()
+
+    return map_batches(tagged.select(*columns), run, f"key long, band int, i {kind}, root {kind}, cell long, n long, sketch binary")
+
+
+def demanded_cells(rows: DataFrame, percent: int) -> DataFrame:
+    """(i, root, cell): members of small components and the cells of other components that they may be linked with.
+
+    Small members are compared by their registers, block by block, in the first band that a pair shares only; every cell of a big
+    component in the bucket is asked.
+    """
+    kind = rows.schema["i"].dataType.simpleString()
     least = percent / 100 - MARGIN
-    spot = F.pmod(F.xxhash64(F.col("i"), F.lit(1)), F.lit(1 << 30))
-    n_all, n_minor = F.ceil(F.col("size") / BLOCK), F.ceil(F.col("n_minor") / BLOCK)
-    full = members.join(nodes.select("i", "n", "sketch"), "i")
+    spot = F.pmod(F.xxhash64("i", "root", "cell"), F.lit(1 << 30))
+    sized = rows.groupBy("key").agg(F.count("i").alias("n_small"), F.count("*").alias("size")).where((F.col("n_small") > 0) & (F.col("size") > 1))
+    blocks = sized.select("key", F.ceil(F.col("size") / BLOCK).alias("n_all"), F.ceil(F.col("n_small") / BLOCK).alias("n_ask"))
+    full = rows.join(blocks, "key")
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    rest = ["band", "i", "root", "cell", "minor", "n", "sketch"]
-    left = full.where("minor").select("key", (spot % n_minor).alias("x"), F.explode(upto(n_all)).alias("y"), F.lit(0).alias("side"), *rest)
-    right = full.select("key", F.explode(upto(n_minor)).alias("x"), (spot % n_all).alias("y"), F.lit(1).alias("side"), *rest)
-    rows = left.union(right).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side")
+    rest = ["band", "i", "root", "cell", "n", "sketch"]
+    left = full.where(F.col("i").isNotNull()).select("key", (spot % F.col("n_ask")).alias("x"), F.explode(upto(F.col("n_all"))).alias("y"), F.lit(0).alias("side"), *rest)
+    right = full.select("key", F.explode(upto(F.col("n_ask"))).alias("x"), (spot % F.col("n_all")).alias("y"), F.lit(1).alias("side"), *rest)
+    dealt = left.union(right).repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "side")
 
     def demands(t: pa.Table):
-        """(asking row, asked row) numbers of one block's plausible pairs, one for each asking row and asked cell."""
+        """(asking row, asked row) numbers of one block, one for each asking row and asked cell."""
         side = t.column("side").to_numpy()
         cut = int((side == 0).sum())
-        ids = np.array(t.column("i").to_pylist())
+        if cut == 0:
+            return
         _, root = np.unique(np.array(t.column("root").to_pylist()), return_inverse=True)
-        minor, n, band, cell = (t.column(c).to_numpy() for c in ("minor", "n", "band", "cell"))
-        regs = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(side), REGISTERS)
+        cell, big = t.column("cell").to_numpy(), np.array([x is None for x in t.column("i").to_pylist()])
+        small = np.flatnonzero(~big)
+        ids, n, band = (np.array(t.column(c).take(pa.array(small)).to_pylist()) for c in ("i", "n", "band"))
+        regs = registers(t.column("sketch").take(pa.array(small)).combine_chunks())
+        place = np.zeros(len(side), np.int64)
+        place[small] = np.arange(len(small))
+        cells = np.flatnonzero(big)
         for p in range(cut):
-            q = np.arange(cut, len(side))
-            q = q[(root[q] != root[p]) & sizes_allow(n[q], n[p], percent) & (~minor[q] | (ids[q] > ids[p]))]
-            same = regs[q] == regs[p]
-            first = same.reshape(len(q), BANDS, BAND).all(2).argmax(1) == band[p]
-            q = q[first & (2 * same.sum(1) >= REGISTERS)]
+            me = place[p]
+            q = small[small >= cut]
+            o = place[q]
+            ok = (root[q] != root[p]) & sizes_allow(n[o], n[me], percent) & (ids[o] > ids[me])
+            q, o = q[ok], o[ok]
+            same = regs[o] == regs[me]
+            first = same.reshape(len(o), BANDS, BAND).all(2).argmax(1) == band[me]
+            near = first & (2 * same.sum(1) >= REGISTERS)
+            q, o = q[near], o[near]
             if len(q):
-                est = similarity((regs[p] > regs[q]).sum(1), (regs[p] < regs[q]).sum(1), np.full(len(q), n[p]), n[q])
+                est = similarity((regs[me] > regs[o]).sum(1), (regs[me] < regs[o]).sum(1), np.full(len(o), n[me]), n[o])
                 q = q[est >= least]
-                _, one = np.unique(root[q] * (1 << 32) + cell[q], return_index=True)
-                yield from ((p, x) for x in q[one])
+            yield from ((p, x) for x in np.concatenate([q, cells]))
 
     def run(batches):
         for t in grouped(batches, ["key", "x", "y"]):
@@ -341,7 +404,16 @@ def demanded_cells(members: DataFrame, nodes: DataFrame, percent: int) -> DataFr
                 yield from pa.table([t.column("i").take(asking), t.column("root").take(asked), t.column("cell").take(asked)],
                                     names=["i", "root", "cell"]).to_batches()
 
-    return rows.mapInArrow(run, f"i {kind}, root {kind}, cell long").distinct()
+    return map_batches(dealt, run, f"i {kind}, root {kind}, cell long").distinct()
+
+
+def big_demands(rows: DataFrame, rooted: DataFrame) -> DataFrame:
+    """(i, root, cell) for cells of two big components in one bucket: all members of the one ask the other."""
+    cells = rows.where(F.col("i").isNull()).select("key", "root", "cell").distinct()
+    one = cells.select("key", F.col("root").alias("r1"), F.col("cell").alias("c1"))
+    pairs = one.join(cells, "key").where(F.col("r1") < F.col("root")).select("r1", "c1", "root", "cell").distinct()
+    members = rooted.select("i", F.col("root").alias("r1"), F.col("cell").alias("c1"))
+    return pairs.join(members, ["r1", "c1"]).select("i", "root", "cell")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -350,16 +422,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     classes = stored(signed.where(F.col("digest").isNotNull() & F.col("i").isNotNull()).groupBy("digest").agg(F.min("i").alias("class")), "classes")
     first = classes.select(F.col("class").alias("i"), F.col("digest").alias("d"))
     nodes = stored(signed.join(first, "i").where(F.col("digest") == F.col("d")).select("i", "n", "sketch").distinct(), "nodes")
-    bands = band_keys(nodes)
+    bands = band_rows(nodes)
     buckets = stored(bands.groupBy("key").agg(F.min("i").alias("lead"), F.count("*").alias("size")).where(F.col("size") > 1), "buckets")
     stars = (bands.join(buckets.select("key", "lead"), "key").where(F.col("i") != F.col("lead"))
              .select(F.col("i").alias("a"), F.col("lead").alias("b")).distinct())
     plausible = stored(estimated(stars, nodes, percent), "plausible")
     label = components(verified(plausible, docs, id_col, text, k, percent))
     named = stored(nodes.select("i").distinct().join(label, "i", "left").select("i", F.coalesce("root", "i").alias("root")), "named")
-    sized = named.groupBy("root").agg(F.ceil(F.count("*") / CELL).alias("cells"))
-    rooted = stored(named.join(sized, "root").select("i", "root", F.pmod(F.xxhash64(F.col("i"), F.lit(2)), F.col("cells")).alias("cell")), "rooted")
-    demand = stored(demanded_cells(mixed_members(bands, buckets, rooted), nodes, percent), "demand")
+    sized = named.groupBy("root").agg(F.count("*").alias("members"))
+    rooted = stored(named.join(sized, "root").select("i", "root", F.pmod(F.xxhash64(F.col("i"), F.lit(2)), F.ceil(F.col("members") / CELL)).alias("cell"),
+                                                     (F.col("members") > CELL).alias("big")), "rooted")
+    tagged = stored(nodes.join(rooted, "i").select("i", "root", "cell", "n", "sketch", "big"), "tagged")
+    mixed = stored(mixed_keys(tagged, key_filter(buckets.where("size > 2").select("key"))), "mixed")
+    found = stored(mixed_rows(tagged, key_filter(mixed)), "mixed-rows")
+    rows = found.where(F.col("i").isNotNull()).union(found.where(F.col("i").isNull()).distinct())
+    demand = stored(demanded_cells(rows, percent).union(big_demands(rows, rooted)), "demand")
     links = verified_cells(demand, rooted, docs, id_col, text, k, percent)
     asker = rooted.select(F.col("i").alias("a"), F.col("root").alias("ra"))
     over = components(links.join(asker, "a").select(F.col("ra").alias("a"), "b"))
