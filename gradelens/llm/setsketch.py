@@ -174,7 +174,7 @@ def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text: str) -> DataFra
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text: str, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("i")).distinct(), docs, id_col, text)
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("i")), docs, id_col, text)
     both = (pairs.select("a", "b").join(texts.select(F.col("i").alias("a"), F.col("t").alias("ta")), "a")
             .join(texts.select(F.col("i").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb"))
 
@@ -222,7 +222,7 @@ def verified_cells(demand: DataFrame, rooted: DataFrame, docs: DataFrame, id_col
     theirs = (demand.join(cells, ["root", "cell"]).select("i", "root", "cell", F.pmod(F.xxhash64("i"), F.col("parts")).alias("part"))
               .select("i", "root", place, F.lit(1).alias("side")))
     rows = stored(mine.union(theirs), "cell-rows")
-    texts = texts_of(rows.select("i").distinct(), docs, id_col, text)
+    texts = texts_of(rows.select("i"), docs, id_col, text)
     dealt = rows.join(texts, "i").select("block", "side", "i", "root", "t").repartition("block").sortWithinPartitions("block", "side")
 
     def run(batches):
@@ -307,24 +307,8 @@ def key_filter(keys: DataFrame):
     return keys.sparkSession.sparkContext.broadcast(hash_filter(keys, segments_for(keys.count(), BITS_PER_ID, MAX_BITS)))
 
 
-def mixed_keys(tagged: DataFrame, large) -> DataFrame:
-    """(key) of the buckets that the filter ``large`` knows and that hold several components."""
-    kind = tagged.schema["root"].dataType.simpleString()
-
-    def run(batches):
-        for b in batches:
-            key = keys_of(registers(b.column(1)))
-            row, band = np.nonzero(contains(large.value, key.ravel()).reshape(key.shape))
-            root = b.column(0).take(pa.array(row))
-            yield from (pa.table([pa.array(key[row, band].view(np.int64)), root], names=["key", "root"])
-                        .group_by(["key", "root"]).aggregate([]).to_batches())
-
-    rows = map_batches(tagged.select("root", "sketch"), run, f"key long, root {kind}")
-    return rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-
-
-def mixed_rows(tagged: DataFrame, mixed) -> DataFrame:
-    """(key, band, i, root, cell, n, sketch) of mixed buckets: members of small components, and each cell of a big one once a batch.
+def bucket_rows(tagged: DataFrame, large) -> DataFrame:
+    """(key, band, i, root, cell, n, sketch) of the buckets that the filter ``large`` knows: members of small components, each cell of a big one once a batch.
 
     A cell's row has no i and no sketch, so a big component costs a bucket its cells, not its members.
     """
@@ -334,7 +318,7 @@ def mixed_rows(tagged: DataFrame, mixed) -> DataFrame:
     def run(batches):
         for b in batches:
             key = keys_of(registers(b.column(4)))
-            row, band = np.nonzero(contains(mixed.value, key.ravel()).reshape(key.shape))
+            row, band = np.nonzero(contains(large.value, key.ravel()).reshape(key.shape))
             big = b.column(5).to_numpy(zero_copy_only=False)[row]
             t = pa.Table.from_batches([b]).select(columns[:5]).take(pa.array(row))
             t = t.append_column("key", pa.array(key[row, band].view(np.int64))).append_column("band", pa.array(band.astype(np.int32)))
@@ -358,7 +342,8 @@ def demanded_cells(rows: DataFrame, percent: int) -> DataFrame:
     kind = rows.schema["i"].dataType.simpleString()
     least = percent / 100 - MARGIN
     spot = F.pmod(F.xxhash64("i", "root", "cell"), F.lit(1 << 30))
-    sized = rows.groupBy("key").agg(F.count("i").alias("n_small"), F.count("*").alias("size")).where((F.col("n_small") > 0) & (F.col("size") > 1))
+    sized = (rows.groupBy("key").agg(F.count("i").alias("n_small"), F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+             .where("n_small > 0 and lo <> hi"))
     blocks = sized.select("key", F.ceil(F.col("size") / BLOCK).alias("n_all"), F.ceil(F.col("n_small") / BLOCK).alias("n_ask"))
     full = rows.join(blocks, "key")
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
@@ -428,20 +413,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
              .select(F.col("i").alias("a"), F.col("lead").alias("b")).distinct())
     plausible = stored(estimated(stars, nodes, percent), "plausible")
     label = components(verified(plausible, docs, id_col, text, k, percent))
-    named = stored(nodes.select("i").distinct().join(label, "i", "left").select("i", F.coalesce("root", "i").alias("root")), "named")
-    sized = named.groupBy("root").agg(F.count("*").alias("members"))
-    rooted = stored(named.join(sized, "root").select("i", "root", F.pmod(F.xxhash64(F.col("i"), F.lit(2)), F.ceil(F.col("members") / CELL)).alias("cell"),
-                                                     (F.col("members") > CELL).alias("big")), "rooted")
-    tagged = stored(nodes.join(rooted, "i").select("i", "root", "cell", "n", "sketch", "big"), "tagged")
-    mixed = stored(mixed_keys(tagged, key_filter(buckets.where("size > 2").select("key"))), "mixed")
-    found = stored(mixed_rows(tagged, key_filter(mixed)), "mixed-rows")
+    sized = label.groupBy("root").agg(F.count("*").alias("members"))
+    own = label.join(sized, "root").select("i", "root", F.pmod(F.xxhash64(F.col("i"), F.lit(2)), F.ceil(F.col("members") / CELL)).alias("cell"),
+                                           (F.col("members") > CELL).alias("big"))
+    tagged = stored(nodes.join(own, "i", "left").select("i", F.coalesce("root", "i").alias("root"), F.coalesce("cell", F.lit(0).cast("long")).alias("cell"), "n", "sketch",
+                                                        F.coalesce("big", F.lit(False)).alias("big")), "tagged")
+    rooted = tagged.select("i", "root", "cell")
+    found = stored(bucket_rows(tagged, key_filter(buckets.where("size > 2").select("key"))), "bucket-rows")
     rows = found.where(F.col("i").isNotNull()).union(found.where(F.col("i").isNull()).distinct())
     demand = stored(demanded_cells(rows, percent).union(big_demands(rows, rooted)), "demand")
     links = verified_cells(demand, rooted, docs, id_col, text, k, percent)
     asker = rooted.select(F.col("i").alias("a"), F.col("root").alias("ra"))
     over = components(links.join(asker, "a").select(F.col("ra").alias("a"), "b"))
 
-    final = stored(classes.join(rooted.select(F.col("i").alias("class"), "root"), "class")
+    final = stored(classes.join(label.select(F.col("i").alias("class"), "root"), "class", "left").select("digest", "class", F.coalesce("root", "class").alias("root"))
                    .join(over.select(F.col("i").alias("root"), F.col("root").alias("next")), "root", "left")
                    .select("digest", "class", F.coalesce("next", "root").alias("root")), "final")
     smallest = stored(final.groupBy("root").agg(F.min("class").alias("component_id")), "smallest")
