@@ -53,8 +53,8 @@ def hour_or_default(hour, default: int = 12) -> Column:
 
 
 def hour_of_time_text(text) -> Column:
-    """Hour of an ``H:mm:ss`` text; NULL when it does not parse."""
-    return F.hour(F.try_to_timestamp(_c(text).cast("string"), F.lit("H:mm:ss")))
+    """Hour of an ``H:m:s`` text; NULL when it does not parse."""
+    return F.hour(F.try_to_timestamp(_c(text).cast("string"), F.lit("H:m:s")))
 
 
 def weekend_flag(day, days: Sequence[str] = WEEKEND_DAYS) -> Column:

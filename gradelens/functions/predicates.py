@@ -41,8 +41,8 @@ def _typed(value: Any, dtype: T.DataType):
             return None
         if isinstance(value, int):
             return value
-        text = str(value).strip()
-        return int(text) if _INT_TEXT.match(text) else None
+        text = str(value)
+        return int(text) if _INT_TEXT.match(text) and str(int(text)) == text else None
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         try:
             return float(value)

@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradelens.functions.labels import clean_label
-from gradelens.operators.broadcast import bounded_broadcast
 
 
 def first_child(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str,
@@ -75,19 +74,17 @@ def code_list(rows: DataFrame, table_col: str = "table", field_col: str = "field
 
 
 def decode(df: DataFrame, col: str, codes: DataFrame, table: str, field: str,
-           default: str | Column = "Unknown", name: str | None = None,
-           max_codes: int = 100_000) -> DataFrame:
+           default: str | Column = "Unknown", name: str | None = None) -> DataFrame:
     """Label for ``col`` from the code list, ``default`` when unmatched.
 
-    The dictionary for one field is broadcast after a size check; duplicate
-    codes keep one label (the smallest) so the join never fans out.
+    Duplicate codes keep one label (the smallest) so the join never fans out; text that is
+    not a number gets ``default``.  The join is planned from the list's size.
     """
     d = (codes.filter((F.col("table") == table) & (F.col("field") == field))
               .groupBy("code").agg(F.min("label").alias("_label"))
               .withColumnRenamed("code", "_code"))
-    d = bounded_broadcast(d, max_codes)
     dflt = default if isinstance(default, Column) else F.lit(default)
-    out = df.join(d, df[col].cast("long") == d["_code"], "left")
+    out = df.join(d, df[col].cast("string").try_cast("long") == d["_code"], "left")
     return out.withColumn(name or col, F.coalesce(F.col("_label"), dflt)).drop("_code", "_label")
 
 

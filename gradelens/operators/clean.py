@@ -83,6 +83,7 @@ def median_fill(df: DataFrame, cols: str | Sequence[str], fallback: float = 1.0,
     fills = {}
     for c in names:
         num = F.col(c).cast("string").try_cast("double")
+        num = F.when(F.abs(num) < F.lit(float("inf")), num)      # infinite and NaN are bad values
         filled = F.coalesce(num, F.coalesce(exact_median(df, num), F.lit(fallback)))
         fills[c] = F.bround(F.greatest(filled, F.lit(lower)), 0).cast("long")
     return df.select(*[fills[c].alias(c) if c in fills else F.col(c) for c in df.columns])
@@ -131,7 +132,7 @@ def compact(df: DataFrame, shorts: Sequence[str] = (), bools: Sequence[str] = ()
     """Integer columns to SMALLINT (bad → 0), boolean text to BOOLEAN."""
     s, b = set(shorts), set(bools)
     return df.select(*[
-        F.coalesce(F.col(c).cast("string").try_cast("double").cast("short"), F.lit(0).cast("short")).alias(c)
+        F.coalesce(F.col(c).cast("string").try_cast("double").try_cast("short"), F.lit(0).cast("short")).alias(c)
         if c in s else parse_bool(c).alias(c) if c in b else F.col(c)
         for c in df.columns])
 

@@ -3,14 +3,14 @@
 Folding runs on breakdown output (``key``, ``total``, level counts): map the
 key, drop rows whose mapped key is NULL, sum counts per mapped key, and
 recompute rates.  Because the input is already one row per key, this second
-aggregate is over at most ``limit`` rows.
+aggregate is over one row per key.
 """
 
 from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradelens.functions.numeric import scaled_round, with_rates
@@ -41,11 +41,8 @@ def frequency_vs_rate(folded: DataFrame, spec: OutcomeSpec, digits: int = 2) ->
     scaled = scaled_round(F.col(spec.top).cast("long") * F.lit(100), F.col("total"), digits)
     scale = float(10 ** digits)
     rows = folded.select("key", "total", scaled.alias("_scaled"))
-    # mean of the rounded percents from their exact integer form: order-free;
-    # a window over the folded rows (bounded by the breakdown limit)
-    everything = Window.partitionBy()
-    mean = F.sum("_scaled").over(everything).cast("double") / (
-        F.count(F.lit(1)).over(everything).cast("double") * F.lit(scale))
+    # mean of the rounded percents from their exact integer form: order-free, one-row aggregate
+    mean = rows.select(F.sum("_scaled").cast("double") / (F.count(F.lit(1)).cast("double") * F.lit(scale))).scalar()
     return rows.select("key", "total", (F.col("_scaled").cast("double") / F.lit(scale)).alias(f"{spec.top}_pct"),
                        mean.alias(f"mean_{spec.top}_pct"))
 

@@ -17,6 +17,7 @@ thing brought to the driver.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Mapping, Sequence
 
 import numpy as np
@@ -88,7 +89,10 @@ def split(combos: DataFrame, features: Sequence[str], test_fraction: float = 0.2
     j = indexed.join(sizes, "stratum")
     test_n = F.ceil(F.col("_n") * F.lit(test_fraction))
     flags = j.select(*features, (F.col("_pos") < test_n).alias("is_test"))
-    return combos.join(flags, list(features), "inner")
+    # NULL is a feature value like any other, so the join is null-safe
+    side = flags.select(*[F.col(f).alias(f"_f{i}") for i, f in enumerate(features)], "is_test")
+    same = reduce(lambda a, b: a & b, [combos[f].eqNullSafe(side[f"_f{i}"]) for i, f in enumerate(features)])
+    return combos.join(side, same, "inner").select(*features, *[c for c in combos.columns if c not in features], "is_test")
 
 
 def class_weights(train: DataFrame, temper: float = CLASS_WEIGHT_TEMPER) -> DataFrame:

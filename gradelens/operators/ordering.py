@@ -1,10 +1,9 @@
 """Report orderings.
 
 Each function returns an ordering as a list of sort Columns, and ``ranked``
-numbers rows by it.  Orderings apply to breakdown rows (already one row per
-key and cut to a limit), so ``ranked``'s single-partition window is over a
-bounded row set; use ``df.orderBy(*order)`` for a distributed sort of
-anything larger.
+numbers rows by it.  ``ranked`` is a single-partition window over report rows
+(one row per key); a top k is cut before it is numbered (``top_ranked``), and
+``df.orderBy(*order)`` sorts an open list without a number.
 """
 
 from __future__ import annotations
@@ -53,6 +52,11 @@ def ranked(df: DataFrame, order: Sequence[Column], name: str = "pos") -> DataFra
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
+def top_ranked(df: DataFrame, order: Sequence[Column], k: int, name: str = "pos") -> DataFrame:
+    """The first ``k`` rows by ``order``, numbered 1..k (each partition keeps its own first ``k``)."""
+    return ranked(top(df, order, k), order, name)
+
+
 def top(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     """T6 / T7 first step: the first ``k`` rows by ``order`` (TakeOrderedAndProject)."""
     return df.orderBy(*order).limit(k)

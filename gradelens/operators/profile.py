@@ -52,18 +52,13 @@ def profile(df: DataFrame, fields: Sequence[str], spec: OutcomeSpec) -> DataFram
     return out.filter(F.col("section").isNotNull())
 
 
-def levels(df: DataFrame, fields: Sequence[str], max_levels: int = 100_000) -> DataFrame:
+def levels(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """Sorted distinct values per field, ``(field, levels array)``, NULL last.
 
-    The list form puts a field's values in one row, so the number of distinct
-    values per field is checked against ``max_levels`` first (a count over
-    the already-aggregated value counts); beyond it use ``value_counts``,
-    which keeps one row per value.
+    The list form puts a field's distinct values in one row; for fields of very many values
+    ``value_counts`` keeps one row per value.
     """
     vc = value_counts(df, fields)
-    widest = vc.groupBy("field").count().agg(F.max("count")).first()[0] or 0
-    if widest > max_levels:
-        raise ValueError(f"a field has {widest} distinct values (> {max_levels}); use value_counts")
     per = vc.groupBy("field").agg(F.array_sort(F.collect_list("value")).alias("_vals"),
                                   F.max(F.col("value").isNull()).alias("_null"))
     # a NULL value is a level too (listed last), as a SQL DISTINCT keeps it

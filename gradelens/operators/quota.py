@@ -21,7 +21,6 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradelens.operators.broadcast import bounded_broadcast
 from gradelens.session import checkpoint_dir
 
 DEC = "decimal(38,0)"
@@ -119,9 +118,7 @@ def assign(df: DataFrame, keys: Sequence[str], sizes: DataFrame, seed: int = 42,
         F.explode(F.sequence((F.col("lo") / width).cast("long"),
                              ((F.col("hi") - 1) / width).cast("long"))).alias("_bin"))
     rows = indexed.withColumn("_bin", (F.col("_pos") / width).cast("long"))
-    # #labels + bins rows, broadcast only after that count is checked
-    binned = bounded_broadcast(binned.withColumnRenamed("label", "_label"), max_rows=bins + 100_000)
-    joined = rows.join(binned, "_bin")
+    joined = rows.join(binned.withColumnRenamed("label", "_label"), "_bin")
     hit = joined.filter((F.col("_pos") >= F.col("lo")) & (F.col("_pos") < F.col("hi")))
     return hit.withColumnRenamed("_label", out).drop("_bin", "lo", "hi")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradelens.functions.numeric import ratio
@@ -49,31 +49,29 @@ def wide(long: DataFrame, row: str, col: str, value: str, values: Sequence,
                              for v in values])
 
 
-# One window over every row of a report.  Reports apply it to breakdown rows
-# (one row per group, cut to at most 2000 by the breakdown's limit and already
-# in one partition after TakeOrderedAndProject), so it adds no shuffle and
-# never re-runs the breakdown the way a scalar subquery would.
-def all_rows():
-    return Window.partitionBy()
+def whole(df: DataFrame, agg: Column, one_task: bool) -> Column:
+    """An aggregate of all rows of ``df`` beside each row: a one-row aggregate, or (``one_task``) a window for reports that are
+    numbered in one task anyway, which then read their table once."""
+    return agg.over(Window.partitionBy()) if one_task else df.select(agg).scalar()
 
 
-def with_share(df: DataFrame, col: str = "total", name: str = "share") -> DataFrame:
-    """``col / sum(col)`` over all rows of the (bounded) report.
+def with_share(df: DataFrame, col: str = "total", name: str = "share", one_task: bool = False) -> DataFrame:
+    """``col / sum(col)`` over all rows of the report.
 
     Compute shares before a top-N cut so they stay shares of every group.
     """
-    return df.withColumn(name, ratio(F.col(col), F.sum(col).over(all_rows())))
+    return df.withColumn(name, ratio(F.col(col), whole(df, F.sum(col), one_task)))
 
 
-def ratio_to_mean(df: DataFrame, col: str) -> DataFrame:
+def ratio_to_mean(df: DataFrame, col: str, one_task: bool = False) -> DataFrame:
     """``col / mean(col)`` and a domain symmetric around the mean.
 
     ``half = max(max ratio - 1, 1 - min ratio, 0.5)``,
     ``lo = max(0, 1 - half) * mean``, ``hi = (1 + half) * mean``.
     """
-    m = F.avg(col).over(all_rows())
-    half = F.greatest(F.try_divide(F.max(col).over(all_rows()), m) - 1,
-                      1 - F.try_divide(F.min(col).over(all_rows()), m), F.lit(0.5))
+    m = whole(df, F.avg(col), one_task)
+    half = F.greatest(F.try_divide(whole(df, F.max(col), one_task), m) - 1,
+                      1 - F.try_divide(whole(df, F.min(col), one_task), m), F.lit(0.5))
     staged = df.select("*", m.alias("_m"), half.alias("_half"))
     return staged.select(*df.columns,
                          F.try_divide(F.col(col), F.col("_m")).alias("ratio"),

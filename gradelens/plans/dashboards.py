@@ -35,12 +35,11 @@ def part_class(c):
 
 
 # -- SQL builders ------------------------------------------------------------------
-def _rows_sql(src, key, spec, where="", min_count=0, limit=None):
+def _rows_sql(src, key, spec, where="", min_count=0):
     having = f"HAVING count(*) >= {min_count}" if min_count > 0 else ""
     inner = (f"SELECT CAST({key} AS VARCHAR) AS key, count(*) AS total, {S.level_counts(spec)} "
              f"FROM ({src}) {where} GROUP BY 1 {having}")
-    lim = f"LIMIT {limit}" if limit else ""
-    return f"SELECT * FROM ({inner}) ORDER BY total DESC, key ASC NULLS LAST {lim}"
+    return f"SELECT * FROM ({inner}) ORDER BY total DESC, key ASC NULLS LAST"
 
 
 def _fold_sql(rows_sql, mapper_sql, spec):
@@ -66,7 +65,7 @@ LINE_F = Selection({"l_linestatus": ["F"], "p_type": ["SMALL"]})
 
 
 def _folded_types_sql(min_count=5, where=_LP_F, key="p_type", mapper=TYPE_FOLD_SQL):
-    rows = _rows_sql(LINE_PARTS_SQL, key, LO, where, min_count, 200)
+    rows = _rows_sql(LINE_PARTS_SQL, key, LO, where, min_count)
     return _with_rates(_fold_sql(rows, mapper, LO), LO)
 
 
@@ -82,13 +81,13 @@ def fold_breakdown(spark, sf):
 
 @register("fold_members", f"""
 SELECT folded, array_to_string(list_sort(list_distinct(list(raw))), '|') AS members FROM (
-  SELECT {TYPE_FOLD_SQL} AS folded, key AS raw FROM ({_rows_sql(LINE_PARTS_SQL, 'p_type', LO, _LP_F, 5, 200)})
+  SELECT {TYPE_FOLD_SQL} AS folded, key AS raw FROM ({_rows_sql(LINE_PARTS_SQL, 'p_type', LO, _LP_F, 5)})
 ) WHERE folded IS NOT NULL GROUP BY 1
 """)
 def fold_members(spark, sf):
     """Folded key → its raw members (as text for the value hash)."""
     from gradelens.operators import fold, outcome
-    rows = outcome.breakdown(line_parts(spark, sf), "p_type", LO, LINE_F.without("p_type"), min_count=5)
+    rows = outcome.breakdown_all(line_parts(spark, sf), "p_type", LO, LINE_F.without("p_type"), min_count=5)
     m = fold.members(rows, type_fold)
     return m.select("folded", F.array_join("members", "|").alias("members"))
 
@@ -294,7 +293,7 @@ def region_top(spark, sf):
 
 
 @register("scenario_regions", f"""
-SELECT *, {S.rates(OO)} FROM ({_rows_sql(ORDER_NATIONS_SQL, 'n_name', OO, "WHERE o_orderpriority IN ('1-URGENT')", 0, 200)})
+SELECT *, {S.rates(OO)} FROM ({_rows_sql(ORDER_NATIONS_SQL, 'n_name', OO, "WHERE o_orderpriority IN ('1-URGENT')", 0)})
 """)
 def scenario_regions(spark, sf):
     """Region list for a scenario, own field excluded."""
@@ -405,7 +404,8 @@ FROM ({_folded_types_sql(1, _LP_F, 'p_type', TYPE_FOLD_SQL)})
 """)
 def area_risk(spark, sf):
     """A1 (min 1) A7 T3: every folded group ranked by risk, Other last."""
-    return reports.top_by(line_parts(spark, sf), "p_type", LO, LINE_F, 2000, 1, order="risk", mapper=type_fold)
+    rows = reports.folded_breakdown(line_parts(spark, sf), "p_type", LO, LINE_F, type_fold, min_count=1)
+    return ordering.ranked(rows, ordering.other_last(ordering.by_desc("risk")))
 
 
 @register("share_ranking", f"""

@@ -159,7 +159,7 @@ def clean_text(spark, sf):
 
 
 @register("impute_numeric", """
-WITH x AS (SELECT doc_id, TRY_CAST(regexp_extract(text, '(\\d{1,9})', 1) AS DOUBLE) AS v FROM documents),
+WITH x AS (SELECT doc_id, TRY_CAST(regexp_extract(text, '(\\d+)', 1) AS DOUBLE) AS v FROM documents),
 m AS (SELECT median(v) AS med FROM x)
 SELECT doc_id, CAST(round_even(greatest(COALESCE(v, COALESCE((SELECT med FROM m), 1.0)), 1.0), 0) AS BIGINT) AS number
 FROM x
@@ -167,7 +167,7 @@ FROM x
 def impute_numeric(spark, sf):
     """First number in each text, missing → median, clip at 1, half-even round."""
     docs = table(spark, sf, "documents").select(
-        "doc_id", F.regexp_extract("text", r"(\d{1,9})", 1).alias("number"))
+        "doc_id", F.regexp_extract("text", r"(\d+)", 1).alias("number"))
     return clean.median_fill(docs, "number")
 
 

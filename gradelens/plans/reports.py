@@ -1,7 +1,8 @@
 """Named dashboard reports: compositions of breakdown, fold, order and share.
 
 Each report is one lazy plan: filter → breakdown (one scan, one shuffle of
-partial aggregates) → fold / order / share over the bounded breakdown rows.
+partial aggregates) → fold / order / share over every breakdown row; a top k
+is cut last.
 Parameters are column names and value lists, never domain names.
 """
 
@@ -23,11 +24,10 @@ Mapper = Callable[[Column], Column]
 
 
 def folded_breakdown(df: DataFrame, by: str, spec: OutcomeSpec, selection: Selection | None,
-                     mapper: Mapper = fold_other_unknown, min_count: int = 0,
-                     limit: int = 200) -> DataFrame:
-    """A1 (own field excluded) → A7 fold.  The minimum count applies before folding."""
+                     mapper: Mapper = fold_other_unknown, min_count: int = 0) -> DataFrame:
+    """Every group of A1 (own field excluded) → A7 fold.  The minimum count applies before folding."""
     sel = (selection or Selection()).without(by)
-    rows = outcome.breakdown(df, by, spec, sel, min_count=min_count, limit=limit)
+    rows = outcome.breakdown_all(df, by, spec, sel, min_count=min_count)
     return fold.fold(rows, mapper, spec)
 
 
@@ -38,8 +38,7 @@ def both_folds(c: Column) -> Column:
 def share_top(df, by, spec, selection, k=8, mapper: Mapper = fold_other_unknown):
     """Outcome share by area, top k: Other last; shares of every folded group."""
     folded = shape.with_share(folded_breakdown(df, by, spec, selection, mapper))
-    ranked = ordering.ranked(folded, ordering.other_last(ordering.by_total()))
-    return ranked.filter(F.col("pos") <= k)
+    return ordering.top_ranked(folded, ordering.other_last(ordering.by_total()), k)
 
 
 def top_by(df, by, spec, selection, k, min_count, order: str = "total",
@@ -48,7 +47,7 @@ def top_by(df, by, spec, selection, k, min_count, order: str = "total",
     folded = folded_breakdown(df, by, spec, selection, mapper, min_count)
     base = ordering.by_desc(order)
     order_cols = ordering.other_last(base) if other_last else base
-    return ordering.ranked(folded, order_cols).filter(F.col("pos") <= k)
+    return ordering.top_ranked(folded, order_cols, k)
 
 
 def leading(df, by, spec, selection, k=10, min_count=5, mapper: Mapper = both_folds):
@@ -93,20 +92,20 @@ def ordered_shares(df, by, spec, selection, order: Sequence[Column], exclude_own
     """A1 → explicit ordering (T4 / T5 / T9) → share of all groups."""
     sel = (selection or Selection())
     sel = sel.without(by) if exclude_own else sel
-    rows = outcome.breakdown(df, by, spec, sel, min_count=min_count)
+    rows = outcome.breakdown_all(df, by, spec, sel, min_count=min_count)
     return ordering.ranked(shape.with_share(rows), order)
 
 
 def factor_bars(df, by, spec, selection, k=7, min_count=10):
     """Top k by risk, shares of the total of all groups (T6 + A16)."""
-    rows = shape.with_share(outcome.breakdown(df, by, spec, (selection or Selection()).without(by), min_count))
-    return ordering.ranked(rows, ordering.by_desc("risk")).filter(F.col("pos") <= k)
+    rows = shape.with_share(outcome.breakdown_all(df, by, spec, (selection or Selection()).without(by), min_count))
+    return ordering.top_ranked(rows, ordering.by_desc("risk"), k)
 
 
 def part_of_day_share(df, hour: str, spec, selection):
     """Share by part of day: four fixed bands, zeros for absent bands (D1 + A16)."""
     src = df.withColumn("_part", hour_band(F.col(hour)))
-    rows = outcome.breakdown(src, "_part", spec, selection)
+    rows = outcome.breakdown_all(src, "_part", spec, selection)
     cells = df.sparkSession.createDataFrame([(p,) for p in PART_OF_DAY], "key string")
     dense = shape.dense(rows, cells, ["key"], ["total", *spec.names])
     return shape.with_share(dense)
@@ -115,7 +114,7 @@ def part_of_day_share(df, hour: str, spec, selection):
 def hourly_rates(df, hour: str, spec, selection, digits: int = 1):
     """Rates by hour: 24 rows, hour range dropped, percents rounded to one digit (A1 + D1)."""
     sel = (selection or Selection()).without(drop_ranges=(hour,))
-    rows = outcome.breakdown(df, hour, spec, sel, as_text=False)
+    rows = outcome.breakdown_all(df, hour, spec, sel, as_text=False)
     cells = df.sparkSession.range(24).select(F.col("id").cast(df.schema[hour].dataType).alias("key"))
     dense = shape.dense(rows, cells, ["key"], ["total", *spec.names])
     return dense.select("key", "total",
@@ -125,7 +124,7 @@ def hourly_rates(df, hour: str, spec, selection, digits: int = 1):
 
 def weekday_counts(df, day: str, spec, selection, days: Sequence[str]):
     """Counts by weekday in calendar order, zeros for absent days (A1 + D1 + T5)."""
-    rows = outcome.breakdown(df, day, spec, (selection or Selection()).without(day))
+    rows = outcome.breakdown_all(df, day, spec, (selection or Selection()).without(day))
     cells = df.sparkSession.createDataFrame([(d,) for d in days], "key string")
     dense = shape.dense(rows, cells, ["key"], ["total", *spec.names])
     return ordering.ranked(dense, ordering.listed(days))
@@ -135,10 +134,9 @@ def region_ranking(df, region: str, spec, selection, dim: DataFrame, dim_key: st
     """Region map / ranked list: every region of the dimension (J6) with its
     counts, share of the filtered total (A16), ratio of its top-level rate to
     the mean (A17) and its rank; ``k`` marks the top list (T7)."""
-    rows = outcome.breakdown(df, region, spec, (selection or Selection()).without(region),
-                             as_text=False, limit=outcome.MAX_LIMIT)
-    shared = shape.with_share(rows)
-    rel = shape.ratio_to_mean(shared, f"{spec.top}_rate")
+    rows = outcome.breakdown_all(df, region, spec, (selection or Selection()).without(region), as_text=False)
+    shared = shape.with_share(rows, one_task=True)      # one row per region, numbered below
+    rel = shape.ratio_to_mean(shared, f"{spec.top}_rate", one_task=True)
     ranked = ordering.ranked(rel, ordering.by_total())
     out = shape.attach(dim.select(F.col(dim_key).alias("key")).distinct(), ranked, "key")
     return out.withColumn("in_top", F.coalesce(F.col("pos") <= k, F.lit(False)))
@@ -147,11 +145,11 @@ def region_ranking(df, region: str, spec, selection, dim: DataFrame, dim_key: st
 def option_list(df, by, spec, preferred: Sequence | None = None, k: int = 3):
     """Quick-filter options: preferred values that occur, in the given order,
     else the top ``k`` by total; filters never apply (T10)."""
-    rows = outcome.breakdown(df, by, spec, limit=outcome.MAX_LIMIT)
+    rows = outcome.breakdown_all(df, by, spec)
     if preferred:
         kept = rows.filter(F.col("key").isin([str(v) for v in preferred]))
         return ordering.ranked(kept, ordering.listed([str(v) for v in preferred]))
-    return ordering.ranked(rows, ordering.by_total()).filter(F.col("pos") <= k)
+    return ordering.top_ranked(rows, ordering.by_total(), k)
 
 
 def region_options(df, region: str, exclude: str = r"(?i)^unknown"):
@@ -160,6 +158,7 @@ def region_options(df, region: str, exclude: str = r"(?i)^unknown"):
     return ordering.ranked(ordering.exclude_prefix(vals, exclude), [F.asc_nulls_last("key")])
 
 
-def scenario_regions(df, region: str, spec, selection, limit: int = 200):
-    """Scenario region list: breakdown by region with its own field excluded (A1 + T1)."""
-    return outcome.breakdown(df, region, spec, (selection or Selection()).without(region), limit=limit)
+def scenario_regions(df, region: str, spec, selection):
+    """Scenario region list: every region with its own field excluded, in the order of T1 (A1 + T1)."""
+    rows = outcome.breakdown_all(df, region, spec, (selection or Selection()).without(region))
+    return rows.orderBy(*ordering.by_total())

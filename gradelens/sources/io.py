@@ -58,11 +58,15 @@ def write_parquet(df: DataFrame, path: str, max_records_per_file: int = 1_000_00
     w.parquet(path)
 
 
+#: Quotes are doubled inside a quoted field, which may hold line breaks.
+CSV = {"escape": '"', "multiLine": "true"}
+
+
 # -- csv ----------------------------------------------------------------------------------
 def read_csv_text(spark: SparkSession, path: str, names: list[str] | None = None,
                   header: bool = True) -> DataFrame:
     """Every field as text, no NA inference (an empty field reads as NULL)."""
-    r = spark.read.option("header", header).option("inferSchema", False)
+    r = spark.read.options(**CSV).option("header", header).option("inferSchema", False)
     if names:
         r = r.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
     return r.csv(path)
@@ -78,7 +82,7 @@ def read_csv_typed(spark: SparkSession, path: str, schema: Mapping[str, str],
     """
     names = list(schema)
     fields = [T.StructField(n, T.StringType()) for n in names]
-    r = spark.read.option("header", header).option("mode", "PERMISSIVE")
+    r = spark.read.options(**CSV).option("header", header).option("mode", "PERMISSIVE")
     if check_field_count:
         fields.append(T.StructField(CORRUPT, T.StringType()))
         r = r.option("columnNameOfCorruptRecord", CORRUPT)
@@ -96,7 +100,7 @@ def read_csv_typed(spark: SparkSession, path: str, schema: Mapping[str, str],
 
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header row, overwriting."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", CSV["escape"]).csv(path)
 
 
 # -- json ---------------------------------------------------------------------------------
@@ -117,6 +121,6 @@ def source_row_counts(spark: SparkSession, paths: Mapping[str, str], fmt: str =
                       header: bool = True) -> DataFrame:
     """``(source, rows)`` per input file or directory."""
     from gradelens.operators.profile import source_counts
-    readers = {n: (spark.read.option("header", header).csv(p) if fmt == "csv" else spark.read.format(fmt).load(p))
+    readers = {n: (spark.read.options(**CSV).option("header", header).csv(p) if fmt == "csv" else spark.read.format(fmt).load(p))
                for n, p in paths.items()}
     return source_counts(readers)

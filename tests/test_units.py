@@ -327,16 +327,15 @@ def test_first_child_same_key_name_and_flags(spark):
     assert got == [(1, 1, 1), (2, None, 1)]
 
 
-def test_decode_duplicate_codes_and_bound(spark):
+def test_decode_duplicate_and_bad_codes(spark):
     codes = spark.createDataFrame([("t", "f", 1, "B"), ("t", "f", 1, "A"), ("t", "f", 2, "C")],
                                   "table string, field string, code long, label string")
     df = spark.createDataFrame([(1,), (2,), (3,)], "c int")
     got = sorted(tuple(r) for r in assemble.decode(df, "c", codes, "t", "f", "none", name="label").collect())
     assert got == [(1, "A"), (2, "C"), (3, "none")]  # no fan-out on duplicate codes
-    assert assemble.bounded_broadcast(codes, max_rows=2) is not None  # over the bound: no hint, still usable
-    small = sorted(tuple(r) for r in assemble.decode(df, "c", codes, "t", "f", "none", name="label",
-                                                      max_codes=1).collect())
-    assert small == got
+    text = spark.createDataFrame([("1",), ("x",), (None,)], "c string")
+    got = sorted(tuple(r) for r in assemble.decode(text, "c", codes, "t", "f", "none", name="label").select("label").collect())
+    assert got == [("A",), ("none",), ("none",)]  # text that is not a number gets the default
 
 
 def test_surviving_filters_and_dense_grid(spark):
