@@ -50,8 +50,8 @@ def wide(long: DataFrame, row: str, col: str, value: str, values: Sequence,
 
 
 def whole(df: DataFrame, agg: Column, one_task: bool) -> Column:
-    """An aggregate of all rows of ``df`` beside each row: a one-row aggregate, or (``one_task``) a window for reports that are
-    numbered in one task anyway, which then read their table once."""
+    """An aggregate of all rows of ``df`` beside each row: a one-row aggregate, or (``one_task``) a window that meets all groups of a
+    report in one task but reads its table once (for reports of few groups)."""
     return agg.over(Window.partitionBy()) if one_task else df.select(agg).scalar()
 
 

@@ -37,7 +37,7 @@ def both_folds(c: Column) -> Column:
 
 def share_top(df, by, spec, selection, k=8, mapper: Mapper = fold_other_unknown):
     """Outcome share by area, top k: Other last; shares of every folded group."""
-    folded = shape.with_share(folded_breakdown(df, by, spec, selection, mapper))
+    folded = shape.with_share(folded_breakdown(df, by, spec, selection, mapper), one_task=True)
     return ordering.top_ranked(folded, ordering.other_last(ordering.by_total()), k)
 
 
