@@ -10,11 +10,11 @@ from __future__ import annotations
 import re
 from typing import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradelens.operators.stats import exact_median
+from gradelens.operators.stats import exact_medians
 from gradelens.spec import count_when
 
 from gradelens.functions.bands import hour_of_time_text
@@ -75,18 +75,20 @@ def median_fill(df: DataFrame, cols: str | Sequence[str], fallback: float = 1.0,
     """P16 + P17: text → double (bad → NULL), NULL → median (or ``fallback``),
     clip at ``lower``, round half-even, integer.
 
-    All medians are taken over the same input frame and applied in one
-    projection, so filling several columns never nests one median's
-    subquery inside another's plan.
+    The numbers are projected once, all medians come from one pass over them
+    and are applied in one projection.
     """
     names = [cols] if isinstance(cols, str) else list(cols)
-    fills = {}
-    for c in names:
-        num = F.col(c).cast("string").try_cast("double")
-        num = F.when(F.abs(num) < F.lit(float("inf")), num)      # infinite and NaN are bad values
-        filled = F.coalesce(num, F.coalesce(exact_median(df, num), F.lit(fallback)))
-        fills[c] = F.bround(F.greatest(filled, F.lit(lower)), 0).cast("long")
-    return df.select(*[fills[c].alias(c) if c in fills else F.col(c) for c in df.columns])
+
+    def number(c):
+        v = F.col(c).cast("string").try_cast("double")
+        return F.when(F.abs(v) < F.lit(float("inf")), v)         # infinite and NaN are bad values
+    medians = exact_medians(df, {c: number(c) for c in names})
+
+    def filled(c):
+        v = F.coalesce(number(c), medians[c], F.lit(fallback))
+        return F.bround(F.greatest(v, F.lit(lower)), 0).cast("long").alias(c)
+    return df.select(*[filled(c) if c in medians else F.col(c) for c in df.columns])
 
 
 def fill_unknown(df: DataFrame, columns: Sequence[str] | None = None, value: str = "Unknown") -> DataFrame:
@@ -112,14 +114,23 @@ def derive_hour(df: DataFrame, time_col: str, out: str = "Hour", default: int =
     """P20: hour from ``H:m:s`` text; only when *every* row fails, the leading
     one or two digits; NULL → rounded median (``default`` if none); clip 0-23."""
     parsed = hour_of_time_text(F.col(time_col))
-    fallback = F.regexp_extract(F.col(time_col).cast("string"), r"^\s*(\d{1,2})", 1).try_cast("int")
-    all_failed = df.select(F.coalesce(F.bool_and(parsed.isNull()), F.lit(True))).scalar()
-    hour = F.when(all_failed, fallback).otherwise(parsed)
-    staged = df.withColumn("_h", hour.cast("double"))
-    med = exact_median(staged, F.col("_h"))
-    fill = F.coalesce(F.bround(med, 0), F.lit(float(default)))  # half-even, like round() in Python
-    h = F.least(F.greatest(F.bround(F.coalesce(F.col("_h"), fill), 0), F.lit(0.0)), F.lit(23.0))
-    return staged.withColumn(out, h.cast("short")).drop("_h")
+    leading = F.regexp_extract(F.col(time_col).cast("string"), r"^\s*(\d{1,2})", 1).try_cast("int")
+    # the switch and the median from one count per (hour, leading digits): at most 25 x 101 rows
+    cells = df.groupBy(parsed.alias("p"), leading.alias("f")).agg(F.count(F.lit(1)).alias("c"))
+    every = Window.partitionBy()
+    cells = cells.withColumn("failed", F.max("p").over(every).isNull())
+    cells = cells.withColumn("h", F.when(F.col("failed"), F.col("f")).otherwise(F.col("p"))).filter(F.col("h").isNotNull())
+    upto = Window.orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = cells.withColumn("cum", F.sum("c").over(upto)).withColumn("n", F.sum("c").over(every))
+    facts = cells.agg(
+        F.coalesce(F.max("failed"), F.lit(True)).alias("failed"),
+        ((F.min(F.when(F.col("cum") > F.floor((F.col("n") - 1) / 2), F.col("h")))
+          + F.min(F.when(F.col("cum") > F.floor(F.col("n") / 2), F.col("h")))) / F.lit(2.0)).alias("median")
+    ).select(F.struct("failed", "median")).scalar()
+    hour = F.when(facts.getField("failed"), leading).otherwise(parsed).cast("double")
+    fill = F.coalesce(F.bround(facts.getField("median"), 0), F.lit(float(default)))  # half-even, like round() in Python
+    h = F.least(F.greatest(F.coalesce(hour, fill), F.lit(0.0)), F.lit(23.0))
+    return df.withColumn(out, h.cast("short"))
 
 
 def parse_bool(col, true_tokens: Sequence[str] = TRUE_TOKENS) -> Column:

@@ -27,7 +27,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gradelens.operators.quota import positions
@@ -75,20 +75,17 @@ def split(combos: DataFrame, features: Sequence[str], test_fraction: float = 0.2
     stratum has fewer than two tuples the split is not stratified.  Positions
     within each stratum come from ``quota.positions`` (no per-stratum task).
     """
-    # the compressed table is read three times below (dominant labels, strata
-    # sizes, the final join): materialise it once in the shared folder
+    # the compressed table is read three times below (dominant labels, the
+    # smallest stratum, the final join): materialise it once in the shared folder
     checkpoint_dir(combos.sparkSession)
     combos = combos.checkpoint(eager=True)
     dom = dominant(combos, features)
     sizes = dom.groupBy("dominant").agg(F.count(F.lit(1)).alias("n"))
     stratified = sizes.select(F.min("n") >= 2).scalar()
     dom = dom.withColumn("stratum", F.when(stratified, F.col("dominant")).otherwise(F.lit("")))
-    indexed = positions(dom, list(features), seed, group="stratum")
-    sizes = indexed.groupBy("stratum").agg(F.count(F.lit(1)).alias("_n"))
-    # one row per stratum: small, so AQE broadcasts it from its measured size
-    j = indexed.join(sizes, "stratum")
+    indexed = positions(dom, list(features), seed, group="stratum", total="_n", unique=True)
     test_n = F.ceil(F.col("_n") * F.lit(test_fraction))
-    flags = j.select(*features, (F.col("_pos") < test_n).alias("is_test"))
+    flags = indexed.select(*features, (F.col("_pos") < test_n).alias("is_test"))
     # NULL is a feature value like any other, so the join is null-safe
     side = flags.select(*[F.col(f).alias(f"_f{i}") for i, f in enumerate(features)], "is_test")
     same = reduce(lambda a, b: a & b, [combos[f].eqNullSafe(side[f"_f{i}"]) for i, f in enumerate(features)])
@@ -98,18 +95,19 @@ def split(combos: DataFrame, features: Sequence[str], test_fraction: float = 0.2
 def class_weights(train: DataFrame, temper: float = CLASS_WEIGHT_TEMPER) -> DataFrame:
     """``(W / (K * W_c)) ** temper`` per present label."""
     per = train.groupBy("label").agg(F.sum("weight").alias("w_c"))
-    total = per.select(F.sum("w_c")).scalar()
-    k = per.select(F.count(F.lit(1))).scalar()
-    base = total.cast("double") / (k.cast("double") * F.col("w_c").cast("double"))
+    every = Window.partitionBy()      # one row per label
+    base = F.sum("w_c").over(every).cast("double") / (
+        F.count(F.lit(1)).over(every).cast("double") * F.col("w_c").cast("double"))
     cw = F.sqrt(base) if temper == 0.5 else F.pow(base, F.lit(temper))
     return per.select("label", cw.alias("class_weight"))
 
 
-def with_fit_weight(train: DataFrame, temper: float = CLASS_WEIGHT_TEMPER) -> DataFrame:
-    """Row fit weight = combination weight x class weight (one row per label; AQE
-    broadcasts it from its measured size)."""
-    cw = class_weights(train, temper)
-    return train.join(cw, "label").withColumn(
+def with_fit_weight(train: DataFrame, levels: Sequence[str], temper: float = CLASS_WEIGHT_TEMPER) -> DataFrame:
+    """Row fit weight = combination weight x class weight, for rows of the listed
+    levels (at most one weight per level, a proven bound for the broadcast, so a label
+    that holds most rows is not shuffled to one task)."""
+    cw = class_weights(train, temper).filter(F.col("label").isin(list(levels)))
+    return train.join(F.broadcast(cw), "label").withColumn(
         "fit_weight", F.col("weight").cast("double") * F.col("class_weight"))
 
 
@@ -171,7 +169,7 @@ def fit(train: DataFrame, cat: Sequence[str], num: Sequence[str], levels: Sequen
     present = [lv for lv in levels if lv in seen]
     if len(present) < 2:
         raise ValueError("need at least two outcome classes to train")
-    data = with_fit_weight(train).withColumn("label_idx", _label_index(present)) \
+    data = with_fit_weight(train, present).withColumn("label_idx", _label_index(present)) \
                                  .filter(F.col("label_idx").isNotNull())
     # the encoders, PCA, the learner and the summary each read the training
     # rows; keep them for the length of the fit instead of re-deriving them

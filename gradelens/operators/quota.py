@@ -5,11 +5,9 @@ rows, label ``i`` gets ``floor(w_i n / W)`` rows plus one more for the
 ``n - sum(floor)`` labels with the largest remainders ``w_i n mod W``
 (ties: label ascending).  The arithmetic is exact in DECIMAL(38, 0).
 
-Rows get labels by position in a seeded pseudo-random order (``positions``):
-the input is checkpointed to the shared checkpoint folder, hash-partitioned
-on ``xxhash64(seed, keys, row id)`` and sorted inside partitions; a row's
-position is its partition's offset (from per-partition counts) plus its
-place inside the partition.  The position finds its
+Rows get labels by position in a seeded pseudo-random order (``positions``).
+The order is md5 of seed and keys, so it depends on the data and the seed
+alone, not on how the input happens to be partitioned.  The position finds its
 label's ``[lo, hi)`` range through a binned equi-join against the quota
 table, whose size is bounded by ``#labels + bins``.
 """
@@ -25,6 +23,8 @@ from gradelens.session import checkpoint_dir
 
 DEC = "decimal(38,0)"
 _POS_BITS = 33  # monotonically_increasing_id = partition index << 33 | position
+RUN = 10_000     # copies made in one go
+NULL_MARK = "\\N"
 
 
 def quota_sizes(weights: DataFrame, label: str, weight: str, n: Column | int) -> DataFrame:
@@ -55,58 +55,81 @@ def quota_ranges(sizes: DataFrame) -> DataFrame:
                         F.sum("size").over(w).alias("hi"))
 
 
+def seeded_hash(keys: Sequence[str], seed: int) -> Column:
+    """First 16 hex digits of ``md5(seed|key|key...)``, NULL keys marked."""
+    text = [F.coalesce(F.col(k).cast("string"), F.lit(NULL_MARK)) for k in keys]
+    return F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *text)), 1, 16)
+
+
+def numbered_copies(df: DataFrame, n: Column, keys: Sequence[str], name: str) -> DataFrame:
+    """Every row ``n`` times, numbered from 1 (none for ``n < 1``).  Copies are made in two steps of at most
+    ``RUN`` with a shuffle of the runs between, so one row's copies are made on many tasks."""
+    last = F.floor((F.col("_times") - 1) / RUN)
+    # a stated number of partitions, which AQE does not coalesce by the size of the runs
+    nparts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = (df.withColumn("_times", n).filter(F.col("_times") > 0)
+              .withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+              .repartition(nparts, *keys, "_run"))
+    copies = F.sequence(F.col("_run") * RUN + 1, F.least((F.col("_run") + 1) * RUN, F.col("_times")))
+    return runs.withColumn(name, F.explode(copies)).drop("_times", "_run")
+
+
 def positions(df: DataFrame, keys: Sequence[str], seed: int, group: str | None = None,
-              name: str = "_pos", checkpoint: bool = True) -> DataFrame:
+              name: str = "_pos", total: str | None = None, unique: bool = False) -> DataFrame:
     """Number the rows 0..n-1 (within each ``group`` when given) in a seeded
-    pseudo-random order.
-
-    Each row gets a row id (``monotonically_increasing_id``); rows are
-    hash-partitioned on ``h = xxhash64(seed, keys, row id)`` — uniform even
-    when a key tuple repeats a million times — and sorted inside each
-    partition by ``(group, h, keys, row id)``.  The result is checkpointed to
-    the shared folder, so positions are read from fixed data and survive
-    executor loss.  One shuffle, no sampling pass.  A row's position is its group's count in earlier
-    partitions plus its offset from the group's first row in its partition,
-    read from a (partition x group) count table broadcast back — bounded by
-    shuffle partitions x groups.
+    pseudo-random order; ``total`` names a column for the number of rows (of the group).
+
+    The order is ``(seeded_hash(keys), all columns)``: rows that tie are equal
+    in every column, so the result is fixed by seed and data.  Equal rows are
+    counted and numbered before the range sort (skipped with ``unique``, for rows known
+    to be distinct), so a row that repeats a billion times is spread over the
+    partitions by its number, and a retried task numbers it the same way.  The sorted
+    rows are checkpointed to the shared folder.  A row's position is its group's count
+    in earlier partitions plus its offset from the group's first row in its partition,
+    read from a (partition x group) count table.  Columns must be orderable (no maps).
     """
     spark = df.sparkSession
     nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rid = df.withColumn("_rid", F.monotonically_increasing_id())
-    hashed = rid.withColumn("_h", F.xxhash64(F.lit(seed), *[F.col(k) for k in keys], F.col("_rid")))
-    lead = [group] if group else []
-    staged = hashed.repartition(nparts, "_h").sortWithinPartitions(*lead, "_h", *keys, "_rid")
-    if checkpoint:
-        # one materialisation of the salted, partitioned and sorted rows: every
-        # later read (counts, offsets, positions) is narrow and sees the same
-        # row ids; the row-id stage is indeterminate, so Spark re-runs it whole
-        # on a fetch failure rather than mixing attempts
-        checkpoint_dir(spark)
-        staged = staged.checkpoint(eager=True)
-    mid = F.monotonically_increasing_id()
-    with_id = staged.withColumn("_mid", mid) \
-                    .withColumn("_part", F.shiftright(F.col("_mid"), _POS_BITS)) \
-                    .withColumn("_pip", F.col("_mid") - F.shiftleft(F.col("_part"), _POS_BITS)) \
-                    .withColumn("_g", F.col(group) if group else F.lit(0))
+    cols = df.columns
+    order = ["_h", *keys, *[c for c in cols if c not in set(keys)]]
+    numbered = df
+    if not unique:
+        counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+        numbered = numbered_copies(counted, F.col("_n"), cols, "_copy").drop("_n")
+        order.append("_copy")
+    rows = (numbered.withColumn("_h", seeded_hash(keys, seed)).repartitionByRange(nparts, *order)
+                    .sortWithinPartitions(*([group] if group else []), *order).select(*cols))
+    # one materialisation of the sorted rows: every later read (counts,
+    # offsets, positions) is narrow and sees the same partitions
+    checkpoint_dir(spark)
+    rows = rows.checkpoint(eager=True)
+    with_id = rows.withColumn("_mid", F.monotonically_increasing_id()) \
+                  .withColumn("_part", F.shiftright(F.col("_mid"), _POS_BITS)) \
+                  .withColumn("_pip", F.col("_mid") - F.shiftleft(F.col("_part"), _POS_BITS)) \
+                  .withColumn("_g", F.col(group) if group else F.lit(0))
     counts = with_id.groupBy("_part", "_g").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_pip").alias("_first"))
-    upto = (Window.partitionBy("_g").orderBy("_part")
-            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    offsets = counts.select("_part", "_g", "_first", (F.sum("_cnt").over(upto) - F.col("_cnt")).alias("_before"))
+    of_group = Window.partitionBy("_g")
+    upto = of_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = counts.select(F.col("_part").alias("_op"), F.col("_g").alias("_og"), "_first",
+                            (F.sum("_cnt").over(upto) - F.col("_cnt")).alias("_before"),
+                            F.sum("_cnt").over(of_group).alias("_total"))
     # without groups: one row per partition, a proven bound; with groups the
     # table is partitions x groups and AQE picks the join from its real size
-    joined = with_id.join(F.broadcast(offsets) if group is None else offsets, ["_part", "_g"])
-    pos = F.col("_before") + F.col("_pip") - F.col("_first")
-    return joined.withColumn(name, pos).drop("_rid", "_h", "_mid", "_part", "_pip", "_g", "_first", "_before")
+    joined = with_id.join(F.broadcast(offsets) if group is None else offsets,
+                          (F.col("_part") == F.col("_op")) & F.col("_g").eqNullSafe(F.col("_og")))
+    more = [F.col("_total").alias(total)] if total else []
+    return joined.select(*cols, (F.col("_before") + F.col("_pip") - F.col("_first")).alias(name), *more)
 
 
 def assign(df: DataFrame, keys: Sequence[str], sizes: DataFrame, seed: int = 42,
-           out: str = "label", bins: int = 4096) -> DataFrame:
+           out: str = "label", bins: int = 4096, unique: bool = False) -> DataFrame:
     """Q1 rows: every row of ``df`` gets a label; label counts equal ``sizes``.
 
     ``sizes`` must sum to the row count of ``df`` (``quota_sizes`` with
-    ``n = count(df)``), so the label ranges cover every position.
+    ``n = count(df)``), so the label ranges cover every position.  ``unique``
+    says that no two rows are equal (see ``positions``).
     """
-    indexed = positions(df, keys, seed)
+    indexed = positions(df, keys, seed, unique=unique)
     # one row per label: materialise it once so the quota arithmetic (whose
     # totals are subqueries over the data) is not re-run by every later job
     ranges = quota_ranges(sizes).checkpoint(eager=True)
@@ -120,7 +143,7 @@ def assign(df: DataFrame, keys: Sequence[str], sizes: DataFrame, seed: int = 42,
     rows = indexed.withColumn("_bin", (F.col("_pos") / width).cast("long"))
     joined = rows.join(binned.withColumnRenamed("label", "_label"), "_bin")
     hit = joined.filter((F.col("_pos") >= F.col("lo")) & (F.col("_pos") < F.col("hi")))
-    return hit.withColumnRenamed("_label", out).drop("_bin", "lo", "hi")
+    return hit.withColumnRenamed("_label", out).drop("_bin", "lo", "hi", "_pos")
 
 
 def check(assigned: DataFrame, sizes: DataFrame, label: str = "label") -> DataFrame:
@@ -130,25 +153,25 @@ def check(assigned: DataFrame, sizes: DataFrame, label: str = "label") -> DataFr
     ``100 * |assigned / n - weight / W|``.
     """
     counts = assigned.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("assigned"))
-    total_w = sizes.select(F.sum("weight")).scalar()
-    n = sizes.select(F.sum("size")).scalar()
+    every = Window.partitionBy()      # one row per label
+    sizes = sizes.withColumn("_w", F.sum("weight").over(every)).withColumn("_size", F.sum("size").over(every))
     j = sizes.join(counts, "label", "full")
+    total_w, n = F.max("_w").over(every), F.max("_size").over(every)
     return j.select(
         "label", F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("assigned", F.lit(0)).alias("assigned"),
         (F.lit(100.0) * F.abs(F.coalesce("assigned", F.lit(0)) / n - F.col("weight") / total_w)).alias("diff_pp"))
 
 
-def expand(df: DataFrame, keys: Sequence[str], target: int | Column, seed: int = 42) -> DataFrame:
+def expand(df: DataFrame, keys: Sequence[str], target: int | Column, seed: int = 42,
+           unique: bool = False) -> DataFrame:
     """Q3: rows repeated to ``target`` rows in total keeping the distribution.
 
     Each row appears ``target div n`` times, plus once more for the first
     ``target mod n`` rows in seeded hash order; ``_copy`` numbers the copies.
     """
-    indexed = positions(df, keys, seed)
-    n = df.select(F.count(F.lit(1))).scalar()
+    indexed = positions(df, keys, seed, total="_total", unique=unique)
+    n = F.col("_total")
     t = (target if isinstance(target, Column) else F.lit(target)).cast("long")
     extra = F.pmod(t, n)
     reps = ((t - extra) / n).cast("long") + F.when(F.col("_pos") < extra, 1).otherwise(0)
-    kept = indexed.withColumn("_reps", reps).filter(F.col("_reps") > 0)
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_reps")))) \
-               .drop("_pos", "_reps")
+    return numbered_copies(indexed, reps, ["_pos"], "_copy").drop("_pos", "_total")

@@ -1,47 +1,56 @@
 """Exact order statistics without a single-task buffer.
 
 ``F.median`` keeps every distinct value of the column in one aggregation
-buffer on one task.  Here the column is first counted per distinct value (a
-partial aggregate), the distinct values are range-partitioned and sorted,
-and every value gets its cumulative count from per-partition totals (one row
-per partition) plus a running sum inside its partition.  The k-th smallest
-value is then a filter on the cumulative counts.
+buffer on one task.  Here all columns are counted per distinct value in one
+pass (a partial aggregate), the distinct values are range-partitioned and
+checkpointed together with their partition number, so both later reads see the same partitions.
+Per-partition totals then name the one or two partitions that
+hold a column's middle values, and only those are ordered.
 """
 
 from __future__ import annotations
 
+from typing import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_POS_BITS = 33  # monotonically_increasing_id = partition index << 33 | position
-
-
-def cumulative_counts(df: DataFrame, value: Column) -> DataFrame:
-    """``(v, c, cum)``: distinct non-NULL values, their counts and the number of
-    rows with a value <= v.  No step holds more than one range partition."""
-    vc = (df.select(value.alias("v")).filter(F.col("v").isNotNull())
-            .groupBy("v").agg(F.count(F.lit(1)).alias("c")))
-    ordered = vc.orderBy("v").withColumn("_mid", F.monotonically_increasing_id())
-    part = F.shiftright(F.col("_mid"), _POS_BITS)
-    totals = ordered.groupBy(part.alias("_part")).agg(F.sum("c").alias("_pc"))
-    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = totals.select("_part", (F.sum("_pc").over(upto) - F.col("_pc")).alias("_off"))
-    inside = Window.partitionBy("_part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    staged = ordered.withColumn("_part", part)
-    # one row per partition on the broadcast side
-    joined = staged.join(F.broadcast(offsets), "_part")
-    return joined.select("v", "c", (F.col("_off") + F.sum("c").over(inside)).alias("cum"))
+from gradelens.session import checkpoint_dir
+
+
+def exact_medians(df: DataFrame, values: Mapping[str, Column]) -> dict[str, Column]:
+    """Per name a scalar subquery: the median of its numeric expression (mean of the
+    two middle values for an even count, as ``percentile(0.5)``); NULL when there is
+    none.  ``df`` is read once for all of them, when this is called."""
+    names = list(values)
+    if not names:
+        return {}
+    spark = df.sparkSession
+    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    src = df.select(*[values[n].cast("double").alias(f"v{i}") for i, n in enumerate(names)])
+    counts = (src.unpivot([], src.columns, "f", "v").filter(F.col("v").isNotNull())
+                 .groupBy("f", "v").agg(F.count(F.lit(1)).alias("c")))
+    checkpoint_dir(spark)
+    ordered = counts.repartitionByRange(nparts, "f", "v").withColumn("p", F.spark_partition_id()).checkpoint(eager=True)
+
+    by_field = Window.partitionBy("f")
+    totals = ordered.groupBy("f", "p").agg(F.sum("c").alias("pc"))
+    upto = by_field.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = (totals.withColumn("upto", F.sum("pc").over(upto)).withColumn("n", F.sum("pc").over(by_field))
+                   .withColumn("lo", F.floor((F.col("n") - 1) / 2)).withColumn("hi", F.floor(F.col("n") / 2))
+                   .filter((F.col("upto") > F.col("lo")) & (F.col("upto") - F.col("pc") <= F.col("hi")))
+                   .select("f", "p", (F.col("upto") - F.col("pc")).alias("before"), "lo", "hi"))
+    # at most two partitions per listed column
+    middle = ordered.join(F.broadcast(parts), ["f", "p"])
+    inside = Window.partitionBy("f", "p").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the value at rank r is the smallest v whose cumulative count exceeds r
+    cum = middle.withColumn("cum", F.col("before") + F.sum("c").over(inside))
+    mids = cum.groupBy("f").agg(F.min(F.when(F.col("cum") > F.col("lo"), F.col("v"))).alias("a"),
+                                F.min(F.when(F.col("cum") > F.col("hi"), F.col("v"))).alias("b"))
+    found = mids.agg(F.map_from_entries(F.collect_list(F.struct("f", (F.col("a") + F.col("b")) / F.lit(2.0)))))
+    return {n: F.try_element_at(found.scalar(), F.lit(f"v{i}")) for i, n in enumerate(names)}
 
 
 def exact_median(df: DataFrame, value: Column) -> Column:
-    """Scalar subquery: the median of ``value`` (mean of the two middle values
-    for an even count, as ``percentile(0.5)``); NULL when there is none."""
-    cum = cumulative_counts(df, value)
-    n = df.select(F.count(value)).scalar()   # non-NULL rows; no second sort
-    lo_rank = F.floor((n - 1) / 2)          # 0-based ranks of the middle values
-    hi_rank = F.floor(n / 2)
-    # the value at rank r is the smallest v whose cumulative count exceeds r
-    ranked = cum.select("v", "cum", lo_rank.alias("_lo"), hi_rank.alias("_hi"))
-    mids = ranked.agg(F.min(F.when(F.col("cum") > F.col("_lo"), F.col("v"))).cast("double").alias("lo"),
-                      F.min(F.when(F.col("cum") > F.col("_hi"), F.col("v"))).cast("double").alias("hi"))
-    return mids.select((F.col("lo") + F.col("hi")) / F.lit(2.0)).scalar()
+    """The median of one numeric expression (see ``exact_medians``)."""
+    return exact_medians(df, {"value": value})["value"]

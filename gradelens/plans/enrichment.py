@@ -43,7 +43,7 @@ def sizes(spark, sf):
 
 def assigned(spark, sf):
     od = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    return quota.assign(od, ["o_orderkey"], sizes(spark, sf), seed=SEED, out="nation")
+    return quota.assign(od, ["o_orderkey"], sizes(spark, sf), seed=SEED, out="nation", unique=True)
 
 
 @register("quota_sizes", _SIZES_SQL)
@@ -58,19 +58,35 @@ def quota_assignment(spark, sf):
     return assigned(spark, sf).groupBy("nation").agg(F.count(F.lit(1)).alias("assigned"))
 
 
-@register("quota_rows")
+# the seeded order of ``quota.positions`` over orders (keys are unique)
+_ORDERED_SQL = f"""
+SELECT o_orderkey, o_orderstatus, o_totalprice,
+       ROW_NUMBER() OVER (ORDER BY substr(md5('{SEED}|' || o_orderkey), 1, 16), o_orderkey) - 1 AS pos FROM orders
+"""
+
+
+_ROWS_SQL = f"""
+WITH r AS (SELECT label, sum(size) OVER (ORDER BY label) - size AS lo, sum(size) OVER (ORDER BY label) AS hi
+           FROM ({_SIZES_SQL}))
+SELECT o_orderkey, o_orderstatus, o_totalprice, label AS nation
+FROM ({_ORDERED_SQL}) JOIN r ON pos >= lo AND pos < hi
+"""
+
+
+@register("quota_rows", _ROWS_SQL)
 def quota_rows(spark, sf):
-    """Q1 rows: every order with its nation (seeded hash order; rows-only check)."""
+    """Q1 rows: every order with its nation, fixed by the seed."""
     return assigned(spark, sf)
 
 
 @register("quota_check", f"""
 WITH s AS ({_SIZES_SQL}),
-tot AS (SELECT sum(weight) AS tw, sum(size) AS n FROM s)
-SELECT label, size, size AS assigned,
-       100.0 * abs(CAST(size AS DOUBLE) / CAST((SELECT n FROM tot) AS DOUBLE)
+tot AS (SELECT sum(weight) AS tw, sum(size) AS n FROM s),
+c AS (SELECT nation, count(*) AS assigned FROM ({_ROWS_SQL}) GROUP BY 1)
+SELECT label, size, COALESCE(assigned, 0) AS assigned,
+       100.0 * abs(CAST(COALESCE(assigned, 0) AS DOUBLE) / CAST((SELECT n FROM tot) AS DOUBLE)
                    - CAST(weight AS DOUBLE) / CAST((SELECT tw FROM tot) AS DOUBLE)) AS diff_pp
-FROM s
+FROM s LEFT JOIN c ON label = nation
 """)
 def quota_check(spark, sf):
     """Q2: assigned vs quota per nation and the share error in percentage points."""
@@ -87,6 +103,19 @@ def balanced_expansion(spark, sf):
     """Q3: orders repeated to 2.5x their count; copies per order as a distribution."""
     od = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     target = od.select(F.ceil(F.count(F.lit(1)) * F.lit(2.5)).cast("long")).scalar()
-    ex = quota.expand(od, ["o_orderkey"], target, seed=SEED)
+    ex = quota.expand(od, ["o_orderkey"], target, seed=SEED, unique=True)
     per = ex.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("copies"))
     return per.groupBy("copies").agg(F.count(F.lit(1)).alias("sources"))
+
+
+@register("balanced_rows", f"""
+WITH t AS (SELECT CAST(ceil(2.5 * count(*)) AS BIGINT) AS t, count(*) AS n FROM orders)
+SELECT o_orderkey, o_orderstatus, t // n + CASE WHEN pos < t % n THEN 1 ELSE 0 END AS copies
+FROM ({_ORDERED_SQL}), t
+""")
+def balanced_rows(spark, sf):
+    """Q3 rows: the number of copies of every order, fixed by the seed."""
+    od = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    target = od.select(F.ceil(F.count(F.lit(1)) * F.lit(2.5)).cast("long")).scalar()
+    return quota.expand(od, ["o_orderkey"], target, seed=SEED, unique=True) \
+                .groupBy("o_orderkey", "o_orderstatus").agg(F.max("_copy").alias("copies"))

@@ -98,9 +98,22 @@ def split_combos(spark, sf):
     return model.split(combos(spark, sf), FEATURES, 0.2, SEED)
 
 
-@register("stratified_split")
+_SPLIT_SQL = f"""
+WITH d AS ({_DOMINANT_SQL}),
+s AS (SELECT *, CASE WHEN (SELECT min(n) FROM (SELECT count(*) AS n FROM d GROUP BY dominant)) >= 2 THEN dominant ELSE '' END
+             AS stratum FROM d),
+p AS (SELECT *, count(*) OVER (PARTITION BY stratum) AS n,
+             ROW_NUMBER() OVER (PARTITION BY stratum ORDER BY substr(md5(
+               '{SEED}|' || l_linestatus || '|' || l_linenumber || '|' || CAST(l_tax AS VARCHAR) || '|' || CAST(l_quantity AS VARCHAR)),
+               1, 16)) - 1 AS pos FROM s)
+SELECT c.*, pos < ceil(n * CAST(0.2 AS DOUBLE)) AS is_test
+FROM ({_COMBOS_SQL}) c JOIN p USING (l_linestatus, l_linenumber, l_tax, l_quantity)
+"""
+
+
+@register("stratified_split", _SPLIT_SQL)
 def stratified_split(spark, sf):
-    """Combinations with their side of a stratified 80/20 tuple split (rows-only)."""
+    """Combinations with their side of a stratified 80/20 tuple split, fixed by the seed."""
     return split_combos(spark, sf)
 
 

@@ -46,3 +46,30 @@ def test_csv_quotes_and_line_breaks(spark, tmp_path):
     assert sorted(tuple(r) for r in back.collect()) == rows
     assert io.source_row_counts(spark, {"x": path}).collect()[0].rows == 3
     assert io.read_csv_text(spark, path).count() == 3
+
+
+def test_median_does_not_depend_on_plan_settings(spark):
+    from gradelens.operators.stats import exact_medians
+    df = spark.range(40_001).select((F.col("id") * 7919 % 40_009).alias("a"), F.when(F.col("id") < 10, F.col("id")).alias("b"),
+                                    F.lit(None).cast("int").alias("c"))
+    want = tuple(df.agg(F.percentile("a", 0.5), F.percentile("b", 0.5), F.percentile("c", 0.5)).first())
+    keys = ("spark.sql.exchange.reuse", "spark.sql.adaptive.enabled")
+    old = {k: spark.conf.get(k, "true") for k in keys}
+    try:
+        for reuse, aqe in (("true", "true"), ("false", "true"), ("true", "false"), ("false", "false")):
+            spark.conf.set(keys[0], reuse)
+            spark.conf.set(keys[1], aqe)
+            m = exact_medians(df, {n: F.col(n) for n in "abc"})
+            assert tuple(spark.range(1).select(*[m[n] for n in "abc"]).first()) == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_hours_of_empty_and_unparsed_tables(spark):
+    empty = spark.createDataFrame([], "t string")
+    assert clean.derive_hour(empty, "t").count() == 0
+    none = spark.createDataFrame([("x",), (None,)], "t string")
+    assert [r.Hour for r in clean.derive_hour(none, "t").collect()] == [12, 12]
+    two = spark.createDataFrame([("99 h",), ("x",)], "t string")
+    assert [r.Hour for r in clean.derive_hour(two, "t").collect()] == [23, 23]

@@ -37,10 +37,10 @@ def test_positions_read_the_checkpoint_without_reshuffling(spark):
     df = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") % 5).alias("v"))
     pos = quota.positions(df, ["k"], seed=3)
     plan = executed(pos)
-    # the salted shuffle and sort happened once, inside the checkpoint; the
+    # the shuffles and the sort happened once, inside the checkpoint; the
     # rows are read narrow from it, and the only exchanges carry the tiny
     # per-(partition, group) counts: partial-count shuffle, single-partition
     # window, broadcast of the offsets
-    assert "Exchange hashpartitioning(_h" not in plan
+    assert "Exchange rangepartitioning(_h" not in plan
     assert "Scan ExistingRDD" in plan
     assert plan.count("Exchange") <= 3

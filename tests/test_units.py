@@ -364,12 +364,37 @@ def test_train_flow_end_to_end(spark):
 
 
 def test_positions_spread_duplicate_keys(spark):
-    # one key tuple holding most rows must not land in one partition
-    df = spark.range(4000).select(F.when(F.col("id") < 3000, F.lit(7)).otherwise(F.col("id")).alias("k"))
-    pos = quota.positions(df, ["k"], seed=1)
-    assert sorted(r[0] for r in pos.select("_pos").collect()) == list(range(4000))
-    sizes = [r[0] for r in pos.groupBy(F.spark_partition_id()).count().select("count").collect()]
-    assert max(sizes) < 2000
+    # one key tuple or one row holding most rows must not land in one partition
+    hot = F.when(F.col("id") < 75_000, F.lit(7)).otherwise(F.col("id")).alias("k")
+    for df in (spark.range(100_000).select(hot, F.col("id").alias("v")), spark.range(100_000).select(hot)):
+        pos = quota.positions(df, ["k"], seed=1)
+        got = pos.agg(F.count(F.lit(1)), F.countDistinct("_pos"), F.min("_pos"), F.max("_pos")).first()
+        assert tuple(got) == (100_000, 100_000, 0, 99_999)
+        sizes = [r[0] for r in pos.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert max(sizes) < 60_000
+
+
+def test_positions_depend_on_seed_and_data_only(spark):
+    df = spark.range(3000).select((F.col("id") % 1500).alias("k"), F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("g"))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    try:
+        for parts in (8, 13):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            rows = quota.positions(df.repartition(parts), ["k"], seed=5, group="g", total="n").collect()
+            seen.append(sorted((r.k, -1 if r.g is None else r.g, r._pos, r.n) for r in rows))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert seen[0] == seen[1] and len(seen[0]) == 3000
+    other = quota.positions(df, ["k"], seed=6, group="g", total="n").collect()
+    assert sorted((r.k, -1 if r.g is None else r.g, r._pos, r.n) for r in other) != seen[0]
+
+
+def test_expansion_of_few_rows_spreads(spark):
+    out = quota.expand(spark.createDataFrame([(1,), (1,)], "k int"), ["k"], 60_001, seed=1)
+    assert out.count() == 60_001
+    assert max(r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()) < 60_001
+    assert quota.expand(spark.createDataFrame([], "k int"), ["k"], 5, seed=1).count() == 0
 
 
 def test_decode_map_text_keys_on_numbers(spark):
