@@ -6,9 +6,9 @@ and a final projection.
 
 Joins keep plain left-join semantics (a parent with several first-listed
 children fans out; a parent with none keeps NULL child columns) but are
-planned so a hot key cannot pin one task: matched rows come from an inner
-join (AQE can split a skewed partition on either side), unmatched parents
-from an anti join against the *distinct* child keys, and flags are one row
+planned so a hot key cannot pin one task: the child side is completed with an
+all-NULL row for every parent key that has no child, which makes the join
+an inner one, and AQE can split a skewed partition on either side.  Flags are one row
 per key after a partial aggregate.
 """
 
@@ -23,26 +23,30 @@ from gradelens.functions.labels import clean_label
 
 
 def first_child(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str,
-                ref: Column | None = None, dedupe: bool = False) -> DataFrame:
+                ref: Column | None = None, dedupe: bool = False, keys: DataFrame | None = None) -> DataFrame:
     """``parent LEFT JOIN (child WHERE ref)`` on ``parent_key = child_key``.
 
     ``ref`` selects the first-listed child (e.g. ``reference = 1``).  With
     ``dedupe`` one child row per key is kept (the smallest by all columns),
-    turning the fan-out off; the default keeps left-join semantics.
+    turning the fan-out off; the default keeps left-join semantics.  NULL keys match nothing.
+    ``keys`` is a frame with the same ``parent_key`` values as ``parent`` (default
+    ``parent`` itself): in a chain of children the first parent, so that the plan
+    grows by the same amount with each child.
     """
     kids = child if ref is None else child.filter(ref)
+    kids = kids.filter(F.col(child_key).isNotNull())
     if dedupe:
         kids = (kids.groupBy(child_key)
                     .agg(F.min(F.struct(*[c for c in kids.columns if c != child_key])).alias("_k"))
                     .select(child_key, "_k.*"))
+    wanted = (parent if keys is None else keys).select(F.col(parent_key).alias("_jk")).distinct()
+    listed = kids.select(F.col(child_key).alias("_listed")).distinct()
+    absent = wanted.join(listed, F.col("_jk") == F.col("_listed"), "left_anti")
+    side = kids.withColumn("_jk", F.col(child_key)).unionByName(absent, allowMissingColumns=True)
     if parent_key == child_key:
-        matched = parent.join(kids, parent_key, "inner")
-        unmatched = parent.join(kids.select(child_key).distinct(), parent_key, "left_anti")
-    else:
-        matched = parent.join(kids, parent[parent_key] == kids[child_key], "inner")
-        keys = kids.select(F.col(child_key).alias("_ck")).distinct()
-        unmatched = parent.join(keys, parent[parent_key] == keys["_ck"], "left_anti")
-    return matched.unionByName(unmatched, allowMissingColumns=True)
+        side = side.drop(child_key)
+    out = parent.withColumn("_jp", F.col(parent_key)).join(side, F.col("_jp").eqNullSafe(F.col("_jk")), "inner")
+    return out.drop("_jp", "_jk")
 
 
 def child_flags(child: DataFrame, key: str, flags: dict[str, Column]) -> DataFrame:
@@ -58,8 +62,10 @@ def attach_flags(df: DataFrame, flags: DataFrame, df_key: str, flag_key: str) ->
 
 
 def code_list(rows: DataFrame, table_col: str = "table", field_col: str = "field",
-              code_col: str = "code", label_col: str = "label", clean: bool = True) -> DataFrame:
-    """S11 (+ P7): ``(table, field, code, label)`` rows of a code list.
+              code_col: str = "code", label_col: str = "label", clean: bool = True,
+              order_col: str | None = None) -> DataFrame:
+    """S11 (+ P7): ``(table, field, code, label)`` rows of a code list, with their
+    place in the list as ``ord`` when ``order_col`` names it.
 
     Rows with both code and label NULL, and non-integer codes, are skipped;
     labels are cleaned (NULL / junk → Unknown) unless ``clean`` is off.
@@ -69,7 +75,8 @@ def code_list(rows: DataFrame, table_col: str = "table", field_col: str = "field
     lab = clean_label(F.col(label_col)) if clean else F.col(label_col)
     return (rows.filter(F.col(code_col).isNotNull() | F.col(label_col).isNotNull())
                 .select(F.col(table_col).alias("table"), F.col(field_col).alias("field"),
-                        whole.alias("code"), lab.alias("label"))
+                        whole.alias("code"), lab.alias("label"),
+                        *([F.col(order_col).alias("ord")] if order_col else []))
                 .filter(F.col("code").isNotNull()))
 
 
@@ -77,22 +84,19 @@ def decode(df: DataFrame, col: str, codes: DataFrame, table: str, field: str,
            default: str | Column = "Unknown", name: str | None = None) -> DataFrame:
     """Label for ``col`` from the code list, ``default`` when unmatched.
 
-    Duplicate codes keep one label (the smallest) so the join never fans out; text that is
-    not a number gets ``default``.  The join is planned from the list's size.
+    Of a code listed twice the last label by ``ord`` holds (without ``ord`` the smallest
+    label), so the join never fans out; text that is not a number gets ``default``.
+    The join is planned from the list's size.
     """
+    label = F.max_by("label", F.struct("ord", "label")) if "ord" in codes.columns else F.min("label")
     d = (codes.filter((F.col("table") == table) & (F.col("field") == field))
-              .groupBy("code").agg(F.min("label").alias("_label"))
+              .groupBy("code").agg(label.alias("_label"))
               .withColumnRenamed("code", "_code"))
     dflt = default if isinstance(default, Column) else F.lit(default)
     out = df.join(d, df[col].cast("string").try_cast("long") == d["_code"], "left")
     return out.withColumn(name or col, F.coalesce(F.col("_label"), dflt)).drop("_code", "_label")
 
 
-def project(df: DataFrame, columns: Sequence[Column]) -> DataFrame:
-    """The unified projection (renames, casts, constants, CASE chains)."""
-    return df.select(*columns)
-
-
 def flat_record(parent: DataFrame, parent_key: str,
                 children: Sequence[tuple[DataFrame, str, Column | None]] = (),
                 flags: Sequence[tuple[DataFrame, str, dict[str, Column]]] = (),
@@ -103,7 +107,7 @@ def flat_record(parent: DataFrame, parent_key: str,
     ``parent ⟕ child1 ⟕ child2 ⟕ flags`` planned as in ``first_child``."""
     out = parent
     for child, key, ref in children:
-        out = first_child(out, child, parent_key, key, ref=ref, dedupe=dedupe)
+        out = first_child(out, child, parent_key, key, ref=ref, dedupe=dedupe, keys=parent)
     for child, key, conds in flags:
         out = attach_flags(out, child_flags(child, key, conds), parent_key, key)
-    return project(out, projection) if projection is not None else out
+    return out.select(*projection) if projection is not None else out

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradelens.operators import clean, profile, quota
+from gradelens.plans import unify
 from gradelens.session import checkpoint_dir
 from gradelens.sources import io
 from gradelens.spec import OutcomeSpec
@@ -24,7 +25,7 @@ from gradelens.spec import OutcomeSpec
 @dataclass
 class BuildResult:
     records: DataFrame       # the written records, read back
-    report: DataFrame        # A21 cleaning report
+    report: DataFrame | None  # A21 cleaning report
     quota_check: DataFrame | None   # Q2 per-region check
     profile: DataFrame       # A9 profile of the written records
 
@@ -67,3 +68,17 @@ def build_records(raw: DataFrame, spec: OutcomeSpec, synonyms: Mapping[str, str]
         if check is not None:
             io.write_json(check, f"{meta_dir}/quota_check")
     return BuildResult(records, report, check, prof)
+
+
+def build_unified(collision: DataFrame, vehicle: DataFrame, casualty: DataFrame, codes: DataFrame, spec: OutcomeSpec,
+                  out_dir: str, profile_fields: Sequence[str] = ("Time_of_day", "Day_of_week", "State"),
+                  max_records_per_file: int = 1_000_000, meta_dir: str | None = None) -> BuildResult:
+    """Three raw tables → the unified 37-column records (``unify.unified_records``) → zstd Parquet
+    → profile (A9) of the records read back; with ``meta_dir`` also as JSON (S10)."""
+    io.write_parquet(unify.unified_records(collision, vehicle, casualty, codes), out_dir, max_records_per_file=max_records_per_file)
+    records = collision.sparkSession.read.parquet(out_dir)
+    prof = profile.profile(records, list(profile_fields), spec)
+    if meta_dir:
+        io.write_json(prof, f"{meta_dir}/profile")
+        io.write_json(profile.value_counts(records, list(profile_fields)), f"{meta_dir}/levels")
+    return BuildResult(records, None, None, prof)

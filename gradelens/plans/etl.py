@@ -8,6 +8,7 @@ from gradelens.functions.bands import hour_band, hour_or_default, number_band, o
 from gradelens.functions.labels import decode_map, first_match
 from gradelens.operators import assemble, clean, profile
 from gradelens.plans import sqltext as S
+from gradelens.plans import unify
 from gradelens.plans.registry import register
 from gradelens.plans.tables import EVENTS_SQL, LINE_OUTCOME, ORDER_NATIONS_SQL, events, order_nations, table
 from gradelens.operators.clean import WHITESPACE_CLASS
@@ -82,6 +83,102 @@ def assemble_first_child(spark, sf):
     return assembled(spark, sf)
 
 
+# Test roles of the three raw tables: an order is a collision, its lines are vehicles (by line number) and
+# casualties (by line number less one, so one-line orders have none).  Expressions that both engines read.
+_RAW = {
+    "collision": ("orders", {
+        "collision_index": "o_orderkey", "day_of_week": "1 + o_custkey % 8", "collision_severity": "1 + o_orderkey % 4",
+        "number_of_vehicles": "1 + o_custkey % 3", "number_of_casualties": "o_custkey % 5", "urban_or_rural_area": "o_custkey % 4",
+        "road_type": "o_custkey % 7", "first_road_class": "o_custkey % 6", "road_surface_conditions": "o_orderkey % 7",
+        "light_conditions": "o_orderkey % 5", "weather_conditions": "o_orderkey % 9", "police_force": "o_custkey % 11"}),
+    "vehicle": ("lineitem", {
+        "collision_index": "l_orderkey", "vehicle_reference": "l_linenumber", "vehicle_type": "l_partkey % 9",
+        "sex_of_driver": "l_partkey % 4", "age_band_of_driver": "l_suppkey % 8", "vehicle_manoeuvre": "l_partkey % 7",
+        "driver_imd_decile": "l_suppkey % 6", "age_of_vehicle": "CAST(l_quantity AS INT) - 5",
+        "skidding_and_overturning": "l_partkey % 8 - 1", "vehicle_leaving_carriageway": "l_suppkey % 3 - 1",
+        "hit_object_off_carriageway": "l_partkey % 3 - 1"}),
+    "casualty": ("lineitem", {
+        "collision_index": "l_orderkey", "casualty_reference": "l_linenumber - 1", "casualty_class": "l_suppkey % 5",
+        "sex_of_casualty": "l_partkey % 3", "age_band_of_casualty": "l_suppkey % 9", "casualty_severity": "l_partkey % 4",
+        "pedestrian_movement": "l_suppkey % 7"}),
+}
+_DAY_NAMES = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
+
+
+def _raw_codes():
+    """Codes 1 to 5 of each decoded field (7 of the weekday): code 3 listed twice, code 4 a junk label, code 5 none."""
+    rows = []
+    for _, tab, fld, _ in unify.DECODED:
+        names = [f"{fld} 1", f"{fld} 2", f"{fld} 3", "Data missing or out of range", None]
+        listed = list(enumerate(_DAY_NAMES if fld == "day_of_week" else names, 1))
+        listed += [] if fld == "day_of_week" else [(3, f"a later {fld}")]
+        rows += [(tab, fld, str(code), name, pos) for pos, (code, name) in enumerate(listed)]
+    return rows
+
+
+def _raw_sql(name):
+    tab, cols = _RAW[name]
+    more = ", strftime(o_orderdate + INTERVAL 1 MINUTE * (o_orderkey % 1440), '%H:%M:%S') AS time" if name == "collision" else ""
+    return f"SELECT {', '.join(f'{e} AS {c}' for c, e in cols.items())}{more} FROM {tab}"
+
+
+def _decoded_sql():
+    alias = {"collision": "c", "vehicle": "v", "casualty": "k"}
+    out = []
+    for name, tab, fld, default in unify.DECODED:
+        labels = {code: "Unknown" if lab is None or "missing" in lab else lab for t, f, code, lab, _ in _raw_codes() if (t, f) == (tab, fld)}
+        whens = " ".join(f"WHEN {code} THEN '{lab}'" for code, lab in labels.items())
+        out.append(f"CASE {alias[tab]}.{fld} {whens} ELSE '{default}' END AS {name}")
+    return ", ".join(out)
+
+
+_UNIFIED_SQL = f"""
+WITH c AS ({_raw_sql('collision')}), vs AS ({_raw_sql('vehicle')}), ks AS ({_raw_sql('casualty')}),
+v AS (SELECT * FROM vs WHERE vehicle_reference = 1), k AS (SELECT * FROM ks WHERE casualty_reference = 1),
+p AS (SELECT collision_index, max(CASE WHEN casualty_class = 3 THEN 1 ELSE 0 END) AS has_pedestrian FROM ks GROUP BY 1),
+d AS (SELECT c.time AS "Time", {_decoded_sql()},
+  CASE sex_of_driver WHEN 1 THEN 'Male' WHEN 2 THEN 'Female' ELSE 'Unknown' END AS Sex_of_driver,
+  CASE WHEN age_of_vehicle < 0 THEN 'Unknown' WHEN age_of_vehicle <= 2 THEN '0-2 yrs' WHEN age_of_vehicle <= 5 THEN '3-5 yrs'
+       WHEN age_of_vehicle <= 10 THEN '6-10 yrs' WHEN age_of_vehicle <= 15 THEN '11-15 yrs'
+       WHEN age_of_vehicle IS NOT NULL THEN 'Over 15 yrs' ELSE 'Unknown' END AS Driving_experience,
+  CASE WHEN has_pedestrian = 1 THEN 'Collision with pedestrians' WHEN skidding_and_overturning IN (2, 4, 5) THEN 'Rollover'
+       WHEN hit_object_off_carriageway NOT IN (0, -1) OR vehicle_leaving_carriageway NOT IN (0, -1)
+       THEN 'Collision with roadside objects' WHEN number_of_vehicles >= 2 THEN 'Vehicle with vehicle collision' ELSE 'Other' END
+       AS Type_of_collision,
+  CAST(number_of_vehicles AS SMALLINT) AS Number_of_vehicles_involved, CAST(number_of_casualties AS SMALLINT) AS Number_of_casualties,
+  CASE WHEN skidding_and_overturning = 1 THEN 'Skidded' WHEN skidding_and_overturning = 2 THEN 'Skidded and overturned'
+       WHEN skidding_and_overturning = 3 THEN 'Jackknifed' WHEN skidding_and_overturning = 4 THEN 'Jackknifed and overturned'
+       WHEN skidding_and_overturning = 5 THEN 'Overturned' WHEN vehicle_leaving_carriageway NOT IN (0, -1) THEN 'Left carriageway'
+       WHEN skidding_and_overturning = -1 THEN 'Unknown' ELSE 'No abnormal movement' END AS Vehicle_movement,
+  CASE sex_of_casualty WHEN 1 THEN 'Male' WHEN 2 THEN 'Female' ELSE 'Unknown' END AS Sex_of_casualty,
+  CASE casualty_severity WHEN 1 THEN 'Fatal injury' WHEN 2 THEN 'Serious Injury' WHEN 3 THEN 'Slight Injury' ELSE 'Unknown' END
+       AS Casualty_severity,
+  CASE collision_severity WHEN 1 THEN 'Fatal injury' WHEN 2 THEN 'Serious Injury' WHEN 3 THEN 'Slight Injury' ELSE 'Unknown' END
+       AS Accident_severity,
+  CAST(substr(c.time, 1, 2) AS SMALLINT) AS Hour,
+  CASE WHEN CAST(substr(c.time, 1, 2) AS INT) BETWEEN 6 AND 11 THEN 'Morning (6-11)'
+       WHEN CAST(substr(c.time, 1, 2) AS INT) BETWEEN 12 AND 16 THEN 'Afternoon (12-16)'
+       WHEN CAST(substr(c.time, 1, 2) AS INT) BETWEEN 17 AND 20 THEN 'Evening (17-20)' ELSE 'Night (0-5)' END AS Time_of_day,
+  CAST(CASE collision_severity WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 0 END AS SMALLINT) AS Severity_rank,
+  {', '.join(f"'{unify.NOT_AVAILABLE}' AS {n}" for n in unify.UNRECORDED)}
+  FROM c LEFT JOIN v ON v.collision_index = c.collision_index LEFT JOIN k ON k.collision_index = c.collision_index
+         LEFT JOIN p ON p.collision_index = c.collision_index)
+SELECT *, Day_of_week IN ('Saturday', 'Sunday') AS Is_weekend FROM d
+"""
+
+
+@register("unified_records", _UNIFIED_SQL)
+def unified_records(spark, sf):
+    """Three tables and a code list → the 37-column record."""
+    def raw(name):
+        tab, cols = _RAW[name]
+        return table(spark, sf, tab).select("*", *[F.expr(e).alias(c) for c, e in cols.items()])
+    minutes = F.expr("make_interval(0, 0, 0, 0, 0, CAST(o_orderkey % 1440 AS INT), 0)")
+    collision = raw("collision").withColumn("time", F.date_format(F.col("o_orderdate") + minutes, "HH:mm:ss"))
+    listed = spark.createDataFrame(_raw_codes(), "table string, field string, code string, label string, pos int")
+    return unify.unified_records(collision, raw("vehicle"), raw("casualty"), assemble.code_list(listed, order_col="pos"))
+
+
 # Test roles: a code list for l_linenumber with a junk label, a NULL label, a
 # non-integer code, an all-NULL row and another field; line 7 is left out.
 CODE_ROWS = [

@@ -318,6 +318,13 @@ def test_pct_text(spark):
     assert got == ["12.3", "12", "100", "0.5", "0.12", "0.05", "<0.001", "0", "0", "0", "1.3", "0.1"]
 
 
+def test_first_child_null_keys_match_nothing(spark):
+    parent = spark.createDataFrame([(1, "p"), (None, "q"), (None, "r"), (2, "s")], "k int, pv string")
+    child = spark.createDataFrame([(1, "a"), (None, "b")], "ck long, v string")
+    got = assemble.first_child(parent, child, "k", "ck")
+    assert sorted((r.pv, r.ck, r.v) for r in got.collect()) == [("p", 1, "a"), ("q", None, None), ("r", None, None), ("s", None, None)]
+
+
 def test_first_child_same_key_name_and_flags(spark):
     parent = spark.createDataFrame([(1, "p1"), (2, "p2")], "k int, pv string")
     child = spark.createDataFrame([(1, 1, "R"), (1, 2, "N"), (2, 2, "R")], "k int, ref int, flag string")
@@ -333,6 +340,10 @@ def test_decode_duplicate_and_bad_codes(spark):
     df = spark.createDataFrame([(1,), (2,), (3,)], "c int")
     got = sorted(tuple(r) for r in assemble.decode(df, "c", codes, "t", "f", "none", name="label").collect())
     assert got == [(1, "A"), (2, "C"), (3, "none")]  # no fan-out on duplicate codes
+    raw = spark.createDataFrame([("t", "f", "1", "A", 2), ("t", "f", "1", "B", 3), ("t", "f", "1", "C", 1)],
+                                "table string, field string, code string, label string, row int")
+    listed = assemble.code_list(raw, order_col="row")
+    assert assemble.decode(df.limit(1), "c", listed, "t", "f", "none", name="label").first()["label"] == "B"
     text = spark.createDataFrame([("1",), ("x",), (None,)], "c string")
     got = sorted(tuple(r) for r in assemble.decode(text, "c", codes, "t", "f", "none", name="label").select("label").collect())
     assert got == [("A",), ("none",), ("none",)]  # text that is not a number gets the default
