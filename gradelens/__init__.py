@@ -11,7 +11,6 @@ Layout
                             ordering, grids, assembly, cleaning, profiles, quotas, model
 - ``gradelens.sources``     parquet / CSV / JSON scans and sinks, code lists
 - ``gradelens.plans``       named reports and the query catalog over the test tables
-- ``gradelens.streaming``   the same breakdown operators over a streaming source
 """
 
 from gradelens.spec import OutcomeSpec

@@ -16,6 +16,7 @@ thing brought to the driver.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Mapping, Sequence
@@ -24,7 +25,7 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -143,7 +144,21 @@ class SeverityModel:
     variances: list[float] = field(default_factory=list)  # weighted variance of every slot
     coef: np.ndarray | None = None         # (classes x slots) in encoded space, LR only
     importances_raw: np.ndarray | None = None
-    extra: dict = field(default_factory=dict)
+
+    def save(self, path: str) -> None:
+        """Overwrite ``path`` with the fitted pipeline and the metadata (one JSON text), on any Spark file system."""
+        self.pipeline.write().overwrite().save(f"{path}/pipeline")
+        meta = {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in vars(self).items() if k != "pipeline"}
+        spark = SparkSession.getActiveSession()
+        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "SeverityModel":
+        """A model that ``save`` wrote."""
+        meta = json.loads(spark.read.text(f"{path}/metadata", wholetext=True).first()["value"])
+        for k in ("coef", "importances_raw"):
+            meta[k] = None if meta[k] is None else np.array(meta[k])
+        return cls(pipeline=PipelineModel.load(f"{path}/pipeline"), **meta)
 
 
 def _label_index(levels: Sequence[str]) -> Column:
@@ -153,11 +168,9 @@ def _label_index(levels: Sequence[str]) -> Column:
     return expr
 
 
-def choose_pca_k(df: DataFrame, col: str, dim: int, variance: float = 0.95) -> int:
+def components_for(explained: Sequence[float], variance: float = 0.95) -> int:
     """M3: the smallest k whose cumulative explained variance reaches ``variance``."""
-    model = PCA(k=dim, inputCol=col, outputCol="_pca").fit(df)
-    cum = np.cumsum(model.explainedVariance.toArray())
-    return int(np.searchsorted(cum, variance - 1e-12) + 1)
+    return int(np.searchsorted(np.cumsum(explained), variance - 1e-12) + 1)
 
 
 def fit(train: DataFrame, cat: Sequence[str], num: Sequence[str], levels: Sequence[str],
@@ -201,11 +214,13 @@ def _fit(data: DataFrame, cat, num, present, learner, use_pca, variance, max_ite
     extra_stages = []
     loadings = None
     if use_pca:
-        k = choose_pca_k(encoded, "encoded", dim, variance)
-        pca = PCA(k=k, inputCol="encoded", outputCol="reduced").fit(encoded)
-        extra_stages.append(pca)
-        loadings = pca.pc.toArray()          # dim x k
-        encoded = pca.transform(encoded)
+        # one fit with all components (dim x dim numbers on the driver); the first k are kept
+        pca = PCA(k=dim, inputCol="encoded", outputCol="components").fit(encoded)
+        k = min(components_for(pca.explainedVariance.toArray(), variance), dim)
+        keep = VectorSlicer(inputCol="components", outputCol="reduced", indices=list(range(k)))
+        extra_stages += [pca, keep]
+        loadings = pca.pc.toArray()[:, :k]   # dim x k
+        encoded = keep.transform(pca.transform(encoded))
         feat_col = "reduced"
     if learner == "logistic":
         clf = LogisticRegression(featuresCol=feat_col, labelCol="label_idx", weightCol="fit_weight",
@@ -254,8 +269,9 @@ def score(model: SeverityModel, scenarios: DataFrame, levels: Sequence[str], top
     ``top`` signed per-field contributions to it (|value| > ``eps``).
 
     Contribution of an encoded slot for class c is ``coef[c, j] * (x_j -
-    mean_j)`` (exact for the logistic model), summed to its field; all of
-    it is array arithmetic inside the JVM.  Probabilities are rounded to
+    mean_j)`` (exact for the logistic model), summed to its field.  A one-hot field
+    has at most one slot set, so its sum is the coefficient of the row's level
+    less a constant per class: one array lookup per field.  Probabilities are rounded to
     ``p_digits`` and contributions to ``c_digits`` (half-even; None keeps
     full precision).
     """
@@ -267,25 +283,23 @@ def score(model: SeverityModel, scenarios: DataFrame, levels: Sequence[str], top
         return x if d is None else F.bround(x, d)
     cols = [rnd(F.element_at(prob, i + 1), p_digits).alias(f"p_{c}") for i, c in enumerate(model.classes)]
     classes = F.array(*[F.lit(c) for c in model.classes])
-    res = out.select("*", *cols, F.element_at(classes, pred + 1).alias("predicted"),
-                     vector_to_array("encoded").alias("_x"))
+    res = out.select("*", *cols, F.element_at(classes, pred + 1).alias("predicted"))
     if model.coef is not None:
         fields = list(dict.fromkeys(model.slots))
-        # literal slot lists per field: each row sums its own slots, O(slots)
-        slots_of = {f: [i for i, s in enumerate(model.slots) if s == f] for f in fields}
-        means = F.array(*[F.lit(float(m)) for m in model.means])
-        coef = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in model.coef])
-        crow = F.element_at(coef, pred + 1)
-        n = len(model.slots)
-        contrib = F.transform(F.sequence(F.lit(0), F.lit(n - 1)),
-                              lambda i: (F.element_at("_x", i + 1) - F.element_at(means, i + 1))
-                              * F.element_at(crow, i + 1))
-        res = res.withColumn("_c", contrib)
-        per_field = F.array(*[
-            F.struct(F.lit(f).alias("feature"),
-                     F.aggregate(F.array(*[F.lit(i + 1) for i in slots_of[f]]), F.lit(0.0),
-                                 lambda acc, i: acc + F.element_at(F.col("_c"), i)).alias("value"))
-            for f in fields])
+        means = np.asarray(model.means, dtype=float)
+
+        def numbers(values):
+            return F.array(*[F.lit(float(v)) for v in values])
+
+        def contribution(f):
+            at = [i for i, s in enumerate(model.slots) if s == f]
+            base = F.element_at(numbers(model.coef[:, at] @ means[at]), pred + 1)
+            if f in model.num:
+                return F.element_at(numbers(model.coef[:, at[0]]), pred + 1) * F.col(f) - base
+            by_class = F.array(*[numbers(row[at]) for row in model.coef])
+            level = F.try_element_at(F.element_at(by_class, pred + 1), F.col(f"{f}__idx").cast("int") + 1)
+            return F.coalesce(level, F.lit(0.0)) - base      # an unseen level sets no slot
+        per_field = F.array(*[F.struct(F.lit(f).alias("feature"), contribution(f).alias("value")) for f in fields])
         kept = F.transform(F.filter(per_field, lambda s: F.abs(s["value"]) > eps),
                            lambda s: F.struct(s["feature"].alias("feature"),
                                               rnd(s["value"], c_digits).alias("value")))
@@ -409,7 +423,7 @@ class TrainResult:
     metrics: DataFrame        # accuracy, macro_f1, weighted_f1, n_test
     per_class: DataFrame      # label, precision, recall, f1, support
     importances: DataFrame    # feature, importance (top 15)
-    levels: DataFrame         # field, levels (A15)
+    levels: DataFrame         # field, value, n (A15, one row per level)
     num_stats: DataFrame      # feature, mean, min, max (A14)
 
 
@@ -420,7 +434,7 @@ def train_flow(records: DataFrame, cat: Sequence[str], num: Sequence[str], targe
     """The training run end to end: features the table has (leak guard),
     weighted combinations, leak-free stratified split of combinations, fit
     on the training side, weighted evaluation on the held-out side."""
-    from gradelens.operators.profile import levels as level_lists
+    from gradelens.operators.profile import value_counts
     cat, num = check_features(records.columns, cat, num, forbidden)
     combos = combinations(records, cat, num, target)
     sides = split(combos, [*cat, *num], test_fraction, seed)
@@ -428,5 +442,5 @@ def train_flow(records: DataFrame, cat: Sequence[str], num: Sequence[str], targe
             variance=variance, seed=seed)
     conf = confusion(score(m, sides.filter(F.col("is_test")), levels))
     return TrainResult(m, overall_metrics(conf, m.classes), class_metrics(conf, m.classes),
-                       importance(m, spark=records.sparkSession), level_lists(combos, cat),
+                       importance(m, spark=records.sparkSession), value_counts(combos, cat),
                        weighted_stats(combos, num))

@@ -40,7 +40,7 @@ def build_records(raw: DataFrame, spec: OutcomeSpec, synonyms: Mapping[str, str]
     (P20-P22) → compact types (P23) → assign ``region_col`` by exact quota
     from ``shares`` (``label``, ``weight``; Q1) → write zstd Parquet (S6, S8)
     → report (A21), quota check (Q2) and profile (A9); with ``meta_dir`` these
-    and the level lists (A15) are also written there as JSON (S10)."""
+    and the levels (A15, one row each) are also written there as JSON (S10)."""
     clean.require(raw, [time_col, day_col, spec.column, *numeric])
     checkpoint_dir(raw.sparkSession)
     # cut the lineage after cleaning: the later steps take dataset-level
@@ -63,7 +63,7 @@ def build_records(raw: DataFrame, spec: OutcomeSpec, synonyms: Mapping[str, str]
     if meta_dir:
         # The dataset metadata next to the records, as JSON lines
         io.write_json(prof, f"{meta_dir}/profile")
-        io.write_json(profile.levels(records, fields), f"{meta_dir}/levels")
+        io.write_json(profile.value_counts(records, fields), f"{meta_dir}/levels")
         io.write_json(report, f"{meta_dir}/cleaning_report")
         if check is not None:
             io.write_json(check, f"{meta_dir}/quota_check")

@@ -224,3 +224,28 @@ def feature_importance_forest(spark, sf):
     """M3 M7: gain importances of a forest on PCA components, spread back to fields."""
     m, _ = _trained(spark, sf, use_pca=True, learner="forest")
     return model.importance(m, spark=spark)
+
+
+@register("score_checks", f"SELECT count(*) AS scored, 0 AS sums_off, 0 AS not_largest FROM (SELECT DISTINCT l_linestatus, l_linenumber, "
+          f"l_tax, l_quantity FROM ({_SPLIT_SQL}) WHERE is_test)")
+def score_checks(spark, sf):
+    """M4 M6: held-out tuples scored, probability sums off by over 1e-6, classes that are not the likeliest."""
+    m, s = _trained(spark, sf)
+    test = model.distinct_tuples(s.filter(F.col("is_test")), FEATURES)
+    probs = [F.col(f"p_{c}") for c in m.classes]
+    best = F.element_at(F.create_map(*[x for c, p in zip(m.classes, probs) for x in (F.lit(c), p)]), F.col("predicted"))
+    return model.score(m, test, LEVELS, p_digits=None).agg(
+        F.count(F.lit(1)).alias("scored"),
+        F.count_if(F.abs(sum(probs[1:], probs[0]) - 1) > 1e-6).cast("int").alias("sums_off"),
+        F.count_if(best < F.greatest(*probs)).cast("int").alias("not_largest"))
+
+
+@register("scenario_defaults", """
+SELECT p_partkey, COALESCE(NULLIF(p_brand, 'Brand#11'), '') AS brand, COALESCE(NULLIF(CAST(p_size % 5 AS DOUBLE), 0.0), 1.0) AS size,
+       '' AS gone, COALESCE(TRY_CAST(p_type AS DOUBLE), 1.0) AS text_number FROM part
+""")
+def scenario_defaults(spark, sf):
+    """Missing categorical -> '', missing, zero or bad numeric -> 1.0."""
+    pt = table(spark, sf, "part").select("p_partkey", F.nullif("p_brand", F.lit("Brand#11")).alias("brand"),
+                                         (F.col("p_size") % 5).alias("size"), F.col("p_type").alias("text_number"))
+    return model.scenario_defaults(pt, ["brand", "gone"], ["size", "text_number"])

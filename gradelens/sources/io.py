@@ -5,7 +5,7 @@
   whose typed column does not parse is skipped whatever the projection
   (Spark's own DROPMALFORMED is applied lazily and depends on the columns a
   query reads).  Rows with a wrong field count are caught with the corrupt
-  record column on a checkpointed full parse.
+  record column; column pruning is off for that scan, so every query parses whole rows.
 - Sinks write zstd Parquet with a row cap per file, header CSV, and JSON.
 """
 
@@ -14,27 +14,29 @@ from __future__ import annotations
 from functools import reduce
 from typing import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gradelens.session import checkpoint_dir
-
 CORRUPT = "_corrupt_record"
+NO_DATA = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 # -- parquet -----------------------------------------------------------------------------
 def register_views(spark: SparkSession, datasets: Mapping[str, str], suffix: str = "records") -> dict:
-    """``{name: dir}`` → temp view ``{name}_{suffix}`` per readable directory.
+    """``{name: dir}`` → temp view ``{name}_{suffix}`` per present directory.
 
-    Returns ``{view: columns}`` (S2); directories that cannot be read are
-    skipped, as a service starts without the data it lacks.
+    Returns ``{view: columns}`` (S2); directories that are missing or empty are
+    skipped, as a service starts without the data it lacks.  Any other fault is raised.
     """
     cols = {}
     for name, path in datasets.items():
         try:
             df = spark.read.parquet(path)
-        except Exception:  # noqa: BLE001  (missing data is not fatal at start)
+        except AnalysisException as e:
+            if e.getCondition() not in NO_DATA:
+                raise
             continue
         view = f"{name}_{suffix}"
         df.createOrReplaceTempView(view)
@@ -85,13 +87,12 @@ def read_csv_typed(spark: SparkSession, path: str, schema: Mapping[str, str],
     r = spark.read.options(**CSV).option("header", header).option("mode", "PERMISSIVE")
     if check_field_count:
         fields.append(T.StructField(CORRUPT, T.StringType()))
-        r = r.option("columnNameOfCorruptRecord", CORRUPT)
+        r = r.option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
     raw = r.schema(T.StructType(fields)).csv(path)
     if check_field_count:
-        # materialise the full parse so the corrupt-record column is set for
-        # every row regardless of the columns a later query needs
-        checkpoint_dir(spark)
-        raw = raw.checkpoint(eager=True).filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+        # the test of the first field is always true: a scan of the corrupt record alone is refused
+        first = F.length(F.coalesce(F.col(names[0]), F.lit(""))) >= 0
+        raw = raw.filter(F.col(CORRUPT).isNull() & first).drop(CORRUPT)
     typed = [F.col(n).try_cast(t).alias(n) if t != "string" else F.col(n) for n, t in schema.items()]
     ok = [F.col(n).isNull() | F.col(n).try_cast(t).isNotNull() for n, t in schema.items() if t != "string"]
     out = raw.filter(reduce(lambda a, b: a & b, ok)) if ok else raw

@@ -44,3 +44,26 @@ def test_positions_read_the_checkpoint_without_reshuffling(spark):
     assert "Exchange rangepartitioning(_h" not in plan
     assert "Scan ExistingRDD" in plan
     assert plan.count("Exchange") <= 3
+
+
+def test_child_joins_grow_by_the_same_amount(spark):
+    from pyspark.sql import functions as F
+    from gradelens.operators import assemble
+    parent = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    child = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+
+    def scans(n):
+        kids = [(child.select(F.col("l_orderkey").alias(f"k{i}"), F.col("l_linenumber").alias(f"n{i}")), f"k{i}", F.col(f"n{i}") == 1)
+                for i in range(n)]
+        out = assemble.flat_record(parent, "o_orderkey", children=kids)
+        return out._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert [scans(n) for n in (0, 1, 2, 3)] == [1, 4, 7, 10]
+
+
+def test_median_fill_reads_its_input_twice(spark):
+    from pyspark.sql import functions as F
+    from gradelens.operators import clean
+    df = spark.read.parquet(f"{SF_SMALL}/part.parquet").select(F.col("p_size").alias("a"), F.col("p_retailprice").alias("b"))
+    # one pass counts both columns when the fill is built, the other applies it
+    plan = clean.median_fill(df, ["a", "b"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1

@@ -24,6 +24,9 @@ def test_typed_csv_skips_bad_rows(spark):
     assert sorted(tuple(r) for r in df.collect()) == [(1, 2, "x"), (8, None, "w")]
     # the same rows whatever the projection
     assert sorted(r[0] for r in df.select("a").collect()) == [1, 8]
+    assert df.count() == 2 and df.select("s").filter("s = 'w'").count() == 1
+    texts = io.read_csv_typed(spark, p, {"a": "string", "b": "string", "s": "string"})
+    assert texts.count() == 3 and texts.select("s").distinct().count() == 3
     loose = io.read_csv_typed(spark, p, {"a": "int", "b": "int", "s": "string"}, check_field_count=False)
     assert 3 not in [r[0] for r in loose.select("a").collect()]
 
@@ -94,5 +97,34 @@ def test_build_records_end_to_end(spark):
     assert res.profile.filter(F.col("section") == "rows").first()["n"] == n
     assert io.read_json(spark, os.path.join(meta, "profile")).filter("section = 'rows'").first()["n"] == n
     assert io.read_json(spark, os.path.join(meta, "quota_check")).count() == 3
-    lv = {r["field"]: r["levels"] for r in io.read_json(spark, os.path.join(meta, "levels")).collect()}
-    assert lv["State"] == ["East", "North", "South"]
+    lv = io.read_json(spark, os.path.join(meta, "levels")).filter("field = 'State'")
+    assert sorted(r["value"] for r in lv.collect()) == ["East", "North", "South"]
+    assert "_pos" not in res.records.columns
+
+
+def test_build_unified_end_to_end(spark):
+    from gradelens.plans.build import build_unified
+    from gradelens.plans.presets import SEVERITY
+    from gradelens.plans.unify import COLUMNS, DECODED, _CASUALTY, _PARENT, _VEHICLE
+    own = {"collision": _PARENT, "vehicle": _VEHICLE, "casualty": _CASUALTY}
+    cols = {t: ["collision_index", *own[t], *[f for _, tab, f, _ in DECODED if tab == t]] for t in own}
+
+    def frame(t, *rows):
+        types = ", ".join(f"{c} {'string' if c == 'time' else 'int'}" for c in cols[t])
+        return spark.createDataFrame([tuple(r.get(c) for c in cols[t]) for r in rows], types)
+    collision = frame("collision", {"collision_index": 1, "time": "9:05", "collision_severity": 1, "number_of_vehicles": 2, "day_of_week": 1},
+                      {"collision_index": 2, "time": "bad", "collision_severity": 9, "number_of_vehicles": 99999})
+    vehicle = frame("vehicle", {"collision_index": 1, "vehicle_reference": 1, "skidding_and_overturning": 5, "sex_of_driver": 2},
+                    {"collision_index": 1, "vehicle_reference": 2, "skidding_and_overturning": 1})
+    casualty = frame("casualty", {"collision_index": 1, "casualty_reference": 2, "casualty_class": 3})
+    codes = spark.createDataFrame([("collision", "day_of_week", 1, "Sunday")], "table string, field string, code long, label string")
+    out = scratch()
+    res = build_unified(collision, vehicle, casualty, codes, SEVERITY, os.path.join(out, "records"), meta_dir=os.path.join(out, "meta"))
+    assert tuple(res.records.columns) == COLUMNS and len(COLUMNS) == 37
+    a, b = sorted(res.records.collect(), key=lambda r: r.Hour)
+    assert (a.Time, a.Time_of_day, a.Is_weekend, a.Severity_rank, a.Sex_of_driver) == ("09:05:00", "Morning (6-11)", True, 2, "Female")
+    assert (a.Vehicle_movement, a.Type_of_collision) == ("Overturned", "Collision with pedestrians")
+    assert (b.Time, b.Hour, b.Time_of_day, b.State, b.Accident_severity) == (None, 12, "Night (0-5)", "Unknown Force", "Unknown")
+    assert (b.Vehicle_movement, b.Type_of_collision, b.Severity_rank) == ("No abnormal movement", "Vehicle with vehicle collision", None)
+    assert b.Number_of_vehicles_involved is None and b.Pedestrian_movement == "Not a Pedestrian"
+    assert res.profile.filter("section = 'rows'").first()["n"] == 2

@@ -201,7 +201,7 @@ def test_metrics_zero_division(spark):
     assert math.isclose(overall["macro_f1"], sum(per[c]["f1"] for c in "abc") / 3)
 
 
-def test_scoring_defaults_and_unseen_levels(spark):
+def test_scoring_defaults_and_unseen_levels(spark, tmp_path):
     rows = [("x", 1.0, "low")] * 30 + [("y", 5.0, "high")] * 30 + [("x", 5.0, "mid")] * 10
     df = spark.createDataFrame(rows, "c string, n double, outcome string")
     combos = model.combinations(df, ["c"], ["n"], "outcome")
@@ -214,6 +214,17 @@ def test_scoring_defaults_and_unseen_levels(spark):
         assert len(r["contributions"]) <= 6
     imp = model.importance(m, spark=spark).collect()
     assert sum(r["importance"] for r in imp) == pytest.approx(1.0)
+    # contributions against the encoded vector, and the same scores from a saved model
+    sent = m.pipeline.transform(model.scenario_defaults(scen, m.cat, m.num)).select("encoded", "prediction").collect()
+    full = model.score(m, scen, list(SPEC.levels), eps=-1.0, c_digits=None).collect()
+    for r, e in zip(full, sent):
+        parts = (e["encoded"].toArray() - m.means) * m.coef[int(e["prediction"])]
+        want = {f: sum(p for p, s in zip(parts, m.slots) if s == f) for f in ("c", "n")}
+        assert {c["feature"]: c["value"] for c in r["contributions"]} == pytest.approx(want)
+    path = str(tmp_path / "model")
+    m.save(path)
+    m.save(path)      # overwrites
+    assert model.score(model.SeverityModel.load(spark, path), scen, list(SPEC.levels)).collect() == out
 
 
 def test_cleaning_report_counts(spark):
