@@ -104,12 +104,6 @@ def decode_map(col, mapping: Mapping, default) -> Column:
     return F.coalesce(F.try_element_at(m, key), dflt)
 
 
-def null_token(col, tokens: Sequence[str] = NULL_TOKENS) -> Column:
-    """Missing-value tokens become NULL (trimmed, any case)."""
-    c = _c(col)
-    return F.when(F.lower(F.trim(c)).isin(list(tokens)), F.lit(None).cast("string")).otherwise(c)
-
-
 def canonical(col, synonyms: Mapping[str, str] = SEVERITY_SYNONYMS) -> Column:
     """Lower-cased, trimmed text through a synonym map; NULL when unmapped."""
     m = F.create_map(*[x for k, v in synonyms.items() for x in (F.lit(k), F.lit(v))])

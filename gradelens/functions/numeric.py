@@ -46,12 +46,6 @@ def ratio(num, den) -> Column:
     return F.coalesce(F.try_divide(_c(num).cast("double"), _c(den).cast("double")), F.lit(0.0))
 
 
-def safe_number(col, dtype: str = "short", default=0) -> Column:
-    """Coerce text to a number; unparsable → NULL → ``default``."""
-    v = _c(col).cast("string").try_cast(dtype)
-    return v if default is None else F.coalesce(v, F.lit(default).cast(dtype))
-
-
 def with_rates(df, spec: OutcomeSpec, total: str = "total"):
     """Add ``<level>_rate`` for every level above the base, and ``risk``."""
     cols = []

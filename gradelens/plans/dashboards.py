@@ -368,11 +368,11 @@ def surviving_filters(spark, sf):
 
 
 @register("distinct_sorted", """
-SELECT DISTINCT p_brand FROM part WHERE p_size >= 10
+SELECT DISTINCT p_brand FROM part
 """)
 def distinct_sorted(spark, sf):
     """Distinct brands in ascending order."""
-    pt = table(spark, sf, "part").filter(F.col("p_size") >= 10)
+    pt = table(spark, sf, "part")
     return selection_ops.distinct_sorted(pt, "p_brand")
 
 

@@ -341,6 +341,47 @@ def cleaned_rows(spark, sf):
     return clean.clean_rows(_report_input(spark, sf), "event_type", EVENT_SYNONYMS, numeric=["k"])
 
 
+# The same pass over cells with missing tokens, NULLs, loose white space and bad numbers.
+_LOOSE_DAY = ("CASE day_of_week WHEN 'Sunday' THEN ' n/A ' WHEN 'Monday' THEN NULL WHEN 'Tuesday' THEN ' Tues   day' "
+              "ELSE day_of_week END")
+_LOOSE_K = "CASE WHEN event_id % 7 = 0 THEN 'oops' WHEN event_id % 11 = 0 THEN 'inf' WHEN event_id % 13 = 0 THEN '?' ELSE k END"
+_LOOSE_SQL = f"""
+src AS (SELECT event_type, CASE d WHEN ' n/A ' THEN NULL WHEN ' Tues   day' THEN 'Tues day' ELSE d END AS day_of_week, NULLIF(k, '?') AS k
+        FROM (SELECT event_type, {_LOOSE_DAY} AS d, {_LOOSE_K} AS k FROM (SELECT * REPLACE (CAST(k AS VARCHAR) AS k) FROM ({EVENTS_SQL})))),
+uniq AS (SELECT DISTINCT *, CASE WHEN k NOT IN ('oops', 'inf') THEN TRY_CAST(k AS DOUBLE) END AS num FROM src)
+"""
+
+
+def _loose_input(spark, sf):
+    ev = events(spark, sf).withColumn("k", F.col("k").cast("string"))
+    return ev.select("event_type", F.expr(_LOOSE_DAY).alias("day_of_week"), F.expr(_LOOSE_K).alias("k"))
+
+
+@register("cleaned_loose_rows", f"""
+WITH {_LOOSE_SQL}
+SELECT CASE event_type WHEN 'view' THEN 'low' WHEN 'click' THEN 'low' WHEN 'purchase' THEN 'mid' WHEN 'error' THEN 'high' END AS event_type,
+       COALESCE(day_of_week, 'Unknown') AS day_of_week,
+       CAST(round_even(greatest(COALESCE(num, (SELECT median(num) FROM uniq), 1.0), 1.0), 0) AS BIGINT) AS k
+FROM uniq WHERE event_type IN ('view', 'click', 'purchase', 'error')
+""")
+def cleaned_loose_rows(spark, sf):
+    """P14-P19 A20 on cells with missing tokens, NULLs, loose white space and bad numbers."""
+    return clean.clean_rows(_loose_input(spark, sf), "event_type", EVENT_SYNONYMS, numeric=["k"])
+
+
+@register("cleaning_loose_report", f"""
+WITH {_LOOSE_SQL}
+SELECT (SELECT count(*) FROM src) AS rows_in, (SELECT count(*) FROM src) - count(*) AS duplicates_removed,
+       count(*) FILTER (WHERE day_of_week IS NULL) AS categorical_cells_imputed,
+       count(*) FILTER (WHERE event_type NOT IN ('view', 'click', 'purchase', 'error')) AS unmappable_target_rows_dropped,
+       count(*) FILTER (WHERE event_type IN ('view', 'click', 'purchase', 'error')) AS rows_out
+FROM (SELECT DISTINCT event_type, day_of_week, k FROM uniq)
+""")
+def cleaning_loose_report(spark, sf):
+    """A21 on the same cells."""
+    return clean.clean_report(_loose_input(spark, sf), "event_type", EVENT_SYNONYMS, numeric=["k"])
+
+
 @register("dedupe_count", """
 SELECT (SELECT count(*) FROM lineitem) AS rows_in,
        (SELECT count(*) FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber, l_quantity FROM lineitem)) AS rows_out
@@ -385,6 +426,18 @@ def levels_query(spark, sf):
     return lv.select("field", F.array_join("levels", "|").alias("levels"))
 
 
+@register("level_rows", """
+SELECT field, value, count(*) AS n FROM (
+  SELECT 'l_returnflag' AS field, NULLIF(l_returnflag, 'R') AS value FROM lineitem
+  UNION ALL SELECT 'l_suppkey', CAST(NULLIF(l_suppkey, 1) AS VARCHAR) FROM lineitem) GROUP BY ALL
+""")
+def level_rows(spark, sf):
+    """One row per level and field, NULL a level like any other, fields of any number of levels."""
+    li = table(spark, sf, "lineitem").select(F.nullif("l_returnflag", F.lit("R")).alias("l_returnflag"),
+                                             F.nullif("l_suppkey", F.lit(1)).alias("l_suppkey"))
+    return profile.value_counts(li, ["l_returnflag", "l_suppkey"])
+
+
 @register("region_counts", f"""
 SELECT n_name, count(*) AS n FROM ({ORDER_NATIONS_SQL}) GROUP BY 1
 """)
@@ -393,15 +446,14 @@ def region_counts(spark, sf):
     return profile.group_counts(order_nations(spark, sf), "n_name")
 
 
-@register("row_counts", """
-SELECT 'lineitem' AS source, count(*) AS rows FROM lineitem
-UNION ALL SELECT 'orders', count(*) FROM orders
-UNION ALL SELECT 'customer', count(*) FROM customer
-UNION ALL SELECT 'events', count(*) FROM events
-""")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+          "benchmark", "labels", "conversations")
+
+
+@register("row_counts", " UNION ALL ".join(f"SELECT '{t}' AS source, count(*) AS rows FROM {t}" for t in TABLES))
 def row_counts(spark, sf):
     """Row counts per source."""
-    return profile.source_counts({n: table(spark, sf, n) for n in ["lineitem", "orders", "customer", "events"]})
+    return profile.source_counts({t: table(spark, sf, t) for t in TABLES})
 
 
 @register("type_compaction", f"""
