@@ -63,6 +63,23 @@ def test_equal_pages_are_not_template(spark):
     assert got == {expected(5).replace("\none", "\nRead more on our site\none")}
 
 
+def texts(spark, pages, host="h.example"):
+    rows = [(i, f"https://{host}/{i}", p) for i, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [got[i] for i in range(len(pages))]
+
+
+def test_copies_among_other_pages_keep_their_text(spark):
+    copy = "<article><h1>Title A</h1><p>First of A.</p><p>Second of A.</p><ul><li>Point of A</li></ul><p>Last of A.</p></article>"
+    other = [f"<article><h1>Title {i}</h1><p>Text {i} of this page.</p></article>" for i in range(8)]
+    whole = "Title A\nFirst of A.\nSecond of A.\nPoint of A\nLast of A."
+    want = [f"Title {i}\nText {i} of this page." for i in range(8)]
+    assert texts(spark, [copy] * 12 + other) == [whole] * 12 + want
+    # copies with another counter are one page too
+    long = [copy.replace("of A", "of A, with many more words than a counter has").replace("</article>", f"<div>{i}</div></article>") for i in range(12)]
+    assert texts(spark, long + other) == [whole.replace("of A", "of A, with many more words than a counter has") + f"\n{i}" for i in range(12)] + want
+
+
 def test_pages_without_an_article_element(spark):
     def page(i):
         return (f"<body><div class=nav><a href=/>Home {i}</a></div><table><tr><td><a href=/1>Link {i}</a><td><p>Story {i} has words.</p><p>More {i}.</p></table>"
