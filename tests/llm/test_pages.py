@@ -80,6 +80,18 @@ def test_copies_among_other_pages_keep_their_text(spark):
     assert texts(spark, long + other) == [whole.replace("of A", "of A, with many more words than a counter has") + f"\n{i}" for i in range(12)] + want
 
 
+def test_template_of_whole_texts_on_any_layout(spark):
+    got = texts(spark, [site(i, "<p>Tail</p>" if i % 3 == 0 else "") for i in range(24)])
+    assert got == [expected(i) for i in range(24)]
+
+
+def test_notice_on_the_rarer_layout_and_odd_page(spark):
+    def page(i):
+        notice = "" if i % 5 < 3 else "<section class=box><p>Our shop is closed in May.</p></section>"
+        return f"<article><h1>Title {i}</h1><p>Story {i} of this page.</p>{notice}<div>{'Odd' if i == 7 else 'Terms apply'}</div></article>"
+    assert texts(spark, [page(i) for i in range(40)]) == [f"Title {i}\nStory {i} of this page." + ("\nOdd" if i == 7 else "") for i in range(40)]
+
+
 def test_pages_without_an_article_element(spark):
     def page(i):
         return (f"<body><div class=nav><a href=/>Home {i}</a></div><table><tr><td><a href=/1>Link {i}</a><td><p>Story {i} has words.</p><p>More {i}.</p></table>"
