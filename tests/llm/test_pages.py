@@ -92,6 +92,17 @@ def test_notice_on_the_rarer_layout_and_odd_page(spark):
     assert texts(spark, [page(i) for i in range(40)]) == [f"Title {i}\nStory {i} of this page." + ("\nOdd" if i == 7 else "") for i in range(40)]
 
 
+def test_template_beside_varying_siblings_of_its_shape(spark):
+    def page(i):
+        story = "".join(f"<p>Part {j} of {i}.</p>" for j in range(1 + i % 3))
+        return f"<article><h1>Title {i}</h1>{story}<p>Write to our editors</p></article>"
+    def plain(i):
+        return f"<div>Read our terms first</div><div>Story {i} of this page</div>"
+    want = [f"Title {i}\n" + "\n".join(f"Part {j} of {i}." for j in range(1 + i % 3)) for i in range(12)]
+    assert texts(spark, [page(i) for i in range(12)]) == want
+    assert texts(spark, [plain(i) for i in range(12)]) == [f"Story {i} of this page" for i in range(12)]
+
+
 def test_pages_without_an_article_element(spark):
     def page(i):
         return (f"<body><div class=nav><a href=/>Home {i}</a></div><table><tr><td><a href=/1>Link {i}</a><td><p>Story {i} has words.</p><p>More {i}.</p></table>"
