@@ -103,6 +103,21 @@ def test_template_beside_varying_siblings_of_its_shape(spark):
     assert texts(spark, [plain(i) for i in range(12)]) == [f"Story {i} of this page" for i in range(12)]
 
 
+def test_names_do_not_outrank_the_article():
+    def text(page):
+        return "\n".join(c[-1] for c in html_wrapper.page_view("https://n.example/", page)[2])
+    story = "<h1>Head</h1><p>A story of some length.</p>"
+    want = "Head\nA story of some length."
+    for page in (f'<main class="with-sidebar">{story}</main>', f'<div class="content no-comments">{story}</div>', f'<article class="post social">{story}</article>',
+                 f'<article class="a hidden-xs social">{story}<div class=share>Share</div></article>', f'<div class="post social">{story}</div><div>Terms</div>',
+                 f'<div class=widget><main>{story}</main></div><div>Terms</div>', f'<div class="main-menu">Menu</div><div class=main-content>{story}</div>'):
+        assert text(page).removesuffix("\nTerms") == want, page
+    comments = "<section class=comments-area><article><p>I agree with all of this, at much greater length than the story.</p></article></section>"
+    for page in (f"<main>{story}{comments}</main>", f"<div>{story}</div>{comments}", f"<div class=cookie-notice>We use cookies</div><div>{story}</div>",
+                 f"<div class=site-header>Site</div><div>{story}</div>", f'<div>{story}</div><div aria-hidden="true">Not shown</div><p style="display:none">Not shown</p>'):
+        assert text(page) == want, page
+
+
 def test_pages_without_an_article_element(spark):
     def page(i):
         return (f"<body><div class=nav><a href=/>Home {i}</a></div><table><tr><td><a href=/1>Link {i}</a><td><p>Story {i} has words.</p><p>More {i}.</p></table>"
