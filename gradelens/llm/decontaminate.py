@@ -3,7 +3,8 @@
 Windows of ``n`` consecutive words of each benchmark text (a shorter text is one window) are hashed,
 made distinct and collected in blocks of at most about ``BLOCK_WINDOWS`` windows; each block is broadcast and
 training texts are scanned against it window by window.  Every hash hit is verified on the words themselves.
-Blocks follow one another over the same scan, each adding its hits, so a benchmark of any size takes the same path.
+With several blocks the rows are numbered and stored, and each block is collected, scanned against, its hits stored and its broadcast
+destroyed before the next, so driver and executors hold one block of a benchmark of any size; a last scan puts the hits together.
 
 Words are lower-cased (A-Z) runs of ASCII letters, digits and non-ASCII characters.
 
@@ -14,6 +15,8 @@ Repeated documents give equal rows; clashing input columns are replaced.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -94,12 +97,11 @@ class Block:
                     yield int(first[j]), k, items
 
 
-def blocks_of(windows: DataFrame, size: int) -> list[Block]:
-    """The windows in blocks of about ``size``; all windows of one hash are in one block."""
-    n = windows.count()
-    parts = max(1, -(-n // size))
+def blocks_of(windows: DataFrame, parts: int) -> Iterator[Block]:
+    """The windows in ``parts`` blocks, one after the other; all windows of one hash are in one block."""
     part = F.pmod(F.xxhash64("h"), F.lit(parts))
-    return [Block.of((r.k, r.h, r.item, r.words) for r in windows.where(part == i).toLocalIterator()) for i in range(parts)]
+    for i in range(parts):
+        yield Block.of((r.k, r.h, r.item, r.words) for r in windows.where(part == i).toLocalIterator())
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
@@ -109,10 +111,25 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     ``hit_spans`` are the [start, end) byte ranges of maximal runs of hit words, flattened to start, end, start, ...
     """
     windows = stored(benchmark_windows(benchmark, item, item_text, n), "benchmark-windows")
-    spark, out = docs.sparkSession, docs
-    for number, block in enumerate(blocks_of(windows, block_windows)):
-        out = _scan_block(out, spark.sparkContext.broadcast(block), text, fresh=number == 0)
-    return out
+    share, parts = docs.sparkSession.sparkContext.broadcast, max(1, -(-windows.count() // block_windows))
+    if parts == 1:
+        return _scan_block(docs, share(next(blocks_of(windows, 1))), text, fresh=True)
+    row = "__row"
+    while row in docs.columns:
+        row += "_"
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
+    hits = []
+    for block in blocks_of(windows, parts):
+        shared = share(block)
+        del block
+        found = _scan_block(rows.select(row, text), shared, text, fresh=True).where("n_hit > 0")
+        hits.append(stored(found.select(row, "item_ids", "hit_spans"), "block-hits"))
+        shared.destroy()
+    flat = [F.flatten(F.collect_list(c)).alias(c) for c in ("item_ids", "hit_spans")]
+    known = functools.reduce(DataFrame.union, hits).groupBy(row).agg(*flat)
+    old = [F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("item_ids", "array<string>"), ("hit_spans", "array<long>"))]
+    kept = [c for c in docs.columns if c.lower() not in ("item_ids", "hit_spans")]
+    return _scan_block(rows.select(row, *kept).join(known, row, "left").select(*kept, *old), share(Block.of(())), text, fresh=False)
 
 
 def _scan_block(docs: DataFrame, shared, text: str, fresh: bool) -> DataFrame:

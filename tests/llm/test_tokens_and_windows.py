@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import os
 import re
+import weakref
 
 import public_tokenizers as P
 import pytest
@@ -121,6 +123,25 @@ def test_scan_brute_force(spark, block):
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in got), key=repr) == brute_scan(DOCS, ITEMS)
 
 
+def test_one_block_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    held, most, of = [], [], decontaminate.Block.of
+
+    def counted(rows):
+        block = of(rows)
+        held.append(weakref.ref(block))
+        most.append(sum(b() is not None for b in held))
+        return block
+
+    monkeypatch.setattr(decontaminate.Block, "of", counted)
+    shared, scan_block = [], decontaminate._scan_block
+    monkeypatch.setattr(decontaminate, "_scan_block", lambda d, s, t, fresh: (shared.append(s), scan_block(d, s, t, fresh))[1])
+    decontaminate.scan(docs, bench, block_windows=3)
+    assert len(most) > 3 and max(most) == 1
+    assert not any(os.path.exists(s._path) for s in shared[:-1])
+
+
 def test_spans_and_documents_are_removed(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
