@@ -43,6 +43,15 @@ def test_line_stage(stages):
     assert all(r.n_chars == len(r.text) for r in stages[2])
 
 
+def test_line_stage_drops_documents_left_without_words(spark):
+    line = "One line that six documents have in common."
+    rows = [(i, line, "en", "s", len(line)) for i in range(6)] + [(6, "", "en", "s", 0), (7, None, "en", "s", None), (8, line + "\nOwn words.", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {d for d, _, dropped, t in brute_lines([r[:2] for r in rows]) if not dropped or re.search(r"[^\x20\x09-\x0D]", t)}
+    got = {r.doc_id: r.text or "" for r in pipeline.lines(spark, docs, SF).collect()}
+    assert set(got) == want == {6, 7, 8} and sum(t.count(line) for t in got.values()) == 1
+
+
 def test_near_stage(stages):
     reps = {d for d, _, c in brute_components([(r.doc_id, r.text) for r in stages[2]], 5) if d == c}
     assert {r.doc_id for r in stages[3]} == reps and set(stages[3]) <= set(stages[2])
