@@ -86,6 +86,27 @@ def slices(raw: np.ndarray, at: np.ndarray, size: int = SLICE) -> Iterator[tuple
         lo = hi
 
 
+def pieces(raw: np.ndarray, at: np.ndarray, size: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of each piece, bytes, offsets from 0): runs of whole rows of about ``size`` bytes; longer rows go in several pieces
+    that end before ASCII white space, so no word is cut (a longer word stays whole)."""
+    for lo, hi, data, cuts in slices(raw, at, size):
+        if hi - lo > 1 or len(data) <= 2 * size:
+            yield np.arange(lo, hi), data, cuts
+            continue
+        begin = 0
+        while begin < len(data):
+            end = begin + size
+            while end < len(data):
+                gap = np.flatnonzero(~NOT_SPACE[data[end:end + size]])
+                if len(gap):
+                    end += int(gap[0])
+                    break
+                end += size
+            end = min(end, len(data))
+            yield np.array([lo]), data[begin:end], np.array([0, end - begin])
+            begin = end
+
+
 def spans(kind: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of True that stay within a row: (starts, ends, pointer of each row's first run)."""
     n = len(kind)

@@ -36,6 +36,18 @@ def test_token_counts_are_the_librarys(spark):
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 2048), i
 
 
+def test_token_counts_word_by_word(spark):
+    """Texts on which splitting at white space could go wrong: special strings, case, combining marks, other spaces, one long word."""
+    path = P.path("word_bpe_49k.json")
+    assert token_counts.splits_words(path) and not token_counts.splits_words(P.path("byte_bpe_50k.json"))
+    texts = ["<|ENDOFTEXT|> x<|endoftext|>y <|startoftext|>", "e\u0301 a \u0323\u0301b \u1e9b\u0323 \u0130 \u212aelvin x\u00a0y \u2003z", "x" * 30_000, "don't we'LL 'S '",
+             "a\x1cb\x85c\x0bd", " \n\t ", "\u4e2d\u6587\u5b57 " * 500, "one two " * 60_000, "a b" + "\u0301" * 50]
+    from tokenizers import Tokenizer
+    lib = Tokenizer.from_file(path)
+    got = {r.doc_id: r for r in token_counts.count_tokens(frame(spark, texts), path).collect()}
+    assert [got[i].n_tokens for i in range(len(texts))] == [len(e) for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_counts_of_a_sentencepiece_model(spark):
     import sentencepiece
     path = P.path("piece_bpe_32k.model")
