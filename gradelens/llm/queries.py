@@ -8,14 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradelens.llm import (byte_bpe, decontaminate, embed_quality, html_wrapper, langid, line_dedup, quality_rules, setsketch,
-                           token_counts, warc_merkle)
+from gradelens.llm import (alignment, byte_bpe, decontaminate, embed_quality, html_wrapper, langid, license_scan, line_dedup, quality_rules,
+                           setsketch, token_counts, warc_merkle, whitening)
 from gradelens.llm.shared import table
 
 #: Vocabulary files of the token queries (a parameter of the operators).
 COUNT_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+ALIGN_A = public_tokenizers.path("byte_bpe_50k.json")
+ALIGN_B = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def fold_of(n: int):
@@ -194,8 +196,36 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.b) AS component_i
 FROM sets s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, len(s.s)
 """
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the whitened components of the distinct integer vectors."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows)
+    explained = F.array(*[F.lit(float(x)) for x in model.explained]).cast("array<double>")
+    out = whitening.whiten(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return out.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), F.col("deviation").try_cast("long").alias("deviation"),
+                      "whitened", F.get(explained, F.col("at")).alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and signatures of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    places = F.col("base_places")
+    return license_scan.scan(docs).select(
+        "doc_id", "n_words", F.size(places).cast("long").alias("n_base"), F.get(places, F.lit(0))["start"].cast("long").alias("first_word"),
+        F.get(places, F.size(places) - 1)["start"].cast("long").alias("last_word"), F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score")
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token groups and links of two tokenizers over every document, with the links' counts over all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.scored_links(docs, ALIGN_A, ALIGN_B, pattern=PATTERN).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_html_wrapper, op2_language_id, op3_line_dedup, op4_warc_merkle_audit, op5_embedding_quality, op6_decontaminate,
-    op7_quality_rules, op8_token_counts, op9_byte_bpe, op10_setsketch_dedup)}
+    op7_quality_rules, op8_token_counts, op9_byte_bpe, op10_setsketch_dedup, op11_embedding_whitening, op12_license_scan,
+    op13_tokenizer_alignment)}
 ORACLES: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op4_warc_merkle_audit": OP4_SQL, "op6_decontaminate": OP6_SQL,
                            "op10_setsketch_dedup": OP10_SQL}

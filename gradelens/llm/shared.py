@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from gradelens.session import checkpoint_dir
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, **options) -> DataFrame:
     """``df`` written as Parquet below ``spark.checkpoint.dir`` and read back: cuts lineage and survives lost executors."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
