@@ -29,8 +29,8 @@ def _c(x) -> Column:
 
 def number_band(col, bands: Sequence[tuple] = AGE_BANDS, top: str = AGE_TOP,
                 unknown: str = "Unknown") -> Column:
-    """Negative → unknown, ordered upper-bound bands, else ``top``, NULL → unknown."""
-    c = _c(col)
+    """Negative → unknown, ordered upper-bound bands, else ``top``, NULL and text that is no number → unknown."""
+    c = _c(col).try_cast("double")
     expr = F.when(c < 0, F.lit(unknown))
     for hi, label in bands:
         expr = expr.when(c <= hi, F.lit(label))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from decimal import Context, Decimal, InvalidOperation
 from functools import reduce
 from typing import Any, Mapping, Sequence
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _INT_TEXT = re.compile(r"^-?\d+$")
+_WIDE = Context(prec=80)
 
 
 def _typed(value: Any, dtype: T.DataType):
@@ -36,21 +38,44 @@ def _typed(value: Any, dtype: T.DataType):
             return value
         text = str(value).strip().lower()
         return {"true": True, "false": False}.get(text)
+    if isinstance(value, bool):
+        return None
     if isinstance(dtype, T.IntegralType):
-        if isinstance(value, bool):
-            return None
-        if isinstance(value, int):
-            return value
         text = str(value)
-        return int(text) if _INT_TEXT.match(text) and str(int(text)) == text else None
+        number = int(text) if _INT_TEXT.match(text) and str(int(text)) == text else None
+        bits = _BITS[type(dtype)]
+        return number if number is not None and -(1 << bits) <= number < 1 << bits else None
+    if isinstance(dtype, T.DecimalType):
+        return _decimal(value, dtype)
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        # a double is equal in its text form: '1' is not the text of 1.0, '1.0' is
         try:
-            return float(value)
+            number = float(value)
         except (TypeError, ValueError):
             return None
+        return number if str(value) == str(number) else None
     return value
 
 
+#: Bits of the integral types, without the sign.
+_BITS = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31, T.LongType: 63}
+
+
+def _decimal(value: Any, dtype: T.DecimalType) -> Decimal | None:
+    """The value as a decimal that the column can hold, or None (no number, more digits, more decimals than the column's text has)."""
+    try:
+        number = Decimal(str(value))
+    except InvalidOperation:
+        return None
+    if not number.is_finite():
+        return None
+    exact = number.quantize(Decimal(1).scaleb(-dtype.scale), context=_WIDE) if number.adjusted() < 38 else None
+    if exact is None or exact != number or exact.adjusted() >= dtype.precision - dtype.scale:
+        return None
+    # texts are compared as the column writes them, numbers by value
+    return exact if isinstance(value, (int, float, Decimal)) or str(value) == format(exact, "f") else None
+
+
 def typed_values(df: DataFrame, name: str, values: Sequence[Any]) -> list:
     dtype = df.schema[name].dataType
     out = []
@@ -67,9 +92,11 @@ def value_filter(df: DataFrame, name: str, values: Sequence[Any]) -> Column:
     typed = typed_values(df, name, values)
     if not typed:
         return F.lit(False)
+    if isinstance(dtype, T.DecimalType):
+        return F.col(name).isin([F.lit(v).cast(dtype) for v in typed])
     if isinstance(dtype, (T.StringType, T.BooleanType, T.NumericType)):
         return F.col(name).isin(typed)
-    # dates, timestamps, decimals: let Spark cast the literal (constant-folded)
+    # dates, timestamps: let Spark cast the literal (constant-folded)
     return F.col(name).isin([F.lit(str(v)).try_cast(dtype) for v in typed])
 
 
@@ -105,20 +132,23 @@ class Selection:
     values: Mapping[str, Sequence[Any]] = field(default_factory=dict)
     ranges: Mapping[str, tuple] = field(default_factory=dict)
 
-    def predicate(self, df: DataFrame) -> Column | None:
+    def clauses(self, df: DataFrame) -> list[tuple[str, Column]]:
+        """(field, predicate) of every value list and range end."""
         validate_selection(df, self.values)
-        clauses = [value_filter(df, f, v) for f, v in self.values.items()]
+        out = [(f, value_filter(df, f, v)) for f, v in self.values.items()]
         cols = set(df.columns)
         for name, (lo, hi) in self.ranges.items():
             if name not in cols:
                 continue
             if lo is not None:
-                clauses.append(F.col(name) >= F.lit(lo))
+                out.append((name, F.col(name) >= F.lit(lo)))
             if hi is not None:
-                clauses.append(F.col(name) <= F.lit(hi))
-        if not clauses:
-            return None
-        return reduce(lambda a, b: a & b, clauses)
+                out.append((name, F.col(name) <= F.lit(hi)))
+        return out
+
+    def predicate(self, df: DataFrame) -> Column | None:
+        clauses = [c for _, c in self.clauses(df)]
+        return reduce(lambda a, b: a & b, clauses) if clauses else None
 
     def apply(self, df: DataFrame) -> DataFrame:
         pred = self.predicate(df)

@@ -65,14 +65,21 @@ _VEHICLE = ("vehicle_reference", "sex_of_driver", "age_of_vehicle", "skidding_an
 _CASUALTY = ("casualty_reference", "sex_of_casualty", "casualty_severity")
 
 
+def code(col: Column) -> Column:
+    """A code as a number, NULL for a text that is none."""
+    return col.try_cast("int")
+
+
 def vehicle_movement(skid: Column, leaving: Column) -> Column:
-    """P10: what the vehicle did, the first rule that holds."""
+    """P10: what the vehicle did, the first rule that holds; a code that is no number holds in none."""
+    skid, leaving = code(skid), code(leaving)
     return first_match([*[(skid == code, label) for code, label in SKID_LABELS.items()],
                         (~leaving.isin(*NONE_CODES), "Left carriageway"), (skid == -1, "Unknown")], "No abnormal movement")
 
 
 def type_of_collision(pedestrian: Column, skid: Column, leaving: Column, hit: Column, vehicles: Column) -> Column:
-    """The kind of collision, the first rule that holds."""
+    """The kind of collision, the first rule that holds; a code that is no number holds in none."""
+    skid, leaving, hit, vehicles = code(skid), code(leaving), code(hit), code(vehicles)
     return first_match([(pedestrian == 1, "Collision with pedestrians"), (skid.isin(*ROLLOVER_CODES), "Rollover"),
                         (~hit.isin(*NONE_CODES) | ~leaving.isin(*NONE_CODES), "Collision with roadside objects"),
                         (vehicles >= 2, "Vehicle with vehicle collision")], "Other")
@@ -87,30 +94,31 @@ def _pick(df: DataFrame, table: str, names) -> DataFrame:
 def unified_records(collision: DataFrame, vehicle: DataFrame, casualty: DataFrame, codes: DataFrame) -> DataFrame:
     """The 37 columns of every collision; a parent with several first-listed children fans out (left join).
 
-    ``time`` is ``H:m`` or ``H:m:s`` text, and every code a number; a missing child gives the defaults.
+    ``time`` is ``H:m`` or ``H:m:s`` text, and every code a number or its text; a code that is no number is treated as not listed, and
+    a missing child gives the defaults.
     """
     flat = assemble.flat_record(
         _pick(collision, "collision", _PARENT), "collision_key",
-        children=[(_pick(vehicle, "vehicle", _VEHICLE), "vehicle_key", F.col("vehicle_vehicle_reference") == 1),
-                  (_pick(casualty, "casualty", _CASUALTY), "casualty_key", F.col("casualty_casualty_reference") == 1)],
-        flags=[(casualty, KEY, {"has_pedestrian": F.col("casualty_class") == PEDESTRIAN_CLASS})])
+        children=[(_pick(vehicle, "vehicle", _VEHICLE), "vehicle_key", code(F.col("vehicle_vehicle_reference")) == 1),
+                  (_pick(casualty, "casualty", _CASUALTY), "casualty_key", code(F.col("casualty_casualty_reference")) == 1)],
+        flags=[(casualty, KEY, {"has_pedestrian": code(F.col("casualty_class")) == PEDESTRIAN_CLASS})])
     for name, table, field, default in DECODED:
         flat = assemble.decode(flat, f"{table}_{field}", codes, table, field, default, name=name)
     at = F.coalesce(*[F.try_to_timestamp(F.col("collision_time"), F.lit(p)) for p in ("H:m:s", "H:m")])
     hour = F.hour(at)
     skid, leaving = F.col("vehicle_skidding_and_overturning"), F.col("vehicle_vehicle_leaving_carriageway")
-    severity = F.col("collision_collision_severity").cast("int")
+    severity = code(F.col("collision_collision_severity"))
     made = {
         "Time": F.date_format(at, "HH:mm:ss"),
-        "Sex_of_driver": decode_map(F.col("vehicle_sex_of_driver").cast("int"), SEX_CODES, "Unknown"),
+        "Sex_of_driver": decode_map(code(F.col("vehicle_sex_of_driver")), SEX_CODES, "Unknown"),
         "Driving_experience": number_band(F.col("vehicle_age_of_vehicle")),
         "Type_of_collision": type_of_collision(F.col("has_pedestrian"), skid, leaving, F.col("vehicle_hit_object_off_carriageway"),
                                                F.col("collision_number_of_vehicles")),
         "Number_of_vehicles_involved": F.col("collision_number_of_vehicles").try_cast("short"),
         "Number_of_casualties": F.col("collision_number_of_casualties").try_cast("short"),
         "Vehicle_movement": vehicle_movement(skid, leaving),
-        "Sex_of_casualty": decode_map(F.col("casualty_sex_of_casualty").cast("int"), SEX_CODES, "Unknown"),
-        "Casualty_severity": decode_map(F.col("casualty_casualty_severity").cast("int"), SEVERITY_CODES, "Unknown"),
+        "Sex_of_casualty": decode_map(code(F.col("casualty_sex_of_casualty")), SEX_CODES, "Unknown"),
+        "Casualty_severity": decode_map(code(F.col("casualty_casualty_severity")), SEVERITY_CODES, "Unknown"),
         "Accident_severity": decode_map(severity, SEVERITY_CODES, "Unknown"),
         "Hour": hour_or_default(hour),
         "Time_of_day": hour_band(hour),
