@@ -3,15 +3,15 @@
 Flow: compress rows to weighted feature combinations (one ``groupBy``) →
 dominant label per combination → leak-free stratified split *of
 combinations* → tempered class weights → fit (one-hot encode → optional
-PCA → multinomial logistic regression, or a random forest) → weighted
-evaluation from a confusion aggregate → batch scoring with ordered class
+PCA → multinomial logistic regression, a random forest, or boosted trees) →
+weighted evaluation from a confusion aggregate → batch scoring with ordered class
 probabilities and per-field contributions, all as DataFrame plans.
 
-The learner differs from a boosted-tree library (Spark ML has no multiclass
-boosting with probabilities, and no tree SHAP); inputs, outputs and the
-evaluation are the same.  Model metadata (coefficients, loadings, feature
-means) is small — its size is the encoded feature width — and is the only
-thing brought to the driver.
+Boosted trees are one weighted binary booster per class; the probabilities of
+the classes against the rest are normalised to sum 1.  Their contributions, and a forest's, are
+the signed changes of the node value along a row's paths (``trees``), which add up to
+the margin.  Model metadata (coefficients, loadings, feature means, tree nodes) is small —
+its size is the encoded feature width and the trees' — and is the only thing brought to the driver.
 """
 
 from __future__ import annotations
@@ -24,17 +24,20 @@ from typing import Mapping, Sequence
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gradelens.operators import trees
 from gradelens.operators.quota import positions
 from gradelens.session import checkpoint_dir
 
 CLASS_WEIGHT_TEMPER = 0.5
+# Rounds, depth, learning rate, share of rows and of features of the boosted trees.
+BOOST_ROUNDS, BOOST_DEPTH, BOOST_RATE, BOOST_ROWS, BOOST_FEATURES = 150, 3, 0.08, 0.9, 0.8
 
 
 # -- data preparation ------------------------------------------------------------------
@@ -144,6 +147,10 @@ class SeverityModel:
     variances: list[float] = field(default_factory=list)  # weighted variance of every slot
     coef: np.ndarray | None = None         # (classes x slots) in encoded space, LR only
     importances_raw: np.ndarray | None = None
+    intercepts: list[float] = field(default_factory=list)  # one per class, LR only
+    learner: str = "logistic"
+    forests: list = field(default_factory=list)            # per class the trees (``trees.node_lists``)
+    loadings: np.ndarray | None = None     # slots x components of the kept PCA components, tree learners only
 
     def save(self, path: str) -> None:
         """Overwrite ``path`` with the fitted pipeline and the metadata (one JSON text), on any Spark file system."""
@@ -156,8 +163,8 @@ class SeverityModel:
     def load(cls, spark: SparkSession, path: str) -> "SeverityModel":
         """A model that ``save`` wrote."""
         meta = json.loads(spark.read.text(f"{path}/metadata", wholetext=True).first()["value"])
-        for k in ("coef", "importances_raw"):
-            meta[k] = None if meta[k] is None else np.array(meta[k])
+        for k in ("coef", "importances_raw", "loadings"):
+            meta[k] = None if meta.get(k) is None else np.array(meta[k])
         return cls(pipeline=PipelineModel.load(f"{path}/pipeline"), **meta)
 
 
@@ -175,8 +182,11 @@ def components_for(explained: Sequence[float], variance: float = 0.95) -> int:
 
 def fit(train: DataFrame, cat: Sequence[str], num: Sequence[str], levels: Sequence[str],
         learner: str = "logistic", use_pca: bool = False, variance: float = 0.95,
-        max_iter: int = 100, seed: int = 42) -> SeverityModel:
-    """M1 + M3 + M4: encode, optionally reduce, fit with the fit weights."""
+        max_iter: int = 100, seed: int = 42, rounds: int = BOOST_ROUNDS) -> SeverityModel:
+    """M1 + M3 + M4: encode, optionally reduce, fit with the fit weights.
+
+    ``learner`` is ``logistic``, ``forest`` or ``boosted`` (``rounds`` trees per class).
+    """
     # one job; at most len(levels) rows come back
     seen = {r[0] for r in train.filter(F.col("label").isin(list(levels))).select("label").distinct().collect()}
     present = [lv for lv in levels if lv in seen]
@@ -188,12 +198,12 @@ def fit(train: DataFrame, cat: Sequence[str], num: Sequence[str], levels: Sequen
     # rows; keep them for the length of the fit instead of re-deriving them
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _fit(data, cat, num, present, learner, use_pca, variance, max_iter, seed)
+        return _fit(data, cat, num, present, learner, use_pca, variance, max_iter, seed, rounds)
     finally:
         data.unpersist()
 
 
-def _fit(data: DataFrame, cat, num, present, learner, use_pca, variance, max_iter, seed) -> SeverityModel:
+def _fit(data: DataFrame, cat, num, present, learner, use_pca, variance, max_iter, seed, rounds) -> SeverityModel:
     idx_cols = [f"{c}__idx" for c in cat]
     oh_cols = [f"{c}__oh" for c in cat]
     stages = [StringIndexer(inputCols=list(cat), outputCols=idx_cols, handleInvalid="keep",
@@ -228,27 +238,45 @@ def _fit(data: DataFrame, cat, num, present, learner, use_pca, variance, max_ite
     elif learner == "forest":
         clf = RandomForestClassifier(featuresCol=feat_col, labelCol="label_idx", weightCol="fit_weight",
                                      numTrees=50, maxDepth=6, seed=seed)
+    elif learner == "boosted":
+        clf = None
     else:
-        raise ValueError("learner must be 'logistic' or 'forest'")
-    clf_model = clf.fit(encoded)
-    pipeline = PipelineModel(stages=[*enc.stages, *extra_stages, clf_model])
+        raise ValueError("learner must be 'logistic', 'forest' or 'boosted'")
+    fitted = [clf.fit(encoded)] if clf else _boosters(encoded, feat_col, present, rounds, seed)
+    clf_model = fitted[0]
+    pipeline = PipelineModel(stages=[*enc.stages, *extra_stages, *fitted])
     summary = encoded.select(Summarizer.metrics("mean", "variance")
                              .summary(F.col("encoded"), F.col("weight")).alias("s")).first()["s"]
     means = list(summary["mean"].toArray())
     variances = list(summary["variance"].toArray())
     coef = imp = None
+    intercepts, forests = [], []
+    spark = data.sparkSession
     if learner == "logistic":
         coef = clf_model.coefficientMatrix.toArray()          # K x (dim or k)
+        intercepts = [float(v) for v in clf_model.interceptVector.toArray()]
         if loadings is not None:
             coef = coef @ loadings.T                          # back to encoded space (PCA is linear)
     else:
-        imp = clf_model.featureImportances.toArray()
+        imp = sum(m.featureImportances.toArray() for m in fitted)
+        forests = [trees.node_lists(spark, m)[0] for m in fitted] if learner == "boosted" else trees.node_lists(spark, clf_model, len(present))
         if loadings is not None:                              # spread component gain over |loading|
             a = np.abs(loadings)
             share = a / np.where(a.sum(axis=0, keepdims=True) == 0, 1, a.sum(axis=0, keepdims=True))
             imp = share @ imp
     return SeverityModel(pipeline, present, list(cat), list(num), slots, slot_names, means,
-                         variances, coef, imp)
+                         variances, coef, imp, intercepts, learner, forests, None if learner == "logistic" else loadings)
+
+
+def _boosters(encoded: DataFrame, features: str, classes: Sequence[str], rounds: int, seed: int) -> list:
+    """M4: per class a weighted binary booster of the class against the rest, with columns of its own."""
+    out = []
+    for i in range(len(classes)):
+        gbt = GBTClassifier(featuresCol=features, labelCol="is_class", weightCol="fit_weight", maxIter=rounds, maxDepth=BOOST_DEPTH,
+                            stepSize=BOOST_RATE, subsamplingRate=BOOST_ROWS, featureSubsetStrategy=str(BOOST_FEATURES), seed=seed,
+                            predictionCol=f"pred_{i}").setProbabilityCol(f"prob_{i}").setRawPredictionCol(f"raw_{i}")
+        out.append(gbt.fit(encoded.withColumn("is_class", (F.col("label_idx") == i).cast("double"))))
+    return out
 
 
 # -- scoring -----------------------------------------------------------------------------
@@ -264,21 +292,30 @@ def scenario_defaults(df: DataFrame, cat: Sequence[str], num: Sequence[str]) ->
 
 
 def score(model: SeverityModel, scenarios: DataFrame, levels: Sequence[str], top: int = 6,
-          eps: float = 1e-6, p_digits: int | None = 6, c_digits: int | None = 4) -> DataFrame:
+          eps: float = 1e-6, p_digits: int | None = 6, c_digits: int | None = 4, margins: bool = False) -> DataFrame:
     """M6: class probabilities in outcome order, the predicted class, and the
     ``top`` signed per-field contributions to it (|value| > ``eps``).
 
     Contribution of an encoded slot for class c is ``coef[c, j] * (x_j -
     mean_j)`` (exact for the logistic model), summed to its field.  A one-hot field
     has at most one slot set, so its sum is the coefficient of the row's level
-    less a constant per class: one array lookup per field.  Probabilities are rounded to
+    less a constant per class: one array lookup per field.  For trees it is the sum of the value changes at
+    the splits on the field's slots.  Probabilities are rounded to
     ``p_digits`` and contributions to ``c_digits`` (half-even; None keeps
-    full precision).
+    full precision).  ``margins`` adds ``base`` and ``margin`` of the predicted class: all contributions and the base add up to
+    the margin (a forest's is its probability).
     """
     prepared = scenario_defaults(scenarios, model.cat, model.num)
     out = model.pipeline.transform(prepared)
-    prob = vector_to_array("probability")
-    pred = F.col("prediction").cast("int")
+    if model.learner == "boosted":
+        alone = [F.element_at(vector_to_array(f"prob_{i}"), 2) for i in range(len(model.classes))]
+        total = reduce(lambda a, b: a + b, alone)
+        out = out.withColumn("__prob", F.array(*[p / total for p in alone]))
+        prob = F.col("__prob")
+        pred = (F.array_position(prob, F.array_max(prob)) - 1).cast("int")
+    else:
+        prob = vector_to_array("probability")
+        pred = F.col("prediction").cast("int")
     def rnd(x, d):
         return x if d is None else F.bround(x, d)
     cols = [rnd(F.element_at(prob, i + 1), p_digits).alias(f"p_{c}") for i, c in enumerate(model.classes)]
@@ -300,16 +337,45 @@ def score(model: SeverityModel, scenarios: DataFrame, levels: Sequence[str], top
             level = F.try_element_at(F.element_at(by_class, pred + 1), F.col(f"{f}__idx").cast("int") + 1)
             return F.coalesce(level, F.lit(0.0)) - base      # an unseen level sets no slot
         per_field = F.array(*[F.struct(F.lit(f).alias("feature"), contribution(f).alias("value")) for f in fields])
+        base = F.element_at(numbers(np.asarray(model.intercepts) + model.coef @ means), pred + 1) if model.intercepts else F.lit(None).cast("double")
+        margin = F.element_at(vector_to_array("rawPrediction"), pred + 1)
+    elif model.forests:
+        fields = list(dict.fromkeys(model.slots))
+        x = vector_to_array("encoded")
+        res = res.withColumn("__pred", pred).withColumn("__x", x)
+        res = res.withColumn("__changes", trees.split_changes(model.forests, F.col("__pred"), x if model.loadings is None else vector_to_array("reduced")))
+        res = res.withColumn("__values", trees.field_contributions(F.col("__changes"), fields, model.slots, F.col("__x"), model.loadings, model.means))
+        per_field = F.arrays_zip(F.array(*[F.lit(f) for f in fields]).alias("feature"), F.col("__values").alias("value"))
+        base = F.element_at(F.array(*[F.lit(trees.roots(f)) for f in model.forests]), F.col("__pred") + 1)
+        margin = (F.element_at(F.array(*[F.element_at(vector_to_array(f"raw_{i}"), 2) for i in range(len(model.classes))]), F.col("__pred") + 1)
+                  if model.learner == "boosted" else F.element_at(prob, F.col("__pred") + 1))
+    else:
+        per_field = None
+    if per_field is not None:
         kept = F.transform(F.filter(per_field, lambda s: F.abs(s["value"]) > eps),
                            lambda s: F.struct(s["feature"].alias("feature"),
                                               rnd(s["value"], c_digits).alias("value")))
         ordered = F.array_sort(kept, lambda a, b: F.when(F.abs(a["value"]) > F.abs(b["value"]), -1)
                                .when(F.abs(a["value"]) < F.abs(b["value"]), 1).otherwise(0))
-        res = res.withColumn("contributions", F.slice(ordered, 1, top))
+        res = res.withColumn("contributions", F.slice(ordered, 1, top)).withColumns({"base": base, "margin": margin})
     else:
-        res = res.withColumn("contributions", F.lit(None).cast("array<struct<feature:string,value:double>>"))
+        none = F.lit(None).cast("double")
+        res = res.withColumn("contributions", F.lit(None).cast("array<struct<feature:string,value:double>>")).withColumns({"base": none, "margin": none})
     keep = [c for c in scenarios.columns]
-    return res.select(*keep, *[f"p_{c}" for c in model.classes], "predicted", "contributions")
+    return res.select(*keep, *[f"p_{c}" for c in model.classes], "predicted", "contributions", *(["base", "margin"] if margins else []))
+
+
+def score_each(models: Mapping[str, SeverityModel], scenarios: DataFrame, dataset: str, fallback: str, levels: Sequence[str], **options) -> DataFrame:
+    """M8: each scenario scored by the model of its own data set, else by the fallback's, in one job; ``model`` names the one used.
+
+    ``scenarios`` has the data set's name in ``dataset`` (NULL and names without a model take the fallback).  Probability columns of
+    a class that a model does not have are NULL.
+    """
+    resolve(models, fallback, fallback)
+    used = F.when(F.col(dataset).isin(list(models)), F.col(dataset)).otherwise(F.lit(fallback))
+    named = scenarios.withColumn("model", used)
+    parts = [score(m, named.filter(F.col("model") == name), levels, **options) for name, m in models.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def importance(model: SeverityModel, top: int = 15, spark=None) -> DataFrame:

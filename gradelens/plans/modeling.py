@@ -180,10 +180,10 @@ def weighted_metrics(spark, sf):
     return model.overall_metrics(conf, LEVELS)
 
 
-def _trained(spark, sf, use_pca=False, learner="logistic"):
+def _trained(spark, sf, use_pca=False, learner="logistic", rounds=4):
     s = split_combos(spark, sf)
     train = s.filter(~F.col("is_test"))
-    m = model.fit(train, CAT, NUM, LEVELS, learner=learner, use_pca=use_pca, max_iter=50, seed=SEED)
+    m = model.fit(train, CAT, NUM, LEVELS, learner=learner, use_pca=use_pca, max_iter=50, seed=SEED, rounds=rounds)
     return m, s
 
 
@@ -240,6 +240,51 @@ def score_checks(spark, sf):
         F.count_if(best < F.greatest(*probs)).cast("int").alias("not_largest"))
 
 
+_TESTED_SQL = f"SELECT DISTINCT l_linestatus, l_linenumber, l_tax, l_quantity FROM ({_SPLIT_SQL}) WHERE is_test"
+
+
+def _sums(m, scored):
+    """Scored rows: how many, probability sums off, classes that are not the likeliest, contributions that do not add up to the margin."""
+    probs = [F.col(f"p_{c}") for c in m.classes]
+    best = F.element_at(F.create_map(*[x for c, p in zip(m.classes, probs) for x in (F.lit(c), p)]), F.col("predicted"))
+    parts = F.aggregate("contributions", F.lit(0.0), lambda acc, c: acc + c["value"])
+    return scored.agg(F.count(F.lit(1)).alias("scored"),
+                      F.count_if(F.abs(sum(probs[1:], probs[0]) - 1) > 1e-9).cast("int").alias("sums_off"),
+                      F.count_if(best < F.greatest(*probs)).cast("int").alias("not_largest"),
+                      F.count_if(F.coalesce(F.abs(F.col("base") + parts - F.col("margin")) > 1e-9, F.lit(True))).cast("int").alias("margins_off"))
+
+
+FULL = {"top": 1000, "eps": 0.0, "p_digits": None, "c_digits": None, "margins": True}
+
+
+@register("boosted_checks", f"SELECT count(*) AS scored, 0 AS sums_off, 0 AS not_largest, 0 AS margins_off FROM ({_TESTED_SQL})")
+def boosted_checks(spark, sf):
+    """M4 M6: boosted trees: probabilities sum to 1, the class is the likeliest, base and contributions are the margin."""
+    m, s = _trained(spark, sf, learner="boosted")
+    return _sums(m, model.score(m, model.distinct_tuples(s.filter(F.col("is_test")), FEATURES), LEVELS, **FULL))
+
+
+@register("forest_checks", f"SELECT count(*) AS scored, 0 AS sums_off, 0 AS not_largest, 0 AS margins_off FROM ({_TESTED_SQL})")
+def forest_checks(spark, sf):
+    """M3 M6: the same for a forest on components, whose changes go back to the fields by their parts."""
+    m, s = _trained(spark, sf, learner="forest", use_pca=True)
+    return _sums(m, model.score(m, model.distinct_tuples(s.filter(F.col("is_test")), FEATURES), LEVELS, **FULL))
+
+
+@register("score_each_checks", f"""
+SELECT CASE WHEN l_linestatus = 'O' THEN 'own' ELSE 'shared' END AS model, count(*) AS scored, 0 AS sums_off, 0 AS not_largest, 0 AS margins_off
+FROM ({_TESTED_SQL}) GROUP BY 1
+""")
+def score_each_checks(spark, sf):
+    """M8: tuples of two data sets, scored by the own model of the one and by the fallback for the other, in one job."""
+    shared, s = _trained(spark, sf)
+    own = model.fit(s.filter(~F.col("is_test") & (F.col("l_tax") < 0.05)), CAT, NUM, LEVELS, max_iter=20, seed=SEED)
+    tuples = model.distinct_tuples(s.filter(F.col("is_test")), FEATURES).withColumn("dataset", F.when(F.col("l_linestatus") == "O", "own").otherwise("none"))
+    scored = model.score_each({"own": own, "shared": shared}, tuples, "dataset", "shared", LEVELS, **FULL)
+    checked = [_sums(shared, scored.filter(F.col("model") == name)).select(F.lit(name).alias("model"), "*") for name in ("own", "shared")]
+    return checked[0].unionByName(checked[1]).filter("scored > 0")
+
+
 @register("scenario_defaults", """
 SELECT p_partkey, COALESCE(NULLIF(p_brand, 'Brand#11'), '') AS brand, COALESCE(NULLIF(CAST(p_size % 5 AS DOUBLE), 0.0), 1.0) AS size,
        '' AS gone, COALESCE(TRY_CAST(p_type AS DOUBLE), 1.0) AS text_number FROM part
