@@ -79,9 +79,10 @@ class TableEncoder:
                         F.concat(F.transform(found, lambda s: F.lit(1.0)), F.transform(numbers, lambda x: x["v"])).alias("values")))
 
     def vectors(self, df: DataFrame, out: str = "features") -> DataFrame:
-        """``transform`` with the slots as a sparse ML vector, written once and read back with the vector type."""
+        """``df`` (or an already transformed one) with its slots as a sparse ML vector, written once and read back with the vector type."""
+        rows = df if {"slots", "values"} <= set(df.columns) else self.transform(df)
         sparse = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(self.size).alias("size"), F.col("slots").alias("indices"), F.col("values").alias("values"))
-        plain = self.transform(df).select(*df.columns, sparse.alias(out))
+        plain = rows.select(*df.columns, sparse.alias(out))
         path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/vectors-{uuid.uuid4().hex}"
         plain.write.parquet(path)
         schema = T.StructType([*[f for f in plain.schema.fields if f.name != out], T.StructField(out, VectorUDT())])

@@ -22,16 +22,17 @@ from functools import reduce
 from typing import Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gradelens.operators import trees
+from gradelens.operators import encode, subspace, trees
 from gradelens.operators.quota import positions
 from gradelens.session import checkpoint_dir
 
@@ -151,11 +152,15 @@ class SeverityModel:
     learner: str = "logistic"
     forests: list = field(default_factory=list)            # per class the trees (``trees.node_lists``)
     loadings: np.ndarray | None = None     # slots x components of the kept PCA components, tree learners only
+    encoder: encode.TableEncoder | None = None     # levels as a table; then slots and slot_names stay empty
 
     def save(self, path: str) -> None:
-        """Overwrite ``path`` with the fitted pipeline and the metadata (one JSON text), on any Spark file system."""
+        """Overwrite ``path`` with the fitted pipeline, the level table if there is one, and the metadata (one JSON text)."""
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
-        meta = {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in vars(self).items() if k != "pipeline"}
+        meta = {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in vars(self).items() if k not in ("pipeline", "encoder")}
+        if self.encoder is not None:
+            self.encoder.levels.write.mode("overwrite").parquet(f"{path}/levels")
+            meta["encoder"] = {"first": self.encoder.first, "size": self.encoder.size}
         spark = SparkSession.getActiveSession()
         spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
@@ -165,6 +170,8 @@ class SeverityModel:
         meta = json.loads(spark.read.text(f"{path}/metadata", wholetext=True).first()["value"])
         for k in ("coef", "importances_raw", "loadings"):
             meta[k] = None if meta.get(k) is None else np.array(meta[k])
+        if meta.get("encoder"):
+            meta["encoder"] = encode.TableEncoder(spark.read.parquet(f"{path}/levels"), meta["cat"], meta["num"], **meta["encoder"])
         return cls(pipeline=PipelineModel.load(f"{path}/pipeline"), **meta)
 
 
@@ -182,11 +189,15 @@ def components_for(explained: Sequence[float], variance: float = 0.95) -> int:
 
 def fit(train: DataFrame, cat: Sequence[str], num: Sequence[str], levels: Sequence[str],
         learner: str = "logistic", use_pca: bool = False, variance: float = 0.95,
-        max_iter: int = 100, seed: int = 42, rounds: int = BOOST_ROUNDS) -> SeverityModel:
+        max_iter: int = 100, seed: int = 42, rounds: int = BOOST_ROUNDS, encoder: str = "stages") -> SeverityModel:
     """M1 + M3 + M4: encode, optionally reduce, fit with the fit weights.
 
-    ``learner`` is ``logistic``, ``forest`` or ``boosted`` (``rounds`` trees per class).
+    ``learner`` is ``logistic``, ``forest`` or ``boosted`` (``rounds`` trees per class).  With ``encoder="table"`` the levels of the
+    fields stay in a table (``encode``) and components come from subspace iteration (``subspace``), for fields of many levels: the
+    driver then holds slots x classes (or x components) numbers and no labels.
     """
+    if encoder not in ("stages", "table"):
+        raise ValueError("encoder must be 'stages' or 'table'")
     # one job; at most len(levels) rows come back
     seen = {r[0] for r in train.filter(F.col("label").isin(list(levels))).select("label").distinct().collect()}
     present = [lv for lv in levels if lv in seen]
@@ -198,6 +209,8 @@ def fit(train: DataFrame, cat: Sequence[str], num: Sequence[str], levels: Sequen
     # rows; keep them for the length of the fit instead of re-deriving them
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        if encoder == "table":
+            return _fit_table(data, cat, num, present, learner, use_pca, variance, max_iter, seed, rounds)
         return _fit(data, cat, num, present, learner, use_pca, variance, max_iter, seed, rounds)
     finally:
         data.unpersist()
@@ -232,17 +245,7 @@ def _fit(data: DataFrame, cat, num, present, learner, use_pca, variance, max_ite
         loadings = pca.pc.toArray()[:, :k]   # dim x k
         encoded = keep.transform(pca.transform(encoded))
         feat_col = "reduced"
-    if learner == "logistic":
-        clf = LogisticRegression(featuresCol=feat_col, labelCol="label_idx", weightCol="fit_weight",
-                                 family="multinomial", maxIter=max_iter, regParam=1e-4)
-    elif learner == "forest":
-        clf = RandomForestClassifier(featuresCol=feat_col, labelCol="label_idx", weightCol="fit_weight",
-                                     numTrees=50, maxDepth=6, seed=seed)
-    elif learner == "boosted":
-        clf = None
-    else:
-        raise ValueError("learner must be 'logistic', 'forest' or 'boosted'")
-    fitted = [clf.fit(encoded)] if clf else _boosters(encoded, feat_col, present, rounds, seed)
+    fitted = _learners(encoded, feat_col, present, learner, max_iter, seed, rounds)
     clf_model = fitted[0]
     pipeline = PipelineModel(stages=[*enc.stages, *extra_stages, *fitted])
     summary = encoded.select(Summarizer.metrics("mean", "variance")
@@ -268,6 +271,88 @@ def _fit(data: DataFrame, cat, num, present, learner, use_pca, variance, max_ite
                          variances, coef, imp, intercepts, learner, forests, None if learner == "logistic" else loadings)
 
 
+def _learners(encoded: DataFrame, features: str, classes: Sequence[str], learner: str, max_iter: int, seed: int, rounds: int) -> list:
+    """M4: the fitted learner on a vector column (one booster per class for ``boosted``)."""
+    if learner == "logistic":
+        return [LogisticRegression(featuresCol=features, labelCol="label_idx", weightCol="fit_weight",
+                                   family="multinomial", maxIter=max_iter, regParam=1e-4).fit(encoded)]
+    if learner == "forest":
+        return [RandomForestClassifier(featuresCol=features, labelCol="label_idx", weightCol="fit_weight",
+                                       numTrees=50, maxDepth=6, seed=seed).fit(encoded)]
+    if learner == "boosted":
+        return _boosters(encoded, features, classes, rounds, seed)
+    raise ValueError("learner must be 'logistic', 'forest' or 'boosted'")
+
+
+def _fit_table(data: DataFrame, cat, num, present, learner, use_pca, variance, max_iter, seed, rounds) -> SeverityModel:
+    """M1 + M3 with the levels as a table; the row's slots stay sparse arrays until they are a vector."""
+    own = encode.TableEncoder.fit(data, cat, num)
+    rows = encode.kept(own.transform(data), "encoded")
+    loadings = None
+    if use_pca:
+        found = subspace.components(rows, own.size, variance, seed=seed)
+        loadings, n, means = found.vectors, found.n, found.means
+        encoded = subspace.project(rows, found, "reduced_array").withColumn("reduced", array_to_vector("reduced_array"))
+    else:
+        encoded = own.vectors(data, "reduced")
+    n, total, square = subspace.moments(rows, own.size)
+    means = total / n
+    variances = np.clip(square / n - means ** 2, 0, None)
+    fitted = _learners(encoded, "reduced", present, learner, max_iter, seed, rounds)
+    coef = None
+    intercepts: list[float] = []
+    if learner == "logistic":
+        coef = fitted[0].coefficientMatrix.toArray()
+        coef = coef if loadings is None else coef @ loadings.T
+        intercepts = [float(v) for v in fitted[0].interceptVector.toArray()]
+    imp = None if learner == "logistic" else sum(m.featureImportances.toArray() for m in fitted)
+    if imp is not None and loadings is not None:
+        a = np.abs(loadings)
+        imp = (a / np.where(a.sum(axis=0, keepdims=True) == 0, 1, a.sum(axis=0, keepdims=True))) @ imp
+    return SeverityModel(PipelineModel(stages=fitted), present, list(cat), list(num), [], [], [float(m) for m in means], [float(v) for v in variances],
+                         coef, imp, intercepts, learner, [], loadings, own)
+
+
+def _encoded_by_table(model: SeverityModel, prepared: DataFrame) -> DataFrame:
+    """``prepared`` with the sparse arrays and, as ``reduced``, the vector that the learner reads."""
+    if model.loadings is None:
+        sparse = model.encoder.vectors(model.encoder.transform(prepared), "reduced")
+        return sparse
+    found = subspace.Components(model.loadings, np.zeros(model.loadings.shape[1]), np.asarray(model.means), 0)
+    rows = subspace.project(encode.kept(model.encoder.transform(prepared), "encoded"), found, "reduced_array")
+    return rows.withColumn("reduced", array_to_vector("reduced_array")).drop("reduced_array")
+
+
+def _slot_sums(df: DataFrame, model: SeverityModel, pred: str, out: str) -> DataFrame:
+    """``out``: for each field the coefficients of the predicted class over the row's slots, less their part at the mean row.
+
+    The coefficients (classes x slots numbers) are broadcast.
+    """
+    first = np.array([*model.encoder.first, *[model.encoder.first[-1] + i + 1 for i in range(len(model.num))]])
+    fields = len(first) - 1
+    coef = np.asarray(model.coef)
+    whole = np.concatenate([np.zeros((len(coef), 1)), np.cumsum(coef * np.asarray(model.means), axis=1)], axis=1)
+    base = whole[:, first[1:]] - whole[:, first[:-1]]
+    shared = df.sparkSession.sparkContext.broadcast((coef, base, first))
+    names = df.columns
+    schema = df.withColumn(out, F.array().cast("array<double>")).schema
+
+    def run(batches):
+        for b in batches:
+            w, at_mean, starts = shared.value
+            slots, at = subspace.flat_list(b.column(names.index("slots")))
+            values, _ = subspace.flat_list(b.column(names.index("values")))
+            cls = b.column(names.index(pred)).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(cls)), np.diff(at))
+            sums = np.zeros((len(cls), fields))
+            np.add.at(sums, (row, np.searchsorted(starts, slots, "right") - 1), w[cls[row], slots] * values)
+            got = sums - at_mean[cls]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(cls) + 1) * fields, pa.int32()), pa.array(got.ravel()))],
+                                             names=[*names, out])
+
+    return df.mapInArrow(run, schema)
+
+
 def _boosters(encoded: DataFrame, features: str, classes: Sequence[str], rounds: int, seed: int) -> list:
     """M4: per class a weighted binary booster of the class against the rest, with columns of its own."""
     out = []
@@ -306,7 +391,7 @@ def score(model: SeverityModel, scenarios: DataFrame, levels: Sequence[str], top
     the margin (a forest's is its probability).
     """
     prepared = scenario_defaults(scenarios, model.cat, model.num)
-    out = model.pipeline.transform(prepared)
+    out = model.pipeline.transform(_encoded_by_table(model, prepared) if model.encoder is not None else prepared)
     if model.learner == "boosted":
         alone = [F.element_at(vector_to_array(f"prob_{i}"), 2) for i in range(len(model.classes))]
         total = reduce(lambda a, b: a + b, alone)
@@ -321,7 +406,17 @@ def score(model: SeverityModel, scenarios: DataFrame, levels: Sequence[str], top
     cols = [rnd(F.element_at(prob, i + 1), p_digits).alias(f"p_{c}") for i, c in enumerate(model.classes)]
     classes = F.array(*[F.lit(c) for c in model.classes])
     res = out.select("*", *cols, F.element_at(classes, pred + 1).alias("predicted"))
-    if model.coef is not None:
+    if model.encoder is not None and model.coef is not None:
+        fields = [*model.cat, *model.num]
+        raw = vector_to_array("rawPrediction")
+        plain = res.withColumn("__pred", pred).withColumn("__raw", F.element_at(raw, F.col("__pred") + 1))
+        vectors = [c for c, t in plain.dtypes if t == "vector"]
+        res = _slot_sums(plain.drop(*vectors), model, "__pred", "__values")
+        per_field = F.arrays_zip(F.array(*[F.lit(f) for f in fields]).alias("feature"), F.col("__values").alias("value"))
+        at_means = np.asarray(model.intercepts) + np.asarray(model.coef) @ np.asarray(model.means, float)
+        base = F.element_at(F.array(*[F.lit(float(v)) for v in at_means]), F.col("__pred") + 1)
+        margin = F.col("__raw")
+    elif model.coef is not None:
         fields = list(dict.fromkeys(model.slots))
         means = np.asarray(model.means, dtype=float)
 
@@ -390,8 +485,12 @@ def importance(model: SeverityModel, top: int = 15, spark=None) -> DataFrame:
         raw = np.abs(model.coef).sum(axis=0) * sd
     else:
         raw = np.asarray(model.importances_raw)
+    owners = model.slots
+    if model.encoder is not None:
+        n = np.diff([*model.encoder.first, *[model.encoder.first[-1] + i + 1 for i in range(len(model.num))]])
+        owners = [f for f, k in zip([*model.cat, *model.num], n) for _ in range(k)]
     per: dict[str, float] = {}
-    for s, v in zip(model.slots, raw):
+    for s, v in zip(owners, raw):
         per[s] = per.get(s, 0.0) + float(v)
     total = sum(per.values()) or 1.0
     rows = sorted(((k, v / total) for k, v in per.items()), key=lambda kv: -kv[1])[:top]

@@ -6,9 +6,10 @@ Test roles: features ``l_linestatus``, ``l_linenumber`` (categorical) and
 
 from __future__ import annotations
 
+from pyspark.ml.feature import PCA
 from pyspark.sql import functions as F
 
-from gradelens.operators import model, profile
+from gradelens.operators import encode, model, profile, subspace
 from gradelens.plans.dashboards import TYPE_FOLD_SQL, type_fold
 from gradelens.plans.registry import register
 from gradelens.plans.tables import LINE_OUTCOME, table
@@ -285,6 +286,54 @@ def score_each_checks(spark, sf):
     return checked[0].unionByName(checked[1]).filter("scored > 0")
 
 
+ENCODED_CAT = ["p_brand", "p_type", "p_name"]
+_LEVELS_SQL = " UNION ALL ".join(f"SELECT {i} AS field, CAST({c} AS VARCHAR) AS level FROM part" for i, c in enumerate(ENCODED_CAT))
+_SLOTS_SQL = f"SELECT field, level, row_number() OVER (ORDER BY field, level) - 1 AS slot FROM (SELECT DISTINCT * FROM ({_LEVELS_SQL}) WHERE level IS NOT NULL)"
+
+
+@register("level_dictionary", _SLOTS_SQL)
+def level_dictionary(spark, sf):
+    """M1: slots of all levels of three fields as a table, one field with a level per row."""
+    return encode.TableEncoder.fit(table(spark, sf, "part"), ENCODED_CAT, ["p_size"]).levels
+
+
+@register("encoded_rows", f"""
+WITH d AS ({_SLOTS_SQL}), n AS (SELECT count(*) AS n FROM d)
+SELECT p_partkey, b.slot || ',' || t.slot || ',' || m.slot || CASE WHEN p_size <> 0 THEN ',' || n ELSE '' END AS slots,
+       3.0 + COALESCE(CAST(p_size AS DOUBLE), 0.0) AS total
+FROM part, n JOIN d b ON b.field = 0 AND b.level = p_brand JOIN d t ON t.field = 1 AND t.level = p_type JOIN d m ON m.field = 2 AND m.level = p_name
+""")
+def encoded_rows(spark, sf):
+    """M1: every part as sparse slots and values, from one join with the dictionary."""
+    pt = table(spark, sf, "part").select("p_partkey", *ENCODED_CAT, "p_size")
+    rows = encode.TableEncoder.fit(pt, ENCODED_CAT, ["p_size"]).transform(pt)
+    return rows.select("p_partkey", F.array_join(F.transform("slots", lambda s: s.cast("string")), ",").alias("slots"),
+                       F.aggregate("values", F.lit(0.0), lambda acc, v: acc + v).alias("total"))
+
+
+@register("subspace_checks", f"""
+SELECT count(DISTINCT l_linestatus) + count(DISTINCT l_linenumber) + count(DISTINCT l_suppkey) + 2 AS slots, 0 AS shares_off, true AS enough FROM lineitem
+""")
+def subspace_checks(spark, sf):
+    """M1 M3: components of the encoded lines by subspace iteration against a full PCA: shares off by over 1e-6, 95 % reached."""
+    cat, num = ["l_linestatus", "l_linenumber", "l_suppkey"], ["l_tax", "l_discount"]
+    li = table(spark, sf, "lineitem").select(*cat, *num)
+    enc = encode.TableEncoder.fit(li, cat, num)
+    rows = encode.kept(enc.transform(li), "encoded")
+    got = subspace.components(rows, enc.size, 0.95)
+    want = PCA(k=enc.size, inputCol="features", outputCol="p").fit(enc.vectors(rows)).explainedVariance.toArray()
+    off = sum(abs(a - b) > 1e-6 for a, b in zip(got.explained, want)) + abs(len(got.explained) - model.components_for(want, 0.95))
+    return spark.range(1).select(F.lit(enc.size).cast("long").alias("slots"), F.lit(int(off)).alias("shares_off"), F.lit(bool(got.explained.sum() >= 0.95)).alias("enough"))
+
+
+@register("table_model_checks", f"SELECT count(*) AS scored, 0 AS sums_off, 0 AS not_largest, 0 AS margins_off FROM ({_TESTED_SQL})")
+def table_model_checks(spark, sf):
+    """M1 M3 M6: the model on levels as a table and components by subspace iteration: sums, classes and margins as for the others."""
+    s = split_combos(spark, sf)
+    m = model.fit(s.filter(~F.col("is_test")), CAT, NUM, LEVELS, use_pca=True, max_iter=30, seed=SEED, encoder="table")
+    return _sums(m, model.score(m, model.distinct_tuples(s.filter(F.col("is_test")), FEATURES), LEVELS, **FULL))
+
+
 @register("scenario_defaults", """
 SELECT p_partkey, COALESCE(NULLIF(p_brand, 'Brand#11'), '') AS brand, COALESCE(NULLIF(CAST(p_size % 5 AS DOUBLE), 0.0), 1.0) AS size,
        '' AS gone, COALESCE(TRY_CAST(p_type AS DOUBLE), 1.0) AS text_number FROM part
