@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gradelens.plans import breakdowns, dashboards, enrichment, etl, modeling, selections  # noqa: F401  (register queries)
+from gradelens.plans import breakdowns, dashboards, enrichment, etl, modeling, selections, storage  # noqa: F401  (register queries)
 from gradelens.plans.registry import ORACLES, QUERIES
 
 

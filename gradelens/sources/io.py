@@ -5,7 +5,7 @@
   whose typed column does not parse is skipped whatever the projection
   (Spark's own DROPMALFORMED is applied lazily and depends on the columns a
   query reads).  Rows with a wrong field count are caught with the corrupt
-  record column; column pruning is off for that scan, so every query parses whole rows.
+  record column; every query parses whole rows.  Quoted line breaks do not keep a file in one task (``csv_ranges``).
 - Sinks write zstd Parquet with a row cap per file, header CSV, and JSON.
 """
 
@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradelens.sources import csv_ranges
+
 CORRUPT = "_corrupt_record"
 NO_DATA = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
@@ -44,6 +46,22 @@ def register_views(spark: SparkSession, datasets: Mapping[str, str], suffix: str
     return cols
 
 
+def resolve(views: Mapping[str, list[str]], datasets: Mapping[str, Mapping], dataset: str, name: str | None = None) -> str:
+    """The view of a data set's table (its ``default_table`` if none is named); ``datasets`` has ``tables`` and ``default_table`` of each.
+
+    Unknown data sets and tables, and tables without data (not among ``views``), raise LookupError with what is wrong.
+    """
+    if dataset not in datasets:
+        raise LookupError(f"unknown dataset '{dataset}'")
+    name = name or datasets[dataset]["default_table"]
+    if name not in datasets[dataset]["tables"]:
+        raise LookupError(f"unknown table '{name}' for dataset '{dataset}'")
+    view = f"{dataset}_{name}"
+    if view not in views:
+        raise LookupError(f"data for {view} not available")
+    return view
+
+
 def columns(df: DataFrame) -> list[str]:
     """Column discovery."""
     return list(df.columns)
@@ -60,22 +78,38 @@ def write_parquet(df: DataFrame, path: str, max_records_per_file: int = 1_000_00
     w.parquet(path)
 
 
-#: Quotes are doubled inside a quoted field, which may hold line breaks.
-CSV = {"escape": '"', "multiLine": "true"}
+#: Quotes are doubled inside a quoted field.
+CSV = {"escape": '"'}
+#: How line breaks inside quoted fields are read: in byte ranges (``csv_ranges``; two passes, any number of tasks), by one task per file
+#: (Spark's ``multiLine``), or not at all (each line is a record; one pass).
+BREAKS = ("split", "whole", "none")
+
+
+def _options(breaks: str) -> dict[str, str]:
+    if breaks not in BREAKS:
+        raise ValueError(f"breaks must be one of {BREAKS}")
+    return {**CSV, "multiLine": str(breaks == "whole").lower()}
 
 
 # -- csv ----------------------------------------------------------------------------------
 def read_csv_text(spark: SparkSession, path: str, names: list[str] | None = None,
-                  header: bool = True) -> DataFrame:
+                  header: bool = True, breaks: str = "split") -> DataFrame:
     """Every field as text, no NA inference (an empty field reads as NULL)."""
-    r = spark.read.options(**CSV).option("header", header).option("inferSchema", False)
+    r = spark.read.options(**_options(breaks)).option("header", header).option("inferSchema", False)
+    if breaks == "split":
+        names = names or spark.read.options(**_options("whole")).option("header", header).csv(path).columns
+        return csv_ranges.records(spark, path, header).select(F.from_csv("record", _ddl(names), CSV).alias("r")).select("r.*")
     if names:
         r = r.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
     return r.csv(path)
 
 
+def _ddl(names: list[str], more: str = "") -> str:
+    return ", ".join(f"`{n.replace('`', '``')}` string" for n in names) + more
+
+
 def read_csv_typed(spark: SparkSession, path: str, schema: Mapping[str, str],
-                   header: bool = True, check_field_count: bool = True) -> DataFrame:
+                   header: bool = True, check_field_count: bool = True, breaks: str = "split") -> DataFrame:
     """S3: CSV with typed columns; rows that do not fit are skipped.
 
     ``schema`` maps every column, in file order, to a Spark type name.  A
@@ -83,16 +117,23 @@ def read_csv_typed(spark: SparkSession, path: str, schema: Mapping[str, str],
     ``check_field_count``) it has exactly ``len(schema)`` fields.
     """
     names = list(schema)
-    fields = [T.StructField(n, T.StringType()) for n in names]
-    r = spark.read.options(**CSV).option("header", header).option("mode", "PERMISSIVE")
-    if check_field_count:
-        fields.append(T.StructField(CORRUPT, T.StringType()))
-        r = r.option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
-    raw = r.schema(T.StructType(fields)).csv(path)
-    if check_field_count:
-        # the test of the first field is always true: a scan of the corrupt record alone is refused
-        first = F.length(F.coalesce(F.col(names[0]), F.lit(""))) >= 0
-        raw = raw.filter(F.col(CORRUPT).isNull() & first).drop(CORRUPT)
+    if breaks == "split":
+        options = {**CSV, **({"columnNameOfCorruptRecord": CORRUPT} if check_field_count else {})}
+        ddl = _ddl(names, f", {CORRUPT} string" if check_field_count else "")
+        raw = csv_ranges.records(spark, path, header).select(F.from_csv("record", ddl, options).alias("r")).select("r.*")
+        if check_field_count:
+            raw = raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    else:
+        fields = [T.StructField(n, T.StringType()) for n in names]
+        r = spark.read.options(**_options(breaks)).option("header", header).option("mode", "PERMISSIVE")
+        if check_field_count:
+            fields.append(T.StructField(CORRUPT, T.StringType()))
+            r = r.option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False)
+        raw = r.schema(T.StructType(fields)).csv(path)
+        if check_field_count:
+            # the test of the first field is always true: a scan of the corrupt record alone is refused
+            first = F.length(F.coalesce(F.col(names[0]), F.lit(""))) >= 0
+            raw = raw.filter(F.col(CORRUPT).isNull() & first).drop(CORRUPT)
     typed = [F.col(n).try_cast(t).alias(n) if t != "string" else F.col(n) for n, t in schema.items()]
     ok = [F.col(n).isNull() | F.col(n).try_cast(t).isNotNull() for n, t in schema.items() if t != "string"]
     out = raw.filter(reduce(lambda a, b: a & b, ok)) if ok else raw
@@ -122,6 +163,23 @@ def source_row_counts(spark: SparkSession, paths: Mapping[str, str], fmt: str =
                       header: bool = True) -> DataFrame:
     """``(source, rows)`` per input file or directory."""
     from gradelens.operators.profile import source_counts
-    readers = {n: (spark.read.options(**CSV).option("header", header).csv(p) if fmt == "csv" else spark.read.format(fmt).load(p))
-               for n, p in paths.items()}
+    readers = {n: (csv_ranges.records(spark, p, header) if fmt == "csv" else spark.read.format(fmt).load(p)) for n, p in paths.items()}
     return source_counts(readers)
+
+
+# -- checked sinks ------------------------------------------------------------------------
+def digest(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """``(rows, total, parity)``: an order-free digest of a table's rows as text.
+
+    Sum and exclusive or of a 64-bit hash of every row's JSON, NULLs included; one scan, one row.
+    """
+    row = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`").cast("string").alias(c) for c in names or df.columns]), {"ignoreNullFields": "false"}))
+    return df.select(row.alias("h")).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("h").cast("decimal(38,0)")).alias("total"), F.bit_xor("h").alias("parity"))
+
+
+def compare(source: DataFrame, written: DataFrame) -> DataFrame:
+    """``(rows, written, same)``: whether a table that was written has the rows of its source."""
+    a = digest(source).select(F.col("rows"), F.col("total").alias("t1"), F.col("parity").alias("p1"), F.lit(1).alias("one"))
+    b = digest(written, source.columns).select(F.col("rows").alias("written"), F.col("total").alias("t2"), F.col("parity").alias("p2"), F.lit(1).alias("one"))
+    same = (F.col("rows") == F.col("written")) & F.col("t1").eqNullSafe(F.col("t2")) & F.col("p1").eqNullSafe(F.col("p2"))
+    return a.join(b, "one").select("rows", "written", same.alias("same"))      # one row each
