@@ -5,7 +5,7 @@ process of points, each point falls into one register, and a register holds the
 logarithmic scale of base ``SCALE``, truncated to one byte.  Registers of a union are the larger ones of both, so sketches
 merge; equal registers are as likely as the sets are similar, so they can be banded.
 
-1. Documents with equal sets (128-bit digest) are one class, named by its smallest id.
+1. Documents with equal sets (128-bit digest) are one class, named by the row key (128 bits of id and text) of one of its rows.
 2. Bands of ``BAND`` registers give buckets.  Every class is paired with the smallest class of each of its buckets; the
    likelihood of the register pairs, given both set sizes, estimates their similarity.  Pairs estimated at ``MARGIN`` below the threshold
    or higher are verified on the full sets.  They give first components.
@@ -30,7 +30,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradelens.llm import text as T
@@ -90,23 +90,34 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return level.reshape(len(sets), REGISTERS)
 
 
-def signatures(docs: DataFrame, id_col: str, text: str, k: int) -> DataFrame:
-    """(i, n, digest, sketch) of each row; no digest and sketch without a word."""
-    kind = docs.schema[id_col].dataType
+def row_key(own: Column, text: Column) -> Column:
+    """128 bits that name a row by its id and its text."""
+    mark = F.concat(F.when(own.isNull(), "").otherwise(F.concat(F.lit("id "), own.cast("string"))), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.unhex(F.md5(mark.cast("binary")))
+
+
+def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(i, id, t) of every row, ``i`` its ``row_key``: texts that share an id stay apart."""
+    own, t = F.col(f"`{id_col}`"), F.col(f"`{text}`")
+    return docs.select(row_key(own, t).alias("i"), own.alias("id"), t.alias("t"))
+
+
+def signatures(rows: DataFrame, k: int) -> DataFrame:
+    """(i, id, n, digest, sketch) of each keyed row; no digest and sketch without a word."""
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             n, digests, regs = [], [], []
-            for _, _, data, at in T.slices(*T.utf8(b.column(1))):
+            for _, _, data, at in T.slices(*T.utf8(b.column(2))):
                 sets = shingle_sets(data, at, k)
                 n += [len(s) for s in sets]
                 digests += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 regs += [r.tobytes() if len(s) else None for s, r in zip(sets, sketches(sets))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())],
-                                             names=["i", "n", "digest", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(regs, pa.binary())],
+                                             names=["i", "id", "n", "digest", "sketch"])
 
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t"))
-    return map_batches(rows, run, f"i {kind.simpleString()}, n long, digest binary, sketch binary")
+    return map_batches(rows, run, f"i binary, id {kind}, n long, digest binary, sketch binary")
 
 
 GRID = np.linspace(0.3, 1.0, 71)
@@ -402,17 +413,20 @@ def big_demands(rows: DataFrame, rooted: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``docs``: the id, ``n_shingles``, ``component_id`` (smallest linked id, its own included) and ``kept``."""
-    signed = stored(signatures(docs, id_col, text, k), "signatures")
-    classes = stored(signed.where(F.col("digest").isNotNull() & F.col("i").isNotNull()).groupBy("digest").agg(F.min("i").alias("class")), "classes")
-    first = classes.select(F.col("class").alias("i"), F.col("digest").alias("d"))
-    nodes = stored(signed.join(first, "i").where(F.col("digest") == F.col("d")).select("i", "n", "sketch").distinct(), "nodes")
+    """One row per row of ``docs``: the id, ``n_shingles``, ``component_id`` (smallest linked id, its own included), ``kept`` and ``row_key``
+    (``keyed``: names the row by id and text)."""
+    rows = keyed(docs, id_col, text)
+    signed = stored(signatures(rows, k), "signatures")
+    classes = stored(signed.where(F.col("digest").isNotNull() & F.col("id").isNotNull()).groupBy("digest")
+                     .agg(F.min("i").alias("class"), F.min("id").alias("smallest")), "classes")
+    first = classes.select(F.col("class").alias("i"))
+    nodes = stored(signed.join(first, "i").where(F.col("digest").isNotNull()).select("i", "n", "sketch").distinct(), "nodes")
     bands = band_rows(nodes)
     buckets = stored(bands.groupBy("key").agg(F.min("i").alias("lead"), F.count("*").alias("size")).where(F.col("size") > 1), "buckets")
     stars = (bands.join(buckets.select("key", "lead"), "key").where(F.col("i") != F.col("lead"))
              .select(F.col("i").alias("a"), F.col("lead").alias("b")).distinct())
     plausible = stored(estimated(stars, nodes, percent), "plausible")
-    label = components(verified(plausible, docs, id_col, text, k, percent))
+    label = components(verified(plausible, rows, "i", "t", k, percent))
     sized = label.groupBy("root").agg(F.count("*").alias("members"))
     own = label.join(sized, "root").select("i", "root", F.pmod(F.xxhash64(F.col("i"), F.lit(2)), F.ceil(F.col("members") / CELL)).alias("cell"),
                                            (F.col("members") > CELL).alias("big"))
@@ -420,17 +434,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                                                         F.coalesce("big", F.lit(False)).alias("big")), "tagged")
     rooted = tagged.select("i", "root", "cell")
     found = stored(bucket_rows(tagged, key_filter(buckets.where("size > 2").select("key"))), "bucket-rows")
-    rows = found.where(F.col("i").isNotNull()).union(found.where(F.col("i").isNull()).distinct())
-    demand = stored(demanded_cells(rows, percent).union(big_demands(rows, rooted)), "demand")
-    links = verified_cells(demand, rooted, docs, id_col, text, k, percent)
+    bucketed = found.where(F.col("i").isNotNull()).union(found.where(F.col("i").isNull()).distinct())
+    demand = stored(demanded_cells(bucketed, percent).union(big_demands(bucketed, rooted)), "demand")
+    links = verified_cells(demand, rooted, rows, "i", "t", k, percent)
     asker = rooted.select(F.col("i").alias("a"), F.col("root").alias("ra"))
     over = components(links.join(asker, "a").select(F.col("ra").alias("a"), "b"))
 
-    final = stored(classes.join(label.select(F.col("i").alias("class"), "root"), "class", "left").select("digest", "class", F.coalesce("root", "class").alias("root"))
+    final = stored(classes.join(label.select(F.col("i").alias("class"), "root"), "class", "left").select("digest", "smallest", F.coalesce("root", "class").alias("root"))
                    .join(over.select(F.col("i").alias("root"), F.col("root").alias("next")), "root", "left")
-                   .select("digest", "class", F.coalesce("next", "root").alias("root")), "final")
-    smallest = stored(final.groupBy("root").agg(F.min("class").alias("component_id")), "smallest")
+                   .select("digest", "smallest", F.coalesce("next", "root").alias("root")), "final")
+    smallest = stored(final.groupBy("root").agg(F.min("smallest").alias("component_id")), "smallest")
     member = stored(final.join(smallest, "root").select("digest", "component_id"), "membership")
-    return (signed.select("i", "n", "digest").join(member, "digest", "left")
-            .select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "i").alias("component_id"))
+    return (signed.select("i", "id", "n", "digest").join(member, "digest", "left")
+            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), F.col("i").alias("row_key"))
             .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull())))
+
+
+def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
+    kept = near_duplicates(docs, id_col, text, k, percent).where("kept").select("row_key").distinct()
+    name = "__row_key"
+    while name in docs.columns:
+        name += "_"
+    marked = docs.withColumn(name, row_key(F.col(f"`{id_col}`"), F.col(f"`{text}`")))
+    return marked.join(kept.withColumnRenamed("row_key", name), name, "left_semi").drop(name).select(*docs.columns)

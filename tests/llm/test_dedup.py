@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gradelens.llm import bloom, line_dedup, queries, setsketch
 from tools.check_oracles import canon
@@ -145,6 +146,16 @@ def test_near_duplicates_odd_rows(spark):
     assert {(r.doc_id, r.component_id) for r in setsketch.near_duplicates(named, k=2).collect()} == {("a", "a"), ("b", "a"), ("c", "c")}
 
 
+def test_texts_that_share_an_id_are_judged_apart(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, long), (7, long + " more"), (7, "something else altogether here"), (9, "something else altogether here"), (5, "w0 w1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept, r.n_shingles) for r in setsketch.near_duplicates(df, k=2).collect()}
+    assert got == {(3, 3, True, 59), (7, 3, False, 60), (7, 7, True, 3), (9, 7, False, 3), (5, 5, True, 1)}
+    left = setsketch.drop_duplicates(df.withColumn("__row_key", F.lit(1)), k=2)
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted([rows[0], rows[2], rows[4]]) and left.columns == ["doc_id", "text", "__row_key"]
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000 + i, 1000 + (i * 7) % 97) for i in range(97)] + [(5000, 5000)]
     label = {r.i: r.root for r in setsketch.components(spark.createDataFrame(edges, "a long, b long")).collect()}

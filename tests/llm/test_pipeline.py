@@ -53,7 +53,7 @@ def test_line_stage_drops_documents_left_without_words(spark):
 
 
 def test_near_stage(stages):
-    reps = {d for d, _, c in brute_components([(r.doc_id, r.text) for r in stages[2]], 5) if d == c}
+    reps = {d for d, _, c in brute_components([(r.doc_id, r.text) for r in stages[2]], 2) if d == c}
     assert {r.doc_id for r in stages[3]} == reps and set(stages[3]) <= set(stages[2])
 
 
