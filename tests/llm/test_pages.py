@@ -144,7 +144,7 @@ def test_alignment():
     def folded(page):
         root, _ = html_wrapper.parse(page)
         html_wrapper.fold(root)
-        return root.canon
+        return html_wrapper.outline(root)
     a = folded("<div class=x><p>a<p>b</div><ul><li>c</ul>")
     assert a == folded("<div class=x><p>a</div><ul><li>c<li>d</ul>")
     b = folded("<div class=new>n</div><div class=x><p>a</div><ul><li>c</ul>")
@@ -152,6 +152,56 @@ def test_alignment():
     assert [html_wrapper.tree(a)[0][j] if j >= 0 else None for j in html_wrapper.align(a, b)] == [x if "new" not in x else None for x in labels]
 
 
+def letters(i):
+    return "".join(chr(97 + i // 26 ** k % 26) for k in range(4))
+
+
+@pytest.mark.parametrize("page, blocks", [
+    ("<div>" * 200_000 + "text", ["text"]), ("<p>a<div>" + "<blockquote>" * 100_000 + "b</x></p>c", ["a", "b", "c"]), ("<ul>" + "<li>x" * 100_000, ["x"] * 100_000),
+    ("".join(f"<div class={letters(i)}>t{i}</div>" for i in range(20_000)), [f"t{i}" for i in range(20_000)]), ("</div>" * 100_000 + "<h1>t</h1>", ["t"])])
+def test_pages_of_any_depth_and_width(page, blocks):
+    import tracemalloc
+    tracemalloc.start()
+    host, root, content = html_wrapper.page_view("https://a.example/x", page)
+    lines = html_wrapper.outline(root)
+    labels, children = html_wrapper.tree(lines)
+    assert len(html_wrapper.node_paths(labels, children)) == len(labels) == len(html_wrapper.align("0 =\n1 div~", lines))
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [c[-1] for c in content] == blocks and used < 400 << 20
+
+
+def test_outline_has_the_pages_slots_and_paths():
+    import random
+    rng = random.Random(2)
+    parts = ["<div>", "</div>", "<p>t", "<h1>x</h1>", "<ul>", "<li>a", "</ul>", "<section class=a>", "</section>", "text ", "<table><tr><td>", "<td>", "</table>"]
+    for _ in range(150):
+        _, root, _ = html_wrapper.page_view("", "".join(rng.choice(parts) for _ in range(rng.randint(1, 60))))
+        labels, children = html_wrapper.tree(html_wrapper.outline(root))
+        paths, todo = html_wrapper.node_paths(labels, children), [root]
+        for n in todo:
+            todo.extend(n.children)
+            assert labels[n.slot][:-1] == n.label and paths[n.slot] == n.path
+
+
+def test_large_unlike_trees_match_in_order():
+    one = [f"div.{letters(i)}~" for i in range(3000)]
+    two = one[1:1000] + ["div.new~"] + one[1000:]
+    a, b = ("\n".join(["0 ~", *(f"1 {x}" for x in own)]) for own in (one, two))
+    got = html_wrapper.align(a, b)
+    assert got == [0, *range(2, 1001), -1, *range(1001, 3001)]
+
+
+def test_many_layouts_on_one_host_and_clashing_names(spark):
+    def page(i):
+        return f"<article><h1>Title {i}</h1><div class={letters(i)}><p>Story {i}.</p></div><div>Terms apply</div></article>"
+    rows = [(i, f"https://l.example/{i}", page(i), "p", "t") for i in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, __places string, __template string")
+    got = html_wrapper.extract(df)
+    assert set(got.columns) == {"page_id", "url", "text", "n_chars", "__places", "__template"}
+    assert all(r.text == f"Title {r.page_id}\nStory {r.page_id}." and r["__places"] == "p" for r in got.collect())
+
+
 def replica(spark, rows):
     return spark.createDataFrame(rows, "file string, offset long, length long, digest string")
 
