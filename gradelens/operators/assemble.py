@@ -97,6 +97,35 @@ def decode(df: DataFrame, col: str, codes: DataFrame, table: str, field: str,
     return out.withColumn(name or col, F.coalesce(F.col("_label"), dflt)).drop("_code", "_label")
 
 
+#: Codes of a field up to which its labels are a constant of the plan; longer lists are joined.
+MAX_MAP_CODES = 256
+
+
+def decode_all(df: DataFrame, fields: Sequence[tuple[str, str, str, str, str]], codes: DataFrame) -> DataFrame:
+    """P6 / J8 for many columns: ``(column, table, field, default, name)`` each, equal to one ``decode`` per entry.
+
+    The code list is aggregated once.  Fields with few codes, counted first, become constants looked up in the projection, so they
+    cost no join; the others go through ``decode``.
+    """
+    label = F.max_by("label", F.struct("ord", "label")) if "ord" in codes.columns else F.min("label")
+    wanted = F.struct("table", "field").isin([F.struct(F.lit(t), F.lit(f)) for _, t, f, _, _ in fields])
+    every = codes.filter(wanted).groupBy("table", "field", "code").agg(label.alias("label"))
+    per = every.groupBy("table", "field").agg(F.count(F.lit(1)).alias("n"), F.collect_list(F.struct("code", "label")).alias("all"))
+    few = per.filter(F.col("n") <= MAX_MAP_CODES).select("table", "field", F.to_json("all").alias("all"))
+    maps = {(r["table"], r["field"]): r["all"] for r in few.collect()}      # a row per field that is asked for
+    long = {(r["table"], r["field"]) for r in per.filter(F.col("n") > MAX_MAP_CODES).select("table", "field").collect()} if len(maps) < len({x[1:3] for x in fields}) else set()
+    made = {}
+    for col, table, field, default, name in fields:
+        if (table, field) in long:
+            df = decode(df, col, codes, table, field, default, name=name)
+        elif (table, field) in maps:
+            labels = F.map_from_entries(F.from_json(F.lit(maps[table, field]), "array<struct<code:bigint,label:string>>"))
+            made[name] = F.coalesce(F.try_element_at(labels, F.col(col).cast("string").try_cast("long")), F.lit(default))
+        else:
+            made[name] = F.lit(default)
+    return df.withColumns(made) if made else df
+
+
 def flat_record(parent: DataFrame, parent_key: str,
                 children: Sequence[tuple[DataFrame, str, Column | None]] = (),
                 flags: Sequence[tuple[DataFrame, str, dict[str, Column]]] = (),

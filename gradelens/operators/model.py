@@ -588,24 +588,36 @@ class TrainResult:
     metrics: DataFrame        # accuracy, macro_f1, weighted_f1, n_test
     per_class: DataFrame      # label, precision, recall, f1, support
     importances: DataFrame    # feature, importance (top 15)
-    levels: DataFrame         # field, value, n (A15, one row per level)
+    levels: DataFrame         # field, value, n (A15, one row per level); with the fields that only the form offers
     num_stats: DataFrame      # feature, mean, min, max (A14)
+    facts: DataFrame          # n_train_combos, n_test_combos, n_test, class_weight_temper
 
 
 def train_flow(records: DataFrame, cat: Sequence[str], num: Sequence[str], target: str,
                levels: Sequence[str], forbidden: Sequence[str] = (), test_fraction: float = 0.2,
                seed: int = 42, learner: str = "logistic", use_pca: bool = True,
-               variance: float = 0.95) -> TrainResult:
+               variance: float = 0.95, form_only: Sequence[str] = (), rounds: int = BOOST_ROUNDS, encoder: str = "stages") -> TrainResult:
     """The training run end to end: features the table has (leak guard),
     weighted combinations, leak-free stratified split of combinations, fit
-    on the training side, weighted evaluation on the held-out side."""
+    on the training side, weighted evaluation on the held-out side.  ``form_only`` fields are offered on the scenario form without
+    being features: their levels are listed too."""
     from gradelens.operators.profile import value_counts
     cat, num = check_features(records.columns, cat, num, forbidden)
     combos = combinations(records, cat, num, target)
     sides = split(combos, [*cat, *num], test_fraction, seed)
     m = fit(sides.filter(~F.col("is_test")), cat, num, levels, learner=learner, use_pca=use_pca,
-            variance=variance, seed=seed)
+            variance=variance, seed=seed, rounds=rounds, encoder=encoder)
     conf = confusion(score(m, sides.filter(F.col("is_test")), levels))
+    shown = value_counts(combos, cat)
+    extra = [c for c in form_only if c in records.columns and c not in cat]
+    if extra:
+        shown = shown.unionByName(value_counts(records, extra))
     return TrainResult(m, overall_metrics(conf, m.classes), class_metrics(conf, m.classes),
-                       importance(m, spark=records.sparkSession), value_counts(combos, cat),
-                       weighted_stats(combos, num))
+                       importance(m, spark=records.sparkSession), shown, weighted_stats(combos, num), split_facts(sides, [*cat, *num]))
+
+
+def split_facts(sides: DataFrame, features: Sequence[str], temper: float = CLASS_WEIGHT_TEMPER) -> DataFrame:
+    """M2: training and test tuples, weighted test rows, and the class weight temper, of a split, in one row."""
+    tuples = sides.groupBy(*features).agg(F.max(F.col("is_test").cast("int")).alias("t"), F.sum(F.when(F.col("is_test"), F.col("weight")).otherwise(0)).alias("w"))
+    return tuples.agg(F.count(F.when(F.col("t") == 0, 1)).alias("n_train_combos"), F.count(F.when(F.col("t") == 1, 1)).alias("n_test_combos"),
+                      F.coalesce(F.sum("w"), F.lit(0)).cast("long").alias("n_test")).withColumn("class_weight_temper", F.lit(float(temper)))

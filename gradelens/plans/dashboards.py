@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradelens.functions.labels import classify, fold_matching
+from gradelens.functions.numeric import pct_text
 from gradelens.functions.predicates import Selection
 from gradelens.operators import ordering, selection as selection_ops
 from gradelens.plans import reports
@@ -207,6 +208,43 @@ def custom_order(spark, sf):
                                   ordering.listed(CUSTOM_ORDER, ordering.by_total()), exclude_own=False)
 
 
+AGE_BANDS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@register("age_band_rates", _shares_sql(
+    _rows_sql("SELECT * FROM orders", "o_orderpriority", OO, "WHERE o_orderstatus IN ('F', 'O')"),
+    "CASE key WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 WHEN '4-NOT SPECIFIED' THEN 4 WHEN '5-LOW' THEN 5 ELSE 6 END"))
+def age_band_rates(spark, sf):
+    """Bands in their fixed order, without the bands' own filter."""
+    sel = Selection({"o_orderpriority": ["1-URGENT"], "o_orderstatus": ["F", "O"]})
+    return reports.ordered_shares(table(spark, sf, "orders"), "o_orderpriority", OO, sel, ordering.listed(AGE_BANDS))
+
+
+@register("surface_order", _shares_sql(
+    _rows_sql(f"SELECT *, {_PRIO_LABEL_SQL} AS prio_label FROM orders", "prio_label", OO, "WHERE o_orderstatus IN ('F', 'P')"),
+    "CASE WHEN regexp_matches(trim(key), '(?i)^(unknown|other)') THEN 1 ELSE 0 END, total DESC, key ASC NULLS LAST"))
+def surface_order(spark, sf):
+    """A1 (min 1) T4 A16: the query's order (largest first), unknown last, with its own filter left out."""
+    od = table(spark, sf, "orders").withColumn("prio_label", _prio_label())
+    sel = Selection({"o_orderstatus": ["F", "P"], "prio_label": ["1-URGENT"]})
+    return reports.ordered_shares(od, "prio_label", OO, sel, ordering.unknown_last(ordering.by_total()), min_count=1)
+
+
+@register("percent_texts", """
+WITH t AS (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 0.0 WHEN 1 THEN -1.0 * p_size WHEN 2 THEN NULL WHEN 3 THEN p_size * 1.0
+                       WHEN 4 THEN p_size / 64.0 ELSE p_size / 65536.0 END AS v FROM part)
+SELECT p_partkey, CASE WHEN v IS NULL OR v <= 0 THEN '0' WHEN v >= 1 THEN fixed(v, 1) WHEN v >= 0.1 THEN fixed(v, 2)
+       WHEN round(CAST(v AS DOUBLE), 3) = 0 THEN '<0.001' ELSE fixed(v, 3) END AS shown FROM t
+""".replace("fixed(v, 1)", "regexp_replace(regexp_replace(printf('%.1f', round(CAST(v AS DOUBLE), 1)), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')")
+   .replace("fixed(v, 2)", "regexp_replace(regexp_replace(printf('%.2f', round(CAST(v AS DOUBLE), 2)), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')")
+   .replace("fixed(v, 3)", "regexp_replace(regexp_replace(printf('%.3f', round(CAST(v AS DOUBLE), 3)), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"))
+def percent_texts(spark, sf):
+    """Adaptive percent texts of positive, zero, negative and missing shares."""
+    k, size = F.col("p_partkey") % 6, F.col("p_size").cast("double")
+    v = (F.when(k == 0, 0.0).when(k == 1, -size).when(k == 2, F.lit(None).cast("double")).when(k == 3, size).when(k == 4, size / 64).otherwise(size / 65536))
+    return table(spark, sf, "part").select("p_partkey", pct_text(v).alias("shown"))
+
+
 @register("numeric_key_order", f"""
 WITH r AS (SELECT *, {S.rates(LO)} FROM ({_rows_sql(LINE_PARTS_SQL, 'p_size', LO, _LP_FT)}))
 SELECT *, ROW_NUMBER() OVER (ORDER BY TRY_CAST(key AS BIGINT) ASC NULLS LAST, key ASC NULLS LAST) AS pos,

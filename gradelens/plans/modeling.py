@@ -334,6 +334,46 @@ def table_model_checks(spark, sf):
     return _sums(m, model.score(m, model.distinct_tuples(s.filter(F.col("is_test")), FEATURES), LEVELS, **FULL))
 
 
+@register("split_facts", f"""
+SELECT count(*) FILTER (WHERE NOT t) AS n_train_combos, count(*) FILTER (WHERE t) AS n_test_combos, CAST(sum(CASE WHEN t THEN w ELSE 0 END) AS BIGINT) AS n_test,
+       0.5::DOUBLE AS class_weight_temper
+FROM (SELECT bool_or(is_test) AS t, sum(weight) AS w FROM ({_SPLIT_SQL}) GROUP BY l_linestatus, l_linenumber, l_tax, l_quantity)
+""")
+def split_facts(spark, sf):
+    """M2: tuples on each side of the split and the weighted test rows."""
+    return model.split_facts(split_combos(spark, sf), FEATURES)
+
+
+@register("feature_check", """
+SELECT * FROM (VALUES ('l_linestatus', 'cat', true), ('l_linenumber', 'cat', true), ('l_gone', 'cat', false), ('l_tax', 'num', true), ('n_gone', 'num', false)) t(feature, kind, kept)
+""")
+def feature_check(spark, sf):
+    """Features that the table has; a target-derived one is refused."""
+    li = table(spark, sf, "lineitem")
+    cat, num = ["l_linestatus", "l_linenumber", "l_gone"], ["l_tax", "n_gone"]
+    kept = model.check_features(li.columns, cat, num, forbidden=["l_returnflag"])
+    try:
+        model.check_features(li.columns, [*cat, "l_returnflag"], num, forbidden=["l_returnflag"])
+        kept = ([], [])      # the guard failed: nothing is kept
+    except ValueError:
+        pass
+    asked = [(f, k, f in have) for k, names, have in (("cat", cat, kept[0]), ("num", num, kept[1])) for f in names]
+    return spark.createDataFrame(asked, "feature string, kind string, kept boolean")
+
+
+@register("importance_checks", """
+SELECT * FROM (VALUES ('boosted', 4, 0, 0), ('logistic', 4, 0, 0)) t(learner, fields, sum_off, out_of_order)
+""")
+def importance_checks(spark, sf):
+    """M7: importances of two learners: a row per field, sum 1, falling."""
+    rows = []
+    for learner in ("boosted", "logistic"):
+        m, _ = _trained(spark, sf, learner=learner)
+        got = [r["importance"] for r in model.importance(m, spark=spark).collect()]
+        rows.append((learner, len(got), int(abs(sum(got) - 1) > 1e-9), sum(a < b for a, b in zip(got, got[1:]))))
+    return spark.createDataFrame(rows, "learner string, fields int, sum_off int, out_of_order int")
+
+
 @register("scenario_defaults", """
 SELECT p_partkey, COALESCE(NULLIF(p_brand, 'Brand#11'), '') AS brand, COALESCE(NULLIF(CAST(p_size % 5 AS DOUBLE), 0.0), 1.0) AS size,
        '' AS gone, COALESCE(TRY_CAST(p_type AS DOUBLE), 1.0) AS text_number FROM part

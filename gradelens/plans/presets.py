@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gradelens.functions.predicates import any_of, starts_with
 from gradelens.spec import OutcomeSpec
 
 # Outcome column, levels (lowest first), output names and risk weights.
@@ -39,43 +38,29 @@ FORM_ONLY_CAT = ("State",)
 SEED = 42
 PCA_VARIANCE = 0.95
 
-# The named conditions of each dataset, in display order.
-#   both:  Darkness      Light_conditions LIKE 'Darkness%'
-#          Night         Time_of_day LIKE 'Night%'
-#          Weekend       Is_weekend = true
-#          Multi-vehicle Number_of_vehicles_involved >= 3
-#   india: Rain / Fog    Weather_conditions IN ('Raining', 'Raining and Windy', 'Fog or mist')
-#          Speed / DUI   Cause_of_accident IN ('Driving at high speed', 'Driving under the influence of drugs')
-#   uk:    Rain / Fog    Weather_conditions LIKE 'Raining%' OR Weather_conditions = 'Fog or mist'
-#          Rural road    Area_accident_occured = 'Rural'
-CONDITION_NAMES = {
-    "india": ("Darkness", "Rain / Fog", "Speed / DUI", "Night", "Weekend", "Multi-vehicle"),
-    "uk": ("Darkness", "Rain / Fog", "Rural road", "Night", "Weekend", "Multi-vehicle"),
+# The named conditions of each data set, in display order, as SQL conditions.
+CONDITIONS = {
+    "india": (
+        ("Darkness", "Light_conditions LIKE 'Darkness%'"),
+        ("Rain / Fog", "Weather_conditions IN ('Raining', 'Raining and Windy', 'Fog or mist')"),
+        ("Speed / DUI", "Cause_of_accident IN ('Driving at high speed', 'Driving under the influence of drugs')"),
+        ("Night", "Time_of_day LIKE 'Night%'"),
+        ("Weekend", "Is_weekend = true"),
+        ("Multi-vehicle", "Number_of_vehicles_involved >= 3"),
+    ),
+    "uk": (
+        ("Darkness", "Light_conditions LIKE 'Darkness%'"),
+        ("Rain / Fog", "Weather_conditions LIKE 'Raining%' OR Weather_conditions = 'Fog or mist'"),
+        ("Rural road", "Area_accident_occured = 'Rural'"),
+        ("Night", "Time_of_day LIKE 'Night%'"),
+        ("Weekend", "Is_weekend = true"),
+        ("Multi-vehicle", "Number_of_vehicles_involved >= 3"),
+    ),
 }
 
 
 def conditions(dataset: str) -> dict[str, Column]:
-    """P5: the dataset's named conditions as Columns, in display order."""
-    c = F.col
-    shared = {
-        "Darkness": starts_with("Light_conditions", "Darkness"),
-        "Night": starts_with("Time_of_day", "Night"),
-        "Weekend": c("Is_weekend") == F.lit(True),
-        "Multi-vehicle": c("Number_of_vehicles_involved") >= 3,
-    }
-    if dataset == "india":
-        own = {
-            "Rain / Fog": c("Weather_conditions").isin("Raining", "Raining and Windy", "Fog or mist"),
-            "Speed / DUI": c("Cause_of_accident").isin("Driving at high speed",
-                                                       "Driving under the influence of drugs"),
-        }
-    elif dataset == "uk":
-        own = {
-            "Rain / Fog": any_of(starts_with("Weather_conditions", "Raining"),
-                                 c("Weather_conditions") == "Fog or mist"),
-            "Rural road": c("Area_accident_occured") == "Rural",
-        }
-    else:
+    """P5: the data set's named conditions as Columns, in display order."""
+    if dataset not in CONDITIONS:
         raise ValueError(f"no condition presets defined for '{dataset}'")
-    merged = {**shared, **own}
-    return {name: merged[name] for name in CONDITION_NAMES[dataset]}
+    return {name: F.expr(sql) for name, sql in CONDITIONS[dataset]}

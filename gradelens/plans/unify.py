@@ -102,8 +102,7 @@ def unified_records(collision: DataFrame, vehicle: DataFrame, casualty: DataFram
         children=[(_pick(vehicle, "vehicle", _VEHICLE), "vehicle_key", code(F.col("vehicle_vehicle_reference")) == 1),
                   (_pick(casualty, "casualty", _CASUALTY), "casualty_key", code(F.col("casualty_casualty_reference")) == 1)],
         flags=[(casualty, KEY, {"has_pedestrian": code(F.col("casualty_class")) == PEDESTRIAN_CLASS})])
-    for name, table, field, default in DECODED:
-        flat = assemble.decode(flat, f"{table}_{field}", codes, table, field, default, name=name)
+    flat = assemble.decode_all(flat, [(f"{table}_{field}", table, field, default, name) for name, table, field, default in DECODED], codes)
     at = F.coalesce(*[F.try_to_timestamp(F.col("collision_time"), F.lit(p)) for p in ("H:m:s", "H:m")])
     hour = F.hour(at)
     skid, leaving = F.col("vehicle_skidding_and_overturning"), F.col("vehicle_vehicle_leaving_carriageway")

@@ -274,7 +274,7 @@ def test_presets_on_a_record_frame(spark):
     df = spark.createDataFrame(rows, schema)
     for ds in ("india", "uk"):
         out = {r["axis"]: r for r in outcome.condition_lift(df, presets.SEVERITY, presets.conditions(ds)).collect()}
-        assert list(out) == list(presets.CONDITION_NAMES[ds])
+        assert list(out) == [name for name, _ in presets.CONDITIONS[ds]]
         assert all(r["n"] == 1 and r["value"] == 100.0 and r["baseline"] == 50.0 for r in out.values())
     with pytest.raises(ValueError):
         presets.conditions("elsewhere")
