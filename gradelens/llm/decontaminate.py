@@ -1,10 +1,12 @@
 """Operator 6, benchmark decontamination: a broadcast hash set of normalised benchmark n-grams.
 
-Windows of ``n`` consecutive words of each benchmark text (a shorter text is one window) are hashed,
-made distinct and collected in blocks of at most about ``BLOCK_WINDOWS`` windows; each block is broadcast and
-training texts are scanned against it window by window.  Every hash hit is verified on the words themselves.
-With several blocks the rows are numbered and stored, and each block is collected, scanned against, its hits stored and its broadcast
-destroyed before the next, so driver and executors hold one block of a benchmark of any size; a last scan puts the hits together.
+Windows of ``n`` consecutive words of each benchmark text (a shorter text is one window) are hashed and made distinct.  Up to
+``BLOCK_WINDOWS`` of them are one broadcast hash set; training texts are scanned against it window by window, and every hash hit is
+verified on the words themselves.
+
+Larger benchmarks stay a table.  A Bloom filter of all their window hashes, at most ``MAX_BITS`` bits, is broadcast instead; the one scan of
+the documents counts words and puts out the few windows that it knows, with their words; these meet the table in an equi-join on length
+and hash, the words decide, and the hits go back to their rows.  A filter that is too small for its windows costs shuffle, never a hit.
 
 Words are lower-cased (A-Z) runs of ASCII letters, digits and non-ASCII characters.
 
@@ -15,8 +17,6 @@ Repeated documents give equal rows; clashing input columns are replaced.
 
 from __future__ import annotations
 
-import functools
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 
 from gradelens.llm import text as T
 from gradelens.llm.arrow import add_columns, map_batches
+from gradelens.llm.bloom import contains, hash_filter, segments_for
 from gradelens.llm.shared import stored
 
-#: Parameters: words of a window, windows of a broadcast block (about 150 bytes each).
+#: Parameters: words of a window, windows of a broadcast block (about 150 bytes each), filter bits per window of a larger set, most bits.
 WINDOW = 10
 BLOCK_WINDOWS = 100_000
+BITS_PER_WINDOW, MAX_BITS = 16, 1 << 29
 WINDOWS = "k int, h long, item string, words binary"
 
 
@@ -97,13 +99,6 @@ class Block:
                     yield int(first[j]), k, items
 
 
-def blocks_of(windows: DataFrame, parts: int) -> Iterator[Block]:
-    """The windows in ``parts`` blocks, one after the other; all windows of one hash are in one block."""
-    part = F.pmod(F.xxhash64("h"), F.lit(parts))
-    for i in range(parts):
-        yield Block.of((r.k, r.h, r.item, r.words) for r in windows.where(part == i).toLocalIterator())
-
-
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
          n: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """``docs`` with ``n_words``, ``n_hit`` (words inside benchmark windows), ``item_ids`` (sorted) and ``hit_spans``.
@@ -111,34 +106,18 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     ``hit_spans`` are the [start, end) byte ranges of maximal runs of hit words, flattened to start, end, start, ...
     """
     windows = stored(benchmark_windows(benchmark, item, item_text, n), "benchmark-windows")
-    share, parts = docs.sparkSession.sparkContext.broadcast, max(1, -(-windows.count() // block_windows))
-    if parts == 1:
-        return _scan_block(docs, share(next(blocks_of(windows, 1))), text, fresh=True)
-    row = "__row"
-    while row in docs.columns:
-        row += "_"
-    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered-documents")
-    hits = []
-    for block in blocks_of(windows, parts):
-        shared = share(block)
-        del block
-        found = _scan_block(rows.select(row, text), shared, text, fresh=True).where("n_hit > 0")
-        hits.append(stored(found.select(row, "item_ids", "hit_spans"), "block-hits"))
-        shared.destroy()
-    flat = [F.flatten(F.collect_list(c)).alias(c) for c in ("item_ids", "hit_spans")]
-    known = functools.reduce(DataFrame.union, hits).groupBy(row).agg(*flat)
-    old = [F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("item_ids", "array<string>"), ("hit_spans", "array<long>"))]
-    kept = [c for c in docs.columns if c.lower() not in ("item_ids", "hit_spans")]
-    return _scan_block(rows.select(row, *kept).join(known, row, "left").select(*kept, *old), share(Block.of(())), text, fresh=False)
-
-
-def _scan_block(docs: DataFrame, shared, text: str, fresh: bool) -> DataFrame:
+    size = windows.count()
+    if size > block_windows:
+        return _scan_filtered(docs, windows, size, text)
+    block = Block.of((r.k, r.h, r.item, r.words) for r in windows.toLocalIterator())
+    return _scan_block(docs, docs.sparkSession.sparkContext.broadcast(block), text)
+
+
+def _scan_block(docs: DataFrame, shared, text: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         block = shared.value
         n_words, n_hit, items, spans = [], [], [], []
-        old_items = [] if fresh else T.column(batch, "item_ids").to_pylist()
-        old_spans = [] if fresh else T.column(batch, "hit_spans").to_pylist()
-        for lo, _, data, at in T.slices(*T.utf8(T.column(batch, text))):
+        for _, _, data, at in T.slices(*T.utf8(T.column(batch, text))):
             starts, ends, ptr, words = T.words_of(data, at, T.ALNUM)
             hit = np.zeros(len(words), bool)
             got: dict[int, set[str]] = {}
@@ -146,14 +125,6 @@ def _scan_block(docs: DataFrame, shared, text: str, fresh: bool) -> DataFrame:
                 hit[first:first + k] = True
                 got.setdefault(int(np.searchsorted(ptr, first, "right")) - 1, set()).update(found)
             n_words.append(np.diff(ptr))
-            if not fresh:
-                for r in range(len(at) - 1):
-                    flat = old_spans[lo + r]
-                    for s, e in zip(flat[::2], flat[1::2]):
-                        own = slice(np.searchsorted(starts, at[r] + s), np.searchsorted(starts, at[r] + e))
-                        hit[own] = True
-                    if old_items[lo + r]:
-                        got.setdefault(r, set()).update(old_items[lo + r])
             n_hit.append(T.row_sums(hit.astype(np.int64), ptr))
             for r in range(len(at) - 1):
                 items.append(sorted(got.get(r, ())))
@@ -170,6 +141,60 @@ def _scan_block(docs: DataFrame, shared, text: str, fresh: bool) -> DataFrame:
     return add_columns(docs, {"n_words": "long", "n_hit": "long", "item_ids": "array<string>", "hit_spans": "array<long>"}, run)
 
 
+def _scan_filtered(docs: DataFrame, windows: DataFrame, size: int, text: str) -> DataFrame:
+    lengths = sorted(r.k for r in windows.select("k").distinct().collect())       # at most as many as words of a window
+    shared = docs.sparkSession.sparkContext.broadcast(hash_filter(windows.select("h"), segments_for(size, BITS_PER_WINDOW, MAX_BITS)))
+    mark = "__"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    row, found, hits = mark + "row", mark + "suspects", mark + "hits"
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        n_words, rows = [], []
+        for _, _, data, at in T.slices(*T.utf8(T.column(batch, text))):
+            starts, ends, ptr, words = T.words_of(data, at, T.ALNUM)
+            n_words.append(np.diff(ptr))
+            own: list[list[dict]] = [[] for _ in range(len(at) - 1)]
+            for k in lengths:
+                h, first = T.shingle_hashes(words, ptr, k)
+                for j in np.flatnonzero(contains(shared.value, h)).tolist():
+                    f = int(first[j])
+                    r = int(np.searchsorted(ptr, f, "right")) - 1
+                    own[r].append({"k": k, "h": int(h[j].view(np.int64)), "at": f - int(ptr[r]), "lo": int(starts[f] - at[r]), "hi": int(ends[f + k - 1] - at[r]),
+                                   "words": _phrases(data, starts, ends, f, k)})
+            rows += own
+        kind = pa.struct([("k", pa.int32()), ("h", pa.int64()), ("at", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("words", pa.binary())])
+        return [pa.array(np.concatenate(n_words or [np.zeros(0, np.int64)])), pa.array(rows, pa.list_(kind))]
+
+    kept = [c for c in docs.columns if c.lower() not in ("n_words", "n_hit", "item_ids", "hit_spans")]
+    numbered = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn(row, F.monotonically_increasing_id())
+    scanned = stored(add_columns(numbered, {"n_words": "long", found: "array<struct<k:int,h:bigint,at:bigint,lo:bigint,hi:bigint,words:binary>>"}, run), "scanned-documents")
+    suspects = scanned.select(row, F.explode(found).alias("s")).select(row, "s.*")
+    met = (suspects.join(windows.withColumnRenamed("words", "own"), ["k", "h"]).where(F.col("words") == F.col("own"))
+           .groupBy(row).agg(F.sort_array(F.collect_set("item")).alias("item_ids"), F.sort_array(F.collect_set(F.struct("at", "k", "lo", "hi"))).alias(hits)))
+
+    def merge(batch: pa.RecordBatch) -> list[pa.Array]:
+        n_hit, spans = [], []
+        for got in T.column(batch, hits):
+            total, flat, end = 0, [], -1
+            for w in got.as_py() or ():
+                if w["at"] > end:                     # a word lies between: a new run
+                    flat += [w["lo"], w["hi"]]
+                    total += w["k"]
+                    end = w["at"] + w["k"]
+                elif w["at"] + w["k"] > end:
+                    flat[-1] = w["hi"]
+                    total += w["at"] + w["k"] - end
+                    end = w["at"] + w["k"]
+            n_hit.append(total)
+            spans.append(flat)
+        return [pa.array(n_hit, pa.int64()), pa.array(spans, pa.list_(pa.int64()))]
+
+    joined = scanned.drop(found).join(met, row, "left").drop(row)
+    out = add_columns(joined, {"n_hit": "long", "hit_spans": "array<long>"}, merge)
+    return out.select(*kept, "n_words", "n_hit", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), "hit_spans")
+
+
 def remove_spans(scanned: DataFrame, text: str = "text") -> DataFrame:
     """A scanned frame with the hit spans cut out of its texts (NULL texts stay NULL)."""
 

@@ -2,12 +2,11 @@
 
 import base64
 import hashlib
-import os
 import re
-import weakref
 
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from gradelens.llm import byte_bpe, decontaminate, queries, token_counts
 from gradelens.llm.token_counts import cut
@@ -135,23 +134,21 @@ def test_scan_brute_force(spark, block):
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.item_ids) for r in got), key=repr) == brute_scan(DOCS, ITEMS)
 
 
-def test_one_block_at_a_time(spark, monkeypatch):
-    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+def test_large_benchmarks_take_one_scan(spark, monkeypatch):
+    docs = spark.createDataFrame([(*d, "old", 1) for d in DOCS], "doc_id long, text string, __row string, Item_ids int").repartition(3)
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
-    held, most, of = [], [], decontaminate.Block.of
-
-    def counted(rows):
-        block = of(rows)
-        held.append(weakref.ref(block))
-        most.append(sum(b() is not None for b in held))
-        return block
-
-    monkeypatch.setattr(decontaminate.Block, "of", counted)
-    shared, scan_block = [], decontaminate._scan_block
-    monkeypatch.setattr(decontaminate, "_scan_block", lambda d, s, t, fresh: (shared.append(s), scan_block(d, s, t, fresh))[1])
-    decontaminate.scan(docs, bench, block_windows=3)
-    assert len(most) > 3 and max(most) == 1
-    assert not any(os.path.exists(s._path) for s in shared[:-1])
+    small = decontaminate.scan(docs, bench)
+    seen = []
+    add = decontaminate.add_columns
+    monkeypatch.setattr(decontaminate, "add_columns", lambda df, new, fn: (seen.append(list(new)), add(df, new, fn))[1])
+    large = decontaminate.scan(docs, bench, block_windows=3)
+    assert [x[0] for x in seen] == ["n_words", "n_hit"]      # the scan, and the hits put together: whatever the number of windows
+    assert sorted(map(repr, (r.asDict() for r in large.select(*small.columns).collect()))) == sorted(map(repr, (r.asDict() for r in small.collect())))
+    monkeypatch.setattr(decontaminate, "BITS_PER_WINDOW", 0)
+    many = spark.range(300_000).select(F.concat(F.lit("m"), "id").alias("item_id"), F.concat_ws(" ", F.lit("alpha"), F.col("id").cast("string"), F.lit("omega"), (F.col("id") * 7).cast("string")).alias("text"))
+    got = {r.doc_id: (r.n_hit, r.item_ids) for r in decontaminate.scan(spark.createDataFrame(
+        [(1, "see alpha 17 omega 119 here"), (2, "alpha 17 omega 118"), (3, "alpha 299999 omega 2099993 alpha 1 omega 7")], "doc_id long, text string"), many).collect()}
+    assert got == {1: (4, ["m17"]), 2: (0, []), 3: (8, ["m1", "m299999"])}
 
 
 def test_spans_and_documents_are_removed(spark):
