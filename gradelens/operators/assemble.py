@@ -5,8 +5,9 @@ each child table, per-key flags aggregated from a child table, decoded codes
 and a final projection.
 
 Joins keep plain left-join semantics (a parent with several first-listed
-children fans out; a parent with none keeps NULL child columns) but are
-planned so a hot key cannot pin one task: the child side is completed with an
+children fans out; a parent with none keeps NULL child columns) and are
+planned so a hot key cannot pin one task.  The most children of one key are counted first, over the key column
+alone.  Up to ``MAX_PER_KEY`` it is a left join, whose parent side AQE splits where it is skewed.  Beyond, the child side is completed with an
 all-NULL row for every parent key that has no child, which makes the join
 an inner one, and AQE can split a skewed partition on either side.  Flags are one row
 per key after a partial aggregate.
@@ -22,6 +23,10 @@ from pyspark.sql import functions as F
 from gradelens.functions.labels import clean_label
 
 
+#: Children of one key that a left join takes: a task that holds them all is no larger than others.
+MAX_PER_KEY = 100_000
+
+
 def first_child(parent: DataFrame, child: DataFrame, parent_key: str, child_key: str,
                 ref: Column | None = None, dedupe: bool = False, keys: DataFrame | None = None) -> DataFrame:
     """``parent LEFT JOIN (child WHERE ref)`` on ``parent_key = child_key``.
@@ -39,6 +44,10 @@ def first_child(parent: DataFrame, child: DataFrame, parent_key: str, child_key:
         kids = (kids.groupBy(child_key)
                     .agg(F.min(F.struct(*[c for c in kids.columns if c != child_key])).alias("_k"))
                     .select(child_key, "_k.*"))
+    if dedupe or _most_of_a_key(kids, child_key) <= MAX_PER_KEY:
+        side = kids.withColumn("_jk", F.col(child_key))
+        side = side.drop(child_key) if parent_key == child_key else side
+        return parent.join(side, parent[parent_key] == side["_jk"], "left").drop("_jk")
     wanted = (parent if keys is None else keys).select(F.col(parent_key).alias("_jk")).distinct()
     listed = kids.select(F.col(child_key).alias("_listed")).distinct()
     absent = wanted.join(listed, F.col("_jk") == F.col("_listed"), "left_anti")
@@ -49,6 +58,11 @@ def first_child(parent: DataFrame, child: DataFrame, parent_key: str, child_key:
     return out.drop("_jp", "_jk")
 
 
+def _most_of_a_key(kids: DataFrame, key: str) -> int:
+    """The largest number of rows with one key (one job over the key column)."""
+    return kids.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def child_flags(child: DataFrame, key: str, flags: dict[str, Column]) -> DataFrame:
     """A10: per key, ``max(CASE WHEN cond THEN 1 ELSE 0 END)`` for each flag."""
     return child.groupBy(key).agg(*[

@@ -146,3 +146,28 @@ def test_subspace_components_of_many_slots(spark):
                                   F.array(F.lit(1.0), F.sin(F.col("id")) * 50, F.cos(F.col("id")) * 20).alias("values"))
     got = subspace.components(df, size, 0.95, block=4)
     assert len(got.explained) == 2 and got.explained[0] > got.explained[1] > 0.1 and abs(abs(got.vectors[size - 2, 0]) - 1) < 1e-3
+
+
+def test_children_by_left_join_and_by_completed_side_agree(spark, monkeypatch):
+    from gradelens.operators import assemble
+    parent = spark.createDataFrame([(k, f"p{k}") for k in (1, 2, 2, 3, None)], "k int, p string")
+    child = spark.createDataFrame([(1, 1, "a"), (1, 1, "b"), (2, 1, "c"), (2, 2, "d"), (None, 1, "e"), (9, 1, "f")], "ck int, ref int, c string")
+    rows = lambda: sorted(map(str, assemble.first_child(parent, child, "k", "ck", ref=F.col("ref") == 1).collect()))
+    left = rows()
+    monkeypatch.setattr(assemble, "MAX_PER_KEY", 0)
+    assert rows() == left and len(left) == 6
+
+
+def test_code_lists_of_any_length_decode_alike(spark, monkeypatch):
+    from gradelens.operators import assemble
+    codes = assemble.code_list(spark.createDataFrame([("t", "f", str(i % 50), f"L{i}", i) for i in range(80)] + [("t", "g", "1", None, 0), ("u", "f", "1", "other", 1)],
+                                                     "table string, field string, code string, label string, pos int"), order_col="pos")
+    df = spark.createDataFrame([(i, str(i * 3 % 70), "x") for i in range(60)] + [(60, None, "1")], "i int, a string, b string")
+    fields = [("a", "t", "f", "none", "x"), ("b", "t", "g", "none", "y"), ("a", "t", "missing", "dflt", "z")]
+    want = df
+    for col, table, field, default, name in fields:
+        want = assemble.decode(want, col, codes, table, field, default, name=name)
+    want = sorted(map(str, want.collect()))
+    assert sorted(map(str, assemble.decode_all(df, fields, codes).select("i", "a", "b", "x", "y", "z").collect())) == want
+    monkeypatch.setattr(assemble, "MAX_MAP_CODES", 10)
+    assert sorted(map(str, assemble.decode_all(df, fields, codes).select("i", "a", "b", "x", "y", "z").collect())) == want
