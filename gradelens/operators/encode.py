@@ -13,15 +13,13 @@ from dataclasses import dataclass
 from typing import Sequence
 
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gradelens.operators import ordering
 from gradelens.session import checkpoint_dir
 
-_POS_BITS = 33      # monotonically_increasing_id = partition << 33 | position
-
-
 def kept(df: DataFrame, label: str) -> DataFrame:
     """``df`` written below the shared checkpoint folder and read back."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -37,14 +35,8 @@ def unpivoted(df: DataFrame, cat: Sequence[str], *keys: str) -> DataFrame:
 
 def level_dictionary(df: DataFrame, cat: Sequence[str]) -> DataFrame:
     """``(field, level, slot)`` of all levels, slots from 0 in order of field and level."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    levels = unpivoted(df, cat).distinct().repartitionByRange(parts, "field", "level").sortWithinPartitions("field", "level")
-    checkpoint_dir(df.sparkSession)
-    at = levels.checkpoint(eager=True).withColumn("_at", F.monotonically_increasing_id())
-    at = at.withColumn("_part", F.shiftright("_at", _POS_BITS)).withColumn("_place", F.col("_at") - F.shiftleft("_part", _POS_BITS))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)      # one row per range
-    counts = at.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return at.join(F.broadcast(counts), "_part").select("field", "level", (F.col("_before") + F.col("_place")).alias("slot"))
+    levels = ordering.ranked(unpivoted(df, cat).distinct(), [F.asc("field"), F.asc("level")], "slot")
+    return levels.withColumn("slot", F.col("slot") - 1)
 
 
 @dataclass

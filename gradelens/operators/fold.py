@@ -28,8 +28,14 @@ def fold(rows: DataFrame, mapper: KeyMap, spec: OutcomeSpec, key: str = "key") -
     return with_rates(agg, spec)
 
 
+def member_rows(rows: DataFrame, mapper: KeyMap, key: str = "key") -> DataFrame:
+    """``(folded, raw)``, a row for each raw key and the key it folds into, for any number of them."""
+    mapped = rows.select(mapper(F.col(key)).alias("folded"), F.col(key).alias("raw"))
+    return mapped.filter(F.col("folded").isNotNull() & F.col("raw").isNotNull()).distinct()
+
+
 def members(rows: DataFrame, mapper: KeyMap, key: str = "key") -> DataFrame:
-    """Folded key → sorted list of the raw keys folded into it."""
+    """Folded key → sorted list of the raw keys folded into it, in one row: for a filter's value list (``member_rows`` otherwise)."""
     mapped = rows.select(mapper(F.col(key)).alias("folded"), F.col(key).alias("raw")) \
                  .filter(F.col("folded").isNotNull())
     return mapped.groupBy("folded").agg(F.array_sort(F.collect_set("raw")).alias("members"))

@@ -420,15 +420,15 @@ def score(model: SeverityModel, scenarios: DataFrame, levels: Sequence[str], top
         fields = list(dict.fromkeys(model.slots))
         means = np.asarray(model.means, dtype=float)
 
-        def numbers(values):
-            return F.array(*[F.lit(float(v)) for v in values])
+        def numbers(values, kind="array<double>"):       # one constant of the plan
+            return F.from_json(F.lit(json.dumps(np.asarray(values, float).tolist())), kind)
 
         def contribution(f):
             at = [i for i, s in enumerate(model.slots) if s == f]
             base = F.element_at(numbers(model.coef[:, at] @ means[at]), pred + 1)
             if f in model.num:
                 return F.element_at(numbers(model.coef[:, at[0]]), pred + 1) * F.col(f) - base
-            by_class = F.array(*[numbers(row[at]) for row in model.coef])
+            by_class = numbers(model.coef[:, at], "array<array<double>>")
             level = F.try_element_at(F.element_at(by_class, pred + 1), F.col(f"{f}__idx").cast("int") + 1)
             return F.coalesce(level, F.lit(0.0)) - base      # an unseen level sets no slot
         per_field = F.array(*[F.struct(F.lit(f).alias("feature"), contribution(f).alias("value")) for f in fields])

@@ -1,9 +1,10 @@
 """Report orderings.
 
 Each function returns an ordering as a list of sort Columns, and ``ranked``
-numbers rows by it.  ``ranked`` is a single-partition window over report rows
-(one row per key); a top k is cut before it is numbered (``top_ranked``), and
-``df.orderBy(*order)`` sorts an open list without a number.
+numbers rows by it: a range sort, checkpointed, where a row's number is the count of the earlier ranges plus its place in
+its own, so no task meets all rows.  Lists bounded by a parameter (a top k, given values) are
+numbered in one task (``top_ranked``, ``ranked_few``), a top k after its cut; ``df.orderBy(*order)`` sorts an open list
+without a number.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gradelens.functions.labels import OTHER, unknown_or_other
+from gradelens.session import checkpoint_dir
+
+POS_BITS = 33      # monotonically_increasing_id = partition << 33 | position
 
 
 def by_total(key: str = "key") -> list[Column]:
@@ -48,13 +52,26 @@ def numeric_key(key: str = "key") -> list[Column]:
 
 
 def ranked(df: DataFrame, order: Sequence[Column], name: str = "pos") -> DataFrame:
-    """Number rows 1.. by ``order`` (bounded report rows only, see module doc)."""
+    """Number rows 1.. by ``order``, over any number of rows."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).checkpoint(eager=True)
+    at = rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", POS_BITS))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)      # one row per range
+    counts = at.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_at") - F.shiftleft("_part", POS_BITS) + 1
+    return at.join(F.broadcast(counts), "_part").select(*df.columns, place.cast("long").alias(name))
+
+
+def ranked_few(df: DataFrame, order: Sequence[Column], name: str = "pos") -> DataFrame:
+    """Number rows 1.. by ``order`` in one task, for lists that a parameter bounds."""
     return df.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def top_ranked(df: DataFrame, order: Sequence[Column], k: int, name: str = "pos") -> DataFrame:
     """The first ``k`` rows by ``order``, numbered 1..k (each partition keeps its own first ``k``)."""
-    return ranked(top(df, order, k), order, name)
+    return ranked_few(top(df, order, k), order, name)
 
 
 def top(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradelens.functions.numeric import ratio
+from gradelens.session import checkpoint_dir
 
 
 def grid(spark: SparkSession, x_values: Sequence, y_values: Sequence,
@@ -49,29 +50,34 @@ def wide(long: DataFrame, row: str, col: str, value: str, values: Sequence,
                              for v in values])
 
 
-def whole(df: DataFrame, agg: Column, one_task: bool) -> Column:
-    """An aggregate of all rows of ``df`` beside each row: a one-row aggregate, or (``one_task``) a window that meets all groups of a
-    report in one task but reads its table once (for reports of few groups)."""
-    return agg.over(Window.partitionBy()) if one_task else df.select(agg).scalar()
+def materialised(df: DataFrame) -> DataFrame:
+    """A report's groups checkpointed, so that totals over them and their numbering do not read the table again."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
-def with_share(df: DataFrame, col: str = "total", name: str = "share", one_task: bool = False) -> DataFrame:
+def whole(df: DataFrame, agg: Column) -> Column:
+    """An aggregate of all rows of ``df`` beside each row (a one-row aggregate)."""
+    return df.select(agg).scalar()
+
+
+def with_share(df: DataFrame, col: str = "total", name: str = "share") -> DataFrame:
     """``col / sum(col)`` over all rows of the report.
 
     Compute shares before a top-N cut so they stay shares of every group.
     """
-    return df.withColumn(name, ratio(F.col(col), whole(df, F.sum(col), one_task)))
+    return df.withColumn(name, ratio(F.col(col), whole(df, F.sum(col))))
 
 
-def ratio_to_mean(df: DataFrame, col: str, one_task: bool = False) -> DataFrame:
+def ratio_to_mean(df: DataFrame, col: str) -> DataFrame:
     """``col / mean(col)`` and a domain symmetric around the mean.
 
     ``half = max(max ratio - 1, 1 - min ratio, 0.5)``,
     ``lo = max(0, 1 - half) * mean``, ``hi = (1 + half) * mean``.
     """
-    m = whole(df, F.avg(col), one_task)
-    half = F.greatest(F.try_divide(whole(df, F.max(col), one_task), m) - 1,
-                      1 - F.try_divide(whole(df, F.min(col), one_task), m), F.lit(0.5))
+    m = whole(df, F.avg(col))
+    half = F.greatest(F.try_divide(whole(df, F.max(col)), m) - 1,
+                      1 - F.try_divide(whole(df, F.min(col)), m), F.lit(0.5))
     staged = df.select("*", m.alias("_m"), half.alias("_half"))
     return staged.select(*df.columns,
                          F.try_divide(F.col(col), F.col("_m")).alias("ratio"),

@@ -93,6 +93,16 @@ def fold_members(spark, sf):
     return m.select("folded", F.array_join("members", "|").alias("members"))
 
 
+@register("fold_member_rows", f"""
+SELECT DISTINCT {TYPE_FOLD_SQL} AS folded, key AS raw FROM ({_rows_sql(LINE_PARTS_SQL, 'p_type', LO, _LP_F, 5)}) WHERE key IS NOT NULL AND {TYPE_FOLD_SQL} IS NOT NULL
+""")
+def fold_member_rows(spark, sf):
+    """Folded key and raw member, a row each."""
+    from gradelens.operators import fold, outcome
+    rows = outcome.breakdown_all(line_parts(spark, sf), "p_type", LO, LINE_F.without("p_type"), min_count=5)
+    return fold.member_rows(rows, type_fold)
+
+
 @register("class_breakdown", f"""
 SELECT *, ROW_NUMBER() OVER (ORDER BY {OTHER_LAST_SQL}) AS pos
 FROM ({_folded_types_sql(5, _LP_FT, 'p_name', PART_CLASS_SQL)})

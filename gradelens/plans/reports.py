@@ -37,7 +37,7 @@ def both_folds(c: Column) -> Column:
 
 def share_top(df, by, spec, selection, k=8, mapper: Mapper = fold_other_unknown):
     """Outcome share by area, top k: Other last; shares of every folded group."""
-    folded = shape.with_share(folded_breakdown(df, by, spec, selection, mapper), one_task=True)
+    folded = shape.with_share(shape.materialised(folded_breakdown(df, by, spec, selection, mapper)))
     return ordering.top_ranked(folded, ordering.other_last(ordering.by_total()), k)
 
 
@@ -93,7 +93,7 @@ def ordered_shares(df, by, spec, selection, order: Sequence[Column], exclude_own
     sel = (selection or Selection())
     sel = sel.without(by) if exclude_own else sel
     rows = outcome.breakdown_all(df, by, spec, sel, min_count=min_count)
-    return ordering.ranked(shape.with_share(rows), order)
+    return ordering.ranked(shape.with_share(shape.materialised(rows)), order)
 
 
 def factor_bars(df, by, spec, selection, k=7, min_count=10):
@@ -127,7 +127,7 @@ def weekday_counts(df, day: str, spec, selection, days: Sequence[str]):
     rows = outcome.breakdown_all(df, day, spec, (selection or Selection()).without(day))
     cells = df.sparkSession.createDataFrame([(d,) for d in days], "key string")
     dense = shape.dense(rows, cells, ["key"], ["total", *spec.names])
-    return ordering.ranked(dense, ordering.listed(days))
+    return ordering.ranked_few(dense, ordering.listed(days))
 
 
 def region_ranking(df, region: str, spec, selection, dim: DataFrame, dim_key: str, k: int = 5):
@@ -135,8 +135,8 @@ def region_ranking(df, region: str, spec, selection, dim: DataFrame, dim_key: st
     counts, share of the filtered total (A16), ratio of its top-level rate to
     the mean (A17) and its rank; ``k`` marks the top list (T7)."""
     rows = outcome.breakdown_all(df, region, spec, (selection or Selection()).without(region), as_text=False)
-    shared = shape.with_share(rows, one_task=True)      # one row per region, numbered below
-    rel = shape.ratio_to_mean(shared, f"{spec.top}_rate", one_task=True)
+    shared = shape.with_share(shape.materialised(rows))
+    rel = shape.ratio_to_mean(shared, f"{spec.top}_rate")
     ranked = ordering.ranked(rel, ordering.by_total())
     out = shape.attach(dim.select(F.col(dim_key).alias("key")).distinct(), ranked, "key")
     return out.withColumn("in_top", F.coalesce(F.col("pos") <= k, F.lit(False)))
@@ -148,7 +148,7 @@ def option_list(df, by, spec, preferred: Sequence | None = None, k: int = 3):
     rows = outcome.breakdown_all(df, by, spec)
     if preferred:
         kept = rows.filter(F.col("key").isin([str(v) for v in preferred]))
-        return ordering.ranked(kept, ordering.listed([str(v) for v in preferred]))
+        return ordering.ranked_few(kept, ordering.listed([str(v) for v in preferred]))
     return ordering.top_ranked(rows, ordering.by_total(), k)
 
 

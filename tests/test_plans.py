@@ -25,8 +25,9 @@ def test_typed_values_reach_the_scan(spark):
 
 
 def test_one_scan_per_table(spark):
+    # the groups of the last two are checkpointed from one scan per table; what is left reads the dimension alone, or nothing
     for name, scans in [("association", 1), ("profile", 1), ("kpis", 1), ("condition_lift", 2),
-                        ("region_share", 4), ("share_top", 2)]:
+                        ("region_share", 1), ("share_top", 0)]:
         plan = executed(E.queries()[name](spark, SF_SMALL))
         assert plan.count("FileScan parquet") == scans, name
 
@@ -57,7 +58,7 @@ def test_child_joins_grow_by_the_same_amount(spark):
                 for i in range(n)]
         out = assemble.flat_record(parent, "o_orderkey", children=kids)
         return out._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
-    assert [scans(n) for n in (0, 1, 2, 3)] == [1, 4, 7, 10]
+    assert [scans(n) for n in (0, 1, 2, 3)] == [1, 2, 3, 4]
 
 
 def test_median_fill_reads_its_input_twice(spark):
