@@ -1,11 +1,11 @@
 """Operator 2, language ID: averaged hashed subword embeddings with a linear softmax and calibrated rejection.
 
 Training (numpy, stochastic gradient descent) uses a bounded sample of labelled rows
-(``SAMPLE_ROWS``); prediction covers every whole text in Arrow batches.  The model sees
-the text alone.
+(``SAMPLE_ROWS``, dealt out evenly: of each language about as many, of rare ones all they have); prediction covers every whole text in
+Arrow batches.  The model sees the text alone.
 
 Defined results: NULL text or a text without a letter gets ``und``, score 0 and is not
-accepted.  Empty tables give empty results.  Rows are independent, so repeated rows and
+accepted.  A language of few rows is learned from them; of more than ``LANGUAGES`` the commonest are learned.  Empty tables give empty results.  Rows are independent, so repeated rows and
 ties give equal rows; a tie between languages takes the first in alphabetical order.
 Input columns named like the results are replaced.
 """
@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 
 from gradelens.llm import text as T
 from gradelens.llm.arrow import add_columns
-from gradelens.llm.shared import bounded_sample
 from gradelens.llm.subwords import Features, softmax, temperature, train_embeddings
 
 #: Parameters: labelled rows that training may read, share of them that calibrates, precision asked of accepted rows.
 SAMPLE_ROWS = 3000
+#: Parameter: languages that are learned at most.
+LANGUAGES = 500
 CALIBRATION = 5
 PRECISION = 0.99
 UNDETERMINED = "und"
@@ -52,12 +53,28 @@ def segments(texts: list[str], labels: np.ndarray) -> tuple[list[str], np.ndarra
     return texts + [t for t, _ in short], np.concatenate([labels, np.array([y for _, y in short], labels.dtype)])
 
 
+def even_sample(known: DataFrame, rows: int, seed: int) -> DataFrame:
+    """About ``rows`` rows (2 * ``rows`` at most, one per language at least) of (i, t, y), chosen by a hash of ``i``, as many of each ``y``."""
+    counts = [(r["y"], r["count"]) for r in known.groupBy("y").count().orderBy(F.desc("count"), "y").limit(LANGUAGES).collect()]
+    if not counts:
+        return known.limit(0)
+    # rare languages leave their part to the others
+    share, left, open_ = 0, rows, len(counts)
+    for _, n in sorted(counts, key=lambda c: c[1]):
+        share = max(left // open_, 1)
+        left -= min(n, share)
+        open_ -= 1
+    limits = F.create_map(*[x for y, n in counts for x in (F.lit(y), F.lit(int(min(1.0, 1.0 * share / n) * (1 << 32))))])
+    pick = F.pmod(F.xxhash64(F.lit(seed), F.col("i").cast("string")), F.lit(1 << 32)) < F.try_element_at(limits, F.col("y"))
+    return known.where(pick).limit(2 * max(rows, len(counts)))
+
+
 def fit(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang",
         rows: int = SAMPLE_ROWS, seed: int = 2) -> LanguageModel:
     """Train on a bounded sample of the rows with a language and a text; no such row gives a model that always says ``und``."""
     known = df.select(F.col(id_col).alias("i"), F.col(text).alias("t"), F.col(lang).alias("y")) \
         .where(F.col("y").isNotNull() & F.col("i").isNotNull())
-    got = bounded_sample(known, "i", rows, seed).toPandas()
+    got = even_sample(known, rows, seed).toPandas()
     spoken = np.array([isinstance(t, str) and any(c.isalpha() for c in t) for t in got["t"]], bool)
     got = got.loc[spoken].sort_values(["i", "t"])
     langs = tuple(sorted(set(got["y"])))

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gradelens.llm import embed_quality, langid, queries, quality_rules
 from gradelens.llm import text as T
@@ -116,3 +117,18 @@ def test_sliced_scores_equal_whole_scores():
     parts = np.concatenate([quality_rules.FEATURES.score(table, d, a)[:, 0] for _, _, d, a in T.slices(raw, at, 100)])
     counts = [(table[i, 0] * v).sum() for i, v in quality_rules.FEATURES.counts(texts)]
     assert np.allclose(whole, parts) and np.allclose(whole, counts)
+
+
+def test_rare_languages_are_learned(spark):
+    from gradelens.llm import langid
+    words = {"de": "der hund und die katze laufen durch den garten", "en": "the dog and the cat are running through the garden", "fr": "le chien avec sa chatte courent vers leur jardin"}
+    df = spark.range(60_000).select("id", F.when(F.col("id") % 10_000 == 7, "fr").when(F.col("id") % 2 == 0, "de").otherwise("en").alias("lang"))
+    text = F.when(F.col("lang") == "fr", words["fr"]).when(F.col("lang") == "de", words["de"]).otherwise(words["en"])
+    rows = df.select(F.col("id").alias("doc_id"), F.concat_ws(" ", text, F.col("id").cast("string")).alias("text"), "lang")
+    sample = langid.even_sample(rows.selectExpr("doc_id AS i", "text AS t", "lang AS y"), 600, 2).groupBy("y").count().collect()
+    assert {r.y: r["count"] for r in sample}["fr"] == 6 and all(200 < r["count"] < 400 for r in sample if r.y != "fr")
+    model = langid.fit(rows)
+    assert model.langs == ("de", "en", "fr")
+    got = langid.predict(rows.where("id % 10000 in (7, 8, 9)".replace("id", "doc_id")), model)
+    assert got.where(F.col("lang") != F.col("lang_pred")).count() == 0
+    assert langid.fit(rows.limit(0)).langs == ()
