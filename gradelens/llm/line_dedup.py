@@ -151,12 +151,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
     found = stored(suspects(docs, id_col, text, bits, min_chars), "line-suspects")
     repeats = stored(found.groupBy("digest").agg(F.count_distinct("i").alias("n"), F.max("i").alias("keeper"))
                      .where(F.col("n") >= min_docs).select("digest", "keeper"), "line-repeats")
+    mark = "__"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    own, gone_ = mark + "id", mark + "lost"
     lost = (found.join(repeats, "digest").where(F.col("i") < F.col("keeper"))
-            .groupBy(F.col("i").alias("__id")).agg(F.collect_set("digest").alias("__lost")))
-    joined = docs.join(lost, docs[id_col] == lost["__id"], "left").drop("__id")
+            .groupBy(F.col("i").alias(own)).agg(F.collect_set("digest").alias(gone_)))
+    joined = docs.join(lost, docs[id_col] == lost[own], "left").drop(own)
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        gone = T.column(batch, "__lost")
+        gone = T.column(batch, gone_)
         n, dropped, kept = [], [], []
         for i, t in enumerate(T.column(batch, text)):
             lines = (t.as_py() or "").encode().split(b"\n")
@@ -169,4 +173,4 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min
             kept.append(b"\n".join(stay).decode())
         return [pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.string())]
 
-    return add_columns(joined, {"n_lines": "long", "n_dropped": "long", "kept_text": "string"}, run).drop("__lost")
+    return add_columns(joined, {"n_lines": "long", "n_dropped": "long", "kept_text": "string"}, run).drop(gone_)

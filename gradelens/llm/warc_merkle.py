@@ -59,8 +59,8 @@ def parents(nodes: DataFrame) -> DataFrame:
 def tree(records: DataFrame, levels: int = LEVELS) -> list[DataFrame]:
     """Node tables from the leaves up; the last one is the roots (a file's remaining top nodes in order)."""
     out = [stored(leaves(records), "merkle-leaves")]
-    for _ in range(levels):
-        out.append(parents(out[-1]))
+    for level in range(1, levels + 1):
+        out.append(stored(parents(out[-1]), f"merkle-level-{level}"))       # read once for its parents and once in the descent
     top = out[-1].select("file", F.lit(0).cast("long").alias("node"), "hash", F.col("node").alias("at"))
     kids = F.sort_array(F.collect_list(F.struct("at", "hash")))
     root = top.groupBy("file", "node").agg(F.sha2(F.array_join(F.transform(kids, lambda c: c["hash"]), "\n"), 256).alias("hash"))

@@ -126,6 +126,13 @@ def test_near_duplicates_brute_force(spark, k):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_line_dedup_with_clashing_names(spark):
+    line = "A line of more than forty characters, in six documents."
+    df = spark.createDataFrame([(i, f"{line}\nown {i}", "a", "b", "c") for i in range(6)], "doc_id long, text string, __lost string, __id string, Kept_text string")
+    got = {r.doc_id: (r.kept_text, r["__lost"], r["__id"]) for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {i: (f"own {i}" if i < 5 else f"{line}\nown 5", "a", "b") for i in range(6)}
+
+
 def test_near_duplicates_blocks_of_any_size(spark, monkeypatch):
     rng = random.Random(9)
     rows = list(enumerate(near_copies(rng, 120, edits=40)))
