@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as ST
 
 #: Parameter: most bytes of an Arrow batch.  Spark's default of 64 MB is held several times over, in the JVM and in Python.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -20,7 +20,14 @@ def map_batches(df: DataFrame, fn, schema) -> DataFrame:
     size, unit = re.fullmatch(r"(-?\d+)\s*([kmg]?)i?b?", conf.get(SETTING).strip().lower()).groups()
     if not 0 < int(size) * {"": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}[unit] <= BATCH_BYTES:
         conf.set(SETTING, f"{BATCH_BYTES}b")
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        yield from fn(batches)
+        # a worker waits for its next task with no more memory than it needs
+        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+            pool.release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def add_columns(df: DataFrame, new: dict[str, str], fn: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
