@@ -22,7 +22,6 @@ input columns are replaced.
 
 from __future__ import annotations
 
-import base64
 import functools
 import hashlib
 import itertools
