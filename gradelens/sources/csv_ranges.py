@@ -11,7 +11,6 @@ A quoted field that never ends takes the rest of its file.
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
