@@ -24,6 +24,8 @@ from gradelens.functions.labels import NULL_TOKENS, canonical
 WHITESPACE_CLASS = (r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
                     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+")
 TRUE_TOKENS = ("True", "true", "1")
+# The ends of BIGINT as doubles; the cast takes 2^63 as the largest BIGINT.
+LONG_ENDS = (-2.0 ** 63, 2.0 ** 63)
 
 
 def string_columns(df: DataFrame) -> list[str]:
@@ -73,7 +75,7 @@ def dedupe(df: DataFrame) -> DataFrame:
 def median_fill(df: DataFrame, cols: str | Sequence[str], fallback: float = 1.0,
                 lower: float = 1.0) -> DataFrame:
     """P16 + P17: text → double (bad → NULL), NULL → median (or ``fallback``),
-    clip at ``lower``, round half-even, integer.
+    clip at ``lower``, round half-even, integer; what a BIGINT cannot hold takes its nearest end.
 
     The numbers are projected once, all medians come from one pass over them
     and are applied in one projection.
@@ -87,7 +89,7 @@ def median_fill(df: DataFrame, cols: str | Sequence[str], fallback: float = 1.0,
 
     def filled(c):
         v = F.coalesce(number(c), medians[c], F.lit(fallback))
-        return F.bround(F.greatest(v, F.lit(lower)), 0).cast("long").alias(c)
+        return F.bround(F.least(F.greatest(v, F.lit(lower), F.lit(LONG_ENDS[0])), F.lit(LONG_ENDS[1])), 0).cast("long").alias(c)
     return df.select(*[filled(c) if c in medians else F.col(c) for c in df.columns])
 
 

@@ -66,6 +66,14 @@ def test_median_does_not_depend_on_plan_settings(spark):
             spark.conf.set(k, v)
 
 
+def test_numbers_past_bigint_take_its_end_and_count_in_the_median(spark):
+    df = spark.createDataFrame([("40000123456789012345678", "-1e30"), ("9223372036854775807", "1e19"), ("7", None), ("8", "4"), (None, "x")], "a string, b string")
+    most = 2 ** 63 - 1
+    assert [r.a for r in clean.median_fill(df, "a").collect()][:4] == [most, most, 7, 8]
+    assert clean.median_fill(df, "a").collect()[4].a == 4611686018427387904     # the mean of 8 and 2^63, as a double
+    assert [r.b for r in clean.median_fill(df, "b", lower=-1e40).collect()] == [-2 ** 63, most, 4, 4, 4]
+
+
 def test_hours_of_empty_and_unparsed_tables(spark):
     empty = spark.createDataFrame([], "t string")
     assert clean.derive_hour(empty, "t").count() == 0
