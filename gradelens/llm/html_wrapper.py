@@ -20,7 +20,8 @@ pages is no larger a row than any other.
 
 Defined results: NULL and empty html and pages without text give the empty text.  Pages without a host in their url share the
 empty host.  Repeated pages add nothing to the statistics.  Unclosed elements end with their parent, an unfinished
-tag at the end is dropped.  Nesting of any depth and any number of siblings take time and memory in proportion to the page.  On hosts with
+tag at the end is dropped.  Nesting of any depth and any number of siblings take time and memory in proportion to the page, but for the
+time to match unlike lists of siblings, which grows with the product of their lengths.  On hosts with
 fewer than ``MIN_PAGES`` different pages nothing is template.  Empty tables give empty results; clashing input columns are replaced.
 """
 
@@ -30,6 +31,7 @@ import functools
 import html as entities
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -46,8 +48,8 @@ MIN_PAGES = 8
 SHARE = 50
 #: Parameter: percent of a page's text that makes it the same page.
 SAME = 95
-#: Parameter: comparisons of nodes per node from which two skeletons are matched in order of labels.
-WORK = 256
+#: Parameter: pairs of siblings from which a matching takes vectors; the results are the same.
+PLAIN = 1024
 
 # HTML element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -278,79 +280,130 @@ def node_paths(labels: list[str], children: list[list[int]]) -> list[int]:
     return out
 
 
+def shapes(labels: list[str], children: list[list[int]], known: dict) -> tuple[list[int], list[int], list[int]]:
+    """(shape, height, size) of every node: nodes of one shape have equal subtrees; ``known`` numbers the shapes of several trees."""
+    n = len(labels)
+    shape, height, size = [0] * n, [0] * n, [1] * n
+    for x in range(n - 1, -1, -1):      # preorder: children are behind their parent
+        shape[x] = known.setdefault((labels[x], *[shape[c] for c in children[x]]), len(known))
+        for c in children[x]:
+            height[x] = max(height[x], height[c] + 1)
+            size[x] += size[c]
+    return shape, height, size
+
+
 def align(reference: str, lines: str) -> list[int]:
     """For each node of an outline the node of the reference that simple tree matching gives it, or -1.
 
-    Matching compares the nodes of a level with one another; where that is more than ``WORK`` comparisons per node, children are matched
-    in order of their labels instead (``in_order``), which is linear in the nodes.
+    Subtrees of equal shape are matched once, whatever their number, and only below parents of one label; a pair of sibling lists takes a
+    vector operation per sibling (``matched``).
     """
     (la, ca), (lb, cb) = tree(reference), tree(lines)
-    if reference == lines:
-        return list(range(len(lb)))
-    depth_a, depth_b = levels(ca), levels(cb)
-    if sum(len(x) * len(y) for x, y in zip(depth_a, depth_b)) > WORK * (len(la) + len(lb)):
-        return in_order(la, ca, lb, cb)
-    memo: dict[tuple[int, int], int] = {}
-
-    def table(x: int, y: int) -> list[list[int]]:
-        m = [[0] * (len(cb[y]) + 1) for _ in range(len(ca[x]) + 1)]
-        for i, p in enumerate(ca[x], 1):
-            for j, q in enumerate(cb[y], 1):
-                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + memo.get((p, q), 0))
-        return m
-
-    for d in range(min(len(depth_a), len(depth_b)) - 1, -1, -1):      # bottom up, so no recursion on deep trees
-        for x in depth_a[d]:
-            for y in depth_b[d]:
-                if la[x] == lb[y]:
-                    memo[x, y] = 1 + table(x, y)[-1][-1]
-    out = [-1] * len(lb)
-    todo = [(0, 0)] if la and lb and la[0] == lb[0] else []
+    if not la or not lb or la[0] != lb[0]:
+        return [-1] * len(lb)
+    known: dict[tuple, int] = {}
+    sa, ha, na = shapes(la, ca, known)
+    sb, _, nb = shapes(lb, cb, known)
+    kids_a, kids_b = {s: [sa[c] for c in k] for s, k in zip(sa, ca)}, {s: [sb[c] for c in k] for s, k in zip(sb, cb)}
+    label, height, size = dict(zip(sa, la)) | dict(zip(sb, lb)), dict(zip(sa, ha)), dict(zip(sa, na))
+    # the pairs of unequal shapes that matching can meet, from the roots down
+    pairs, todo = set(), [(sa[0], sb[0])] if sa[0] != sb[0] else []
+    pairs.update(todo)
     while todo:
         x, y = todo.pop()
-        out[y] = x
-        m = table(x, y)
-        i, j = len(ca[x]), len(cb[y])
-        while i and j:
-            p, q = ca[x][i - 1], cb[y][j - 1]
-            if memo.get((p, q), 0) and m[i][j] == m[i - 1][j - 1] + memo[p, q]:
-                todo.append((p, q))
-                i, j = i - 1, j - 1
-            elif m[i][j] == m[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
-    return out
-
-
-def in_order(la: list[str], ca: list[list[int]], lb: list[str], cb: list[list[int]]) -> list[int]:
-    """Top-down matching: of matched parents, each child takes the next one of its label in the reference."""
-    out = [-1] * len(lb)
-    todo = [(0, 0)] if la and lb and la[0] == lb[0] else []
+        mine: dict[str, list[int]] = {}
+        for p in set(kids_a[x]):
+            mine.setdefault(label[p], []).append(p)
+        for q in set(kids_b[y]):
+            for p in mine.get(label[q], ()):
+                if p != q and kids_a[p] and kids_b[q] and (p, q) not in pairs:
+                    pairs.add((p, q))
+                    todo.append((p, q))
+    best: dict[tuple[int, int], int] = {}
+
+    def weight(p: int, q: int) -> int:
+        """The largest common tree of two shapes of one label."""
+        return size[p] if p == q else best.get((p, q), 1)
+
+    for x, y in sorted(pairs, key=lambda s: height[s[0]]):      # bottom up, so no recursion on deep trees
+        best[x, y] = 1 + sum(w for _, _, w in matched(kids_a[x], kids_b[y], label, weight, False))
+    out, ways = [-1] * len(lb), {}
+    todo = [(0, 0)]
     while todo:
         x, y = todo.pop()
+        if sa[x] == sb[y]:
+            out[y:y + nb[y]] = range(x, x + na[x])
+            continue
         out[y] = x
-        at: dict[str, list[int]] = {}
-        for place in range(len(ca[x]) - 1, -1, -1):
-            at.setdefault(la[ca[x][place]], []).append(place)
-        least = 0
-        for q in cb[y]:
-            own = at.get(lb[q])
-            while own and own[-1] < least:
-                own.pop()
-            if own:
-                place = own.pop()
-                todo.append((ca[x][place], q))
-                least = place + 1
+        own = (sa[x], sb[y])
+        if own not in ways:
+            ways[own] = matched(kids_a[own[0]], kids_b[own[1]], label, weight, True)
+        todo.extend((ca[x][i], cb[y][j]) for i, j, _ in ways[own])
     return out
 
 
-def levels(children: list[list[int]]) -> list[list[int]]:
-    out, now = [], [0] if children else []
-    while now:
-        out.append(now)
-        now = [c for n in now for c in children[n]]
-    return out
+def matched(one: list[int], two: list[int], label: dict[int, str], weight, path: bool) -> list[tuple[int, int, int]]:
+    """The heaviest matching in order of two sibling lists, as (place, place, weight); of equal ones that with the last siblings. Without
+    ``path`` one entry has the sum.
+
+    Equal siblings at the end belong together in it. Of the table of the rest every ``step``-th row is held, and those between are made anew
+    on the way back.
+    """
+    found, n, m = [], len(one), len(two)
+    while n and m and one[n - 1] == two[m - 1]:
+        n, m = n - 1, m - 1
+        found.append((n, m, weight(one[n], two[m])))
+    if not n or not m:
+        return found
+    if not path and n * m <= PLAIN:      # the same sums, without the cost of setting up vectors
+        line, names = [0] * (m + 1), [label[q] for q in two[:m]]
+        for p in one[:n]:
+            name, before, now = label[p], 0, 0
+            for j in range(m):
+                above = line[j + 1]
+                now = above if above > now else now
+                if names[j] == name:
+                    now = max(now, before + weight(p, two[j]))
+                before, line[j + 1] = above, now
+        return [*found, (-1, -1, line[m])]
+    alike: dict[str, dict[int, list[int]]] = {}     # the places in two of each label and shape
+    for j, q in enumerate(two[:m]):
+        alike.setdefault(label[q], {}).setdefault(q, []).append(j)
+    flat = {t: (list(own), np.repeat(np.arange(len(own)), [len(x) for x in own.values()]), np.array([j for x in own.values() for j in x])) for t, own in alike.items()}
+
+    def following(row: np.ndarray, p: int) -> np.ndarray:
+        if label[p] not in flat:
+            return row
+        kinds, kind, at = flat[label[p]]
+        out = row.copy()
+        out[at + 1] = np.maximum(row[at + 1], row[at] + np.array([weight(p, q) for q in kinds])[kind])
+        return np.maximum.accumulate(out)
+
+    step = int(n ** 0.5) + 1
+    row, held = np.zeros(m + 1, np.int64), []
+    for i in range(n):
+        if path and i % step == 0:
+            held.append(row)
+        row = following(row, one[i])
+    if not path:
+        return [*found, (-1, -1, int(row[m]))]
+    i, j = n, m
+    while i and j:
+        first = (i - 1) // step * step
+        table = [held[first // step]]
+        for p in one[first:i]:
+            table.append(following(table[-1], p))
+        while i > first and j:
+            now, above, p, q = table[i - first], table[i - first - 1], one[i - 1], two[j - 1]
+            w = weight(p, q) if label[p] == label[q] else 0
+            if w and now[j] == above[j - 1] + w:
+                i, j = i - 1, j - 1
+                found.append((i, j, w))
+            elif now[j] == above[j]:
+                i -= 1
+            else:
+                j -= 1
+    return found
 
 
 def host_of(url: str | None) -> str:

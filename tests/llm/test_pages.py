@@ -192,6 +192,69 @@ def test_large_unlike_trees_match_in_order():
     assert got == [0, *range(2, 1001), -1, *range(1001, 3001)]
 
 
+def test_large_trees_are_matched_as_small_ones():
+    for n in (3, 3000):      # the moved element was matched, and nothing behind it, from 257 siblings on
+        one = [f"div.{letters(i)}~" for i in range(n)]
+        a, b = ("\n".join(["0 ~", *(f"1 {x}" for x in own)]) for own in ([*one, "div.z~"], ["div.z~", *one]))
+        assert html_wrapper.align(a, b) == [0, -1, *range(1, n + 1)]
+
+
+def brute_match(reference, lines):
+    """Simple tree matching, node by node."""
+    (la, ca), (lb, cb) = html_wrapper.tree(reference), html_wrapper.tree(lines)
+    memo = {}
+
+    def table(x, y):
+        m = [[0] * (len(cb[y]) + 1) for _ in range(len(ca[x]) + 1)]
+        for i, p in enumerate(ca[x], 1):
+            for j, q in enumerate(cb[y], 1):
+                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + weight(p, q))
+        return m
+
+    def weight(p, q):
+        if (p, q) not in memo:
+            memo[p, q] = 1 + table(p, q)[-1][-1] if la[p] == lb[q] else 0
+        return memo[p, q]
+
+    out, todo = [-1] * len(lb), [(0, 0)] if la[0] == lb[0] else []
+    while todo:
+        x, y = todo.pop()
+        out[y] = x
+        m, i, j = table(x, y), len(ca[x]), len(cb[y])
+        while i and j:
+            w = weight(ca[x][i - 1], cb[y][j - 1])
+            if w and m[i][j] == m[i - 1][j - 1] + w:
+                i, j = i - 1, j - 1
+                todo.append((ca[x][i], cb[y][j]))
+            elif m[i][j] == m[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+    return out
+
+
+@pytest.mark.parametrize("plain", [html_wrapper.PLAIN, 0])
+def test_alignment_against_brute_force_on_trees(monkeypatch, plain):
+    import random
+    monkeypatch.setattr(html_wrapper, "PLAIN", plain)
+    rng = random.Random(5)
+
+    def outline(n, kinds, deep):
+        lines, depth = ["0 ~"], 0
+        for _ in range(n):
+            depth = rng.randint(1, min(depth + 1, deep))
+            lines.append(f"{depth} {rng.choice('abcdef'[:kinds])}{rng.choice('~=') if rng.random() < 0.1 else '~'}")
+        return "\n".join(lines)
+    for k in range(400):
+        kinds, deep = rng.randint(1, 6), rng.choice((1, 2, 3, 9))
+        a = outline(rng.randint(0, 40), kinds, deep)
+        b, lines = outline(rng.randint(0, 40), kinds, deep), a.split("\n")
+        if k % 2:       # a without some of its leaves
+            leaf = [i > 0 and (i + 1 == len(lines) or lines[i + 1][0] <= x[0]) for i, x in enumerate(lines)]
+            b = "\n".join(x for x, end in zip(lines, leaf) if not end or rng.random() > 0.2)
+        assert html_wrapper.align(a, b) == brute_match(a, b)
+
+
 def test_many_layouts_on_one_host_and_clashing_names(spark):
     def page(i):
         return f"<article><h1>Title {i}</h1><div class={letters(i)}><p>Story {i}.</p></div><div>Terms apply</div></article>"
