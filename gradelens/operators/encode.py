@@ -62,7 +62,8 @@ class TableEncoder:
         """``df`` with ``slots`` (array<int>, ascending) and ``values`` (array<double>); zeros are left out."""
         rows = kept(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
         hits = unpivoted(rows, self.cat, "_row").join(self.levels, ["field", "level"])
-        set_ = hits.groupBy("_row").agg(F.sort_array(F.collect_list(F.col("slot").cast("int"))).alias("_set"))      # one per field at most
+        own = [F.max(F.when(F.col("field") == i, F.col("slot").cast("int"))) for i in range(len(self.cat))]      # one per field at most
+        set_ = hits.groupBy("_row").agg(F.array_compact(F.array(*own)).alias("_set"))
         numbers = F.filter(F.array(*[F.struct(F.lit(self.first[-1] + i).alias("s"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("v"))
                                      for i, c in enumerate(self.num)]), lambda x: x["v"] != 0) if self.num else F.array().cast("array<struct<s:int,v:double>>")
         found = F.coalesce("_set", F.array().cast("array<int>"))

@@ -318,7 +318,7 @@ def subspace_checks(spark, sf):
     cat, num = ["l_linestatus", "l_linenumber", "l_suppkey"], ["l_tax", "l_discount"]
     li = table(spark, sf, "lineitem").select(*cat, *num)
     enc = encode.TableEncoder.fit(li, cat, num)
-    rows = encode.kept(enc.transform(li), "encoded")
+    rows = encode.kept(enc.transform(li).select("slots", "values"), "encoded")
     got = subspace.components(rows, enc.size, 0.95)
     got = got.explained      # the vectors are slots x k numbers
     want = subspace.full_pca(enc.vectors(rows), enc.size).explained

@@ -191,6 +191,17 @@ def test_products_of_rows_of_any_length(spark, monkeypatch):
     assert subspace.components(df.limit(0), size).vectors.shape == (size, 0)
 
 
+def test_slots_are_gathered_without_lists(spark):
+    """One slot a field: NULL and unseen levels, rows without any and rows that come twice; lists in the shuffle took more disk, and spilled."""
+    make = lambda rows: spark.createDataFrame(rows, "f string, g string, x double")
+    enc = encode.TableEncoder.fit(make([("b", "q", 1.0), ("a", "p", None), ("c", None, 0.0)]), ["f", "g"], ["x"])
+    df = make([("a", "q", 2.0), ("a", "q", 2.0), (None, "p", 0.0), ("z", None, None), ("c", "z", -1.0)])
+    got = enc.transform(df)
+    want = [([0, 4, 5], [1.0, 1.0, 2.0])] * 2 + [([3], [1.0]), ([], []), ([2, 5], [1.0, -1.0])]
+    assert sorted((r.slots, r["values"]) for r in got.collect()) == sorted(want)
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def one_large_field(spark, rng, levels: int, n: int, value=None):
     """Rows of a large field, two small ones and two numbers, with their covariance; now and then a level or a number is missing."""
     size = levels + 9
